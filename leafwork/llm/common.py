@@ -56,24 +56,23 @@ def components(edges: DataFrame) -> DataFrame:
 
     Returns (node, root) for every node of an edge other than a root itself; root is the smallest node of the
     component. Each round hooks every node to its smallest neighbour, shortens the chains by pointer jumping and
-    contracts the edges to what they hooked to. Minima are pre-aggregated and joins are of a hot side with a
+    contracts the edges to the chains' ends, so that at least half of the nodes leave. Minima are pre-aggregated and joins are of a hot side with a
     side of distinct keys, so one huge component can be split over tasks. Self-loops, null ends and repeated
     edges are ignored; no edges give no rows.
     """
     live = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     hooks: list[DataFrame] = []
     while not live.isEmpty():
-        up = live.groupBy("a").agg(F.min("b").alias("p"))
-        for _ in range(2):
-            # two rounds of jumping reach ancestors four steps up
+        up = cut(live.groupBy("a").agg(F.min("b").alias("p")))
+        while not up.join(up.select(F.col("a").alias("p")), "p", "left_semi").isEmpty():
             over = up.select(F.col("a").alias("p"), F.col("p").alias("pp"))
-            up = cut(up.join(over, "p", "left").select("a", F.coalesce("pp", "p").alias("p")))
+            old, up = up, cut(up.join(over, "p", "left").select("a", F.coalesce("pp", "p").alias("p")))
+            drop_cut(old)
         hooks.append(up)
         to = lambda end: up.select(F.col("a").alias(end), F.col("p").alias(f"{end}p"))
         moved = live.join(to("a"), "a", "left").join(to("b"), "b", "left")
         moved = moved.select(F.coalesce("ap", "a").alias("a"), F.coalesce("bp", "b").alias("b"))
-        chains = up.select(F.col("p").alias("a")).distinct().join(up, "a").select("a", F.col("p").alias("b"))
-        rest = moved.unionByName(chains).where("a <> b")
+        rest = moved.where("a <> b")
         old, live = live, cut(rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
         drop_cut(old)
     if not hooks:

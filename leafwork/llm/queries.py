@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafwork.llm.decontaminate import contamination
+from leafwork.llm.line_dedup import dedup_lines
+from leafwork.llm.mixing import mix
 from leafwork.llm.secrets import secret_spans
 from leafwork.llm.sharding import shard
+from leafwork.llm.simhash import near_duplicates
 from leafwork.llm.token_counts import token_counts
 
 
@@ -32,6 +35,20 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op7_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    return mixed.select("doc_id", "source", "phase", "slot", "place", "release", "deadline")
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(table(spark, sf_dir, "documents"))
 
@@ -40,6 +57,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_ring_sharding": op2_ring_sharding,
     "op3_token_counts": op3_token_counts,
+    "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op6_line_dedup": op6_line_dedup,
+    "op7_pfair_mixing": op7_pfair_mixing,
     "op10_secret_scan": op10_secret_scan,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_line_dedup": """
+        WITH lines AS (
+            SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents
+        ), windows AS (
+            SELECT doc_id, g - 1 AS pos, l[g] || chr(10) || l[g + 1] || chr(10) || l[g + 2] AS w
+            FROM (SELECT doc_id, l, unnest(generate_series(1, len(l) - 2)) AS g FROM lines)
+        ), ranked AS (
+            SELECT doc_id, pos, row_number() OVER (PARTITION BY w ORDER BY doc_id, pos) AS rn FROM windows
+        ), gone AS (
+            SELECT DISTINCT doc_id, pos + o AS pos FROM ranked, (SELECT unnest([0, 1, 2]) AS o) WHERE rn > 1
+        ), each_line AS (
+            SELECT doc_id, g - 1 AS pos, l[g] AS line FROM (SELECT doc_id, l, unnest(generate_series(1, len(l))) AS g FROM lines)
+        ), kept AS (
+            SELECT e.doc_id, coalesce(string_agg(e.line, chr(10) ORDER BY e.pos) FILTER (WHERE g.pos IS NULL), '') AS text,
+                   count(g.pos) AS n_removed
+            FROM each_line e LEFT JOIN gone g ON e.doc_id = g.doc_id AND e.pos = g.pos GROUP BY e.doc_id
+        )
+        SELECT d.doc_id, CASE WHEN d.text IS NULL THEN 0 ELSE len(d.l) END::bigint AS n_lines,
+               k.n_removed::bigint AS n_removed, CASE WHEN d.text IS NULL THEN NULL ELSE sha256(k.text) END AS kept_sha256
+        FROM lines d JOIN kept k ON d.doc_id = k.doc_id
+    """,
+}
