@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafwork.llm.decontaminate import contamination
+from leafwork.llm.embedding_dedup import near_vectors
 from leafwork.llm.line_dedup import dedup_lines
 from leafwork.llm.mixing import mix
 from leafwork.llm.secrets import secret_spans
 from leafwork.llm.sharding import shard
 from leafwork.llm.simhash import near_duplicates
+from leafwork.llm.suffix_dedup import dedup_strings
 from leafwork.llm.token_counts import token_counts
 
 
@@ -49,6 +51,14 @@ def op7_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "phase", "slot", "place", "release", "deadline")
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_strings(table(spark, sf_dir, "documents"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(table(spark, sf_dir, "documents"))
 
@@ -60,6 +70,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_line_dedup": op6_line_dedup,
     "op7_pfair_mixing": op7_pfair_mixing,
+    "op8_embedding_near_dedup": op8_embedding_near_dedup,
+    "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_secret_scan": op10_secret_scan,
 }
 ORACLE_SQL: dict[str, str] = {
