@@ -12,6 +12,7 @@ from leafwork.llm.decontaminate import contamination
 from leafwork.llm.embedding_dedup import near_vectors
 from leafwork.llm.line_dedup import dedup_lines
 from leafwork.llm.mixing import mix
+from leafwork.llm.quality import classify
 from leafwork.llm.secrets import secret_spans
 from leafwork.llm.sharding import shard
 from leafwork.llm.simhash import near_duplicates
@@ -37,6 +38,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", F.round("p_quality", 6).alias("p_quality"), F.round("p_toxic", 6).alias("p_toxic"), "kept")
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -67,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_ring_sharding": op2_ring_sharding,
     "op3_token_counts": op3_token_counts,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_line_dedup": op6_line_dedup,
     "op7_pfair_mixing": op7_pfair_mixing,
