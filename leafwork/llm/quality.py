@@ -26,17 +26,19 @@ SAMPLE = 20_000
 BUCKETS = 1 << 18
 #: Training texts that must show a feature before it gets a weight.
 LEAST_TEXTS = 20
-EPOCHS = 6
+EPOCHS = 8
 EM_ROUNDS = 200
 #: How often a given label is right where it is given; the other labellers' accuracies are estimated.
 TRUST = 0.995
+#: A text goes from this probability of toxicity on: to miss one costs more than to lose one.
+TOXIC_LIMIT = 0.1
 #: Beginnings of words, in characters, that are features beside the words.
 STEMS = (3, 4, 5, 6)
 #: Fixed: words of insult, in two lists that vote apart.
 INSULTS = [{"idiot", "moron", "stupid", "clown", "scum", "imbecile", "dumb", "jerk"}, {"trash", "loser", "pathetic", "worthless", "disgusting", "garbage", "vermin", "filth"}]
 #: Fixed: frequent words of the insults' language. A text where they are rarer than ENGLISH isn't in it.
 COMMON = {"the", "of", "and", "to", "in", "is", "that", "it", "a", "for", "was", "with"}
-ENGLISH = 0.03
+ENGLISH = 0.15
 #: Fixed: the ASCII signs that mark up junk.
 SIGNS = "#$%&*|!~^<>{}[]@_="
 #: Shares above which a symptom counts.
@@ -199,7 +201,7 @@ def judged(batches: Iterator[pa.RecordBatch], scorer: object) -> Iterator[pa.Rec
 
 
 def score(docs: DataFrame, scorer: Scorer, text: str = "text") -> DataFrame:
-    """docs with (p_quality, p_toxic, kept): kept where quality is likelier than not and toxicity isn't.
+    """docs with (p_quality, p_toxic, kept): kept where p_quality is 0.5 at least and p_toxic under TOXIC_LIMIT.
 
     No shuffle. Null and empty texts have no features and get the scorer's bias. Columns of docs called like the
     added ones are replaced.
@@ -209,7 +211,7 @@ def score(docs: DataFrame, scorer: Scorer, text: str = "text") -> DataFrame:
     body = docs.select(F.lit(0).alias("_0"), F.col(text).alias("_text"), *kept)
     schema = ", ".join(["p_quality double", "p_toxic double", *[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept]])
     out = body.mapInArrow(partial(judged, scorer=shared), schema)
-    return out.select(*kept, "p_quality", "p_toxic", ((F.col("p_quality") >= 0.5) & (F.col("p_toxic") < 0.5)).alias("kept"))
+    return out.select(*kept, "p_quality", "p_toxic", ((F.col("p_quality") >= 0.5) & (F.col("p_toxic") < TOXIC_LIMIT)).alias("kept"))
 
 
 def classify(docs: DataFrame, labels: DataFrame | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
