@@ -186,6 +186,7 @@ def size_text(n: Column) -> Column:
     steps = [(1 << 30, "G"), (1 << 20, "M"), (1 << 10, "K")]
     out = None
     for unit, name in steps:
-        written = F.concat(F.format_string("%.1f", n / F.lit(float(unit))), F.lit(name))
+        tenths = F.floor((n * 10 + unit // 2) / F.lit(unit))  # whole numbers, so that halves go up everywhere
+        written = F.concat(F.format_string("%.1f", tenths / 10), F.lit(name))
         out = F.when(n >= unit, written) if out is None else out.when(n >= unit, written)
     return out.otherwise(F.concat(n.cast("string"), F.lit("B")))

@@ -7,14 +7,21 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Ligatures and what they stand for.
 LIGATURES = {
-    "Ꜳ": "AA", "ꜳ": "aa", "Æ": "AE", "æ": "ae", "Ꜵ": "AO", "ꜵ": "ao", "Ꜷ": "AU", "ꜷ": "au", "Ꜹ": "AV", "ꜹ": "av", "Ꜽ": "AY", "ꜽ": "ay",
-    "ﬀ": "ff", "ﬃ": "ffi", "ﬄ": "ffl", "ﬁ": "fi", "ﬂ": "fl", "ﬆ": "st", "ﬅ": "ft", "Œ": "OE", "œ": "oe", "Ꝏ": "OO", "ꝏ": "oo", "Ꝡ": "VY", "ꝡ": "vy",
+    0x00C6: "AE", 0x00E6: "ae", 0x0132: "IJ", 0x0133: "ij", 0x0152: "OE", 0x0153: "oe", 0x1D6B: "ue",
+    0xA732: "AA", 0xA733: "aa", 0xA734: "AO", 0xA735: "ao", 0xA736: "AU", 0xA737: "au", 0xA738: "AV",
+    0xA739: "av", 0xA73C: "AY", 0xA73D: "ay", 0xAB63: "uo", 0xFB00: "ff", 0xFB01: "fi", 0xFB02: "fl",
+    0xFB03: "ffi", 0xFB04: "ffl", 0xFB05: "ft", 0xFB06: "st",
 }
 #: Look-alike code points and the one that each counts as.
-SYNONYMS = {" ": " ", "­": "-", "‐": "-", "‑": "-", "‒": "-", "–": "-", "−": "-", "µ": "μ", "Ω": "Ω", "∆": "Δ", "Å": "Å", "∕": "/", "⁄": "/", "∙": "·", "⋅": "·", "∼": "~", "∗": "*"}
+SYNONYMS = {
+    0x039C: 0x004D, 0x03BC: 0x00B5, 0x00A0: 0x0020, 0x2003: 0x0020, 0x2009: 0x0020, 0x2010: 0x002D,
+    0x2011: 0x002D, 0x2013: 0x002D, 0x2014: 0x002D, 0x2212: 0x002D, 0x204E: 0x002A, 0x2206: 0x0394,
+    0x2219: 0x00B7, 0x0424: 0x03A6, 0x03D5: 0x03C6, 0x2126: 0x03A9, 0x037E: 0x003B,
+}
 #: Fixed: white space beyond what \s knows.
 SPACES = "[\\t\\n\\x0B\\f\\r \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
 
@@ -36,12 +43,12 @@ def is_space(char: Column) -> Column:
 
 def split_ligatures(text: Column) -> Column:
     for one, many in LIGATURES.items():
-        text = F.replace(text, F.lit(one), F.lit(many))
+        text = F.replace(text, F.lit(chr(one)), F.lit(many))
     return text
 
 
 def fold_synonyms(text: Column) -> Column:
-    return F.translate(text, "".join(SYNONYMS), "".join(SYNONYMS.values()))
+    return F.translate(text, "".join(map(chr, SYNONYMS)), "".join(map(chr, SYNONYMS.values())))
 
 
 def fold_accents(text: Column) -> Column:
@@ -66,7 +73,7 @@ def utf16_units(text: Column) -> Column:
 
 
 def escape_html(text: Column) -> Column:
-    for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), (" ", "&#160;")):
+    for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), (chr(160), "&#160;")):
         text = F.replace(text, F.lit(char), F.lit(name))
     return text
 
@@ -102,13 +109,13 @@ def first_value(dn: Column, key: str) -> Column:
     return F.get(F.filter(dn, lambda x: x["key"] == key), 0)["value"]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def compatible(text: pd.Series) -> pd.Series:
     """NFKC form."""
     return text.map(lambda s: unicodedata.normalize("NFKC", s), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def to_ascii(text: pd.Series) -> pd.Series:
     """Seven-bit form: compatibility decomposition without marks; what has none becomes U+001F."""
 
@@ -119,7 +126,7 @@ def to_ascii(text: pd.Series) -> pd.Series:
     return text.map(fold, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def visual_order(text: pd.Series) -> pd.Series:
     """Runs of right-to-left characters reversed, marks after their bases."""
 
