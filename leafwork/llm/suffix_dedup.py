@@ -24,8 +24,10 @@ LENGTH = 400
 GRAM = 16
 #: Windows of one segment, and of a text that are hashed at once; longer ones are cut.
 WINDOWS = 1 << 16
-#: Bytes of a hash's distinct segments that one suffix array takes; those of more go by window digests.
+#: Bytes of a hash's distinct segments that one suffix array takes; larger groups go by digests of cores.
 GROUP_BYTES = 256 << 10
+#: Widths of the cells of windows whose cores are compared, one after the other.
+CELLS = (32, 4, 1)
 #: Bytes of neighbouring groups that share a suffix array.
 ARRAY_BYTES = 1 << 20
 
@@ -227,15 +229,57 @@ def by_suffix_array(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[
         yield runs(keys, repeated_windows(texts, length))
 
 
-def digests(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """(route, s1, s2, low, h1, h2) of every window of the pieces, h1 and h2 its 128-bit digest."""
+def cores(batches: Iterator[pa.RecordBatch], length: int, width: int) -> Iterator[pa.RecordBatch]:
+    """(route, s1, s2, low, n, c1, c2, x1, x2) of the parts of pieces (route, s1, s2, bytes, lows, ns).
+
+    A part is a run of the given windows whose distances to the next gram of the route's hash fall in one cell of
+    `width`. c1, c2 digest the cell and its core, the bytes that all windows of that cell share; x1, x2 digest the
+    part's windows themselves.
+    """
     for batch in batches:
+        rows, digests = [], []
         for i in range(batch.num_rows):
-            text = batch.column(3)[i].as_py()
-            n = len(text) - length + 1
-            h = np.frombuffer(b"".join([xxhash.xxh3_128_digest(text[j : j + length]) for j in range(n)]), np.int64).reshape(-1, 2)
-            row = batch.slice(i, 1).take(pa.array(np.zeros(n, np.int32)))
-            yield pa.RecordBatch.from_arrays([*row.columns[:3], pa.array(np.arange(n, dtype=np.int32)), pa.array(h[:, 0]), pa.array(h[:, 1])], names=["route", "s1", "s2", "low", "h1", "h2"])
+            route, text = batch.column(0)[i].as_py(), batch.column(3)[i].as_py()
+            h = gram_hashes(np.frombuffer(text, np.uint8)).view(np.int64)
+            spots = np.flatnonzero(h == route)
+            lows, ns = batch.column(4)[i].values.to_numpy(), batch.column(5)[i].values.to_numpy()
+            start = np.repeat(lows, ns) + np.arange(ns.sum()) - np.repeat(np.cumsum(ns) - ns, ns)
+            spot = spots[np.searchsorted(spots, start)]
+            cell = (spot - start) // width
+            first = np.flatnonzero(np.r_[True, (np.diff(start) != 1) | (np.diff(spot) != 0) | (np.diff(cell) != 0)])
+            for j, n in zip(first.tolist(), np.diff(np.r_[first, len(start)]).tolist(), strict=True):
+                low, edge, c = int(start[j]), int(spot[j] - cell[j] * width), int(cell[j])
+                core = text[edge : edge - width + 1 + length]
+                digests.append(xxhash.xxh3_128_digest(core, seed=c) + xxhash.xxh3_128_digest(text[low : low + n - 1 + length]))
+                rows.append((i, low, n))
+            if rows and (len(rows) >= 10_000 or i + 1 == batch.num_rows):
+                of, low, n = (np.array(x, np.int32) for x in zip(*rows, strict=True))
+                d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 4)
+                keys = [batch.column(k).take(pa.array(of)) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(low), pa.array(n), *[pa.array(d[:, k]) for k in range(4)]], names=["route", "s1", "s2", "low", "n", "c1", "c2", "x1", "x2"])
+                rows, digests = [], []
+
+
+def by_cores(cuts: DataFrame, length: int) -> DataFrame:
+    """Repeated windows (route, s1, s2, low, n) of the pieces of groups too large for one suffix array.
+
+    Equal windows have the gram of their hash at the same distance, so also equal cores. Parts whose core is met
+    once hold nothing repeated; parts that are all equal are repeated as a whole; the rest goes on with smaller
+    cells, down to single windows. Counts are pre-aggregated, so no task sees a group.
+    """
+    first = cuts.select("route", "s1", "s2", "bytes", F.array(F.lit(0)).alias("lows"), F.array(F.octet_length("bytes") - length + 1).alias("ns"))
+    out = None
+    for width in CELLS:
+        kind = "route bigint, s1 bigint, s2 bigint, low int, n int, c1 bigint, c2 bigint, x1 bigint, x2 bigint"
+        rows = cut(first.mapInArrow(partial(cores, length=length, width=width), kind))
+        met = rows.groupBy("route", "c1", "c2").agg(F.count(F.lit(1)).alias("c"), *[f(x).alias(f"{x}_{f.__name__}") for x in ("x1", "x2") for f in (F.min, F.max)]).where("c > 1")
+        met = cut(met.select("route", "c1", "c2", ((F.col("x1_min") != F.col("x1_max")) | (F.col("x2_min") != F.col("x2_max"))).alias("varied")))
+        rows = rows.join(small(met), ["route", "c1", "c2"])
+        done = rows.where("not varied").select("route", "s1", "s2", "low", "n")
+        out = done if out is None else out.unionByName(done)
+        lists = rows.where("varied").groupBy("route", "s1", "s2").agg(F.array_sort(F.collect_list(F.struct("low", "n"))).alias("parts"))
+        first = cuts.join(cut(lists), ["route", "s1", "s2"]).select("route", "s1", "s2", "bytes", F.col("parts.low").alias("lows"), F.col("parts.n").alias("ns"))
+    return out
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, text: str = "text") -> DataFrame:
@@ -256,9 +300,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, text: str = "text") -> DataFr
     cuts = cut(once.join(wanted, ["k1", "k2"]).select("text", "wanted").mapInArrow(partial(pieces, length=length), "route bigint, s1 bigint, s2 bigint, hot boolean, bytes binary"))
     few = cuts.where("not hot").select("route", "s1", "s2", "bytes").repartition("route").sortWithinPartitions("route", "s1", "s2")
     marked = few.mapInArrow(partial(by_suffix_array, length=length), "route bigint, s1 bigint, s2 bigint, low int, n int")
-    many = cuts.where("hot").select("route", "s1", "s2", "bytes").mapInArrow(partial(digests, length=length), "route bigint, s1 bigint, s2 bigint, low int, h1 bigint, h2 bigint")
-    twice = cut(many.groupBy("route", "h1", "h2").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"))
-    marked = marked.unionByName(many.join(small(twice), ["route", "h1", "h2"], "left_semi").select("route", "s1", "s2", "low", F.lit(1).alias("n")))
+    many = cuts.where("hot").select("route", "s1", "s2", "bytes").dropDuplicates(["route", "s1", "s2"])
+    marked = marked.unionByName(by_cores(many, length))
     marked = marked.groupBy("route", "s1", "s2").agg(F.collect_list(F.struct("low", "n")).alias("parts"))
     whole = F.array(F.struct(F.lit(0).alias("low"), F.col("n")))
     marks = distinct.select("route", "s1", "s2", "c", "n").join(cut(marked), ["route", "s1", "s2"], "left")
