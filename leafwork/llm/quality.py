@@ -130,14 +130,15 @@ def expectation_maximisation(patterns: list[str], counts: np.ndarray, trusted: i
     return post, np.stack(rate)
 
 
-def train(features: list[list[int]], target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Logistic weights (AdaGrad) for soft targets of two questions, in a fixed random order."""
+def train(flat: np.ndarray, ends: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Logistic weights (AdaGrad) for soft targets of two questions, in a fixed random order.
+
+    flat: the feature buckets of one text after the other; ends: where each text's end.
+    """
     weights, bias = np.zeros((BUCKETS, 2)), np.zeros(2)
     grown, grown_bias = np.full((BUCKETS, 2), 1e-2), np.full(2, 1e-2)
-    texts = np.zeros(BUCKETS, np.int64)
-    for f in features:
-        texts[f] += 1
-    kept = [np.array([b for b in f if texts[b] >= LEAST_TEXTS], np.int64) for f in features]
+    often = np.bincount(flat, minlength=BUCKETS) >= LEAST_TEXTS
+    kept = [f[often[f]] for f in np.split(flat, ends[:-1])] if len(ends) else []
     order = np.random.default_rng(0)
     for _ in range(EPOCHS):
         for i in order.permutation(len(kept)):
@@ -186,9 +187,11 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, text: str = "text", ke
             rates[name] = {side: dict(zip("+-0", rate[i, j, :3].round(4).tolist(), strict=True)) for i, side in enumerate(("positive", "negative"))}
     share = min(1.0, sample / max(total if told is None else told.count(), 1))
     picked = (texts if told is None else texts.join(told.select("key"), "key", "left_semi")).where((F.xxhash64(F.lit("sample"), "key") / 2.0**64 + 0.5) <= share)
-    rows = with_labels(picked.mapInArrow(partial(seen, with_features=True), f"key {kind}, votes string, features array<int>")).select("features", "q", "t", "key").collect()
-    rows.sort(key=lambda r: (str(r["key"]), r["features"]))  # so that the order of tasks doesn't matter
-    weights, bias = train([r["features"] for r in rows], np.array([[posterior[0][r["q"]], posterior[1][r["t"]]] for r in rows]).reshape(-1, 2))
+    rows = with_labels(picked.mapInArrow(partial(seen, with_features=True), f"key {kind}, votes string, features array<int>")).select("key", "q", "t", "features").toArrow().combine_chunks()
+    rows = rows.take(np.argsort(rows["key"].cast("string").to_numpy(zero_copy_only=False).astype(str), kind="stable"))  # the order of tasks doesn't matter
+    features = rows["features"].combine_chunks()
+    target = np.array([[posterior[0][q.as_py()], posterior[1][t.as_py()]] for q, t in zip(rows["q"], rows["t"], strict=True)]).reshape(-1, 2)
+    weights, bias = train(features.flatten().to_numpy(), np.cumsum(features.value_lengths().to_numpy()), target)
     return Scorer(weights, bias, rates)
 
 
