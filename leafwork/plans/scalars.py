@@ -159,7 +159,7 @@ ROMAN_SQL = " || ".join(DIGIT_SQL.format(a=a, b=b or a, c=c or a, p=p) for p, a,
 LETTERS_SQL = "repeat(chr((97 + ({n} - 1) % 26)::int), (({n} - 1) // 26 + 1)::int)"
 
 
-def _fold_sql() -> str:
+def fold_sql() -> str:
     table_ = {chr(c): text.unicodedata.normalize("NFD", chr(c))[0] for c in range(0xC0, 0x180) if len(text.unicodedata.normalize("NFD", chr(c))) > 1}
     return f"translate(text, '{''.join(table_)}', '{''.join(table_.values())}')"
 
@@ -169,7 +169,7 @@ ORACLE_SQL = {
     "text_class_counts": "SELECT doc_id, len(regexp_extract_all(text, '\\p{L}'))::bigint AS letters, len(regexp_extract_all(text, '\\p{N}'))::bigint AS numbers, len(regexp_extract_all(text, '\\p{Lu}'))::bigint AS capitals, len(regexp_extract_all(text, '[\\t\\n\\v\\f\\r \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]'))::bigint AS spaces, length(lower(text))::bigint AS n FROM documents",
     "text_ligature_round_trip": "SELECT doc_id, length(replace(replace(text, 'ffi', chr(64259)), 'ff', chr(64256)))::bigint AS short, md5(text) AS digest FROM documents",
     "text_synonym_fold": "SELECT conv_id, turn, md5(replace(replace(text, '.', chr(183)), 'M', 'M')) AS digest FROM conversations",
-    "text_accent_fold": f"SELECT conv_id, turn, lower({_fold_sql()}) AS folded FROM conversations",
+    "text_accent_fold": f"SELECT conv_id, turn, lower({fold_sql()}) AS folded FROM conversations",
     "text_html_escape": """SELECT page_id, md5(e) AS digest, length(e)::bigint AS n FROM (SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(160), '&#160;') AS e FROM pages)""",
     "text_encoded_lengths": "SELECT item_id, strlen(text)::bigint AS utf8, (length(text) + len(regexp_extract_all(text, '[\\x{10000}-\\x{10FFFF}]')))::bigint AS utf16, true AS same FROM benchmark",
     "text_number_parse": "SELECT doc_id, count(*)::bigint AS n, max(w::double) AS most FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[ \\n]')) AS w FROM documents) WHERE regexp_full_match(w, '\\s*[+-]?(\\d+\\.?\\d*|\\.\\d+)\\s*') GROUP BY doc_id",
