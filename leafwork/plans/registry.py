@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafwork.plans import documents, glyphs, layout, scalars
+from leafwork.plans import documents, glyphs, layout, scalars, streams
 
-MODULES = [layout, scalars, glyphs, documents]
+MODULES = [layout, scalars, glyphs, documents, streams]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}
