@@ -114,5 +114,6 @@ def contamination(docs: DataFrame, bench: DataFrame, text: str = "text", key: st
 def clean(docs: DataFrame, bench: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of docs whose text holds no benchmark window."""
     dirty = contamination(docs, bench, text, key).where("contaminated").select("k1", "k2").distinct()
-    k1, k2 = text_key(F.col(text))
-    return docs.withColumns({"_k1": k1, "_k2": k2}).join(small(cut(dirty)).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")), ["_k1", "_k2"], "left_anti").select(*docs.columns)
+    k1, k2 = text_key(docs[text])
+    gone = small(cut(dirty))
+    return docs.join(gone, (k1 == gone["k1"]) & (k2 == gone["k2"]), "left_anti")

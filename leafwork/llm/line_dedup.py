@@ -42,9 +42,11 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int
     covered = later.groupBy("key").agg(F.collect_set("at").alias("starts"))
     gone = F.array_distinct(F.flatten(F.transform("_starts", lambda s: F.sequence(s, s + n - 1))))
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    joined = docs.select(*kept).join(covered.select(F.col("key").alias("_key"), F.col("starts").alias("_starts")), F.col(key).eqNullSafe(F.col("_key")), "left")
-    joined = joined.withColumn("_lines", lines_of(F.col(text))).withColumn("_gone", F.filter(gone, lambda i: i < F.size("_lines")))
+    # the row travels as one column, so that its names meet none of those below
+    rows = docs.select(F.struct(*kept).alias("_row"), F.col(key).alias("_id"), F.col(text).alias("_text"))
+    joined = rows.join(covered.select(F.col("key").alias("_key"), F.col("starts").alias("_starts")), F.col("_id").eqNullSafe(F.col("_key")), "left")
+    joined = joined.withColumn("_lines", lines_of(F.col("_text"))).withColumn("_gone", F.filter(gone, lambda i: i < F.size("_lines")))
     left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
-    less = F.when(F.col("_starts").isNull(), F.col(text)).otherwise(F.array_join(F.transform(left, lambda i: F.get("_lines", i)), "\n"))
-    n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.size("_lines")).cast("long")
-    return joined.select(*[less.alias(c) if c == text else F.col(c) for c in kept], n_lines.alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))
+    less = F.when(F.col("_starts").isNull() | F.col("_text").isNull(), F.col("_text")).otherwise(F.array_join(F.transform(left, lambda i: F.get("_lines", i)), "\n"))
+    n_lines = F.when(F.col("_text").isNull(), 0).otherwise(F.size("_lines")).cast("long")
+    return joined.select(*[less.alias(c) if c == text else F.col("_row")[c].alias(c) for c in kept], n_lines.alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))

@@ -26,7 +26,8 @@ SAMPLE = 20_000
 BUCKETS = 1 << 18
 #: Training texts that must show a feature before it gets a weight.
 LEAST_TEXTS = 20
-EPOCHS = 8
+#: Training steps, of one text each: eight passes over SAMPLE texts, more over fewer.
+STEPS = 160_000
 EM_ROUNDS = 200
 #: How often a given label is right where it is given; the other labellers' accuracies are estimated.
 TRUST = 0.995
@@ -140,7 +141,7 @@ def train(flat: np.ndarray, ends: np.ndarray, target: np.ndarray) -> tuple[np.nd
     often = np.bincount(flat, minlength=BUCKETS) >= LEAST_TEXTS
     kept = [f[often[f]] for f in np.split(flat, ends[:-1])] if len(ends) else []
     order = np.random.default_rng(0)
-    for _ in range(EPOCHS):
+    for _ in range(max(1, STEPS // max(len(kept), 1))):
         for i in order.permutation(len(kept)):
             f = kept[i]
             error = 1 / (1 + np.exp(-np.clip(bias + weights[f].sum(axis=0), -30, 30))) - target[i]

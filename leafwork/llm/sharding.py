@@ -28,7 +28,8 @@ PART_ROWS = 100_000
 
 def ring(spark: SparkSession, shards: int, points: int) -> list[tuple[int, int]]:
     """(position, shard) of every point, clockwise."""
-    rows = spark.range(shards * points).select(F.xxhash64(F.lit("point"), "id").alias("at"), (F.col("id") % shards).cast("int").alias("shard"))
+    # a shard's points are the same however many shards there are
+    rows = spark.range(shards * points).select(F.xxhash64(F.lit("point"), "id").alias("at"), F.floor(F.col("id") / points).cast("int").alias("shard"))
     return sorted((r.at, r.shard) for r in rows.collect())
 
 
@@ -68,7 +69,10 @@ def shard(docs: DataFrame, shards: int = SHARDS, points: int = POINTS, text: str
     spark = docs.sparkSession
     nodes = ring(spark, shards, points)
     full = F.coalesce(F.col(text), F.lit(""))
-    placed = docs.withColumns({"size": (F.octet_length(full) + 1).cast("long"), "text_crc32": F.crc32(full)}).withColumn("_at", F.xxhash64(F.lit("key"), F.col(key), full))
+    # the row travels as one column, so that its names meet none of those below
+    kept = [c for c in docs.columns if c not in ("size", "text_crc32", "shard", "slot", "home")]
+    row = F.struct(*kept) if kept else F.struct(F.lit(0).alias("none"))
+    placed = docs.select(row.alias("_row"), F.col(key).alias("_key"), (F.octet_length(full) + 1).cast("long").alias("size"), F.crc32(full).alias("text_crc32"), F.xxhash64(F.lit("key"), F.col(key), full).alias("_at"))
     total = docs.count()
     bits = max(PART_BITS, (total // PART_ROWS).bit_length())
     cell = F.shiftright("_at", 64 - CELL_BITS).cast("int")
@@ -92,9 +96,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, points: int = POINTS, text: str
     plan = [dict(zip(("_arc", "_low", "_high", "shard", "_first"), x, strict=True)) for x in walk(counts, [s for _, s in nodes], room)]
     plan_rows = literal(spark, plan, "_arc:int,_low:bigint,_high:bigint,shard:int,_first:bigint")
     before = sizes.withColumn("_before", F.sum("n").over(Window.partitionBy("_arc").orderBy("_part")) - F.col("n")).drop("n")
-    rank = F.row_number().over(Window.partitionBy("_arc", "_part").orderBy("_at", key, "size", "text_crc32")) - 1
-    ranked = placed.drop("shard", "slot", "home").withColumn("_rank", rank).join(small(before), ["_arc", "_part"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
+    rank = F.row_number().over(Window.partitionBy("_arc", "_part").orderBy("_at", "_key", "size", "text_crc32")) - 1
+    ranked = placed.withColumn("_rank", rank).join(small(before), ["_arc", "_part"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
     homes = literal(spark, [{"_arc": a, "home": s} for a, (_, s) in enumerate(nodes)], "_arc:int,home:int")
     taken = ranked.join(F.broadcast(homes), "_arc").join(F.broadcast(plan_rows), "_arc").where("_rank >= _low and _rank < _high")
-    kept = [c for c in docs.columns if c not in ("size", "text_crc32", "shard", "slot", "home")]
-    return taken.select(*kept, "size", "text_crc32", "shard", (F.col("_first") + F.col("_rank") - F.col("_low")).alias("slot"), "home")
+    return taken.select(*[F.col("_row")[c].alias(c) for c in kept], "size", "text_crc32", "shard", (F.col("_first") + F.col("_rank") - F.col("_low")).alias("slot"), "home")
