@@ -82,6 +82,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secret_scan": op10_secret_scan,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op8_embedding_near_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, embedding::double[] AS e FROM embeddings
+        ), links AS (
+            SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9
+        ), reach AS (
+            SELECT vec_id AS x, vec_id AS y FROM v
+            UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y
+        ), counted AS (SELECT x, count(*)::bigint AS n FROM links GROUP BY x)
+        SELECT r.x AS vec_id, coalesce(max(n), 0)::bigint AS n_links, min(y) AS component_id, r.x = min(y) AS kept
+        FROM reach r LEFT JOIN counted c ON c.x = r.x GROUP BY r.x
+    """,
     "op6_line_dedup": """
         WITH lines AS (
             SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents

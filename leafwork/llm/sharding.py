@@ -13,7 +13,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leafwork.llm.common import small
+from leafwork.llm.common import cut, small
 
 SHARDS = 16
 #: Points of each shard on the ring.
@@ -88,7 +88,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, points: int = POINTS, text: str
     first = F.get(F.filter("inner", lambda p: p["at"] >= F.col("_at")), 0)["arc"]
     placed = placed.withColumn("_cell", cell).join(F.broadcast(cells), "_cell").withColumn("_arc", F.coalesce(first, F.col("next"))).drop("inner", "next", "_cell")
     placed = placed.withColumn("_part", F.shiftright("_at", 64 - bits))
-    sizes = placed.groupBy("_arc", "_part").agg(F.count(F.lit(1)).alias("n"))
+    sizes = cut(placed.groupBy("_arc", "_part").agg(F.count(F.lit(1)).alias("n")))
     counts = [0] * len(nodes)
     for r in sizes.groupBy("_arc").agg(F.sum("n").alias("n")).collect():
         counts[r["_arc"]] = r["n"]
