@@ -21,20 +21,21 @@ def outline_tree(headings: DataFrame, doc: str = "page_id") -> DataFrame:
 
 
 def walk_down(nodes: DataFrame, node: str, parent: str, doc: str, name: str, depth: int = DEPTH) -> DataFrame:
-    """nodes with (depth, path): names from the root down, joined by ' / '. A recursive query of joins by (doc, parent).
+    """nodes with (depth, path): names from the root down, joined by ' / '. One join by (doc, parent) for each level.
 
-    Nodes in a cycle or below a missing parent are not reached; depth bounds the walk.
+    A recursive query would stop at its limit of rows; levels are few, whatever the number of trees. Nodes in a
+    cycle or below a missing parent are not reached; depth bounds the walk.
     """
-    spark = nodes.sparkSession
-    narrow = nodes.select(F.col(doc).alias("d"), F.col(node).cast("string").alias("n"), F.col(parent).cast("string").alias("p"), F.col(name).alias("t"))
-    return spark.sql(
-        f"""WITH RECURSIVE walk(d, n, depth, path) AS (
-                SELECT d, n, 0, t FROM {{narrow}} WHERE p IS NULL
-                UNION ALL
-                SELECT c.d, c.n, w.depth + 1, concat(w.path, ' / ', c.t) FROM walk w JOIN {{narrow}} c ON c.d = w.d AND c.p = w.n WHERE w.depth < {depth}
-            ) SELECT d, n, depth, path FROM walk""",
-        narrow=narrow,
-    ).toDF(doc, node, "depth", "path")
+    narrow = nodes.select(F.col(doc).alias("d"), F.col(node).alias("n"), F.col(parent).alias("p"), F.col(name).alias("t"))
+    level = narrow.where("p is null").select("d", "n", F.lit(0).alias("depth"), F.col("t").alias("path"))
+    out, below = level, narrow.where("p is not null")
+    for _ in range(depth):
+        up = level.select("d", F.col("n").alias("p"), "depth", "path")
+        level = below.join(up, ["d", "p"]).select("d", "n", (F.col("depth") + 1).alias("depth"), F.concat("path", F.lit(" / "), "t").alias("path")).persist()
+        if level.isEmpty():
+            break
+        out = out.unionByName(level)
+    return out.toDF(doc, node, "depth", "path")
 
 
 def inherited(nodes: DataFrame, node: str, parent: str, value: str, depth: int = 4) -> DataFrame:

@@ -25,8 +25,7 @@ def outline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def outline_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = documents.walk_down(outline(spark, sf_dir), "pos", "parent", "page_id", "title")
-    return found.select("page_id", F.col("pos").cast("int").alias("pos"), "depth", "path")
+    return documents.walk_down(outline(spark, sf_dir), "pos", "parent", "page_id", "title")
 
 
 def fonts(spark: SparkSession, sf_dir: str) -> DataFrame:
