@@ -8,6 +8,7 @@ features, which judges all texts.
 
 from __future__ import annotations
 
+import re
 import string
 import zlib
 from collections.abc import Iterator
@@ -44,18 +45,20 @@ ENGLISH = 0.15
 SIGNS = "#$%&*|!~^<>{}[]@_="
 #: Shares above which a symptom counts.
 LIMITS = [0.06, 0.4, 0.15, 0.15, 0.2]
+#: Words that end in a sign twice.
+MARKED = re.compile(r"\S([!-/:-@\[-`{-~])\1(?=\s|$)")
 QUALITY = ["symbols", "shouting", "repetition", "tables", "marked_words", "prose"]
 TOXIC = ["insults_a", "insults_b"]
 
 
-def votes_and_features(text: str | None, cache: dict[str, list[int]]) -> tuple[str, list[int]]:
-    """The votes of all labellers, a character of +-0. each, and the feature buckets of a text."""
+def looked_at(text: str | None) -> tuple[str, set[str], list[float]]:
+    """(votes of all labellers, a character of +-0. each; distinct words; shares of the symptoms) of a text."""
     text = text or ""
-    words = text.lower().split()
+    low = text.lower()
+    words = low.split()
     n = len(words)
     if not n:
-        return "." * len(QUALITY + TOXIC), []
-    distinct = {w.strip(string.punctuation) for w in set(words)}
+        return "." * len(QUALITY + TOXIC), set(), []
     raw = np.frombuffer(text.encode("latin-1", "replace"), np.uint8)
     upper = int(np.count_nonzero((raw >= 65) & (raw <= 90)))
     letters = upper + int(np.count_nonzero((raw >= 97) & (raw <= 122)))
@@ -64,33 +67,51 @@ def votes_and_features(text: str | None, cache: dict[str, list[int]]) -> tuple[s
         upper / max(letters, 1),
         sum(map(eq, words, words[1:])) / n,
         words.count("|") / n,
-        sum(1 for w in words if len(w) > 2 and w[-1] == w[-2] and w[-1] in string.punctuation) / n,
+        len(MARKED.findall(low)) / n,
     ]
     # each sees one symptom, so where it sees none it has nothing to say; the last sees ordinary prose
     votes = ["-" if x > limit else "0" for x, limit in zip(shares, LIMITS, strict=True)]
     votes.append("+" if all(2 * x < limit for x, limit in zip(shares, LIMITS, strict=True)) and n >= 5 else "0")
-    english = sum(map(words.count, COMMON)) >= ENGLISH * n
-    votes += ["+" if distinct & some else "0" if english else "." for some in INSULTS]
-    shown = [f"share {i} {min(int(x * 20), 10)}" for i, x in enumerate(shares)] + [f"vote {i} {v}" for i, v in enumerate(votes)]
-    out = set()
-    for w in [*distinct, *shown]:
+    distinct = set(words)
+    english = sum(map(COMMON.__contains__, words)) >= ENGLISH * n
+    for some in INSULTS:
+        hit = any(map(low.__contains__, some)) and any(w.strip(string.punctuation) in some for w in distinct)
+        votes.append("+" if hit else "0" if english else ".")
+    return "".join(votes), distinct, shares
+
+
+def features_of(text: str | None, cache: dict[str, list[int]]) -> tuple[str, np.ndarray]:
+    """(votes, feature buckets) of a text: its words, their beginnings, the symptoms' shares and the votes."""
+    votes, distinct, shares = looked_at(text)
+    out: set[int] = set()
+    for w in distinct:
         b = cache.get(w)
         if b is None:
-            stems = [f"{w[:k]}-" for k in STEMS if len(w) > k] if w in distinct else []
-            b = [zlib.crc32(x.encode("utf-8", "surrogatepass")) % BUCKETS for x in [w, *stems]]
+            bare = w.strip(string.punctuation)
+            b = [zlib.crc32(x.encode("utf-8", "surrogatepass")) % BUCKETS for x in [bare, *[f"{bare[:k]}-" for k in STEMS if len(bare) > k]]]
             if len(cache) >= 100_000:
                 cache.clear()
             cache[w] = b
         out.update(b)
-    return "".join(votes), sorted(out)
+    shown = [f"share {i} {min(int(x * 20), 10)}" for i, x in enumerate(shares)] + [f"vote {i} {v}" for i, v in enumerate(votes)]
+    out.update(zlib.crc32(x.encode()) % BUCKETS for x in shown if distinct)
+    return votes, np.fromiter(out, np.int32, len(out))
 
 
-def seen(batches: Iterator[pa.RecordBatch], with_features: bool) -> Iterator[pa.RecordBatch]:
+def voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, votes) of (key, text)."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([looked_at(x.as_py())[0] for x in batch.column(1)], pa.string())], names=["key", "votes"])
+
+
+def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, votes, features) of (key, text)."""
     cache: dict[str, list[int]] = {}
     for batch in batches:
-        rows = [votes_and_features(x.as_py(), cache) for x in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v for v, _ in rows], pa.string()), pa.array([f if with_features else None for _, f in rows], pa.list_(pa.int32()))], names=["key", "votes", "features"])
+        for i in range(0, batch.num_rows, 512):
+            some = batch.slice(i, 512)
+            rows = [features_of(x.as_py(), cache) for x in some.column(1)]
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array([v for v, _ in rows], pa.string()), pa.array([f for _, f in rows], pa.list_(pa.int32()))], names=["key", "votes", "features"])
 
 
 @dataclass
@@ -101,7 +122,7 @@ class Scorer:
     bias: np.ndarray
     accuracies: dict[str, dict[str, dict[str, float]]] = field(default_factory=dict)
 
-    def __call__(self, features: list[int]) -> np.ndarray:
+    def __call__(self, features: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.bias + self.weights[features].sum(axis=0))))
 
 
@@ -131,15 +152,14 @@ def expectation_maximisation(patterns: list[str], counts: np.ndarray, trusted: i
     return post, np.stack(rate)
 
 
-def train(flat: np.ndarray, ends: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Logistic weights (AdaGrad) for soft targets of two questions, in a fixed random order.
-
-    flat: the feature buckets of one text after the other; ends: where each text's end.
-    """
+def train(features: list[np.ndarray], target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Logistic weights (AdaGrad) for soft targets of two questions, in a fixed random order."""
     weights, bias = np.zeros((BUCKETS, 2)), np.zeros(2)
     grown, grown_bias = np.full((BUCKETS, 2), 1e-2), np.full(2, 1e-2)
-    often = np.bincount(flat, minlength=BUCKETS) >= LEAST_TEXTS
-    kept = [f[often[f]] for f in np.split(flat, ends[:-1])] if len(ends) else []
+    texts = np.zeros(BUCKETS, np.int64)
+    for f in features:
+        texts[f] += 1  # a text has each of its features once
+    kept = [f[texts[f] >= LEAST_TEXTS] for f in features]
     order = np.random.default_rng(0)
     for _ in range(max(1, STEPS // max(len(kept), 1))):
         for i in order.permutation(len(kept)):
@@ -161,7 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, text: str = "text", ke
     """
     texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = docs.schema[key].dataType.simpleString()
-    votes = texts.mapInArrow(partial(seen, with_features=False), f"key {kind}, votes string, features array<int>").drop("features")
+    votes = texts.mapInArrow(voted, f"key {kind}, votes string")
     total = docs.count()
     if not total:
         return Scorer(np.zeros((BUCKETS, 2)), np.array([30.0, -30.0]))
@@ -188,11 +208,11 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, text: str = "text", ke
             rates[name] = {side: dict(zip("+-0", rate[i, j, :3].round(4).tolist(), strict=True)) for i, side in enumerate(("positive", "negative"))}
     share = min(1.0, sample / max(total if told is None else told.count(), 1))
     picked = (texts if told is None else texts.join(told.select("key"), "key", "left_semi")).where((F.xxhash64(F.lit("sample"), "key") / 2.0**64 + 0.5) <= share)
-    rows = with_labels(picked.mapInArrow(partial(seen, with_features=True), f"key {kind}, votes string, features array<int>")).select("key", "q", "t", "features").toArrow().combine_chunks()
-    rows = rows.take(np.argsort(rows["key"].cast("string").to_numpy(zero_copy_only=False).astype(str), kind="stable"))  # the order of tasks doesn't matter
-    features = rows["features"].combine_chunks()
-    target = np.array([[posterior[0][q.as_py()], posterior[1][t.as_py()]] for q, t in zip(rows["q"], rows["t"], strict=True)]).reshape(-1, 2)
-    weights, bias = train(features.flatten().to_numpy(), np.cumsum(features.value_lengths().to_numpy()), target)
+    rows = with_labels(picked.mapInArrow(seen, f"key {kind}, votes string, features array<int>")).select("key", "q", "t", "features").toArrow()
+    features = [c.values.to_numpy()[i:j] for c in rows["features"].chunks for i, j in zip(c.offsets.to_numpy()[:-1], c.offsets.to_numpy()[1:], strict=True)]
+    target = np.array([[posterior[0][q], posterior[1][t]] for q, t in zip(rows["q"].to_pylist(), rows["t"].to_pylist(), strict=True)]).reshape(-1, 2)
+    order = sorted(range(len(features)), key=list(map(str, rows["key"].to_pylist())).__getitem__)  # that of tasks doesn't matter
+    weights, bias = train([features[i] for i in order], target[order])
     return Scorer(weights, bias, rates)
 
 
@@ -200,7 +220,7 @@ def judged(batches: Iterator[pa.RecordBatch], scorer: object) -> Iterator[pa.Rec
     cache: dict[str, list[int]] = {}
     score = scorer.value
     for batch in batches:
-        p = np.array([score(votes_and_features(x.as_py(), cache)[1]) for x in batch.column(1)]).reshape(-1, 2)
+        p = np.array([score(features_of(x.as_py(), cache)[1]) for x in batch.column(1)]).reshape(-1, 2)
         yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1]), *batch.columns[2:]], names=["p_quality", "p_toxic", *batch.schema.names[2:]])
 
 
