@@ -119,3 +119,33 @@ def reachable(edges: DataFrame, roots: DataFrame, rounds: int = DEPTH) -> DataFr
 
 def profile(events: DataFrame, name: str, value: str) -> DataFrame:
     return events.groupBy(name).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(value), 2).alias("total"), F.min(value).alias("least"), F.max(value).alias("most"))
+
+
+def outline_insert(outline: DataFrame, doc: int, parent: int | None, pos: int, node: int, title: str) -> DataFrame:
+    """outline (doc_id, node, parent, pos, title) with an entry put at pos below parent; later siblings move by one."""
+    sibling = (F.col("doc_id") == doc) & F.col("parent").eqNullSafe(F.lit(parent)) & (F.col("pos") >= pos)
+    moved = outline.withColumn("pos", F.when(sibling, F.col("pos") + 1).otherwise(F.col("pos")))
+    row = outline.sparkSession.range(1).select(*[F.lit(v).cast(outline.schema[c].dataType).alias(c) for c, v in (("doc_id", doc), ("node", node), ("parent", parent), ("pos", pos), ("title", title))])
+    return moved.unionByName(row.select(*outline.columns))
+
+
+def outline_remove(outline: DataFrame, doc: int, node: int) -> DataFrame:
+    """outline without an entry and all below it; later siblings close the gap."""
+    mine = outline.where(F.col("doc_id") == doc)
+    below = reachable(mine.where("parent is not null").select(F.col("parent").alias("src"), F.col("node").alias("dst")), mine.where(F.col("node") == node).select("node"))
+    gone = below.select("node", F.lit(doc).cast(outline.schema["doc_id"].dataType).alias("doc_id"))
+    at = mine.where(F.col("node") == node).select("doc_id", F.col("parent").alias("_p"), F.col("pos").alias("_at"))
+    rest = outline.join(gone, ["doc_id", "node"], "left_anti").join(F.broadcast(at), "doc_id", "left")  # one row
+    later = F.col("parent").eqNullSafe(F.col("_p")) & (F.col("pos") > F.col("_at"))
+    return rest.withColumn("pos", F.when(later, F.col("pos") - 1).otherwise(F.col("pos"))).select(*outline.columns)
+
+
+def outline_retitle(outline: DataFrame, doc: int, node: int, title: str) -> DataFrame:
+    return outline.withColumn("title", F.when((F.col("doc_id") == doc) & (F.col("node") == node), title).otherwise(F.col("title")))
+
+
+def qualified_names(fields: DataFrame) -> DataFrame:
+    """(doc_id, node, name): form fields' names from the root down, joined by dots; fields without a name add nothing."""
+    named = fields.withColumn("title", F.coalesce("title", F.lit("")))
+    paths = walk_down(named, "node", "parent", "doc_id", "title")
+    return paths.select("doc_id", "node", F.array_join(F.filter(F.split("path", " / "), lambda p: p != ""), ".").alias("name"))

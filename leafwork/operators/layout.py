@@ -198,3 +198,40 @@ def reading_order(boxes: DataFrame) -> DataFrame:
     ranked = ranked.withColumn("column_no", F.sum("fresh").over(by_x) - 1)
     order = Window.partitionBy("doc_id", "page").orderBy("rank", "column_no", "y1", "x1", "box_id")
     return ranked.withColumn("reading_pos", F.row_number().over(order) - 1).drop("rank", "fresh")
+
+
+def align_baselines(words: DataFrame) -> DataFrame:
+    """words (doc_id, page, cluster_id, word_id, x1, y1, y2, baseline, font_size) with small baseline steps taken out.
+
+    In reading order, a word that overlaps the last line's box and is off its baseline by less than half its font
+    size moves there; a word below that box starts a new one. Each word depends on those before, so it runs by cluster.
+    """
+
+    def align(cluster: pd.DataFrame) -> pd.DataFrame:
+        cluster = cluster.sort_values(["baseline", "x1", "word_id"])
+        bottom, line, shift = -np.inf, -np.inf, []
+        for y1, y2, baseline, size in zip(cluster.y1, cluster.y2, cluster.baseline, cluster.font_size, strict=True):
+            if bottom <= y1:
+                bottom, line = y2, baseline
+                shift.append(0.0)
+            else:
+                shift.append(line - baseline if abs(line - baseline) < 0.5 * size else 0.0)
+        moved = np.array(shift)
+        return cluster.assign(y1=cluster.y1 + moved, y2=cluster.y2 + moved, baseline=cluster.baseline + moved)
+
+    return words.groupBy("doc_id", "page", "cluster_id").applyInPandas(align, words.schema)
+
+
+def merge_fragments(words: DataFrame, *keys: str) -> DataFrame:
+    """(keys, baseline, x1, x2, text): neighbours on a baseline at most 0.1 font sizes apart become one word, by pairs.
+
+    Pairs don't chain: of three such neighbours the first two merge and the third stays.
+    """
+    order = Window.partitionBy(*keys, "baseline").orderBy("x1", "x2", "text")
+    least = F.least("font_size", F.lag("font_size").over(order))
+    apart = F.coalesce(F.col("x1") - F.lag("x2").over(order) > WORD_SPACE * least, F.lit(True))
+    marked = words.withColumn("run", F.sum(apart.cast("int")).over(order))
+    inside = Window.partitionBy(*keys, "baseline", "run").orderBy("x1", "x2", "text")
+    paired = marked.withColumn("pair", F.floor((F.row_number().over(inside) - 1) / 2))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x1", "x2", "text"))), lambda s: s["text"]), "")
+    return paired.groupBy(*keys, "baseline", "run", "pair").agg(F.min("x1").alias("x1"), F.max("x2").alias("x2"), text.alias("text")).drop("run", "pair")

@@ -110,3 +110,24 @@ def test_sets(spark):
     assert documents.same_rows(a, a) and not documents.same_rows(a, a.distinct())
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (5, 6)], "src int, dst int")
     assert sorted(r.node for r in documents.reachable(edges, spark.createDataFrame([(1,)], "node int")).collect()) == [1, 2, 3]
+
+
+def test_fragments_merge_by_pairs(spark):
+    rows = [(1, 0.0, "ab", 0.0, 2.0, 1.0), (1, 0.0, "cd", 2.05, 4.0, 1.0), (1, 0.0, "ef", 4.05, 6.0, 1.0), (1, 0.0, "x", 9.0, 10.0, 1.0), (1, 0.0, "y", 10.05, 11.0, 1.0)]
+    df = spark.createDataFrame(rows, "doc_id int, baseline double, text string, x1 double, x2 double, font_size double")
+    assert [r.text for r in layout.merge_fragments(df, "doc_id").orderBy("x1").collect()] == ["abcd", "ef", "xy"]
+
+
+def test_baselines_snap(spark):
+    rows = [(1, 0, 1, 1, 0.0, 0.0, 10.0, 9.0, 10.0), (1, 0, 1, 2, 5.0, 1.0, 11.0, 11.0, 10.0), (1, 0, 1, 3, 0.0, 12.0, 22.0, 21.0, 10.0), (1, 0, 1, 4, 5.0, 17.0, 27.0, 27.0, 10.0)]
+    df = spark.createDataFrame(rows, "doc_id int, page int, cluster_id int, word_id int, x1 double, y1 double, y2 double, baseline double, font_size double")
+    assert [r.baseline for r in layout.align_baselines(df).orderBy("word_id").collect()] == [9.0, 9.0, 21.0, 27.0]
+
+
+def test_outline_edits(spark):
+    rows = [(1, 1, None, 0, "a"), (1, 2, None, 1, "b"), (1, 3, 1, 0, "c"), (1, 4, 3, 0, "d"), (2, 1, None, 0, "z")]
+    tree = spark.createDataFrame(rows, "doc_id int, node int, parent int, pos int, title string")
+    put = documents.outline_retitle(documents.outline_insert(tree, 1, None, 1, 9, "new"), 1, 4, "dd")
+    assert sorted((r.title, r.pos) for r in put.where("doc_id = 1").collect()) == [("a", 0), ("b", 2), ("c", 0), ("dd", 0), ("new", 1)]
+    assert sorted((r.doc_id, r.title, r.pos) for r in documents.outline_remove(tree, 1, 1).collect()) == [(1, "b", 0), (2, "z", 0)]
+    assert {r.name for r in documents.qualified_names(tree).collect()} == {"a", "b", "a.c", "a.c.d", "z"}
