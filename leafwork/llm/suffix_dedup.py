@@ -263,21 +263,24 @@ def cores(batches: Iterator[pa.RecordBatch], length: int, width: int) -> Iterato
 def by_cores(cuts: DataFrame, length: int) -> DataFrame:
     """Repeated windows (route, s1, s2, low, n) of the pieces of groups too large for one suffix array.
 
-    Equal windows have the gram of their hash at the same distance, so also equal cores. Parts whose core is met
-    once hold nothing repeated; parts that are all equal are repeated as a whole; the rest goes on with smaller
-    cells, down to single windows. Counts are pre-aggregated, so no task sees a group.
+    Equal windows have the gram of their hash at the same distance, so also equal cores. Parts that occur twice are
+    repeated as a whole; parts whose core no other part has hold nothing repeated. Where a core has parts that
+    differ, one of each goes on with smaller cells, down to single windows. Counts are pre-aggregated, so no task
+    sees a group.
     """
     first = cuts.select("route", "s1", "s2", "bytes", F.array(F.lit(0)).alias("lows"), F.array(F.octet_length("bytes") - length + 1).alias("ns"))
     out = None
     for width in CELLS:
         kind = "route bigint, s1 bigint, s2 bigint, low int, n int, c1 bigint, c2 bigint, x1 bigint, x2 bigint"
         rows = cut(first.mapInArrow(partial(cores, length=length, width=width), kind))
-        met = rows.groupBy("route", "c1", "c2").agg(F.count(F.lit(1)).alias("c"), *[f(x).alias(f"{x}_{f.__name__}") for x in ("x1", "x2") for f in (F.min, F.max)]).where("c > 1")
-        met = cut(met.select("route", "c1", "c2", ((F.col("x1_min") != F.col("x1_max")) | (F.col("x2_min") != F.col("x2_max"))).alias("varied")))
-        rows = rows.join(small(met), ["route", "c1", "c2"])
-        done = rows.where("not varied").select("route", "s1", "s2", "low", "n")
+        # one row for each distinct content of a core, with a part that has it; first() takes all columns from one row
+        each = rows.groupBy("route", "c1", "c2", "x1", "x2").agg(F.count(F.lit(1)).alias("c"), *[F.first(x).alias(x) for x in ("s1", "s2", "low", "n")])
+        each = cut(each)
+        met = each.groupBy("route", "c1", "c2").agg(F.count(F.lit(1)).alias("d")).where("d > 1")
+        twice = each.where("c > 1").select("route", "c1", "c2", "x1", "x2")
+        done = rows.join(small(cut(twice)), ["route", "c1", "c2", "x1", "x2"], "left_semi").select("route", "s1", "s2", "low", "n")
         out = done if out is None else out.unionByName(done)
-        lists = rows.where("varied").groupBy("route", "s1", "s2").agg(F.array_sort(F.collect_list(F.struct("low", "n"))).alias("parts"))
+        lists = each.join(small(cut(met)), ["route", "c1", "c2"], "left_semi").groupBy("route", "s1", "s2").agg(F.array_sort(F.collect_list(F.struct("low", "n"))).alias("parts"))
         first = cuts.join(cut(lists), ["route", "s1", "s2"]).select("route", "s1", "s2", "bytes", F.col("parts.low").alias("lows"), F.col("parts.n").alias("ns"))
     return out
 
