@@ -2,7 +2,7 @@
 
 The quality classifier drops what it rejects; of each group of near duplicates the document of the smallest id stays;
 documents that hold benchmark passages go; the rest is put in the order of a mixture by target weights; and every
-document gets its shard.
+document gets its shard, whose slots follow that order.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from leafwork.llm.common import cut
 from leafwork.llm.decontaminate import clean
-from leafwork.llm.mixing import in_order, mix
+from leafwork.llm.mixing import BLOCK, in_order, mix
 from leafwork.llm.quality import classify
 from leafwork.llm.sharding import shard
 from leafwork.llm.simhash import near_duplicates
@@ -40,8 +40,12 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their shard, and their slot in it."""
-    return shard(docs)
+    """All documents with their shard, and their slot in it; slots follow the mixture's schedule.
+
+    Tables keep no order of rows, so the schedule, which depends on the rows alone, is made again.
+    """
+    turn = (F.col("slot") * BLOCK + F.col("place")).alias("_turn")
+    return shard(mix(docs).select(*docs.columns, turn), turn="_turn")
 
 
 STAGES = [("quality classifier", good), ("simhash near-dedup", distinct), ("benchmark decontamination", decontaminated), ("mixing to target weights", mixed), ("sharding", sharded)]

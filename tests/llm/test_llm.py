@@ -418,6 +418,18 @@ def test_pipeline(spark, docs, bench, labels):
     assert sorted(map(tuple, corpus_pipeline.run(spark, DATA).collect())) == want and {r[0] for r in want} == clean
 
 
+def test_slots_follow_the_mixture(spark, docs):
+    """Without its mixing stage the pipeline would number these rows otherwise; shards are those of the ring."""
+    schedule = {r.doc_id: (r.slot, r.place) for r in mixing.mix(docs).collect()}
+    placed = corpus_pipeline.sharded(spark, docs, DATA).collect()
+    plain = {r.doc_id: (r.shard, r.home) for r in sharding.shard(docs).collect()}
+    assert {r.doc_id: (r.shard, r.home) for r in placed} == plain and len(placed) == docs.count()
+    for s in {r.shard for r in placed}:
+        mine = sorted((r.slot, r.doc_id) for r in placed if r.shard == s)
+        assert [n for n, _ in mine] == list(range(len(mine)))
+        assert [schedule[d] for _, d in mine] == sorted(schedule[d] for _, d in mine)
+
+
 def test_pipeline_on_empty_documents(spark, docs, tmp_path):
     for t in ("labels", "benchmark"):
         spark.read.parquet(f"{DATA}/{t}.parquet").write.parquet(str(tmp_path / f"{t}.parquet"))
