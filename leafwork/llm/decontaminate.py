@@ -1,8 +1,9 @@
 """Benchmark decontamination over a distributed positional inverted index, in DataFrame functions only.
 
 The index holds a posting (text, position, term) for every word of the training texts that the benchmark uses. For
-each window of benchmark words, its two rarest terms anchor the search: their postings, adjusted by the offset in the
-item, meet where the window may occur. Only there are the postings of all words of the item intersected.
+each window of benchmark words, its rarest terms anchor the search: their postings, adjusted by the offset in the
+item, meet where the window may occur. Of a window of w words with at least m in place at most w - m anchors are missing, so
+w - m + 2 anchors leave two that meet. Only there are the postings of all words of the item intersected.
 """
 
 from __future__ import annotations
@@ -54,13 +55,19 @@ def build_index(docs: DataFrame, vocabulary: DataFrame, text: str, key: str) ->
     return rows.join(small(vocabulary), "term").where(same).select("key", "k1", "k2", "n_words", "term", "pos")
 
 
-def anchors(items: DataFrame, frequency: DataFrame, window: int) -> DataFrame:
-    """(item, n, j, term): for each window, its two words that are rarest in the training texts."""
+def needed(length: Column, window: int, near: int) -> Column:
+    """Words that are in place in a proximity match of a window of that length: `near` of a whole window, in proportion for shorter ones."""
+    return F.ceil(length * near / window)
+
+
+def anchors(items: DataFrame, frequency: DataFrame, window: int, near: int) -> DataFrame:
+    """(item, n, j, term): for each window, its words that are rarest in the training texts; two of them stand in every match."""
     length = F.least("n", F.lit(window))
+    most = length - needed(length, window, near) + 2
     starts = items.select("item", "n", "j", "term", F.explode(F.sequence(F.greatest(F.lit(0), F.col("j") - length + 1), F.least("j", F.col("n") - length))).alias("start"))
     rarest = Window.partitionBy("item", "start").orderBy(F.coalesce("seen", F.lit(0)), "term", "j")
     ranked = starts.join(frequency, "term", "left").withColumn("rank", F.row_number().over(rarest))
-    return ranked.where("rank <= 2").select("item", "n", "j", "term").distinct()
+    return ranked.where(F.col("rank") <= most).select("item", "n", "j", "term").distinct()
 
 
 def matches(index: DataFrame, items: DataFrame, window: int = WINDOW, near: int = NEAR) -> DataFrame:
@@ -72,16 +79,16 @@ def matches(index: DataFrame, items: DataFrame, window: int = WINDOW, near: int
     """
     postings = index.where(F.col("pos") >= 0)
     frequency = postings.groupBy("term").agg(F.count(F.lit(1)).alias("seen"))
-    anchor = small(cut(anchors(items, frequency, window)))
+    anchor = small(cut(anchors(items, frequency, window, near)))
     bit = F.expr("shiftleft(1L, cast(j % 64 as int))")  # two words of one window never share it
     hits = postings.join(anchor, "term").groupBy("k1", "k2", "item", "n", (F.col("pos") - F.col("j")).alias("delta")).agg(F.bit_or(bit).alias("seen"))
-    aligned = cut(hits.where(F.bit_count("seen") >= F.least("n", F.lit(2))).drop("seen"))
+    length = F.least("n", F.lit(window))
+    aligned = cut(hits.where(F.bit_count("seen") >= F.least(needed(length, window, near), F.lit(2))).drop("seen"))
     wanted = aligned.join(items.select("item", "j", "term"), "item").withColumn("pos", F.col("delta") + F.col("j")).where("pos >= 0")
     there = postings.join(small(aligned.select("k1", "k2").distinct()), ["k1", "k2"], "left_semi").select("k1", "k2", "pos", "term").distinct()
     met = wanted.join(there, ["k1", "k2", "pos", "term"])
     run = Window.partitionBy("k1", "k2", "item", "delta").orderBy("j")
-    length = F.least("n", F.lit(window))
-    close = F.count(F.lit(1)).over(run.rangeBetween(0, window - 1)) >= F.ceil(length * near / window)
+    close = F.count(F.lit(1)).over(run.rangeBetween(0, window - 1)) >= needed(length, window, near)
     met = met.withColumn("island", F.col("j") - F.row_number().over(run)).withColumn("close", close)
     runs = met.groupBy("k1", "k2", "item", "delta", "n", "island").agg(F.min("pos").alias("low"), F.count(F.lit(1)).cast("int").alias("length"), F.bool_or("close").alias("close"))
     exact = F.col("length") >= length

@@ -120,6 +120,20 @@ def test_proximity(spark):
     assert {r.doc_id: (r.n_items, r.n_near_items) for r in decontaminate.contamination(df, item).collect()} == {1: (0, 1), 2: (0, 0)}
 
 
+def test_proximity_whichever_words_are_replaced(spark):
+    """The replaced words occur in no text, so they are the rarest of all."""
+    item = [f"w{i}" for i in range(10)]
+    cases = [set(), *[{i} for i in range(10)], *[{i, j} for i in range(10) for j in range(i)], {0, 4, 9}, {1, 2, 3}]
+    cases += [{*c, *range(1, 10, 2)} for c in ({0}, {2})]
+    sizes = (10, 7, 3, 2)  # of 7 words six are in place, of 3 and of 2 all
+    bench = spark.createDataFrame([(s, " ".join(f"{w}of{s}" for w in item[:s])) for s in sizes], "item_id long, text string")
+    text = lambda s, n, c: "a " + " ".join(f"x{n}" if i in c else f"{w}of{s}" for i, w in enumerate(item[:s])) + " b"
+    df = spark.createDataFrame([(100 * s + n, text(s, n, c)) for s in sizes for n, c in enumerate(cases)], "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.n_near_items for r in decontaminate.contamination(df, bench).collect()}
+    assert got == {100 * s + n: int(s - len([i for i in c if i < s]) >= -(-s * 8 // 10)) for s in sizes for n, c in enumerate(cases)}
+
+
+
 # 2: sharding
 
 
