@@ -305,6 +305,15 @@ def test_mixture(docs, odd, empty):
     assert mixing.mix(odd).count() == len(ODD) and mixing.mix(empty).count() == 0
 
 
+def test_weights_hold_after_a_tiny_source():
+    """Of equally many blocks a is to have three in four until it runs dry; z is dry almost at once."""
+    rows = mixing.plan({"a": 3000, "b": 3000, "z": 1}, {"a": 3.0, "b": 1.0, "z": 0.5}, 1000)
+    served = {(r["phase"], r["_source"]): r["_high"] - r["_low"] for r in rows}
+    assert served[0, "z"] == 1 and sum(served[0, s] for s in "ab") < 20
+    assert abs(served[1, "a"] / (served[1, "a"] + served[1, "b"]) - 0.75) < 0.005 and served[0, "a"] + served[1, "a"] == 3000
+    assert sum(served.values()) == 6001
+
+
 def test_one_period_keeps_within_a_block():
     rng = random.Random(5)
     for _ in range(30):
