@@ -314,6 +314,21 @@ def test_weights_hold_after_a_tiny_source():
     assert sum(served.values()) == 6001
 
 
+def test_many_sources(spark):
+    """Two large sources and 600 small ones, in blocks of two rows: all rows are scheduled, each source by its weight."""
+    rows = [(i, f"big{i % 2}") for i in range(8000)] + [(8000 + i, f"small{i % 600}") for i in range(600 * 20)]
+    df = spark.createDataFrame(rows, "doc_id long, source string")
+    got = mixing.mix(df, {"big0": 300.0, "big1": 100.0, "*": 600.0}, block=2).collect()
+    assert sorted((r.doc_id, r.source) for r in got) == rows and all(r.release <= r.slot < r.deadline for r in got)
+    order = dict(sorted((r.slot, r.source) for r in got))
+    assert list(order) == list(range(len(order))) and len({(r.slot, r.source) for r in got}) == len(order) and len({(r.slot, r.place) for r in got}) == len(got)
+    weights, served = {"big0": 0.3, "big1": 0.1} | {f"small{i}": 0.001 for i in range(600)}, collections.Counter()
+    for t in range(max(r.slot for r in got if r.phase == 0) + 1):
+        served[order[t]] += 1
+        assert all(abs(served[s] - (t + 1) * w) < 2 for s, w in weights.items() if t % 50 == 0 or s == order[t])
+    assert t > 5000
+
+
 def test_one_period_keeps_within_a_block():
     rng = random.Random(5)
     for _ in range(30):
