@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +12,20 @@ from pyspark.sql import functions as F
 DEPTH = 32
 
 
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """df as a table in the folder that all executors share, which cuts its lineage, and the table's path."""
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="spark-leafwork-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    path = f"{shared.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def outline_tree(headings: DataFrame, doc: str = "page_id") -> DataFrame:
     """headings (doc, pos, level, title) with parent: the nearest heading before it of a lower level, null at the top.
 
@@ -38,13 +55,23 @@ def walk_down(nodes: DataFrame, node: str, parent: str, doc: str, name: str, dep
     return out.toDF(doc, node, "depth", "path")
 
 
-def inherited(nodes: DataFrame, node: str, parent: str, value: str, depth: int = 4) -> DataFrame:
-    """nodes with effective: their own value, or else the nearest ancestor's; a left join for each level."""
-    out = nodes.withColumns({"effective": F.col(value), "_up": F.col(parent)})
-    for _ in range(depth):
-        above = nodes.select(F.col(node).alias("_up"), F.col(value).alias("_v"), F.col(parent).alias("_next"))
-        out = out.join(above, "_up", "left").withColumns({"effective": F.coalesce("effective", "_v"), "_up": F.when(F.coalesce("effective", "_v").isNull(), F.col("_next"))}).drop("_v", "_next")
-    return out.drop("_up")
+def inherited(nodes: DataFrame, node: str, parent: str, value: str) -> DataFrame:
+    """nodes with effective: their own value, or else the nearest ancestor's, however far up.
+
+    Every round doubles the ancestors that a node has asked, so chains of n nodes take about log2(n) of them; nodes of
+    a cycle without any value stay without.
+    """
+    # a node asks on while it has no value; equal rows of one node are asked once
+    open_up = F.when(F.col(value).isNull(), F.col(parent))
+    asked, _ = written(nodes.select(F.col(node).alias("_n"), F.col(value).alias("_v"), open_up.alias("_up")).distinct())
+    for _ in range(asked.count().bit_length()):
+        if asked.where("_up is not null").isEmpty():
+            break
+        above = asked.select(F.col("_n").alias("_up"), F.col("_v").alias("_above"), F.col("_up").alias("_next"))
+        asked, _ = written(asked.join(above, "_up", "left").select("_n", F.coalesce("_v", "_above").alias("_v"), F.when(F.coalesce("_v", "_above").isNull(), F.col("_next")).alias("_up")))
+    found = asked.select(F.col("_n").alias("_to"), F.col("_v").alias("_found")).dropDuplicates(["_to", "_found"])
+    first = nodes.select("*", F.when(F.col(value).isNull(), F.col(node)).alias("_to"))
+    return first.join(found, "_to", "left").withColumn("effective", F.coalesce(value, "_found")).drop("_to", "_found")
 
 
 def first_wins(sources: list[DataFrame], key: str) -> DataFrame:
@@ -105,15 +132,18 @@ def same_rows(a: DataFrame, b: DataFrame) -> bool:
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
 
 
-def reachable(edges: DataFrame, roots: DataFrame, rounds: int = DEPTH) -> DataFrame:
+def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(node) of all that edges (src, dst) reach from roots (node), roots included; cycles end as nothing new comes."""
-    known = roots.select("node").distinct()
-    fresh = known
-    for _ in range(rounds):
-        fresh = fresh.join(edges, fresh["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct().join(known, "node", "left_anti").persist()
-        if fresh.isEmpty():
-            break
-        known = known.unionByName(fresh)
+    read = edges.sparkSession.read
+    edges, _ = written(edges)
+    fresh, path = written(roots.select("node").distinct())
+    known, paths = fresh, [path]
+    while not fresh.isEmpty():
+        kind = known.schema["node"].dataType
+        new = fresh.join(edges, fresh["node"] == edges["src"]).select(F.col("dst").cast(kind).alias("node")).distinct()
+        fresh, path = written(new.join(known, "node", "left_anti"))
+        paths.append(path)
+        known = read.schema(known.schema).parquet(*paths)
     return known
 
 

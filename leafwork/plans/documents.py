@@ -104,7 +104,7 @@ def closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     ends = links(spark, sf_dir).where("kind = 'goto'").select("target", "page_id").distinct()
     edges = ends.alias("a").join(ends.alias("b"), (F.col("a.target") == F.col("b.target")) & (F.col("b.page_id") > F.col("a.page_id")) & (F.col("b.page_id") <= F.col("a.page_id") + 3))
     edges = edges.select(F.col("a.page_id").alias("src"), F.col("b.page_id").alias("dst")).distinct()
-    return documents.reachable(edges, spark.range(4).withColumnRenamed("id", "node"), 64)
+    return documents.reachable(edges, spark.range(4).withColumnRenamed("id", "node"))
 
 
 def find_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -105,6 +105,14 @@ def test_models(spark):
     assert list(spark.range(1).select(models.accepted(p, F.lit(1)), models.accepted(p, F.lit(2)), models.accepted(p, F.lit(0))).first()) == [True, False, False]
 
 
+def test_no_depth_is_too_deep(spark):
+    path = spark.range(70).selectExpr("id AS src", "id + 1 AS dst").coalesce(1)
+    assert documents.reachable(path, spark.range(1).withColumnRenamed("id", "node")).count() == 71
+    outline = spark.createDataFrame([(0, None, 90), *[(i, i - 1, 180 if i == 9 else None) for i in range(1, 11)], (20, 21, None), (21, 20, None), (30, 99, None)], "node int, parent int, rotate int")
+    got = {r.node: r.effective for r in documents.inherited(outline, "node", "parent", "rotate").collect()}
+    assert got == {i: 90 if i < 9 else 180 for i in range(11)} | {20: None, 21: None, 30: None}
+
+
 def test_sets(spark):
     a = spark.createDataFrame([(1, "x"), (1, "x")], "k int, v string")
     assert documents.same_rows(a, a) and not documents.same_rows(a, a.distinct())
