@@ -8,8 +8,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a narrow side (at most about 100 bytes a row) may be broadcast: 50 MB at the most.
-BROADCAST_ROWS = 500_000
+#: Rows up to which a narrow side may be broadcast, and the bytes that they may be estimated to take.
+BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,9 +41,27 @@ def drop_cut(df: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Scratch:
+    """Tables that are cut on the way to a result, and go together once the result is written."""
+
+    def __init__(self) -> None:
+        self.held: list[DataFrame] = []
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        self.held.append(cut(df))
+        return self.held[-1]
+
+    def drop(self) -> None:
+        for df in self.held:
+            drop_cut(df)
+        self.held = []
+
+
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if a count shows at most `most` rows; without one otherwise, for Spark to shuffle."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    """df with a broadcast hint if a look shows at most `most` rows, of at most BROADCAST_BYTES; without one otherwise, for Spark to shuffle."""
+    width = sum((F.coalesce(F.octet_length(c), F.lit(0)) if kind in ("string", "binary") else F.lit(8)) + 16 for c, kind in df.dtypes)
+    found = df.limit(most + 1).select(width.alias("w")).agg(F.count("w").alias("n"), F.sum("w").alias("bytes")).first()
+    return F.broadcast(df) if found["n"] <= most and (found["bytes"] or 0) <= BROADCAST_BYTES else df
 
 
 def text_key(text: Column) -> list[Column]:

@@ -1,10 +1,12 @@
 """Removal of long repeated byte strings by suffix arrays.
 
-Every window of LENGTH bytes goes by the smallest hash among its 16-byte grams, so equal windows, wherever they are,
-go the same way. Runs of windows of one such hash make a segment. Segments that occur twice are repeated as a whole;
-the distinct segments that share a hash meet in one task, which sorts their suffixes in two stages: those smaller than
-their successors directly, all others induced by scans of the first bytes' buckets. Neighbours in that order whose
-common prefix reaches LENGTH are repeated windows.
+Every window of LENGTH bytes goes by its least 16-byte gram, the one of the smallest hash, and by how far into the
+window that stands. Windows of about the same distance, neighbours in the text, make a segment; what they all share,
+their core, is equal wherever an equal window stands, so segments of one core meet. Segments that occur twice are
+repeated as a whole; the distinct segments of one core meet in one task, which sorts their suffixes in two stages:
+those smaller than their successors directly, all others induced by scans of the first bytes' buckets. Neighbours in
+that order whose common prefix reaches LENGTH are repeated windows. Where too many segments share a core for one
+array, they are cut into parts with longer cores, again and again until a group fits.
 """
 
 from __future__ import annotations
@@ -18,16 +20,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafwork.llm.common import cut, small, text_key
+from leafwork.llm.common import Scratch, cut, drop_cut, small, text_key
 
 LENGTH = 400
 GRAM = 16
 #: Windows of one segment, and of a text that are hashed at once; longer ones are cut.
 WINDOWS = 1 << 16
-#: Bytes of a hash's distinct segments that one suffix array takes; larger groups go by digests of cores.
+#: Bytes of a group of distinct segments, or parts of them, that one suffix array takes; larger groups are split.
 GROUP_BYTES = 256 << 10
-#: Widths of the cells of windows whose cores are compared, one after the other.
-CELLS = (32, 4, 1)
+#: Bits of a packed hash that hold its position in a block.
+PLACE_BITS = 17
 #: Bytes of neighbouring groups that share a suffix array.
 ARRAY_BYTES = 1 << 20
 
@@ -56,19 +58,46 @@ def least_of(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n], fore[width - 1 : width - 1 + n])
 
 
-def segments_of(text: bytes, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(starts, windows, hashes, own) of the segments of a text, block by block.
+def widths(length: int) -> list[int]:
+    """Distances that fall in one cell: of segments, then of the parts that groups too large for one array are cut into."""
+    found = [-(-(length - GRAM + 1) // 2)]
+    while found[-1] > 1:
+        found.append(max(1, found[-1] // 3))
+    return found
+
+
+def spots_of(data: np.ndarray, length: int) -> np.ndarray:
+    """Where the least gram of each window stands, the leftmost of equal ones; the highest bits of its hash decide."""
+    place = np.uint64((1 << PLACE_BITS) - 1)
+    packed = gram_hashes(data) & ~place
+    packed |= np.arange(len(packed), dtype=np.uint64)
+    return (least_of(packed, length - GRAM + 1) & place).astype(np.int64)
 
-    own: windows inside the segment may equal each other. Then its text has a period shorter than the segment has
-    windows, and the least hash stands both at the start of one window and at the end of another.
+
+def cells_of(text: bytes, start: np.ndarray, spot: np.ndarray, width: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first, n, cores, own) of the runs of windows of one core; start: ascending windows, spot: their grams' places.
+
+    Equal windows have their grams at the same distance, so they are in cells of the same number and share the bytes
+    that all windows of that cell share. own: a run of several grams, as in a periodic text, whose windows may equal
+    each other; those of one gram differ.
     """
+    cell = (spot - start) // width
+    first = np.flatnonzero(np.r_[True, (np.diff(start) != 1) | (np.diff(spot) != 0) | (np.diff(cell) != 0)])
+    digest, edge = xxhash.xxh3_64_intdigest, spot[first] - cell[first] * width
+    core = np.array([digest(text[e : e + length - width + 1], c) for e, c in zip(edge.tolist(), cell[first].tolist(), strict=True)], np.uint64).view(np.int64)
+    fresh = np.flatnonzero(np.r_[True, (np.diff(core) != 0) | (np.diff(start[first]) != first[1:] - first[:-1])])
+    begin = first[fresh]
+    return begin, np.diff(np.r_[begin, len(start)]), core[fresh], np.diff(np.r_[fresh, len(first)]) > 1
+
+
+def segments_of(text: bytes, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(starts, windows, cores, own) of the segments of a text, block by block."""
+    width = widths(length)[0]
     for i in range(0, len(text) - length + 1, WINDOWS):
         data = np.frombuffer(text, np.uint8, min(len(text) - i, WINDOWS + length - 1), i)
-        h = gram_hashes(data)
-        least = least_of(h, length - GRAM + 1)
-        start = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
-        seen = (h[: len(least)] == least).astype(np.int32) + (h[-len(least) :] == least)
-        yield start + i, np.diff(np.r_[start, len(least)]), least[start], np.add.reduceat(seen, start) > 1
+        spot = spots_of(data, length)
+        begin, n, core, own = cells_of(text[i : i + len(data)], np.arange(len(spot)), spot, width, length)
+        yield begin + i, n, core, own
 
 
 def segments(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -81,7 +110,7 @@ def segments(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
             row = np.repeat(np.array(who), [len(x[0]) for x in parts])
             digest = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             keys = [batch.column(i).take(pa.array(row)) for i in range(2)]
-            return pa.RecordBatch.from_arrays([*keys, pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(route.view(np.int64)), pa.array(own), pa.array(digest[:, 0]), pa.array(digest[:, 1])], names=["k1", "k2", "start", "n", "route", "own", "s1", "s2"])
+            return pa.RecordBatch.from_arrays([*keys, pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(route), pa.array(own), pa.array(digest[:, 0]), pa.array(digest[:, 1])], names=["k1", "k2", "start", "n", "route", "own", "s1", "s2"])
 
         for i in range(len(texts)):
             text = texts[i].as_py().encode("utf-8", "surrogatepass")
@@ -199,117 +228,136 @@ def repeated_windows(texts: list[bytes], length: int) -> list[np.ndarray]:
     return [np.flatnonzero(found[e - len(x) - 1 : e]) for x, e in zip(texts, ends.tolist(), strict=True)]
 
 
-def runs(keys: list[tuple[int, int, int]], starts: list[np.ndarray]) -> pa.RecordBatch:
-    """(route, s1, s2, low, n) of the runs of consecutive starts of each piece."""
+KEY = ["route", "s1", "s2"]
+RUNS = "route bigint, s1 bigint, s2 bigint, low int, n int"
+
+
+def runs(keys: list[tuple[int, int, int, int]], starts: list[np.ndarray]) -> pa.RecordBatch:
+    """(route, s1, s2, low, n) of the runs of consecutive starts of each piece (route, s1, s2, its place in the segment)."""
     rows = []
-    for key, at in zip(keys, starts, strict=True):
+    for (*key, place), at in zip(keys, starts, strict=True):
         if len(at):
             first = np.flatnonzero(np.r_[True, np.diff(at) > 1])
-            rows += [(*key, low, n) for low, n in zip(at[first].tolist(), np.diff(np.r_[first, len(at)]).tolist(), strict=True)]
+            rows += [(*key, place + low, n) for low, n in zip(at[first].tolist(), np.diff(np.r_[first, len(at)]).tolist(), strict=True)]
     columns = list(zip(*rows, strict=True)) or [[]] * 5
-    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, [pa.int64()] * 3 + [pa.int32()] * 2, strict=True)], names=["route", "s1", "s2", "low", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, [pa.int64()] * 3 + [pa.int32()] * 2, strict=True)], names=[*KEY, "low", "n"])
 
 
 def by_suffix_array(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Repeated windows of pieces that come sorted by route; groups of a route share an array, small ones with others."""
-    keys: list[tuple[int, int, int]] = []
+    """Repeated windows of pieces (grp, route, s1, s2, low, bytes) that come sorted by grp; groups share an array, small ones with others."""
+    keys: list[tuple[int, int, int, int]] = []
     texts: list[bytes] = []
-    held = 0
+    held, now = 0, None
     for batch in batches:
-        for route, s1, s2, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            if keys and (route, s1, s2) == keys[-1]:
-                continue  # the same row of docs came twice
-            if held > ARRAY_BYTES and route != keys[-1][0]:
+        for grp, *key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held > ARRAY_BYTES and grp != now:
                 yield runs(keys, repeated_windows(texts, length))
                 keys, texts, held = [], [], 0
-            keys.append((route, s1, s2))
+            now = grp
+            keys.append(tuple(key))
             texts.append(text)
             held += len(text)
     if keys:
         yield runs(keys, repeated_windows(texts, length))
 
 
+def sorted_groups(pieces_of: DataFrame, length: int) -> DataFrame:
+    """The repeated windows (route, s1, s2, low, n) of pieces (grp, route, s1, s2, low, bytes), group by group."""
+    dealt = pieces_of.repartition("grp").sortWithinPartitions("grp", *KEY, "low")
+    return dealt.mapInArrow(partial(by_suffix_array, length=length), RUNS)
+
+
 def cores(batches: Iterator[pa.RecordBatch], length: int, width: int) -> Iterator[pa.RecordBatch]:
-    """(route, s1, s2, low, n, c1, c2, x1, x2) of the parts of pieces (route, s1, s2, bytes, lows, ns).
+    """(route, s1, s2, low, n, core, x1, x2) of the parts of pieces (route, s1, s2, bytes, lows, ns).
 
-    A part is a run of the given windows whose distances to the next gram of the route's hash fall in one cell of
-    `width`. c1, c2 digest the cell and its core, the bytes that all windows of that cell share; x1, x2 digest the
-    part's windows themselves.
+    A part is a run of the given windows of one cell and core; x1, x2 digest the part itself.
     """
     for batch in batches:
-        rows, digests = [], []
         for i in range(batch.num_rows):
-            route, text = batch.column(0)[i].as_py(), batch.column(3)[i].as_py()
-            h = gram_hashes(np.frombuffer(text, np.uint8)).view(np.int64)
-            spots = np.flatnonzero(h == route)
+            text = batch.column(3)[i].as_py()
             lows, ns = batch.column(4)[i].values.to_numpy(), batch.column(5)[i].values.to_numpy()
             start = np.repeat(lows, ns) + np.arange(ns.sum()) - np.repeat(np.cumsum(ns) - ns, ns)
-            spot = spots[np.searchsorted(spots, start)]
-            cell = (spot - start) // width
-            first = np.flatnonzero(np.r_[True, (np.diff(start) != 1) | (np.diff(spot) != 0) | (np.diff(cell) != 0)])
-            for j, n in zip(first.tolist(), np.diff(np.r_[first, len(start)]).tolist(), strict=True):
-                low, edge, c = int(start[j]), int(spot[j] - cell[j] * width), int(cell[j])
-                core = text[edge : edge - width + 1 + length]
-                digests.append(xxhash.xxh3_128_digest(core, seed=c) + xxhash.xxh3_128_digest(text[low : low + n - 1 + length]))
-                rows.append((i, low, n))
-            if rows and (len(rows) >= 10_000 or i + 1 == batch.num_rows):
-                of, low, n = (np.array(x, np.int32) for x in zip(*rows, strict=True))
-                d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 4)
-                keys = [batch.column(k).take(pa.array(of)) for k in range(3)]
-                yield pa.RecordBatch.from_arrays([*keys, pa.array(low), pa.array(n), *[pa.array(d[:, k]) for k in range(4)]], names=["route", "s1", "s2", "low", "n", "c1", "c2", "x1", "x2"])
-                rows, digests = [], []
-
-
-def by_cores(cuts: DataFrame, length: int) -> DataFrame:
-    """Repeated windows (route, s1, s2, low, n) of the pieces of groups too large for one suffix array.
-
-    Equal windows have the gram of their hash at the same distance, so also equal cores. Parts that occur twice are
-    repeated as a whole; parts whose core no other part has hold nothing repeated. Where a core has parts that
-    differ, one of each goes on with smaller cells, down to single windows. Counts are pre-aggregated, so no task
-    sees a group.
+            begin, n, core, _ = cells_of(text, start, spots_of(np.frombuffer(text, np.uint8), length)[start], width, length)
+            low = start[begin]
+            digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(text[a : a + k - 1 + length]) for a, k in zip(low.tolist(), n.tolist(), strict=True)), np.int64).reshape(-1, 2)
+            same = [pa.array([batch.column(j)[i].as_py()] * len(low), pa.int64()) for j in range(3)]
+            yield pa.RecordBatch.from_arrays([*same, pa.array(low.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(core), pa.array(digests[:, 0]), pa.array(digests[:, 1])], names=[*KEY, "low", "n", "core", "x1", "x2"])
+
+
+def parts_out(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """(grp, route, s1, s2, low, bytes) of the wanted parts of pieces (route, s1, s2, bytes, lows, ns, grps)."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            text = batch.column(3)[i].as_py()
+            lows, ns, grps = (batch.column(j)[i].values for j in (4, 5, 6))
+            cuts = [text[low : low + n - 1 + length] for low, n in zip(lows.to_pylist(), ns.to_pylist(), strict=True)]
+            same = [pa.array([batch.column(j)[i].as_py()] * len(cuts), pa.int64()) for j in range(3)]
+            yield pa.RecordBatch.from_arrays([grps, *same, lows, pa.array(cuts, pa.binary())], names=["grp", *KEY, "low", "bytes"])
+
+
+def split_groups(cuts: DataFrame, length: int, scratch: Scratch) -> DataFrame:
+    """Repeated windows (route, s1, s2, low, n) of the pieces of groups that are too large for one suffix array.
+
+    Pieces are cut into parts of narrower cells, whose longer cores make the new groups. Parts that occur twice are
+    repeated as a whole; parts whose core no other content has hold nothing that is repeated elsewhere; one part of
+    each other content goes on, to a suffix array of its group where that fits, else to narrower cells, the last of
+    which are single windows. Counts are pre-aggregated and one part of each content goes on, so no task sees a group
+    beyond GROUP_BYTES.
     """
-    first = cuts.select("route", "s1", "s2", "bytes", F.array(F.lit(0)).alias("lows"), F.array(F.octet_length("bytes") - length + 1).alias("ns"))
+    group = ["route", "core"]
+    first = cuts.select(*KEY, "bytes", F.array(F.lit(0)).alias("lows"), F.array(F.octet_length("bytes") - length + 1).alias("ns"))
     out = None
-    for width in CELLS:
-        kind = "route bigint, s1 bigint, s2 bigint, low int, n int, c1 bigint, c2 bigint, x1 bigint, x2 bigint"
-        rows = cut(first.mapInArrow(partial(cores, length=length, width=width), kind))
+    for width in widths(length)[1:]:
+        kind = RUNS + ", core bigint, x1 bigint, x2 bigint"
+        rows = scratch.cut(first.mapInArrow(partial(cores, length=length, width=width), kind))
         # one row for each distinct content of a core, with a part that has it; first() takes all columns from one row
-        each = rows.groupBy("route", "c1", "c2", "x1", "x2").agg(F.count(F.lit(1)).alias("c"), *[F.first(x).alias(x) for x in ("s1", "s2", "low", "n")])
-        each = cut(each)
-        met = each.groupBy("route", "c1", "c2").agg(F.count(F.lit(1)).alias("d")).where("d > 1")
-        twice = each.where("c > 1").select("route", "c1", "c2", "x1", "x2")
-        done = rows.join(small(cut(twice)), ["route", "c1", "c2", "x1", "x2"], "left_semi").select("route", "s1", "s2", "low", "n")
-        out = done if out is None else out.unionByName(done)
-        lists = each.join(small(cut(met)), ["route", "c1", "c2"], "left_semi").groupBy("route", "s1", "s2").agg(F.array_sort(F.collect_list(F.struct("low", "n"))).alias("parts"))
-        first = cuts.join(cut(lists), ["route", "s1", "s2"]).select("route", "s1", "s2", "bytes", F.col("parts.low").alias("lows"), F.col("parts.n").alias("ns"))
+        each = scratch.cut(rows.groupBy(*group, "x1", "x2").agg(F.count(F.lit(1)).alias("c"), *[F.first(x).alias(x) for x in ("s1", "s2", "low", "n")]))
+        twice = each.where("c > 1").select(*group, "x1", "x2")
+        found = rows.join(small(scratch.cut(twice)), [*group, "x1", "x2"], "left_semi").select(*KEY, "low", "n")
+        met = each.groupBy(*group).agg(F.count(F.lit(1)).alias("d"), F.sum(F.col("n") - 1 + length).alias("size")).where("d > 1")
+        met = scratch.cut(met.select(*group, (F.col("size") <= GROUP_BYTES).alias("fits")))
+        parts = scratch.cut(each.join(small(met), group))
+        fit = parts.where("fits").groupBy(*KEY).agg(F.collect_list(F.struct("low", "n", F.xxhash64(*group).alias("grp"))).alias("parts"))
+        pieces_of = cuts.join(scratch.cut(fit), KEY).select(*KEY, "bytes", F.col("parts.low").alias("lows"), F.col("parts.n").alias("ns"), F.col("parts.grp").alias("grps"))
+        found = found.unionByName(sorted_groups(pieces_of.mapInArrow(partial(parts_out, length=length), "grp bigint, route bigint, s1 bigint, s2 bigint, low int, bytes binary"), length))
+        out = found if out is None else out.unionByName(found)
+        wide = scratch.cut(parts.where("not fits").groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("low", "n"))).alias("parts")))
+        if wide.isEmpty():
+            break
+        first = cuts.join(wide, KEY).select(*KEY, "bytes", F.col("parts.low").alias("lows"), F.col("parts.n").alias("ns"))
     return out
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, text: str = "text") -> DataFrame:
+def of_keys(rows: DataFrame, keys: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows whose (k1, k2) are in keys; where keys are not few, written as they are joined, so that Spark can split the copies of a text."""
+    keys = keys.select("k1", "k2")
+    few = small(keys)
+    found = rows.join(few, ["k1", "k2"], "left_semi")
+    return scratch.cut(found) if few is keys else found
+
+
+def repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, text: str = "text") -> DataFrame:
     """(k1, k2, spans): for each text with repeated windows, the sorted disjoint byte ranges (low, high) they cover."""
     rows = docs.select(*text_key(F.col(text)), F.col(text).alias("text")).where(F.octet_length("text") >= length)
-    found = cut(rows.mapInArrow(partial(segments, length=length), "k1 bigint, k2 bigint, start int, n int, route bigint, own boolean, s1 bigint, s2 bigint"))
-    shared = found.groupBy("route").agg(F.count(F.lit(1)).alias("c"), F.bool_or("own").alias("own"), *[f(s).alias(f"{s}_{f.__name__}") for s in ("s1", "s2") for f in (F.min, F.max)]).where("c > 1 or own")
-    shared = cut(shared.select("route", (F.col("own") | (F.col("s1_min") != F.col("s1_max")) | (F.col("s2_min") != F.col("s2_max"))).alias("varied")))
-    of = found.drop("own").join(shared, "route")
+    found = scratch.cut(rows.mapInArrow(partial(segments, length=length), "k1 bigint, k2 bigint, start int, n int, route bigint, own boolean, s1 bigint, s2 bigint"))
     # one row for each distinct segment, with some text that has it; first() takes all columns from one row
-    distinct = cut(of.groupBy("route", "s1", "s2", "varied").agg(F.count(F.lit(1)).alias("c"), *[F.first(x).alias(x) for x in ("k1", "k2", "start", "n")]))
-    varied = distinct.where("varied")
-    sizes = varied.groupBy("route").agg(F.sum(F.col("n") + length - 1).alias("bytes")).where(F.col("bytes") > GROUP_BYTES)
-    varied = varied.join(small(cut(sizes)), "route", "left").withColumn("hot", F.col("bytes").isNotNull())
-    wanted = cut(varied.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "n", "route", "s1", "s2", "hot")).alias("wanted")))
+    each = scratch.cut(found.groupBy(*KEY).agg(F.count(F.lit(1)).alias("c"), F.bool_or("own").alias("own"), *[F.first(x).alias(x) for x in ("k1", "k2", "start", "n")]))
+    shared = each.groupBy("route").agg(F.sum("c").alias("all"), (F.bool_or("own") | (F.count(F.lit(1)) > 1)).alias("varied"), F.sum(F.col("n") + length - 1).alias("size")).where("all > 1 or varied")
+    # written as it is joined, so that Spark can split a frequent hash
+    distinct = scratch.cut(each.drop("own").join(scratch.cut(shared.select("route", "varied", (F.col("size") > GROUP_BYTES).alias("hot"))), "route"))
+    wanted = scratch.cut(distinct.where("varied").groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "n", *KEY, "hot")).alias("wanted")))
     # copies of a text give the same pieces; dropping them by key first would need a shuffle of the texts as well
-    once = rows.join(small(wanted.select("k1", "k2")), ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.max("text").alias("text"))
-    cuts = cut(once.join(wanted, ["k1", "k2"]).select("text", "wanted").mapInArrow(partial(pieces, length=length), "route bigint, s1 bigint, s2 bigint, hot boolean, bytes binary"))
-    few = cuts.where("not hot").select("route", "s1", "s2", "bytes").repartition("route").sortWithinPartitions("route", "s1", "s2")
-    marked = few.mapInArrow(partial(by_suffix_array, length=length), "route bigint, s1 bigint, s2 bigint, low int, n int")
-    many = cuts.where("hot").select("route", "s1", "s2", "bytes").dropDuplicates(["route", "s1", "s2"])
-    marked = marked.unionByName(by_cores(many, length))
-    marked = marked.groupBy("route", "s1", "s2").agg(F.collect_list(F.struct("low", "n")).alias("parts"))
+    once = of_keys(rows, wanted, scratch).groupBy("k1", "k2").agg(F.max("text").alias("text"))
+    cuts = scratch.cut(once.join(wanted, ["k1", "k2"]).select("text", "wanted").mapInArrow(partial(pieces, length=length), "route bigint, s1 bigint, s2 bigint, hot boolean, bytes binary"))
+    marked = sorted_groups(cuts.where("not hot").select(F.col("route").alias("grp"), *KEY, F.lit(0).alias("low"), "bytes"), length)
+    many = cuts.where("hot").select(*KEY, "bytes")
+    if not many.isEmpty():
+        marked = marked.unionByName(split_groups(many, length, scratch))
+    marked = marked.groupBy(*KEY).agg(F.collect_list(F.struct("low", "n")).alias("parts"))
     whole = F.array(F.struct(F.lit(0).alias("low"), F.col("n")))
-    marks = distinct.select("route", "s1", "s2", "c", "n").join(cut(marked), ["route", "s1", "s2"], "left")
-    marks = marks.select("route", "s1", "s2", F.when(F.col("c") > 1, whole).otherwise(F.col("parts")).alias("parts")).where("parts is not null")
-    spans = found.select("k1", "k2", "start", "route", "s1", "s2").join(marks, ["route", "s1", "s2"]).select("k1", "k2", "start", F.inline("parts"))
+    marks = distinct.select(*KEY, "c", "n").join(scratch.cut(marked), KEY, "left")
+    marks = marks.select(*KEY, F.when(F.col("c") > 1, whole).otherwise(F.col("parts")).alias("parts")).where("parts is not null")
+    spans = found.select("k1", "k2", "start", *KEY).join(scratch.cut(marks), KEY).select("k1", "k2", "start", F.inline("parts"))
     spans = spans.select("k1", "k2", (F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("low") + F.col("n") - 1 + length).alias("high"))
     return spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("low", "high")).alias("spans")).select("k1", "k2", joined(F.array_sort("spans")).alias("spans"))
 
@@ -333,10 +381,10 @@ def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*[batch.column(j).slice(i, 1) for j in range(2)], pa.array([kept], pa.binary())], names=["k1", "k2", "kept"])
 
 
-def kept_bytes(docs: DataFrame, spans: DataFrame, text: str = "text") -> DataFrame:
+def kept_bytes(docs: DataFrame, spans: DataFrame, scratch: Scratch, text: str = "text") -> DataFrame:
     """(k1, k2, kept): what is left of each distinct text that spans covers in part."""
     rows = docs.select(*text_key(F.col(text)), F.col(text).alias("text"))
-    part = rows.join(small(spans.select("k1", "k2")), ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.max("text").alias("text"))
+    part = of_keys(rows, spans, scratch).groupBy("k1", "k2").agg(F.max("text").alias("text"))
     return part.join(spans, ["k1", "k2"]).select("k1", "k2", "text", "spans").mapInArrow(cut_out, "k1 bigint, k2 bigint, kept binary")
 
 
@@ -348,10 +396,14 @@ def dedup_strings(docs: DataFrame, length: int = LENGTH, text: str = "text", key
     fewer bytes, lose nothing. Repeated rows are copies of each other. Other columns are ignored; no rows give no
     rows. `length` is at least 32.
     """
-    spans = cut(repeats(docs, length, text).withColumn("n_removed", F.aggregate("spans", F.lit(0), lambda a, s: a + s["high"] - s["low"]).cast("long")))
+    scratch = Scratch()
+    spans = cut(repeats(docs, scratch, length, text).withColumn("n_removed", F.aggregate("spans", F.lit(0), lambda a, s: a + s["high"] - s["low"]).cast("long")))
+    scratch.drop()
     full = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key).alias("key"), *text_key(F.col(text)), F.octet_length(full).cast("long").alias("n_bytes"), F.sha2(full, 256).alias("whole"))
-    digest = cut(kept_bytes(docs, spans, text).select("k1", "k2", F.sha2("kept", 256).alias("kept_sha256")))
-    of = spans.select("k1", "k2", "n_removed", F.size("spans").cast("long").alias("n_spans")).join(digest, ["k1", "k2"])
+    digest = kept_bytes(docs, spans, scratch, text).select("k1", "k2", F.sha2("kept", 256).alias("kept_sha256"))
+    of = cut(spans.select("k1", "k2", "n_removed", F.size("spans").cast("long").alias("n_spans")).join(digest, ["k1", "k2"]))
+    scratch.drop()
+    drop_cut(spans)
     out = rows.join(of, ["k1", "k2"], "left")
     return out.select(F.col("key").alias(key), "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"))

@@ -392,9 +392,9 @@ def test_repeated_windows():
         assert [x.tolist() for x in suffix_dedup.repeated_windows(texts, length)] == want
 
 
-@pytest.mark.parametrize("most", [suffix_dedup.GROUP_BYTES, 10])
+@pytest.mark.parametrize("most", [suffix_dedup.GROUP_BYTES, 400, 10])
 def test_strings(spark, odd, empty, monkeypatch, most):
-    """most = 10 sends every group the way of those too large for one suffix array."""
+    """most = 400 splits groups until they fit, most = 10 down to single windows."""
     monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", most)
     rng = random.Random(8)
     noise = lambda n: "".join(rng.choice("abcdefgh é") for _ in range(n))
@@ -407,6 +407,22 @@ def test_strings(spark, odd, empty, monkeypatch, most):
     assert suffix_dedup.dedup_strings(empty, 64).count() == 0
 
 
+def test_strings_of_many_near_copies(spark, monkeypatch):
+    """300 copies of one text with a few letters changed in each: all share their hashes and are split."""
+    monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", 4000)
+    rng = random.Random(9)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(600))
+    texts = []
+    for _ in range(300):
+        t = list(base)
+        for i in rng.sample(range(600), 6):
+            t[i] = rng.choice("uvwxyz")
+        texts.append("".join(t))
+    df = spark.createDataFrame(list(enumerate(texts + texts[:5])), "doc_id long, text string")
+    want = collections.Counter((i, *x) for i, x in enumerate(removed([t.encode() for t in texts + texts[:5]], 64)))
+    assert collections.Counter(map(tuple, suffix_dedup.dedup_strings(df, 64).collect())) == want
+
+
 # 10: secrets
 
 
