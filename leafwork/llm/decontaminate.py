@@ -78,8 +78,8 @@ def matches(index: DataFrame, items: DataFrame, window: int = WINDOW, near: int
     proportion for shorter items), a proximity match.
     """
     postings = index.where(F.col("pos") >= 0)
-    frequency = postings.groupBy("term").agg(F.count(F.lit(1)).alias("seen"))
-    anchor = small(cut(anchors(items, frequency, window, near)))
+    frequency = cut(postings.groupBy("term").agg(F.count(F.lit(1)).alias("seen")))
+    anchor = small(cut(anchors(items, small(frequency), window, near)))
     bit = F.expr("shiftleft(1L, cast(j % 64 as int))")  # two words of one window never share it
     hits = postings.join(anchor, "term").groupBy("k1", "k2", "item", "n", (F.col("pos") - F.col("j")).alias("delta")).agg(F.bit_or(bit).alias("seen"))
     length = F.least("n", F.lit(window))
@@ -112,10 +112,11 @@ def contamination(docs: DataFrame, bench: DataFrame, text: str = "text", key: st
     covered = exact.select("k1", "k2", F.explode(F.sequence(F.col("low"), F.col("low") + F.col("length") - 1)).alias("pos")).distinct()
     hit = covered.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n_hit"))
     named = found.join(items.select("item", "item_id").distinct(), "item").groupBy("k1", "k2").agg(F.collect_set(F.when(F.col("exact"), F.col("item_id"))).alias("ids"), F.count_distinct("item_id").alias("n_near_items"))
-    each = named.join(hit, ["k1", "k2"], "left").select("k1", "k2", "n_hit", F.size("ids").alias("n_items"), F.array_join(F.array_sort("ids"), ",").alias("items"), "n_near_items")
+    # written by itself, so that Spark can split the rows of a frequent text that it is joined with
+    each = cut(named.join(hit, ["k1", "k2"], "left").select("k1", "k2", "n_hit", F.size("ids").alias("n_items"), F.array_join(F.array_sort("ids"), ",").alias("items"), "n_near_items"))
     rows = index.where(F.col("pos") < 0).select(F.col("key").alias(key), "k1", "k2", F.col("n_words").cast("long").alias("n_words"))
     zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_hit", "n_items")]
-    return rows.join(each, ["k1", "k2"], "left").select(key, "n_words", *zero, F.coalesce("items", F.lit("")).alias("items"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"), F.coalesce("n_near_items", F.lit(0)).cast("long").alias("n_near_items"), "k1", "k2")
+    return rows.join(small(each), ["k1", "k2"], "left").select(key, "n_words", *zero, F.coalesce("items", F.lit("")).alias("items"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"), F.coalesce("n_near_items", F.lit(0)).cast("long").alias("n_near_items"), "k1", "k2")
 
 
 def clean(docs: DataFrame, bench: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
