@@ -4,7 +4,8 @@ Unit vectors of cosine >= c lie within the chord r = sqrt(2 - 2c). Every vector
 pivot p and is copied to the cell of another pivot q only if a vector within r of it may be at home there: by the
 triangle inequality that needs d(v, q) - d(v, p) <= 2r and d(v, q) <= r + the radius of cell q; in this geometry also
 (d(v, q)^2 - d(v, p)^2) / 2d(p, q) <= r, its distance to the plane between them. A cell then holds all partners of
-its home vectors and is joined by itself.
+its home vectors and is joined by itself; inside it, only vectors whose distances to the pivot differ by r at most are
+compared. As either of two cells would find a pair, one of them is told to.
 """
 
 from __future__ import annotations
@@ -21,12 +22,14 @@ from pyspark.sql import functions as F
 from leafwork.llm.common import components, cut
 
 COSINE = 0.9
-#: Home vectors that a cell should have; a pivot is taken for each so many distinct vectors.
-CELL = 4096
-#: Pivots at most; they are a bounded sample that is broadcast. All vectors are joined whichever it is.
+#: Distinct vectors, of the smallest key hashes, from which pivots are chosen. All vectors are joined whichever they are.
+SAMPLE = 4096
+#: Pivots at most.
 PIVOTS = 1024
 #: Home vectors of a cell that a task holds; cells of more are cut into chunks that each meet all of the cell.
-CHUNK = 4096
+CHUNK = 8192
+#: About how many comparisons cost as much as a row that is copied; by this the number of pivots is chosen.
+ROW_COST = 500
 #: Vectors that stream past a chunk at once.
 AT_ONCE = 1024
 #: Below the least cosine by more than this, single precision decides; closer pairs are computed in double precision.
@@ -55,6 +58,31 @@ def cells_of(unit: np.ndarray, pivots: np.ndarray, reach: np.ndarray | None, r:
     return home, near, copies
 
 
+def farthest_first(unit: np.ndarray, most: int) -> np.ndarray:
+    """Vectors each of which is as far as can be from those before; copies of earlier ones are left out."""
+    chosen, gap = [0], 1 - unit @ unit[0]
+    while len(chosen) < most and gap.max() > 1e-9:
+        chosen.append(int(gap.argmax()))
+        gap = np.minimum(gap, 1 - unit @ unit[chosen[-1]])
+    return unit[chosen]
+
+
+def chosen_pivots(unit: np.ndarray, n: int, r: float, chunk: int, most: int) -> np.ndarray:
+    """As many pivots, a power of four, as the sample shows to be cheapest for n vectors: more cells hold fewer
+    comparisons but more copies. Where vectors are spread evenly in many dimensions no pivot tells them apart."""
+    found, best = farthest_first(unit, most), (np.inf, unit[:1])
+    m = 1
+    while m <= len(found):
+        home, near, _ = cells_of(unit, found[:m], None, r)
+        share, reach = np.bincount(home, minlength=m) * (n / len(unit)), np.full(m, -2 * r)
+        np.maximum.at(reach, home, near)
+        copies = cells_of(unit, found[:m], reach, r)[2].mean(axis=0)
+        cost = float(copies @ (np.ceil(share / chunk) * ROW_COST + share))
+        best = min(best, (cost, found[:m]), key=lambda x: x[0])
+        m *= 4
+    return best[1]
+
+
 def measure(batches: Iterator[pa.RecordBatch], pivots: np.ndarray) -> Iterator[pa.RecordBatch]:
     """(cell, n, reach): home vectors of each cell in this partition, and the farthest of them."""
     n, reach = np.zeros(len(pivots), np.int64), np.zeros(len(pivots))
@@ -67,7 +95,12 @@ def measure(batches: Iterator[pa.RecordBatch], pivots: np.ndarray) -> Iterator[p
 
 
 def deal(batches: Iterator[pa.RecordBatch], pivots: np.ndarray, chunks: np.ndarray, reach: np.ndarray, r: float) -> Iterator[pa.RecordBatch]:
-    """(cell, chunk, guest, id, copies, embedding): each vector at home in one chunk and a guest of all chunks of its cells."""
+    """(cell, chunk, guest, id, copies, embedding): each vector at home in one chunk and a guest of others of its cells.
+
+    Of two chunks, numbered throughout, the later one takes the other's vectors as guests if the sum of their numbers
+    is even, the earlier one if it is odd; so every pair of chunks meets once and the work is even.
+    """
+    base = np.cumsum(chunks) - chunks
     for batch in batches:
         for i in range(0, batch.num_rows, AT_ONCE):
             some = batch.slice(i, AT_ONCE)
@@ -77,6 +110,9 @@ def deal(batches: Iterator[pa.RecordBatch], pivots: np.ndarray, chunks: np.ndarr
             times = chunks[cell]
             who, cell = np.repeat(who, times), np.repeat(cell, times)
             chunk = np.arange(len(who)) - np.repeat(np.cumsum(times) - times, times)
+            mine, other = (base[home] + own)[who], base[cell] + chunk
+            met = np.where((mine + other) % 2 == 0, mine < other, mine > other)
+            who, cell, chunk = who[met], cell[met], chunk[met]
             row = np.r_[np.arange(len(home)), who]
             for j in range(0, len(row), AT_ONCE):
                 part = slice(j, j + AT_ONCE)
@@ -98,29 +134,54 @@ def roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 
 
 class Chunk:
-    """The home vectors of a chunk, and what the guests that stream past have shown."""
+    """The home vectors of a chunk, by their distance to the pivot, and what they and the guests that stream past have shown."""
 
-    def __init__(self, cosine: float) -> None:
-        self.cosine, self.home, self.ids = cosine, [], []
-        self.unit = self.single = self.links = self.pairs = None
+    def __init__(self, pivot: np.ndarray, cosine: float) -> None:
+        self.pivot, self.cosine, self.r = pivot, cosine, sqrt(2 - 2 * cosine)
+        self.home: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.unit = None
+
+    def away(self, unit: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum(2 - 2 * unit @ self.pivot, 0))
 
     def settle(self) -> None:
-        self.unit, self.id = np.concatenate(self.home), np.concatenate(self.ids)
-        self.single, self.links, self.pairs = self.unit.astype(np.float32), np.zeros(len(self.id), np.int64), []
+        self.id, self.copies, self.unit = (np.concatenate(x) for x in zip(*self.home, strict=True))
+        far = self.away(self.unit)
+        order = np.argsort(far, kind="stable")
+        self.id, self.copies, self.unit, self.far = self.id[order], self.copies[order], self.unit[order], far[order]
+        self.single, self.links, self.pairs = self.unit.astype(np.float32), self.copies.astype(np.int64), []
+        for i in range(0, len(self.id), AT_ONCE // 4):  # a home vector meets itself and its copies as one
+            part = slice(i, i + AT_ONCE // 4)
+            x, y = self.close(self.unit[part], self.far[part])
+            x, y = x[x + i != y] + i, y[x + i != y]
+            np.add.at(self.links, x, self.copies[y])
+            self.pairs.append(np.stack([x, y], axis=1)[x < y])
+
+    def close(self, unit: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (of these vectors, of the home vectors) that are near enough."""
+        low, high = np.searchsorted(self.far, [far.min() - self.r - 1e-6, far.max() + self.r + 1e-6])
+        x, y = np.nonzero(unit.astype(np.float32) @ self.single[low:high].T >= self.cosine - SLACK)
+        sure = np.einsum("ij,ij->i", unit[x], self.unit[low + y]) >= self.cosine
+        return x[sure], low + y[sure]
 
-    def meet(self, ids: np.ndarray, copies: np.ndarray, unit: np.ndarray) -> np.ndarray:
-        """Counts links of the home vectors; returns edges that connect these guests."""
+    def meet(self, ids: np.ndarray, copies: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Counts links of the home vectors; returns the guests that have links, their links, and a home vector of each."""
         if self.unit is None:
             self.settle()
-        x, y = np.nonzero(unit.astype(np.float32) @ self.single.T >= self.cosine - SLACK)
-        sure = np.einsum("ij,ij->i", unit[x], self.unit[y]) >= self.cosine
-        x, y = x[sure], y[sure]
+        far = self.away(unit)
+        order, found = np.argsort(far, kind="stable"), []
+        for i in range(0, len(order), AT_ONCE // 4):
+            some = order[i : i + AT_ONCE // 4]
+            x, y = self.close(unit[some], far[some])
+            found.append((some[x], y))
+        x, y = (np.concatenate(z) for z in zip(*found, strict=True))
         np.add.at(self.links, y, copies[x])
-        first = np.full(len(ids), -1)
+        links, first = np.zeros(len(ids), np.int64), np.full(len(ids), -1)
+        np.add.at(links, x, self.copies[y])
         first[x[::-1]] = y[::-1]
         self.pairs.append(np.unique(np.stack([y, first[x]], axis=1)[y != first[x]], axis=0))
         met = np.flatnonzero(first >= 0)
-        return np.stack([ids[met], self.id[first[met]]], axis=1)
+        return ids[met], links[met], self.id[first[met]]
 
     def finish(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, their links, edges that connect home vectors)."""
@@ -131,16 +192,16 @@ class Chunk:
         return self.id, self.links, np.stack([self.id, self.id[root]], axis=1)
 
 
-def join(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.RecordBatch]:
-    """(id, links, other): links of home vectors where other is null, edges where links is null. Rows come by cell and chunk, home first."""
-    now, chunk = None, Chunk(cosine)
+def join(batches: Iterator[pa.RecordBatch], pivots: np.ndarray, cosine: float) -> Iterator[pa.RecordBatch]:
+    """(id, links, other): links of vectors where other is null, edges where links is null. Rows come by cell and chunk, home first."""
+    now, chunk = None, None
 
     def rows(ids: np.ndarray, links: np.ndarray | None, other: np.ndarray | None) -> pa.RecordBatch:
         null = pa.nulls(len(ids), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(ids), null if links is None else pa.array(links), null if other is None else pa.array(other)], names=["id", "links", "other"])
 
     def last() -> Iterator[pa.RecordBatch]:
-        if chunk.ids:
+        if chunk and chunk.home:
             ids, links, edges = chunk.finish()
             edges = edges[edges[:, 0] != edges[:, 1]]
             yield rows(ids, links, None)
@@ -155,21 +216,20 @@ def join(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.Record
             cell, number, guest = at[i]
             if now != (cell, number):
                 yield from last()
-                now, chunk = (cell, number), Chunk(cosine)
+                now, chunk = (cell, number), Chunk(pivots[cell], cosine)
             for k in range(i, j, AT_ONCE):
                 some = batch.slice(k, min(AT_ONCE, j - k))
-                ids, unit = some.column("id").to_numpy(), vectors(some.column("embedding"))
+                ids, copies, unit = some.column("id").to_numpy(), some.column("copies").to_numpy(), vectors(some.column("embedding"))
                 if not guest:
-                    chunk.home.append(unit)
-                    chunk.ids.append(ids)
-                elif chunk.ids:
-                    edges = chunk.meet(ids, some.column("copies").to_numpy(), unit)
-                    edges = edges[edges[:, 0] != edges[:, 1]]
-                    yield rows(edges[:, 0], None, edges[:, 1])
+                    chunk.home.append((ids, copies, unit))
+                elif chunk.home:
+                    met, links, other = chunk.meet(ids, copies, unit)
+                    yield rows(met, links, None)
+                    yield rows(met[met != other], None, other[met != other])
     yield from last()
 
 
-def near_vectors(table: DataFrame, cosine: float = COSINE, key: str = "vec_id", embedding: str = "embedding", cell: int = CELL, chunk: int = CHUNK, most: int = PIVOTS) -> DataFrame:
+def near_vectors(table: DataFrame, cosine: float = COSINE, key: str = "vec_id", embedding: str = "embedding", chunk: int = CHUNK, most: int = PIVOTS) -> DataFrame:
     """(key, n_links, component_id, kept) of each row of table.
 
     n_links counts the other vectors of cosine >= `cosine`, copies included; component_id is the smallest key
@@ -188,7 +248,8 @@ def near_vectors(table: DataFrame, cosine: float = COSINE, key: str = "vec_id",
     r, found = sqrt(2 - 2 * cosine), []
     for width, n in [(x["w"], x["n"]) for x in distinct.groupBy(F.size("embedding").alias("w")).agg(F.count(F.lit(1)).alias("n")).collect()]:
         same = distinct.where(F.size("embedding") == width)
-        pivots = vectors(pa.array([x["embedding"] for x in same.orderBy(F.xxhash64("id")).limit(min(most, max(1, n // cell))).collect()], pa.list_(pa.float64())))
+        sample = vectors(pa.array([x["embedding"] for x in same.orderBy(F.xxhash64("id")).limit(SAMPLE).collect()], pa.list_(pa.float64())))
+        pivots = chosen_pivots(sample, n, r, chunk, most)
         reach, sizes = np.zeros(len(pivots)), np.zeros(len(pivots), np.int64)
         for x in same.select("id", "copies", "embedding").mapInArrow(partial(measure, pivots=pivots), "cell bigint, n bigint, reach double").groupBy("cell").agg(F.sum("n").alias("n"), F.max("reach").alias("reach")).collect():
             sizes[x["cell"]], reach[x["cell"]] = x["n"], x["reach"]
@@ -197,13 +258,13 @@ def near_vectors(table: DataFrame, cosine: float = COSINE, key: str = "vec_id",
         kind = distinct.schema["embedding"].dataType.simpleString()
         dealt = same.mapInArrow(partial(deal, pivots=pivots, chunks=chunks, reach=reach, r=r), f"cell int, chunk int, guest int, id bigint, copies bigint, embedding {kind}")
         ordered = dealt.repartition("cell", "chunk").sortWithinPartitions("cell", "chunk", "guest")
-        found.append(ordered.mapInArrow(partial(join, cosine=cosine), "id bigint, links bigint, other bigint"))
+        found.append(ordered.mapInArrow(partial(join, pivots=pivots, cosine=cosine), "id bigint, links bigint, other bigint"))
     met = spark.createDataFrame([], "id bigint, links bigint, other bigint") if not found else found[0]
     for more in found[1:]:
         met = met.unionByName(more)
     met = cut(met)
     root = cut(components(met.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b"))))
-    links = met.where("links is not null").select("id", "links")
+    links = met.where("links is not null").groupBy("id").agg(F.sum("links").alias("links"))
     each = distinct.join(links, "id", "left").join(root.withColumnRenamed("node", "id"), "id", "left")
     each = each.select("embedding", (F.coalesce("links", F.lit(1)) - 1).alias("n_links"), F.coalesce("root", "id").alias("component_id"))
     whole = rows.join(each, "embedding", "left")

@@ -285,6 +285,13 @@ def test_lines(spark, docs, odd, empty, duck):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_lines_of_rows_that_share_a_key(spark):
+    """Text that stands once stays, whatever other rows of its key lose; equal rows are one document."""
+    rows = [(1, "a\nb\nc"), (2, "a\nb\nc"), (2, "u\nv\nw"), (None, "a\nb\nc"), (None, "p\nq\nr"), (3, "k\nl\nm"), (3, "k\nl\nm")]
+    got = sorted(map(repr, ((r.doc_id, r.text, r.n_removed) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())))
+    assert got == sorted(map(repr, [(1, "", 3), (2, "", 3), (2, "u\nv\nw", 0), (None, "a\nb\nc", 0), (None, "p\nq\nr", 0), (3, "k\nl\nm", 0), (3, "k\nl\nm", 0)]))
+
+
 # 7: mixing
 
 
@@ -352,11 +359,27 @@ def test_embeddings(spark):
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     near = unit @ unit.T >= 0.9
     want = components_of(list(range(300)), lambda a, b: near[a, b])
-    for small in ({}, {"cell": 20, "chunk": 7}):
+    for small in ({}, {"chunk": 7}, {"chunk": 7, "most": 1}):
         for r in embedding_dedup.near_vectors(df, **small).collect():
             assert (r.n_links, r.component_id, r.kept) == (near[r.vec_id].sum() - 1, want[r.vec_id], want[r.vec_id] == r.vec_id)
 
 
+def test_pivots_prune_where_vectors_cluster():
+    """Vectors round 64 centres: a vector goes to few cells besides its own, and the join is the whole one."""
+    rng = np.random.default_rng(10)
+    centres = rng.normal(size=(64, 32))
+    x = np.repeat(centres, 60, axis=0) + rng.normal(size=(64 * 60, 32)) * 0.12
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    r = np.sqrt(0.2)
+    pivots = embedding_dedup.chosen_pivots(unit, 10**7, r, embedding_dedup.CHUNK, 1024)
+    home, near, _ = embedding_dedup.cells_of(unit, pivots, None, r)
+    reach = np.full(len(pivots), -2 * r)
+    np.maximum.at(reach, home, near)
+    assert len(pivots) == 64 and embedding_dedup.cells_of(unit, pivots, reach, r)[2].sum(axis=1).mean() < 1.5
+    even = rng.normal(size=(2000, 64))
+    assert len(embedding_dedup.chosen_pivots(even / np.linalg.norm(even, axis=1, keepdims=True), 10**5, r, embedding_dedup.CHUNK, 1024)) <= 4
+
+
 def test_odd_embeddings(spark):
     rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [2.0, 0.0]), (4, None), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]), (7, [None, 1.0]), (8, []), (9, [1.0]), (None, [1.0, 0.0]), (10, [1e300, 0.0]), (11, [1e-300, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit(None).cast("string") for c in CLASHES})
