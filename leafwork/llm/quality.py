@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafwork.llm.common import text_key
+
 #: Texts that train the scorer, about: labelled ones, if any are, of the smallest key hashes. EM and scoring use all.
 SAMPLE = 20_000
 #: Hash buckets of the scorer's features.
@@ -177,7 +179,9 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, text: str = "text", ke
     """EM over the votes on all of docs, then a scorer trained on about `sample` of them, labelled ones if labels are given.
 
     labels: (key, quality, toxic) for some rows; they are one more labeller of each question, which may err too.
-    Nulls in it abstain; of repeated keys the greater value counts.
+    Nulls in it abstain; of repeated keys the greater value counts. Null keys have no label. Null, empty and word-less
+    texts vote on nothing. Rows of one key are texts of their own that share its label; rows equal in key and text
+    vote as often as they occur, and train once. Other columns are ignored; without rows the scorer keeps all.
     """
     texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = docs.schema[key].dataType.simpleString()
@@ -206,12 +210,16 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, text: str = "text", ke
         posterior.append(dict(zip(patterns, post.tolist(), strict=True)))
         for j, name in enumerate([*names, f"labels_{question}"]):
             rates[name] = {side: dict(zip("+-0", rate[i, j, :3].round(4).tolist(), strict=True)) for i, side in enumerate(("positive", "negative"))}
-    share = min(1.0, sample / max(total if told is None else told.count(), 1))
-    picked = (texts if told is None else texts.join(told.select("key"), "key", "left_semi")).where((F.xxhash64(F.lit("sample"), "key") / 2.0**64 + 0.5) <= share)
-    rows = with_labels(picked.mapInArrow(seen, f"key {kind}, votes string, features array<int>")).select("key", "q", "t", "features").toArrow()
+    # repeats of a labelled row count once, so about `sample` rows reach the driver however often a key or a text occurs
+    given = texts if told is None else texts.join(told.select("key"), "key", "left_semi")
+    marks = given.select("key", *text_key(F.col("text")))
+    share = min(1.0, sample / max(marks.distinct().count(), 1))
+    picked = given.where((F.xxhash64(F.lit("sample"), "key", "text") / 2.0**64 + 0.5) <= share)
+    rows = with_labels(picked.dropDuplicates(["key", "text"]).mapInArrow(seen, f"key {kind}, votes string, features array<int>")).select("key", "q", "t", "features").toArrow()
     features = [c.values.to_numpy()[i:j] for c in rows["features"].chunks for i, j in zip(c.offsets.to_numpy()[:-1], c.offsets.to_numpy()[1:], strict=True)]
     target = np.array([[posterior[0][q], posterior[1][t]] for q, t in zip(rows["q"].to_pylist(), rows["t"].to_pylist(), strict=True)]).reshape(-1, 2)
-    order = sorted(range(len(features)), key=list(map(str, rows["key"].to_pylist())).__getitem__)  # that of tasks doesn't matter
+    keys = list(map(str, rows["key"].to_pylist()))
+    order = sorted(range(len(features)), key=lambda i: (keys[i], features[i].tobytes()))  # that of tasks doesn't matter
     weights, bias = train([features[i] for i in order], target[order])
     return Scorer(weights, bias, rates)
 

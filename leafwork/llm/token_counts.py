@@ -44,6 +44,10 @@ def loaded(path: str):
     from tokenizers import Tokenizer
 
     spec = json.loads(open(path, encoding="utf-8").read())
+    parts = spec.get("pre_tokenizer") or {}
+    plain = spec.get("normalizer") is None and spec["model"].get("type", "BPE") == "BPE" and parts.get("type") == "ByteLevel" and parts.get("use_regex", True) and not parts.get("add_prefix_space")
+    if not plain or any(x.get("lstrip") or x.get("rstrip") or x.get("single_word") for x in spec.get("added_tokens", [])):
+        raise ValueError(f"{path}: the shortcut is proven for plain byte-level BPE only")
     tok = Tokenizer.from_file(path)
     tok.no_truncation()
     tok.no_padding()
@@ -72,7 +76,7 @@ def whole_tokens(tok, specials: list[str]) -> frozenset[str]:
 def unsettled() -> str:
     """Code points that Unicode 3.2 had not assigned, as the inside of a character class.
 
-    Pattern engines of other Unicode versions may class them differently; texts that hold one are left to the
+    Pattern engines of other Unicode versions may class them differently; the words round them are left to the
     library. A test proves that the engines agree on all others.
     """
     old = unicodedata.ucd_3_2_0.category
@@ -86,33 +90,57 @@ def unsettled() -> str:
     return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs)
 
 
+def lone(text: str, i: int) -> bool:
+    """Whether a single space between two words stands at i: every engine cuts before it."""
+    return 0 < i < len(text) - 1 and text[i] == " " and not text[i - 1].isspace() and not text[i + 1].isspace()
+
+
+def stretches(text: str, foreign: re.Pattern) -> list[tuple[bool, str]]:
+    """text in stretches, and whether each is left to the library: those round foreign characters, from lone space to lone space."""
+    out, done = [], 0
+    while found := foreign.search(text, done):
+        low, high = found.start(), found.end()
+        while low > done and not lone(text, low):
+            low -= 1
+        while high < len(text) and not lone(text, high):
+            high += 1
+        out += [(False, text[done:low]), (True, text[low:high])]
+        done = high
+    return [*out, (False, text[done:])]
+
+
 def count_tokens(texts: list[str | None], path: str, cache: dict[str, int], odd: str = "") -> list[int]:
     """The number of tokens of each text; null counts as empty. odd: see unsettled()."""
     tok, whole, split, specials = loaded(path)
     foreign = re.compile(f"[{odd}]") if odd else None
     at = regex.compile("|".join(map(regex.escape, sorted(specials, key=len, reverse=True)))) if specials else None
+
+    def plainly(part: str) -> int:
+        words = split.findall(part)
+        rest = [w for w in words if w not in whole]
+        n = len(words) - len(rest)
+        for w in rest:
+            c = cache.get(w)
+            if c is None:
+                c = len(tok.model.tokenize(mapped(w)))
+                if len(cache) >= CACHE:
+                    cache.clear()
+                cache[w] = c
+            n += c
+        return n
+
     out = []
     for text in texts:
-        if foreign and text and not text.isascii() and foreign.search(text):
-            out.append(len(tok.encode(text, add_special_tokens=False).ids))
-            continue
         n = 0
         parts = [text or ""]
         if at and text and any(s in text for s in specials):
             parts = at.split(text)
             n = len(parts) - 1
         for part in parts:
-            words = split.findall(part)
-            rest = [w for w in words if w not in whole]
-            n += len(words) - len(rest)
-            for w in rest:
-                c = cache.get(w)
-                if c is None:
-                    c = len(tok.model.tokenize(mapped(w)))
-                    if len(cache) >= CACHE:
-                        cache.clear()
-                    cache[w] = c
-                n += c
+            if foreign and not part.isascii() and foreign.search(part):
+                n += sum(len(tok.encode(x, add_special_tokens=False).ids) if left else plainly(x) for left, x in stretches(part, foreign) if x)
+            else:
+                n += plainly(part)
         out.append(n)
     return out
 

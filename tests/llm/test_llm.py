@@ -188,7 +188,7 @@ def test_token_counts(spark, docs, odd, empty):
     tok = token_counts.loaded(path)[0]
     rng = random.Random(2)
     pool = [chr(c) for c in range(1, 0x11000) if not 0xD800 <= c < 0xE000]
-    texts = ["<|endoftext|>", "a<|endoftext|> b<|endoftext|><|endoftext|>", "  \n\n x\t y z　\x1c\x85b", "'s I'LL don't", "\U0001fae8 new", *["".join(rng.choice(pool if rng.random() < 0.5 else " ab1'\n") for _ in range(40)) for _ in range(300)]]
+    texts = ["<|endoftext|>", "a<|endoftext|> b<|endoftext|><|endoftext|>", "  \n\n x\t y z　\x1c\x85b", "'s I'LL don't", "\U0001fae8 new", "a \U0001fae8b c  \U0001fae8\n\U0001fae8 d e\U0001fae8", " \U0001fae8 <|endoftext|>\U0001fae8 x y", *["".join(rng.choice(pool if rng.random() < 0.5 else " ab1'\n") for _ in range(40)) for _ in range(300)]]
     df = docs.select("doc_id", "text").union(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).union(odd.select("doc_id", "text"))
     rows = df.collect()
     want = collections.Counter((r.doc_id, len((r.text or "").encode()), len(e.ids), len(e.ids) > 512) for r, e in zip(rows, tok.encode_batch([r.text or "" for r in rows], add_special_tokens=False), strict=True))
@@ -234,6 +234,49 @@ def test_em_finds_the_better_labeller():
     assert post[patterns.index("+++.")] > 0.95 > 0.05 > post[patterns.index("---.")]
 
 
+def test_em_over_patterns_equals_em_over_texts():
+    """Posteriors by text, in plain loops over all texts, against those over the counts of patterns."""
+    rng = random.Random(11)
+    texts = ["".join(rng.choice("++-0") if rng.random() < 0.6 else "-" for _ in range(2)) + rng.choice("+-..") for _ in range(300)]
+    trust, rounds = quality.TRUST, 25
+    post = []
+    for t in texts:
+        lean = t.count("+") - t.count("-")
+        post.append({"+": 0.95, "-": 0.05}.get(t[2], min(0.9, max(0.1, 0.5 + 0.2 * lean))))
+    for _ in range(rounds):
+        sides = []
+        for weight in (post, [1 - p for p in post]):
+            rate = []
+            for j in range(2):
+                seen = {v: 0.5 + sum(w for w, t in zip(weight, texts, strict=True) if t[j] == v) for v in "+-0"}
+                rate.append({v: x / sum(seen.values()) for v, x in seen.items()} | {".": 1.0})
+            sides.append((sum(weight) + 1, rate))
+        new = []
+        for t in texts:
+            like = []
+            for side, (prior, rate) in enumerate(sides):
+                given = {"+": (trust, 1 - trust)[side], "-": (1 - trust, trust)[side]}.get(t[2], 1.0)
+                like.append(prior * rate[0][t[0]] * rate[1][t[1]] * given)
+            new.append(like[0] / sum(like))
+        post = new
+    patterns = sorted(set(texts))
+    before, quality.EM_ROUNDS = quality.EM_ROUNDS, rounds
+    try:
+        got, _ = quality.expectation_maximisation(patterns, np.array([texts.count(p) for p in patterns], float), 2)
+    finally:
+        quality.EM_ROUNDS = before
+    assert np.allclose([got[patterns.index(t)] for t in texts], post, atol=2e-4)
+
+
+def test_repeats_of_a_labelled_row_train_once(spark, docs, labels):
+    """Thousands of equal rows, labelled, do not change what is trained."""
+    few = docs.limit(60).select("doc_id", "text").cache()
+    many = few.unionByName(few.limit(1).crossJoin(spark.range(3000)).select("doc_id", "text"))
+    given = few.select("doc_id").selectExpr("doc_id", "cast(doc_id % 2 AS int) AS quality", "0 AS toxic")
+    assert len(quality.fit(many, given, sample=100).weights) == quality.BUCKETS
+    assert quality.score(many, quality.fit(many, given, sample=100)).count() == 3060
+
+
 # 5: SimHash
 
 
@@ -253,6 +296,54 @@ def test_simhash(spark, docs, odd, empty):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.near_duplicates(odd).count() == len(ODD)
 
 
+def kept_of(texts: dict[int, str | None]) -> set[int]:
+    """Brute force of distinct_documents() for keys that differ."""
+    def hashed(t, w):
+        words_ = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())
+        runs = [b" ".join(words_[i : i + w]) for i in range(len(words_) - w + 1)] if len(words_) >= w else [b" ".join(words_)] if words_ else []
+        return [xxhash.xxh64_intdigest(r, seed=42) for r in runs]
+
+    def bits(h):
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+    first = {}
+    for i in sorted(texts):
+        first.setdefault(texts[i], i)
+    ids = sorted(first.values())
+    prints, sets = {i: bits(hashed(texts[i], 2)) for i in ids}, {i: set(hashed(texts[i], 5)) for i in ids}
+    group = components_of(ids, lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 6)
+    kept = set()
+    for root in set(group.values()):
+        live = [i for i in ids if group[i] == root]
+        while live:
+            kept.add(live[0])
+            live = [i for i in live[1:] if len(sets[i] & sets[live[0]]) < 0.8 * len(sets[i] | sets[live[0]])]
+    return kept
+
+
+def test_distinct_documents(spark, docs, odd, empty):
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(400)]
+    base = [" ".join(rng.choice(vocabulary) for _ in range(150)) for _ in range(5)]
+    near = []
+    for t in base:
+        for change in (1, 2, 3, 6, 12):
+            w = t.split()
+            for i in rng.sample(range(150), change):
+                w[i] = "other"
+            near.append(" ".join(w))
+    rows = [(10**6 + i, t) for i, t in enumerate(base + near + base[:2] + [None, "", " \n", "one", "One", None])]
+    df = docs.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string"))
+    texts = {r.doc_id: r.text for r in df.collect()}
+    got = [r.doc_id for r in simhash.distinct_documents(df).collect()]
+    assert len(got) == len(set(got)) and set(got) == kept_of(texts)
+    # of equal rows, and of rows of one text, one stays; another text of the same key may stay too
+    rows = [(7, "k k k", "a"), (7, "k k k", "a"), (1, "zz yy xx ww", "a"), (5, "zz yy xx ww", "b"), (5, "entirely other words here", "c"), (None, "k k k", "d"), (None, "own text", None)]
+    got = sorted(map(repr, map(tuple, simhash.distinct_documents(spark.createDataFrame(rows, "doc_id long, text string, row string")).collect())))
+    assert got == sorted(map(repr, [rows[0], rows[2], rows[4], rows[6]]))
+    assert simhash.distinct_documents(odd).columns == odd.columns and simhash.distinct_documents(empty).count() == 0
+
+
 def test_masks_cover():
     rng = random.Random(4)
     found = simhash.masks(3)
@@ -480,10 +571,8 @@ def test_pipeline(spark, docs, bench, labels):
     stage = [f for _, f in corpus_pipeline.STAGES]
     one = common.cut(stage[0](spark, kept, DATA))
     assert {r.doc_id for r in one.collect()} == judged and one.columns == docs.columns
-    rows = {r.doc_id: fingerprint(r.text) for r in one.collect()}
-    groups = components_of(sorted(rows), lambda a, b: (rows[a] ^ rows[b]).bit_count() <= 3)
     two = common.cut(stage[1](spark, one, DATA))
-    assert {r.doc_id for r in two.collect()} == set(groups.values()) and two.columns == docs.columns
+    assert sorted(r.doc_id for r in two.collect()) == sorted(kept_of({r.doc_id: r.text for r in one.collect()})) and two.columns == docs.columns
     items = [(r.item_id, r.text) for r in bench.collect()]
     texts = two.collect()
     clean = {r.doc_id for r, x in zip(texts, contaminated([r.text for r in texts], items), strict=True) if not x[1]}
