@@ -1,7 +1,7 @@
 """A corpus pipeline of five of the operators, each stage written as Parquet and read again by the next.
 
-The quality classifier drops what it rejects; of each group of near duplicates the document of the smallest id stays;
-documents that hold benchmark passages go; the rest is put in the order of a mixture by target weights; and every
+The quality classifier drops what it rejects; of each group of exact or near copies (0.8 of their five-word shingles)
+the document of the smallest id stays; documents that hold benchmark passages go; the rest is put in the order of a mixture by target weights; and every
 document gets its shard, whose slots follow that order.
 """
 
@@ -15,7 +15,7 @@ from leafwork.llm.decontaminate import clean
 from leafwork.llm.mixing import BLOCK, in_order, mix
 from leafwork.llm.quality import classify
 from leafwork.llm.sharding import shard
-from leafwork.llm.simhash import near_duplicates
+from leafwork.llm.simhash import distinct_documents
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,9 +24,8 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near duplicates. Rows of one id stay or go together."""
-    ids = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"))
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
+    """One row of each text, the one of the smallest id, and one text of each group of near copies."""
+    return distinct_documents(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
