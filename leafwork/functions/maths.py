@@ -190,3 +190,35 @@ def size_text(n: Column) -> Column:
         written = F.concat(F.format_string("%.1f", tenths / 10), F.lit(name))
         out = F.when(n >= unit, written) if out is None else out.when(n >= unit, written)
     return out.otherwise(F.concat(n.cast("string"), F.lit("B")))
+
+
+def image_ratios(width: Column, height: Column, components: Column, bits: Column, size: Column, shown_x: Column, shown_y: Column) -> Column:
+    """(raw, ratio, xppi, yppi): an image's uncompressed bytes, the share of them that is stored, in percent, and pixels an inch as shown (in points)."""
+    raw = (F.floor((width * components * bits + 7) / 8) * height).cast("long")
+    return F.struct(raw.alias("raw"), F.round(100 * size / raw, 1).alias("ratio"), F.round(width * 72 / shown_x, 0).cast("int").alias("xppi"), F.round(height * 72 / shown_y, 0).cast("int").alias("yppi"))
+
+
+def moved(matrix: list[Column], x: Column, y: Column) -> Column:
+    """A point under a matrix [a, b, c, d, e, f]."""
+    a, b, c, d, e, f = matrix
+    return F.struct((a * x + c * y + e).alias("x"), (b * x + d * y + f).alias("y"))
+
+
+def unit_size(matrix: list[Column]) -> Column:
+    """Width and height of the unit square under a matrix."""
+    a, b, c, d = matrix[:4]
+    return F.struct(F.sqrt(a * a + b * b).alias("width"), F.sqrt(c * c + d * d).alias("height"))
+
+
+def same_matrix(p: list[Column], q: list[Column], most: float = 0.1) -> Column:
+    """Whether two matrices turn alike, but for their shifts."""
+    out = F.lit(True)
+    for x, y in zip(p[:4], q[:4], strict=True):
+        out = out & (F.abs(x - y) < most)
+    return out
+
+
+def corner_distance(a: Column, b: Column) -> Column:
+    """The least squared distance between a corner of one box and a corner of another."""
+    gaps = [(a[x] - b[u]) * (a[x] - b[u]) + (a[y] - b[v]) * (a[y] - b[v]) for x in ("x1", "x2") for y in ("y1", "y2") for u in ("x1", "x2") for v in ("y1", "y2")]
+    return F.least(*gaps)

@@ -47,12 +47,31 @@ def label(style: Column, n: Column, prefix: Column) -> Column:
 
 
 def parse_date(text: Column) -> Column:
-    """The UTC time of D:YYYYMMDDHHmmSSOHH'mm', where D: and all after the year may be absent; null if out of range."""
-    pattern = "^(?:D:)?(\\d{4})(\\d{2})?(\\d{2})?(\\d{2})?(\\d{2})?(\\d{2})?([+\\-Z])?(\\d{2})?'?(\\d{2})?"
-    part = lambda i, least: F.coalesce(F.nullif(F.regexp_extract(text, pattern, i), F.lit("")).cast("int"), F.lit(least))
-    local = F.try_make_timestamp_ntz(part(1, 0), part(2, 1), part(3, 1), part(4, 0), part(5, 0), part(6, 0).cast("decimal(8,6)"))
-    shift = (part(8, 0) * 60 + part(9, 0)) * F.when(F.regexp_extract(text, pattern, 7) == "-", -1).otherwise(1)
-    return F.when(text.rlike(pattern), local - F.make_dt_interval(mins=shift))
+    """The UTC time of D:YYYYMMDDHHmmSSOHH'mm', where D: and all after the year may be absent; null if out of range.
+
+    A year before 1930 in a longer string is one of a century and three digits since then, as some writers had it.
+    """
+    body = F.regexp_replace(text, "^D:", "")
+    digits = F.regexp_extract(body, "^(\\d{4}(?:\\d{2}){0,5})", 1)
+    late = (F.substring(digits, 1, 4).try_cast("int") < 1930) & (F.length(body) > 14)
+
+    def part(at: int, least: int) -> Column:
+        plain = F.coalesce(F.substring(digits, at, 2).try_cast("int"), F.lit(least))
+        return F.when(late, F.substring(body, at + 1, 2).try_cast("int")).otherwise(plain)
+
+    year = F.when(late, F.substring(body, 1, 2).try_cast("int") * 100 + F.substring(body, 3, 3).try_cast("int")).otherwise(F.substring(digits, 1, 4).try_cast("int"))
+    local = F.try_make_timestamp_ntz(year, part(5, 1), part(7, 1), part(9, 0), part(11, 0), part(13, 0).cast("decimal(8,6)"))
+    zone = F.substring(body, F.length(digits) + 1, F.lit(7))
+    sign = F.substring(zone, 1, 1)
+    shift = (F.coalesce(F.substring(zone, 2, 2).try_cast("int"), F.lit(0)) * 60 + F.coalesce(F.substring(zone, 5, 2).try_cast("int"), F.lit(0))) * F.when(sign == "-", -1).when(sign == "+", 1).otherwise(0)
+    return F.when(digits != "", local - F.make_dt_interval(mins=shift))
+
+
+def iso_date(time: Column, minutes: Column) -> Column:
+    """YYYY-MM-DDTHH:mm:SS and the offset, given in minutes; Z where it is none."""
+    size = F.abs(minutes)
+    zone = F.concat(F.when(minutes < 0, "-").otherwise("+"), F.lpad(F.floor(size / 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((size % 60).cast("string"), 2, "0"))
+    return F.concat(F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss"), F.when(minutes == 0, "Z").otherwise(zone))
 
 
 def format_date(time: Column, minutes: Column | None = None) -> Column:

@@ -7,7 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 #: Ligatures and what they stand for.
 LIGATURES = {
@@ -22,6 +22,13 @@ SYNONYMS = {
     0x2011: 0x002D, 0x2013: 0x002D, 0x2014: 0x002D, 0x2212: 0x002D, 0x204E: 0x002A, 0x2206: 0x0394,
     0x2219: 0x00B7, 0x0424: 0x03A6, 0x03D5: 0x03C6, 0x2126: 0x03A9, 0x037E: 0x003B,
 }
+#: Accents that take space, and the combining ones.
+ACCENTS = {
+    0x0060: 0x0300, 0x00A8: 0x0308, 0x00AF: 0x0304, 0x00B4: 0x0301, 0x00B8: 0x0327, 0x02C6: 0x0302,
+    0x02C7: 0x030C, 0x02D8: 0x0306, 0x02D9: 0x0307, 0x02DA: 0x030A, 0x02DC: 0x0303, 0x02DD: 0x030B,
+}
+#: The characters of the document encoding from 0x18 and from 0x80 on; the others are Latin-1.
+DOCUMENT_CODES = {0x18: "\u02d8\u02c7\u02c6\u02d9\u02dd\u02db\u02da\u02dc", 0x80: "\u2022\u2020\u2021\u2026\u2014\u2013\u0192\u2044\u2039\u203a\u2212\u2030\u201e\u201c\u201d\u2018\u2019\u201a\u2122\ufb01\ufb02\u0141\u0152\u0160\u0178\u017d\u0131\u0142\u0153\u0161\u017e", 0xA0: "\u20ac"}
 #: Fixed: white space beyond what \s knows.
 SPACES = "[\\t\\n\\x0B\\f\\r \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
 
@@ -58,13 +65,14 @@ def fold_accents(text: Column) -> Column:
 
 
 def decode_text(raw: Column) -> Column:
-    """A byte string by its mark: UTF-16 of either order, UTF-8, or else the single-byte code (as Latin-1)."""
+    """A byte string by its mark: UTF-16 of either order, UTF-8, or else the document encoding."""
+    latin = "".join(chr(at + i) for at, chars in DOCUMENT_CODES.items() for i in range(len(chars)))
     head = F.substring(raw, 1, 2)
     return (
         F.when(head == F.unhex(F.lit("FEFF")), F.decode(F.substring(raw, 3, 1 << 30), "UTF-16BE"))
         .when(head == F.unhex(F.lit("FFFE")), F.decode(F.substring(raw, 3, 1 << 30), "UTF-16LE"))
         .when(F.substring(raw, 1, 3) == F.unhex(F.lit("EFBBBF")), F.decode(F.substring(raw, 4, 1 << 30), "UTF-8"))
-        .otherwise(F.decode(raw, "ISO-8859-1"))
+        .otherwise(F.translate(F.decode(raw, "ISO-8859-1"), latin, "".join(DOCUMENT_CODES.values())))
     )
 
 
@@ -109,6 +117,72 @@ def first_value(dn: Column, key: str) -> Column:
     return F.get(F.filter(dn, lambda x: x["key"] == key), 0)["value"]
 
 
+def upper_each(text: Column) -> Column:
+    """Upper case character by character: what would become two stays."""
+    return F.translate(F.upper(F.translate(text, "ß", "\ue000")), "\ue000", "ß")
+
+
+def in_latin(text: Column) -> Column:
+    """text for an output of one byte a character; what that lacks becomes a question mark."""
+    return F.regexp_replace(text, "[^\\x00-\\xFF]", "?")
+
+
+def base64_of(raw: Column) -> Column:
+    """Base 64 without line breaks."""
+    return F.replace(F.base64(raw), F.lit("\r\n"), F.lit(""))
+
+
+def glyph_code(name: Column) -> Column:
+    """The code point that a glyph's name tells: uniXXXX, uXXXX to uXXXXXX, or up to two letters and a decimal number; suffixes after a dot don't count."""
+    bare = F.regexp_extract(name, "^([^.]*)", 1)
+    from_hex = lambda c: F.conv(c, 16, 10).try_cast("int")
+    return F.when(bare.rlike("^uni[0-9A-F]{4,}$"), from_hex(F.substring(bare, 4, 4))).when(bare.rlike("^u[0-9A-F]{4,6}$"), from_hex(F.substring(bare, 2, 6))).when(bare.rlike("^[A-Za-z]{0,2}[0-9]+$"), F.regexp_extract(bare, "([0-9]+)$", 1).try_cast("int"))
+
+
+def family_name(font: Column) -> Column:
+    """A font's name without its subset tag and style."""
+    return F.regexp_replace(subset_name(font), "[-,](Bold|Italic|Oblique|Regular|Roman|Light|Medium|BoldItalic|BoldOblique)+$", "")
+
+
+def conformance(text: Column) -> Column:
+    """(subtype, part, level) of names like PDF/A-2b; null where it isn't one."""
+    pattern = "^PDF/(A|E|UA|VT|X)-?([0-9]+)([a-zA-Z]*)"
+    part = lambda i: F.regexp_extract(text, pattern, i)
+    return F.when(text.rlike(pattern), F.struct(part(1).alias("subtype"), part(2).cast("int").alias("part"), F.lower(part(3)).alias("level")))
+
+
+@F.pandas_udf(StringType())
+def composed(text: pd.Series) -> pd.Series:
+    """NFC form."""
+    return text.map(lambda s: unicodedata.normalize("NFC", s), na_action="ignore")
+
+
+def combine_accents(text: Column) -> Column:
+    """Letters and the accents set after them as one character, where there is one."""
+    marks, letters = "".join(map(chr, ACCENTS)), "\\p{L}"
+    pairs = F.regexp_replace(text, f"({letters})([{marks}])", "$1\ue001$2")
+    for spacing, mark in ACCENTS.items():
+        pairs = F.replace(pairs, F.lit("\ue001" + chr(spacing)), F.lit(chr(mark)))
+    return composed(pairs)
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def compatible_places(text: pd.Series) -> pd.Series:
+    """For each character of the NFKC form, where in the text its own part begins; parts are a character and the marks after it."""
+
+    def places(s: str) -> list[int]:
+        out, i = [], 0
+        while i < len(s):
+            j = i + 1
+            while j < len(s) and (unicodedata.combining(s[j]) or 0x1160 <= ord(s[j]) <= 0x11FF):
+                j += 1
+            out += [i] * len(unicodedata.normalize("NFKC", s[i:j]))
+            i = j
+        return out
+
+    return text.map(places, na_action="ignore")
+
+
 @F.pandas_udf(StringType())
 def compatible(text: pd.Series) -> pd.Series:
     """NFKC form."""

@@ -8,9 +8,6 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Levels that a tree may have, for walks.
-DEPTH = 32
-
 
 def written(df: DataFrame) -> tuple[DataFrame, str]:
     """df as a table in the folder that all executors share, which cuts its lineage, and the table's path."""
@@ -37,22 +34,49 @@ def outline_tree(headings: DataFrame, doc: str = "page_id") -> DataFrame:
     return headings.withColumn("parent", parent)
 
 
-def walk_down(nodes: DataFrame, node: str, parent: str, doc: str, name: str, depth: int = DEPTH) -> DataFrame:
-    """nodes with (depth, path): names from the root down, joined by ' / '. One join by (doc, parent) for each level.
+def ancestry(nodes: DataFrame, node: str, parent: str, doc: str, name: str) -> DataFrame:
+    """(d, n, depth, line, names): for each node of a tree the nodes from its root down to itself, and their names.
 
-    A recursive query would stop at its limit of rows; levels are few, whatever the number of trees. Nodes in a
-    cycle or below a missing parent are not reached; depth bounds the walk.
+    Every round doubles the ancestors that a node knows, so trees of any depth take about log2 of it in rounds, each
+    written. Nodes in a cycle or below a missing parent are left out; null names are empty.
     """
-    narrow = nodes.select(F.col(doc).alias("d"), F.col(node).alias("n"), F.col(parent).alias("p"), F.col(name).alias("t"))
-    level = narrow.where("p is null").select("d", "n", F.lit(0).alias("depth"), F.col("t").alias("path"))
-    out, below = level, narrow.where("p is not null")
-    for _ in range(depth):
-        up = level.select("d", F.col("n").alias("p"), "depth", "path")
-        level = below.join(up, ["d", "p"]).select("d", "n", (F.col("depth") + 1).alias("depth"), F.concat("path", F.lit(" / "), "t").alias("path")).persist()
-        if level.isEmpty():
+    rows = nodes.select(F.col(doc).alias("d"), F.col(node).alias("n"), F.col(parent).alias("up"), F.lit(0).alias("depth"), F.array(node).alias("line"), F.array(F.coalesce(F.col(name), F.lit(""))).alias("names"))
+    known, _ = written(rows)
+    for _ in range(known.count().bit_length() + 1):
+        if known.where("up is not null").isEmpty():
             break
-        out = out.unionByName(level)
-    return out.toDF(doc, node, "depth", "path")
+        above = known.select("d", F.col("n").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"), F.col("line").alias("l"), F.col("names").alias("t"))
+        moved = known.where("up is not null").join(above, ["d", "up"]).select("d", "n", F.col("next").alias("up"), (F.col("depth") + F.col("more") + 1).alias("depth"), F.concat("l", "line").alias("line"), F.concat("t", "names").alias("names"))
+        known, _ = written(known.where("up is null").unionByName(moved))
+    return known.where("up is null").drop("up")
+
+
+def walk_down(nodes: DataFrame, node: str, parent: str, doc: str, name: str) -> DataFrame:
+    """(doc, node, depth, path): names from the root down, joined by ' / '; see ancestry()."""
+    return ancestry(nodes, node, parent, doc, name).select("d", "n", "depth", F.array_join("names", " / ").alias("path")).toDF(doc, node, "depth", "path")
+
+
+def subtree_text(nodes: DataFrame, node: str, parent: str, doc: str, text: str, order: str, eol: str = "\n") -> DataFrame:
+    """(doc, node, text): the text of each node and all below it, in the order of a column that numbers nodes depth first."""
+    lines = ancestry(nodes, node, parent, doc, text).select("d", "n", F.explode("line").alias("top"))
+    said = nodes.select(F.col(doc).alias("d"), F.col(node).alias("n"), F.col(order).alias("o"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("o", "t"))), lambda s: s["t"])
+    return lines.join(said, ["d", "n"]).groupBy("d", "top").agg(F.array_join(parts, eol).alias("text")).toDF(doc, node, "text")
+
+
+def attributes(nodes: DataFrame, stated: DataFrame, node: str, parent: str, owners: list[str]) -> DataFrame:
+    """nodes with effective: the value that the first of the owners states (node, owner, value), else the nearest ancestor's."""
+    rank = F.array_position(F.array(*map(F.lit, owners)), F.col("owner"))
+    own = stated.where(rank > 0).groupBy(node).agg(F.min_by("value", rank).alias("_own"))
+    return inherited(nodes.join(own, node, "left"), node, parent, "_own").drop("_own")
+
+
+def resolved_roles(roles: DataFrame, standard: DataFrame) -> DataFrame:
+    """(role, type) of a role map (role, target): the first standard type (type) on the way; roles that end nowhere or in a circle have none."""
+    stop = standard.select(F.col("type").alias("_stop")).distinct()
+    marked = roles.select("role", "target").join(stop, F.col("role") == F.col("_stop"), "left_anti").join(stop, F.col("target") == F.col("_stop"), "left")
+    tree = marked.select("role", F.when(F.col("_stop").isNull(), F.col("target")).alias("above"), F.col("_stop").alias("own"))
+    return inherited(tree, "role", "above", "own").select("role", F.col("effective").alias("type"))
 
 
 def inherited(nodes: DataFrame, node: str, parent: str, value: str) -> DataFrame:
@@ -176,6 +200,45 @@ def outline_retitle(outline: DataFrame, doc: int, node: int, title: str) -> Data
 
 def qualified_names(fields: DataFrame) -> DataFrame:
     """(doc_id, node, name): form fields' names from the root down, joined by dots; fields without a name add nothing."""
-    named = fields.withColumn("title", F.coalesce("title", F.lit("")))
-    paths = walk_down(named, "node", "parent", "doc_id", "title")
-    return paths.select("doc_id", "node", F.array_join(F.filter(F.split("path", " / "), lambda p: p != ""), ".").alias("name"))
+    names = ancestry(fields, "node", "parent", "doc_id", "title").select("d", "n", F.array_join(F.filter("names", lambda p: p != ""), ".").alias("name"))
+    return names.toDF("doc_id", "node", "name")
+
+
+def latest(versions: DataFrame, key: str, version: str) -> DataFrame:
+    """The row of the greatest version of each key of an append-only table; keys of any number of versions are pre-aggregated."""
+    rest = [c for c in versions.columns if c != key]
+    top = versions.groupBy(key).agg(F.max_by(F.struct(*rest), version).alias("_top"))
+    return top.select(key, *[F.col("_top")[c].alias(c) for c in rest])
+
+
+def merged_names(trees: list[DataFrame], name: str) -> DataFrame:
+    """Name trees of several documents as one; of equal names the first document's stands, whatever their number."""
+    marked = None
+    for i, t in enumerate(trees):
+        t = t.select(name, F.struct(F.lit(i).alias("_from"), *[c for c in t.columns if c != name]).alias("_row"))
+        marked = t if marked is None else marked.unionByName(t)
+    first = marked.groupBy(name).agg(F.min("_row").alias("_row"))
+    return first.select(name, *[F.col("_row")[c].alias(c) for c in trees[0].columns if c != name])
+
+
+def inside_links(strings: DataFrame, links: DataFrame, by: list[str]) -> DataFrame:
+    """strings (by, id, x1, x2) with the link (by, link, lx1, lx2) whose box holds them, the first of several; null without.
+
+    by names the page and the line, so boxes meet by an equi-join.
+    """
+    held = (F.col("x1") >= F.col("lx1")) & (F.col("x2") <= F.col("lx2"))
+    found = strings.join(links, by).where(held).groupBy(*by, "id").agg(F.min("link").alias("link"))
+    return strings.join(found, [*by, "id"], "left")
+
+
+def first_match(rows: DataFrame, cache: DataFrame, key: str, order: str) -> DataFrame:
+    """rows with the columns of the first row of their key in cache, by order; null where it has none."""
+    rest = [c for c in cache.columns if c not in (key, order)]
+    first = cache.groupBy(key).agg(F.min_by(F.struct(*rest), order).alias("_hit"))
+    return rows.join(first, key, "left").select(*rows.columns, *[F.col("_hit")[c].alias(c) for c in rest])
+
+
+def new_fonts(fonts: DataFrame, start: int, n: int, page: str = "page_id") -> DataFrame:
+    """(font, page) of the fonts that the pages from start on, n of them, show first: what a scan that goes on from a cursor tells."""
+    shown = fonts.groupBy("font").agg(F.min(page).alias(page))
+    return shown.where((F.col(page) >= start) & (F.col(page) < start + n))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafwork.functions.text import SYNONYMS
+from leafwork.operators.ranges import ranked
 
 WHITE = 255
 
@@ -71,9 +72,9 @@ def distances(glyphs: DataFrame, key: str = "vec_id") -> DataFrame:
 
 def rank_and_cut(measured: DataFrame, cut: float, key: str = "vec_id") -> DataFrame:
     """measured with (rank, valid): by distance in each code point, the farthest `cut` of them not valid."""
-    by = Window.partitionBy("unicode")
-    ranked = measured.withColumn("rank", F.row_number().over(by.orderBy("distance", key)))
-    return ranked.withColumn("valid", F.col("rank") <= F.count(F.lit(1)).over(by) - F.floor(F.count(F.lit(1)).over(by) * cut))
+    placed = ranked(measured, ["unicode"], ["distance", key], F.floor(F.col("distance") * 8))
+    sizes = measured.groupBy("unicode").agg(F.count(F.lit(1)).alias("_all"))
+    return placed.join(sizes, "unicode").withColumn("valid", F.col("rank") <= F.col("_all") - F.floor(F.col("_all") * cut)).drop("_all")
 
 
 def downscale(bitmap: Column, width: int, factor: int, height: int) -> Column:
@@ -105,14 +106,73 @@ def quartiles(bitmap: Column) -> Column:
 
 def folds(glyphs: DataFrame, k: int, key: str = "vec_id") -> DataFrame:
     """glyphs with fold: the i-th of each code point, in hashed order, in fold i mod k."""
-    return glyphs.withColumn("fold", ((F.row_number().over(Window.partitionBy("unicode").orderBy(F.md5(F.col(key).cast("string")))) - 1) % k).cast("int"))
+    hashed = glyphs.withColumn("_hash", F.md5(F.col(key).cast("string")))
+    placed = ranked(hashed, ["unicode"], ["_hash"], F.conv(F.substring("_hash", 1, 2), 16, 10).cast("int"))
+    return placed.withColumn("fold", ((F.col("rank") - 1) % k).cast("int")).drop("_hash", "rank")
+
+
+def covariances(glyphs: DataFrame, size: int) -> DataFrame:
+    """(unicode, i, j, covariance) of every two pixels of each code point, by n - 1; null for a single glyph. Sums are pre-aggregated."""
+    cells = glyphs.select("unicode", F.posexplode("bitmap").alias("i", "x"), "bitmap")
+    sums = [F.sum(F.col("x").cast("double") * F.get("bitmap", F.lit(j))).alias(f"p{j}") for j in range(size)]
+    rows = cells.groupBy("unicode", "i").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("x").cast("double")).alias("s"), *sums)
+    whole = rows.groupBy("unicode").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda c: c["s"]).alias("all"))
+    each = rows.join(whole, "unicode").select("unicode", "i", "n", "s", "all", F.posexplode(F.array(*[f"p{j}" for j in range(size)])).alias("j", "p"))
+    return each.select("unicode", "i", "j", F.when(F.col("n") > 1, (F.col("p") - F.col("s") * F.get("all", F.col("j")) / F.col("n")) / (F.col("n") - 1)).alias("covariance"))
+
+
+def counters(merged: DataFrame, fewest: int) -> DataFrame:
+    """One row of counts over (unicode, bitmap, n): combinations that are private or control codes, blank, or of few occurrences, and bitmaps of one or several code points."""
+    each = merged.groupBy("bitmap").agg(F.count(F.lit(1)).alias("k"), F.count_if(is_private(F.col("unicode"))).alias("private"), F.count_if(is_control(F.col("unicode"))).alias("control"), F.count_if(F.col("n") < fewest).alias("rare"), F.first(is_blank(F.col("bitmap"))).alias("blank"))
+    return each.agg(F.count_if(F.col("k") == 1).alias("single"), F.count_if(F.col("k") > 1).alias("multiple"), *[F.sum(c).alias(c) for c in ("private", "control", "rare")], F.count_if("blank").alias("blank"))
+
+
+def cumulative(merged: DataFrame) -> DataFrame:
+    """merged with reached: the share of a bitmap's counts that its code points make up, from the most frequent on."""
+    by = Window.partitionBy("bitmap")  # as many rows as a bitmap has code points
+    return merged.withColumn("reached", F.sum("n").over(by.orderBy(F.desc("n"), F.desc("unicode"))) / F.sum("n").over(by))
+
+
+def likeness(glyphs: DataFrame, chosen: int, key: str = "vec_id") -> DataFrame:
+    """glyphs with distance: Euclidean, from the chosen glyph's image; one row is sent to all."""
+    one = F.broadcast(glyphs.where(F.col(key) == chosen).limit(1).select(F.col("bitmap").alias("_image")))
+    gap = F.aggregate(F.zip_with("bitmap", "_image", lambda v, m: (v - m) * (v - m) / float(WHITE * WHITE)), F.lit(0.0), lambda a, x: a + x)
+    return glyphs.join(one, F.lit(True)).withColumn("distance", F.sqrt(gap)).drop("_image")
+
+
+def activated(glyphs: DataFrame, order: str, low: float | None = None, high: float | None = None, on: bool = True) -> DataFrame:
+    """glyphs (valid) switched on or off where `order` lies between low and high; without bounds all of them."""
+    inside = F.lit(True)
+    if low is not None:
+        inside = inside & (F.col(order) >= low)
+    if high is not None:
+        inside = inside & (F.col(order) <= high)
+    return glyphs.withColumn("valid", F.when(inside, F.lit(on)).otherwise(F.col("valid")))
+
+
+def jittered(bitmap: Column, width: int, height: int, dx: Column, dy: Column, flip: bool = False) -> Column:
+    """A bitmap moved by whole pixels, turned left to right if told; what comes in from outside is white."""
+
+    def pixel(i: Column) -> Column:
+        x, y = i % width - dx, F.floor(i / width).cast("int") - dy
+        x = width - 1 - x if flip else x
+        return F.when((x >= 0) & (x < width) & (y >= 0) & (y < height), F.get(bitmap, (y * width + x).cast("int"))).otherwise(F.lit(WHITE))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(width * height - 1)), pixel)
+
+
+def balanced_sample(glyphs: DataFrame, share: float, key: str = "vec_id", power: float = 0.5) -> DataFrame:
+    """A sampling operator: each glyph with the chance share * n^-power of its code point's n, by a hash of its key, so that runs agree."""
+    sizes = glyphs.groupBy("unicode").agg(F.count(F.lit(1)).alias("_n"))
+    chance = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("double") / 2.0**32
+    return glyphs.join(sizes, "unicode").where(chance < share * F.pow("_n", F.lit(-power))).drop("_n")
 
 
 def mahalanobis(glyphs: DataFrame, width: int, height: int, factor: int = 2, key: str = "vec_id", least: float = 1e-7) -> DataFrame:
     """(key, unicode, distance) from the class mean by the pseudo-inverse of the class covariance of downscaled images.
 
     Moments are sums that Spark pre-aggregates, so a class of any size is one row of moments to its scorers; the
-    scoring streams. Singular values up to `least` are dropped; classes of one have distance 0.
+    scoring streams. Singular values up to `least` are dropped; where none is left, the distance is Euclidean.
     """
     small = glyphs.select(F.col(key).alias("key"), "unicode", downscale(F.transform("bitmap", lambda v: v / WHITE), width, factor, height).alias("x"))
     d = (width // factor) * (height // factor)
@@ -125,17 +185,18 @@ def mahalanobis(glyphs: DataFrame, width: int, height: int, factor: int = 2, key
     def score(batches):
         known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for pdf in batches:
-            out = []
-            for r in pdf.itertuples():
-                if r.unicode not in known:
-                    s, n = np.asarray(r.s), r.n
-                    mean = s / n
-                    cov = (np.asarray(r.p).reshape(d, d) - np.outer(s, mean)) / max(n - 1, 1)
+            out = np.zeros(len(pdf))
+            for code, rows in pdf.groupby("unicode").indices.items():
+                if code not in known:
+                    first = pdf.iloc[rows[0]]
+                    s, n = np.asarray(first.s), first.n
+                    cov = (np.asarray(first.p).reshape(d, d) - np.outer(s, s / n)) / max(n - 1, 1)
                     u, w, vt = np.linalg.svd(cov)
-                    known[r.unicode] = (mean, (vt.T[:, w > least] / w[w > least]) @ u.T[w > least])
-                mean, inverse = known[r.unicode]
-                gap = np.asarray(r.x) - mean
-                out.append((r.key, r.unicode, float(np.sqrt(max(gap @ inverse @ gap, 0.0)))))
-            yield pd.DataFrame(out, columns=["key", "unicode", "distance"])
+                    known[code] = (s / n, (vt.T[:, w > least] / w[w > least]) @ u.T[w > least])
+                mean, inverse = known[code]
+                gap = np.stack(pdf.x.iloc[rows].to_numpy()) - mean
+                # where nothing of the covariance is left, the plain distance
+                out[rows] = np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", gap, inverse, gap), 0)) if inverse.any() else np.sqrt((gap**2).sum(axis=1))
+            yield pd.DataFrame({"key": pdf.key, "unicode": pdf.unicode, "distance": out})
 
     return joined.mapInPandas(score, "key long, unicode int, distance double").withColumnRenamed("key", key)

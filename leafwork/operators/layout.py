@@ -6,6 +6,8 @@ Order-dependent geometry runs per page in Arrow-backed pandas; all else is built
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -18,18 +20,56 @@ DENSITY, WORDS_PER_LINE = 0.7, 5
 WORD_BREAK, OVERLAP_BREAK, WORD_SPACE, GROUP_SPACE = 0.1, 0.2, 0.1, 0.9
 #: Fixed: distances of words of one cluster, in font sizes, along and across the lines.
 NEAR_X, NEAR_Y = 1.0, 1.4
+#: Fixed: characters under TINY in width and height, and how many of them a page may have.
+TINY, TINY_MOST = 3, 50_000
+#: Fixed: the share of slant that makes text diagonal, and the size from which a lone capital is a drop cap.
+DIAGONAL, DROP_CAP = 0.1, 20
 
 
 def is_alphabetic(text: Column) -> Column:
     return text.rlike("[A-Za-z]")
 
 
+def rotation_class(m0: Column, m1: Column, m2: Column, m3: Column) -> Column:
+    """Quarter turns of a font matrix, by its greater diagonal."""
+    upright = F.abs(m0 * m3) > F.abs(m1 * m2)
+    return F.when(upright, F.when((m0 > 0) | (m3 < 0), 0).otherwise(2)).otherwise(F.when(m2 > 0, 1).otherwise(3))
+
+
+def is_diagonal(m0: Column, m1: Column) -> Column:
+    return F.when(F.abs(m0) >= F.abs(m1), F.abs(m1) > DIAGONAL * F.abs(m0)).otherwise(F.abs(m0) > DIAGONAL * F.abs(m1))
+
+
+def is_drop_cap(text: Column, size: Column) -> Column:
+    return (F.length(text) == 1) & text.rlike("^\\p{Lu}$") & (size >= DROP_CAP)
+
+
+def shown(text: Column, blank: Column) -> Column:
+    """What an empty glyph stands for: a space, unless it is one."""
+    return F.when(blank & ~text.rlike("^\\s$"), F.lit(" ")).otherwise(text)
+
+
+def on_page_chars(chars: DataFrame, width: float, height: float) -> DataFrame:
+    """chars inside the page, without NUL and NaN; of characters under TINY both ways the first TINY_MOST of each page.
+
+    Tiny characters are numbered only on pages that have more of them.
+    """
+    sound = ~(F.isnan("x1") | F.isnan("x2") | F.isnan("baseline")) & (F.col("text") != "\0")
+    inside = (F.col("x2") >= 0) & (F.col("x1") <= width) & (F.col("baseline") >= 0) & (F.col("baseline") <= height)
+    kept = chars.where(sound & inside)
+    tiny = (F.col("x2") - F.col("x1") < TINY) & (F.col("font_size") < TINY)
+    crowded = kept.where(tiny).groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > TINY_MOST).select("doc_id", "page")
+    number = F.sum(tiny.cast("int")).over(Window.partitionBy("doc_id", "page").orderBy("char_pos"))
+    cut = kept.join(crowded, ["doc_id", "page"], "left_semi").withColumn("number", number).where(~tiny | (F.col("number") <= TINY_MOST)).drop("number")
+    return kept.join(crowded, ["doc_id", "page"], "left_anti").unionByName(cut)
+
+
 def chars_to_words(chars: DataFrame) -> DataFrame:
-    """(doc_id, page, word, text, x1, x2, baseline) from (doc_id, page, char_pos, text, x1, x2, baseline, font_size).
+    """(doc_id, page, word, text, x1, x2, baseline) from (doc_id, page, char_pos, text, x1, x2, baseline, font_size), and rotation, if it is there.
 
-    A word ends at white space, a baseline or size change, a gap of more than 0.1 or an overlap of more than 0.2
-    font sizes. A character within 0.1 font sizes of the one before, the same, on its baseline, is fake bold and goes.
-    NaN positions and NUL characters go.
+    A word ends at white space, a change of baseline, size or rotation, a gap of more than 0.1 or an overlap of more
+    than 0.2 font sizes. A character within 0.1 font sizes of the one before, the same, on its baseline, is fake bold
+    and goes. NaN positions and NUL characters go.
     """
     order = Window.partitionBy("doc_id", "page").orderBy("char_pos")
     sound = chars.where(~F.isnan("x1") & ~F.isnan("x2") & ~F.isnan("baseline") & (F.col("text") != "\0"))
@@ -39,9 +79,11 @@ def chars_to_words(chars: DataFrame) -> DataFrame:
     gap = F.col("x1") - last("x2")
     blank = F.col("text").rlike("^\\s$")
     breaks = last("x2").isNull() | (gap > WORD_BREAK * F.col("font_size")) | (gap < -OVERLAP_BREAK * F.col("font_size")) | (F.col("baseline") != last("baseline")) | (F.col("font_size") != last("font_size")) | last("blank")
+    if "rotation" in chars.columns:
+        breaks = breaks | (F.col("rotation") != last("rotation"))
     marked = sound.withColumn("blank", blank).withColumn("word", F.sum(F.coalesce(breaks, F.lit(True)).cast("int")).over(order) - 1)
     words = marked.where("not blank").groupBy("doc_id", "page", "word")
-    return words.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("char_pos", "text"))), lambda s: s["text"]), "").alias("text"), F.min("x1").alias("x1"), F.max("x2").alias("x2"), F.first("baseline").alias("baseline"))
+    return words.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("char_pos", "text"))), lambda s: s["text"]), "").alias("text"), F.min("x1").alias("x1"), F.max("x2").alias("x2"), F.min("baseline").alias("baseline"))
 
 
 def line_boxes(words: DataFrame, *keys: str) -> DataFrame:
@@ -74,33 +116,46 @@ def page_category(width: float, height: float) -> Column:
 
 
 def near_words(page: pd.DataFrame, near_x: float, near_y: float) -> pd.DataFrame:
-    """The cluster of each word of one page: the least word of all it reaches by steps to near words."""
-    x1, x2, y, size = (page[c].to_numpy(float) for c in ("x1", "x2", "row", "font_size"))
-    ids, root = page["word_id"].to_numpy(), np.argsort(np.argsort(page["word_id"].to_numpy()))
+    """The cluster of each word of one page: the least word of all it reaches by steps to near words of its rotation.
+
+    Words are taken by height, so that each meets only those within reach above and below.
+    """
+    page = page.sort_values(["rotation", "row", "word_id"], kind="stable")
+    x1, x2, y, size, turn = (page[c].to_numpy(float) for c in ("x1", "x2", "row", "font_size", "rotation"))
+    ids = page["word_id"].to_numpy()
+    root = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
+    reach, place = near_y * size.max(), turn * (y.max() - y.min() + 2 * near_y * size.max() + 1) + y - y.min()
     a, b = [], []
-    for i in range(0, len(page), 512):
-        part = slice(i, i + 512)
-        least = np.minimum(size[part, None], size[None])
-        dx = np.minimum.reduce([np.abs(p[part, None] - q[None]) for p in (x1, x2) for q in (x1, x2)])
-        dx = np.where((x1[part, None] <= x2[None]) & (x1[None] <= x2[part, None]), 0, dx)
-        dy = np.abs(y[part, None] - y[None])
-        p, q = np.nonzero((dx <= near_x * least) & (dy <= near_y * least))
+    for i in range(0, len(page), 256):
+        part = slice(i, i + 256)
+        low, high = np.searchsorted(place, [place[part][0] - reach, place[part][-1] + reach], side="left")
+        high = np.searchsorted(place, place[part][-1] + reach, side="right")
+        other = slice(low, high)
+        least = np.minimum(size[part, None], size[None, other])
+        dx = np.minimum.reduce([np.abs(p[part, None] - q[None, other]) for p in (x1, x2) for q in (x1, x2)])
+        dx = np.where((x1[part, None] <= x2[None, other]) & (x1[None, other] <= x2[part, None]), 0, dx)
+        dy = np.abs(y[part, None] - y[None, other])
+        p, q = np.nonzero((dx <= near_x * least) & (dy <= near_y * least) & (turn[part, None] == turn[None, other]))
         a.append(p + i)
-        b.append(q)
+        b.append(q + low)
     a, b = np.concatenate(a), np.concatenate(b)
-    while True:
+    at = np.empty(len(root), np.int64)
+    at[root] = np.arange(len(root))
+    while True:  # roots are ranks of ids; each round also looks up what the root itself has found
         old = root.copy()
         low = np.minimum(root[a], root[b])
         np.minimum.at(root, a, low)
         np.minimum.at(root, b, low)
+        root = np.minimum(root, root[at[root]])
         if (old == root).all():
             break
     return pd.DataFrame({"doc_id": page["doc_id"], "page": page["page"], "word_id": ids, "cluster_id": np.sort(ids)[root]})
 
 
 def cluster_words(words: DataFrame, near_x: float = NEAR_X, near_y: float = NEAR_Y) -> DataFrame:
-    """(doc_id, page, word_id, cluster_id): single linkage with a cut-off, by page. A task holds one page at a time."""
-    narrow = words.select("doc_id", "page", F.col("word_id").cast("long").alias("word_id"), "x1", "x2", "row", "font_size")
+    """(doc_id, page, word_id, cluster_id): single linkage with a cut-off, by page and rotation. A task holds one page at a time."""
+    turn = F.col("rotation") if "rotation" in words.columns else F.lit(0)
+    narrow = words.select("doc_id", "page", F.col("word_id").cast("long").alias("word_id"), "x1", "x2", "row", "font_size", turn.alias("rotation"))
     kind = narrow.schema["doc_id"].dataType.simpleString()
     return narrow.groupBy("doc_id", "page").applyInPandas(lambda page: near_words(page, near_x, near_y), f"doc_id {kind}, page int, word_id long, cluster_id long")
 
@@ -139,28 +194,38 @@ def page_text(words: DataFrame, eol: str = "\n") -> DataFrame:
 
 
 def merge_boxes(page: pd.DataFrame) -> pd.DataFrame:
-    """DATA boxes of one page merged nearest first, unless the union hits a labelled box; ties by id."""
+    """DATA boxes of one page merged nearest first, unless the union hits a labelled box; ties by id.
+
+    Distances wait in a heap; those of boxes that have since grown or gone are passed over.
+    """
     boxes = {r.box_id: (r.x1, r.y1, r.x2, r.y2) for r in page[page.category == "UNKNOWN"].itertuples()}
-    fixed = [(r.x1, r.y1, r.x2, r.y2) for r in page[page.category != "UNKNOWN"].itertuples()]
-    owner = {k: k for k in boxes}
-    hit = lambda p, q: p[0] <= q[2] and q[0] <= p[2] and p[1] <= q[3] and q[1] <= p[3]
+    fixed = page.loc[page.category != "UNKNOWN", ["x1", "y1", "x2", "y2"]].to_numpy(float)
+    owner, grown = {k: k for k in boxes}, dict.fromkeys(boxes, 0)
     away = lambda p, q: max(p[0] - q[2], q[0] - p[2], 0) ** 2 + max(p[1] - q[3], q[1] - p[3], 0) ** 2
-    refused: set[tuple[int, int]] = set()
-    while True:
-        pairs = [(away(boxes[i], boxes[j]), i, j) for i in boxes for j in boxes if i < j and (i, j) not in refused]
-        if not pairs:
-            break
-        _, i, j = min(pairs)
-        p, q = boxes[i], boxes[j]
-        union = (min(p[0], q[0]), min(p[1], q[1]), max(p[2], q[2]), max(p[3], q[3]))
-        if any(hit(union, f) for f in fixed):
-            refused.add((i, j))
+    near = [(away(boxes[i], boxes[j]), i, j, 0, 0) for i in boxes for j in boxes if i < j]
+    heapq.heapify(near)
+    while near:
+        _, i, j, a, b = heapq.heappop(near)
+        if i not in boxes or j not in boxes or (grown[i], grown[j]) != (a, b):
             continue
-        boxes[i] = union
+        p, q = boxes[i], boxes[j]
+        x1, y1, x2, y2 = union = (min(p[0], q[0]), min(p[1], q[1]), max(p[2], q[2]), max(p[3], q[3]))
+        if ((fixed[:, 0] <= x2) & (x1 <= fixed[:, 2]) & (fixed[:, 1] <= y2) & (y1 <= fixed[:, 3])).any():
+            continue  # until one of the two grows
+        boxes[i], grown[i] = union, grown[i] + 1
         del boxes[j]
-        refused = {r for r in refused if i not in r and j not in r}
-        owner = {k: i if v == j else v for k, v in owner.items()}
-    rows = [(k, owner[k], *boxes[owner[k]]) for k in sorted(owner)]
+        owner[j] = i
+        for k in boxes:
+            if k != i:
+                low, high = min(i, k), max(i, k)
+                heapq.heappush(near, (away(boxes[low], boxes[high]), low, high, grown[low], grown[high]))
+
+    def last(k: int) -> int:
+        while owner[k] != k:
+            k = owner[k]
+        return k
+
+    rows = [(k, last(k), *boxes[last(k)]) for k in sorted(owner)]
     out = pd.DataFrame(rows, columns=["box_id", "merged_id", "x1", "y1", "x2", "y2"])
     return out.assign(doc_id=page.doc_id.iloc[0], page=page.page.iloc[0])[["doc_id", "page", "box_id", "merged_id", "x1", "y1", "x2", "y2"]]
 

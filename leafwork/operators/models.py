@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -118,3 +118,34 @@ def class_weights(rows: DataFrame, label: str) -> DataFrame:
     counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     whole = Window.orderBy(label)  # over as many rows as there are classes
     return counts.select(label, "n", F.round(F.sum("n").over(Window.partitionBy()) / (F.count(F.lit(1)).over(Window.partitionBy()) * F.col("n")), 6).alias("weight"), (F.dense_rank().over(whole) - 1).alias("index"))
+
+
+def weighted_class(rows: DataFrame, by: str, label: str, weight: str) -> DataFrame:
+    """(by, label, weight): the label of the greatest summed weight of each group, ties to the greater label."""
+    sums = rows.groupBy(by, label).agg(F.sum(weight).alias("w"))
+    return sums.groupBy(by).agg(F.max(F.struct("w", label)).alias("m")).select(by, F.col("m")[label].alias(label), F.col("m.w").alias("weight"))
+
+
+def loss(probabilities: Column, actual: Column) -> Column:
+    """Cross entropy of one prediction."""
+    return -F.ln(F.greatest(F.get(probabilities, actual), F.lit(1e-300)))
+
+
+def histogram(rows: DataFrame, label: str) -> DataFrame:
+    """(label, n, extreme) of each class: extreme is most or least where no other class has more or fewer."""
+    counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    bounds = counts.agg(F.max("n").alias("_most"), F.min("n").alias("_least"))  # one row
+    marked = counts.join(F.broadcast(bounds), F.lit(True))
+    return marked.withColumn("extreme", F.when(F.col("n") == F.col("_most"), "most").when(F.col("n") == F.col("_least"), "least")).drop("_most", "_least")
+
+
+def save_network(spark: SparkSession, layers: list[Layer], path: str, model: int = 0) -> None:
+    """A network's parameters as rows (model, layer, activation, bias, weights)."""
+    rows = [(model, i, x.activation, list(map(float, x.bias)), [list(map(float, w)) for w in x.weights]) for i, x in enumerate(layers)]
+    spark.createDataFrame(rows, "model int, layer int, activation string, bias array<double>, weights array<array<double>>").write.mode("append").parquet(path)
+
+
+def load_network(spark: SparkSession, path: str, model: int = 0) -> list[Layer]:
+    """The network of that number; a table has as many rows as its networks have layers."""
+    rows = spark.read.parquet(path).where(F.col("model") == model).orderBy("layer").collect()
+    return [Layer([list(w) for w in r.weights], list(r.bias), r.activation) for r in rows]

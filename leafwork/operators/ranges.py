@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Intervals up to which the join carries them all to every task.
-BROADCAST_INTERVALS = 100_000
+from leafwork.functions.numbering import from_letters, from_roman
+
 
 
 def running_ranges(spans: DataFrame, order: str, length: str) -> DataFrame:
@@ -15,13 +15,33 @@ def running_ranges(spans: DataFrame, order: str, length: str) -> DataFrame:
 
 
 def in_ranges(points: DataFrame, spans: DataFrame, point: str, base: str, length: str, bin_size: int = 1024) -> DataFrame:
-    """points joined with the interval [base, base + length) that holds them.
-
-    Up to BROADCAST_INTERVALS intervals are broadcast, by a count; more are cut into bins that points meet by an
-    equi-join.
-    """
+    """points joined with the interval [base, base + length) that holds them: both meet by bins, then by bounds."""
     inside = (F.col(point) >= F.col(base)) & (F.col(point) < F.col(base) + F.col(length))
-    if spans.limit(BROADCAST_INTERVALS + 1).count() <= BROADCAST_INTERVALS:
-        return points.join(F.broadcast(spans), inside)
-    bins = spans.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(base) / bin_size), F.floor((F.col(base) + F.col(length) - 1) / bin_size))))
+    bins = spans.where(F.col(length) > 0).withColumn("_bin", F.explode(F.sequence(F.floor(F.col(base) / bin_size), F.floor((F.col(base) + F.col(length) - 1) / bin_size))))
     return points.withColumn("_bin", F.floor(F.col(point) / bin_size)).join(bins, "_bin").where(inside).drop("_bin")
+
+
+def ranked(rows: DataFrame, keys: list[str], order: list[str], bucket: Column) -> DataFrame:
+    """rows with rank, from 1 by `order` in each key. bucket never falls as `order` rises: rows are ranked bucket by
+    bucket behind the counts of those before, so a key of many rows is split over tasks."""
+    cut = rows.withColumn("_bucket", bucket)
+    sizes = cut.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy(*keys).orderBy("_bucket")) - F.col("_n")).drop("_n")
+    place = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*order))
+    return cut.withColumn("_place", place).join(before, [*keys, "_bucket"]).withColumn("rank", F.col("_before") + F.col("_place")).drop("_bucket", "_place", "_before")
+
+
+def label_index(labels: DataFrame, spans: DataFrame) -> DataFrame:
+    """labels (label) with index: the page of a label, by ranges (base, length, style, prefix, first); null if no range has it, the first of several.
+
+    Every beginning of a label is looked up among the prefixes by an equi-join.
+    """
+    parts = labels.select("label").distinct().select("label", F.explode(F.sequence(F.lit(0), F.length("label"))).alias("_k"))
+    parts = parts.select("label", F.substring("label", F.lit(1), F.col("_k")).alias("prefix"), F.expr("substring(label, _k + 1)").alias("_rest"))
+    number = F.when(F.col("style") == "D", F.when(F.col("_rest").rlike("^[0-9]+$"), F.col("_rest").try_cast("long"))).when(F.col("style").isin("R", "r"), from_roman(F.col("_rest"))).when(F.col("style").isin("A", "a"), from_letters(F.col("_rest")))
+    met = parts.join(spans, "prefix").withColumn("_number", number)
+    plain = F.col("style").isNull() & (F.col("length") == 1) & (F.col("_rest") == "")
+    known = (F.col("_number") >= 0) & (F.col("_number") - F.col("first") < F.col("length"))
+    index = F.when(plain, F.col("base")).when(known, F.col("base") + F.col("_number") - F.col("first"))
+    found = met.select("label", "base", index.cast("long").alias("_index")).where("_index is not null").groupBy("label").agg(F.min_by("_index", "base").alias("index"))
+    return labels.join(found, "label", "left")

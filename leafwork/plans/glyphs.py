@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafwork.operators import glyphs, models
@@ -32,8 +32,8 @@ def keyed(df: DataFrame) -> DataFrame:
 
 
 def coarse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Glyphs of the first two pixels' signs only, so that bitmaps repeat."""
-    return source(spark, sf_dir).withColumn("bitmap", F.transform(F.slice("bitmap", 1, 2), lambda v: F.when(v > 0, 255).otherwise(0)))
+    """Glyphs in black and white, all pixels, so that bitmaps repeat."""
+    return source(spark, sf_dir).withColumn("bitmap", F.transform("bitmap", lambda v: F.when(v > 0, 255).otherwise(0)))
 
 
 def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,8 +127,55 @@ def entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = lambda i: F.get("bitmap", F.lit(i)).cast("double")
-    return source(spark, sf_dir).groupBy("unicode").agg(F.round(F.covar_samp(x(0), x(1)), 4).alias("c01"), F.round(F.covar_samp(x(0), x(0)), 4).alias("c00"), F.round(F.covar_samp(x(5), x(9)), 4).alias("c59"))
+    return glyphs.covariances(source(spark, sf_dir), 64).withColumn("covariance", F.round("covariance", 4))
+
+
+def counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels stand for code points of all kinds."""
+    codes = coarse(spark, sf_dir).withColumn("unicode", F.element_at(F.array(*map(F.lit, (0xE001, 0x7F, 0x41, 0x42, 0xF0000, 0x20, 0x61, 0x62, 0x63, 0x64))), F.col("unicode") + 1))
+    return glyphs.counters(glyphs.merge(codes), 3)
+
+
+def cumulative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = glyphs.cumulative(glyphs.merge(coarse(spark, sf_dir)))
+    return found.select("unicode", F.md5(F.array_join("bitmap", ",")).alias("bitmap"), F.round("reached", 6).alias("reached"))
+
+
+def similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances from glyph 7; those from 1.2 on are switched off."""
+    measured = glyphs.likeness(source(spark, sf_dir), 7).withColumn("distance", F.round("distance", 6)).withColumn("valid", F.lit(True))
+    return glyphs.activated(measured, "distance", low=1.2, on=False).select("vec_id", "distance", "valid")
+
+
+def jittered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dx, dy = (F.col("vec_id") % 3 - 1).cast("int"), (F.col("vec_id") % 5 - 2).cast("int")
+    moved = glyphs.jittered(F.col("bitmap"), 8, 8, dx, dy)
+    return source(spark, sf_dir).select("vec_id", F.md5(F.array_join(moved, ",")).alias("digest"))
+
+
+def sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return glyphs.balanced_sample(source(spark, sf_dir), 3.0).select("vec_id", "unicode")
+
+
+def abundance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code points by how often they occur: as many rows as classes."""
+    counted = glyphs.merge(source(spark, sf_dir)).groupBy("unicode").agg(F.sum("n").alias("n"))
+    return counted.withColumn("rank", F.row_number().over(Window.orderBy("n", "unicode")))
+
+
+def loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by = scored(spark, sf_dir).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(models.loss(F.col("probabilities"), F.col("label"))), 6).alias("loss"))
+    return by
+
+
+def heaviest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The type of event that weighs most for each user, in cents."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_type", F.round(F.col("value") * 100).cast("long").alias("w"))
+    return models.weighted_class(events, "user_id", "event_type", "w")
+
+
+def histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.histogram(table(spark, sf_dir, "part"), "p_type")
 
 
 QUERIES = {
@@ -136,9 +183,10 @@ QUERIES = {
     "glyph_averages": averages, "glyph_ranks": ranks, "glyph_downscaled": downscaled, "glyph_ink": ink, "glyph_quartiles": quartiles, "glyph_folds": folds,
     "glyph_mahalanobis": mahalanobis, "glyph_covariance": covariance, "model_network": network, "model_accuracy": accuracy, "model_confusion": confusion,
     "model_forest": forest, "model_class_weights": weights, "model_split_entropy": entropy,
+    "glyph_counters": counters, "glyph_cumulative": cumulative, "glyph_similar": similar, "glyph_jittered": jittered, "glyph_balanced_sample": sampled, "glyph_abundance": abundance, "model_loss": loss, "model_weighted_class": heaviest, "model_histogram": histogram,
 }
 
-COARSE_SQL = f"(SELECT source, unicode, n, CASE WHEN bitmap[1] > 0 THEN '255' ELSE '0' END || ',' || CASE WHEN bitmap[2] > 0 THEN '255' ELSE '0' END AS bitmap FROM {GLYPHS_SQL})"
+COARSE_SQL = f"(SELECT source, unicode, n, array_to_string(list_transform(bitmap, lambda v: CASE WHEN v > 0 THEN 255 ELSE 0 END), ',') AS bitmap FROM {GLYPHS_SQL})"
 MERGED_SQL = "(SELECT unicode, bitmap, sum(n)::bigint AS n FROM (SELECT source, unicode, bitmap, max(n) AS n FROM {of} GROUP BY source, unicode, bitmap) GROUP BY unicode, bitmap)"
 COARSE_MERGED = MERGED_SQL.format(of=COARSE_SQL)
 
@@ -146,14 +194,14 @@ COARSE_MERGED = MERGED_SQL.format(of=COARSE_SQL)
 def _network_sql() -> str:
     hidden = ", ".join(f"greatest(list_sum(list_transform(list_zip(e, {w}::double[]), lambda p: p[1] * p[2])) + {b}, 0)::double" for w, b in zip(_W1, NETWORK[0].bias, strict=True))
     out = ", ".join(" + ".join([f"h[{i + 1}] * {v}::double" for i, v in enumerate(w)] + [f"{b}::double"]) for w, b in zip(_W2, NETWORK[1].bias, strict=True))
-    return f"""(SELECT vec_id, label, (list_position(p, list_max(p)) - 1)::int AS predicted, round(list_max(p), 6) AS probability,
-            list_max(p) >= 0.25 AND p[label + 1] <= 0.01 AND list_position(p, list_max(p)) - 1 <> label AS accepted
-        FROM (SELECT vec_id, label, list_transform(x, lambda v: v / list_sum(x)) AS p FROM (
+    return f"""(SELECT vec_id, label, list_transform(x, lambda v: v / list_sum(x)) AS p FROM (
             SELECT vec_id, label, list_transform(o, lambda v: exp(v - list_max(o))) AS x FROM (
-                SELECT vec_id, label, [{out}] AS o FROM (SELECT vec_id, label, [{hidden}] AS h FROM (SELECT vec_id, label, embedding::double[] AS e FROM embeddings))))))"""
+                SELECT vec_id, label, [{out}] AS o FROM (SELECT vec_id, label, [{hidden}] AS h FROM (SELECT vec_id, label, embedding::double[] AS e FROM embeddings)))))"""
 
 
-NETWORK_SQL = _network_sql()
+SCORES_SQL = _network_sql()
+NETWORK_SQL = f"""(SELECT vec_id, label, (list_position(p, list_max(p)) - 1)::int AS predicted, round(list_max(p), 6) AS probability,
+            list_max(p) >= 0.25 AND p[label + 1] <= 0.01 AND list_position(p, list_max(p)) - 1 <> label AS accepted FROM {SCORES_SQL})"""
 ORACLE_SQL = {
     "glyph_merged": f"SELECT * FROM {COARSE_MERGED}",
     "glyph_folded": "SELECT u AS unicode, bitmap, sum(n)::bigint AS n FROM (SELECT CASE unicode WHEN 8208 THEN 45 WHEN 8211 THEN 45 WHEN 956 THEN 181 WHEN 160 THEN 32 WHEN 8486 THEN 937 ELSE unicode END AS u, bitmap, n FROM "
@@ -177,7 +225,19 @@ ORACLE_SQL = {
     "glyph_quartiles": f"""SELECT vec_id, s[floor(n * 0.25)::int + 1] AS q1, s[floor(n * 0.5)::int + 1] AS q2, s[floor(n * 0.75)::int + 1] AS q3, (255 * len(list_filter(s, lambda v: v > 0)))::int AS white
         FROM (SELECT vec_id, list_sort(bitmap) AS s, len(list_filter(bitmap, lambda v: v < list_max(bitmap))) AS n FROM {GLYPHS_SQL})""",
     "glyph_folds": f"SELECT unicode, fold, count(*)::bigint AS n, sum(vec_id)::bigint AS ids FROM (SELECT unicode, vec_id, ((row_number() OVER (PARTITION BY unicode ORDER BY md5(vec_id::varchar)) - 1) % 5)::int AS fold FROM {GLYPHS_SQL}) GROUP BY unicode, fold",
-    "glyph_covariance": f"SELECT unicode, round(covar_samp(bitmap[1], bitmap[2]), 4) AS c01, round(covar_samp(bitmap[1], bitmap[1]), 4) AS c00, round(covar_samp(bitmap[6], bitmap[10]), 4) AS c59 FROM {GLYPHS_SQL} GROUP BY unicode",
+    "glyph_covariance": f"""SELECT unicode, i, j, round((sum(bitmap[i + 1]::double * bitmap[j + 1]) - sum(bitmap[i + 1]::double) * sum(bitmap[j + 1]::double) / count(*)) / (count(*) - 1), 4) AS covariance
+        FROM {GLYPHS_SQL}, (SELECT unnest(range(64))::int AS i) a, (SELECT unnest(range(64))::int AS j) b GROUP BY unicode, i, j""",
+    "glyph_counters": f"""SELECT count(*) FILTER (WHERE k = 1)::bigint AS single, count(*) FILTER (WHERE k > 1)::bigint AS multiple, sum(private)::bigint AS private, sum(control)::bigint AS control, sum(rare)::bigint AS rare, count(*) FILTER (WHERE blank)::bigint AS blank FROM (
+        SELECT bitmap, count(*) AS k, count(*) FILTER (WHERE unicode IN (0, 4)) AS private, count(*) FILTER (WHERE unicode IN (1, 5)) AS control, count(*) FILTER (WHERE n < 3) AS rare, NOT contains(',' || bitmap || ',', ',0,') AS blank FROM {COARSE_MERGED} GROUP BY bitmap)""",
+    "glyph_cumulative": f"SELECT unicode, md5(bitmap) AS bitmap, round(sum(n) OVER (PARTITION BY bitmap ORDER BY n DESC, unicode DESC) / sum(n) OVER (PARTITION BY bitmap), 6) AS reached FROM {COARSE_MERGED}",
+    "glyph_similar": f"SELECT vec_id, distance, distance < 1.2 AS valid FROM (SELECT g.vec_id, round(sqrt(list_sum(list_transform(list_zip(g.bitmap, c.bitmap), lambda p: (p[1] - p[2]) * (p[1] - p[2]) / 65025.0::double))), 6) AS distance FROM {GLYPHS_SQL} g, (SELECT bitmap FROM {GLYPHS_SQL} WHERE vec_id = 7) c)",
+    "glyph_jittered": f"""SELECT vec_id, md5(array_to_string(list_transform(range(64), lambda i: CASE WHEN i % 8 - (vec_id % 3 - 1) BETWEEN 0 AND 7 AND i // 8 - (vec_id % 5 - 2) BETWEEN 0 AND 7
+        THEN bitmap[(i // 8 - (vec_id % 5 - 2)) * 8 + i % 8 - (vec_id % 3 - 1) + 1] ELSE 255 END), ',')) AS digest FROM {GLYPHS_SQL}""",
+    "glyph_balanced_sample": f"SELECT vec_id, unicode FROM (SELECT *, count(*) OVER (PARTITION BY unicode) AS k FROM {GLYPHS_SQL}) WHERE ('0x' || md5(vec_id::varchar)[:8])::bigint / 4294967296.0::double < 3.0::double * pow(k, -0.5)",
+    "glyph_abundance": f"SELECT unicode, n, row_number() OVER (ORDER BY n, unicode)::int AS rank FROM (SELECT unicode, sum(n)::bigint AS n FROM " + MERGED_SQL.format(of=GLYPHS_SQL) + " GROUP BY unicode)",
+    "model_loss": f"SELECT label, count(*)::bigint AS n, round(avg(-ln(p[label + 1])), 6) AS loss FROM {SCORES_SQL} GROUP BY label",
+    "model_weighted_class": "SELECT user_id, event_type, w AS weight FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY w DESC, event_type DESC) AS rn FROM (SELECT user_id, event_type, sum(round(value * 100)::bigint)::bigint AS w FROM events GROUP BY ALL)) WHERE rn = 1",
+    "model_histogram": "SELECT p_type, n, CASE WHEN n = max(n) OVER () THEN 'most' WHEN n = min(n) OVER () THEN 'least' END AS extreme FROM (SELECT p_type, count(*)::bigint AS n FROM part GROUP BY p_type)",
     "model_network": f"SELECT * FROM {NETWORK_SQL}",
     "model_accuracy": f"SELECT sum(n)::bigint AS n, round(sum(k) / sum(n), 6) AS micro, round(avg(k / n), 6) AS macro FROM (SELECT label, count(*) FILTER (WHERE label = predicted) AS k, count(*) AS n FROM {NETWORK_SQL} GROUP BY label)",
     "model_confusion": f"SELECT label, predicted, count(*)::bigint AS n, round(100.0::double * count(*) / sum(count(*)) OVER (PARTITION BY label), 6) AS percent FROM {NETWORK_SQL} GROUP BY label, predicted",

@@ -11,9 +11,14 @@ from leafwork.sources.tables import table
 
 
 def code_point_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = table(spark, sf_dir, "documents").select("lang", F.explode(text.code_points(F.col("text"))).alias("code"))
-    counted = found.groupBy("lang", "code").agg(F.count(F.lit(1)).alias("n"))
-    return counted.select("lang", "code", text.from_code_point(F.col("code")).alias("char"), "n")
+    """Characters are counted in runs of sorted ones inside each row, so a row sends each of its characters once."""
+    chars = F.array_sort(F.filter(F.split("text", ""), lambda c: c != ""))
+    ends = lambda c: F.filter(F.transform(c, lambda x, i: F.when(F.coalesce(F.get(c, i + 1), F.lit("")) != x, F.struct((i + 1).alias("end"), x.alias("char")))), lambda x: x.isNotNull())
+    runs = table(spark, sf_dir, "documents").select("lang", chars.alias("c")).select("lang", ends(F.col("c")).alias("e"))
+    sized = F.transform("e", lambda x, i: F.struct(x["char"].alias("char"), (x["end"] - F.coalesce(F.get("e", i - 1)["end"], F.lit(0))).alias("n")))
+    counted = runs.select("lang", F.inline(sized)).groupBy("lang", "char").agg(F.sum("n").alias("n"))
+    code = F.ascii("char")
+    return counted.select("lang", code.alias("code"), text.from_code_point(code).alias("char"), "n")
 
 
 def class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,13 +75,17 @@ def number_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("*", numbering.from_roman(F.lower("roman")).alias("of_roman"), numbering.from_letters(F.col("letters")).cast("int").alias("of_letters"))
 
 
-def page_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Label ranges of growing length by part size, over customers as pages."""
+def label_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label ranges of growing length, by part size."""
     sizes = table(spark, sf_dir, "part").groupBy("p_size").agg(F.count(F.lit(1)).alias("length"))
     style = F.element_at(F.array(*map(F.lit, "DrRaA")), (F.col("p_size") % 5 + 1).cast("int"))
-    spans = ranges.running_ranges(sizes, "p_size", "length").select("base", "length", style.alias("style"), F.concat(F.lit("s"), F.col("p_size").cast("string"), F.lit("-")).alias("prefix"), F.lit(1).alias("first"))
+    return ranges.running_ranges(sizes, "p_size", "length").select("base", "length", style.alias("style"), F.concat(F.lit("s"), F.col("p_size").cast("string"), F.lit("-")).alias("prefix"), F.lit(1).alias("first"))
+
+
+def page_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels of customers as pages."""
     pages = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("page"))
-    found = ranges.in_ranges(pages, spans, "page", "base", "length")
+    found = ranges.in_ranges(pages, label_spans(spark, sf_dir), "page", "base", "length")
     n = (F.col("page") - F.col("base") + F.col("first")).cast("int")
     return found.select("page", numbering.label(F.col("style"), n, F.col("prefix")).alias("label"))
 

@@ -69,6 +69,23 @@ WORDS_SQL = f"""
 """
 
 
+def turns_of(conversations: DataFrame) -> DataFrame:
+    """The turns of conversations as documents (doc_id, text)."""
+    return conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+
+
+#: The words of turns for DuckDB, as WORDS_SQL has those of documents.
+TURN_WORDS_SQL = WORDS_SQL.replace("FROM documents WHERE", "FROM (SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations) WHERE")
+
+
+def chars_of(words: DataFrame) -> DataFrame:
+    """(doc_id, page, char_pos, text, x1, x2, baseline, font_size, rotation) of words on the grid, and a space after each but the last of a line."""
+    chars = F.filter(F.split("text", ""), lambda c: c != "")
+    each = words.select("doc_id", "page", "baseline", "x1", F.posexplode(F.concat(chars, F.array(F.lit(" ")))).alias("i", "text"))
+    at = (F.col("x1") + F.col("i")).cast("double")
+    return each.select("doc_id", "page", (F.col("baseline") * 100_000 + at.cast("long")).alias("char_pos"), "text", at.alias("x1"), (at + 1).alias("x2"), F.col("baseline").cast("double").alias("baseline"), F.lit(1.0).alias("font_size"))
+
+
 def links_of(pages: DataFrame) -> DataFrame:
     """(page_id, pos, target, kind) of every link, in order; kind by the form of its target."""
     found = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).alias("pos", "target"))

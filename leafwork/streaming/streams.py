@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -24,6 +27,23 @@ def merge_batch(batch: DataFrame, batch_id: int, path: str) -> None:
     reduced.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
 
+def retried(handle: Callable[[DataFrame, int], None], attempts: int = 5, pause: float = 3.0, skip: Callable[[DataFrame, int], None] | None = None) -> Callable[[DataFrame, int], None]:
+    """handle for foreachBatch, tried again after a pause; a batch that fails each time goes to skip, or stops the stream without one."""
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        for left in reversed(range(attempts)):
+            try:
+                return handle(batch, batch_id)
+            except Exception:
+                if not left:
+                    if skip is None:
+                        raise
+                    return skip(batch, batch_id)
+                time.sleep(pause)
+
+    return run
+
+
 def merge_glyphs(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Merges all that is there, and ends; a later start goes on where this one ended."""
     return stream.writeStream.foreachBatch(lambda df, i: merge_batch(df, i, path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

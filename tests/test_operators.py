@@ -10,7 +10,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from leafwork.operators import documents, glyphs, layout, models, search
+from leafwork.functions import numbering, text
+from leafwork.operators import documents, glyphs, layout, models, ranges, rendering, search
 from leafwork.sources import files
 from leafwork.streaming import streams
 
@@ -38,11 +39,11 @@ def test_scripts_are_taken_once(spark):
     ("needle", "flags", "hits"),
     [
         ("eclair", {}, 0), ("Éclair", {}, 1), ("eclair", {"ignore_case": True, "ignore_accents": True}, 1), ("éclair", {"ignore_accents": True}, 0), ("ÉCLAIR", {"ignore_case": True}, 1),
-        ("short", {}, 2), ("short", {"whole_words": True}, 1), ("broken", {}, 1), ("over lines", {}, 1), ("a.b", {}, 1),
+        ("short", {}, 2), ("short", {"whole_words": True}, 1), ("broken", {}, 1), ("over lines", {}, 1), ("a.b", {}, 1), ("well-known", {}, 2),
     ],
 )
 def test_search(spark, needle, flags, hits):
-    page = spark.createDataFrame([("Éclair short shorts\nbro-\nken over\nlines a.b axb",)], "text string")
+    page = spark.createDataFrame([("Éclair short shorts\nbro-\nken over\nlines a.b axb well-\nknown well-known",)], "text string")
     assert page.select(search.searched(F.col("text"), needle, **flags)).first()[0] == hits
 
 
@@ -70,10 +71,10 @@ def test_glyph_files(spark, tmp_path):
 
 
 def test_work_list_and_pages(spark, tmp_path):
-    (tmp_path / "list.tsv").write_text("path\tc\ta\tu\tl\n# note\nx/1\tc\ta\tu\tl\nbroken\tline\n")
+    (tmp_path / "list.tsv").write_text("whatever\tc\ta\tu\tl\n# note\nx/1\tc\ta\tu\tl\nbroken\tline\n")
     assert [r.path for r in files.read_work_list(spark, str(tmp_path / "list.tsv")).collect()] == ["x/1"]
-    files.write_pages(spark.createDataFrame([(0, "a\nb"), (1, "c")], "page int, text string"), str(tmp_path / "out"), "\r\n")
-    assert "a\r\nb\r\n\f" in next((tmp_path / "out" / "page=0").glob("*.txt")).read_bytes().decode()
+    files.write_pages(spark.createDataFrame([(4, 0, "a\nb"), (5, 0, "c")], "doc_id int, page int, text string"), str(tmp_path / "out"), "\r\n")
+    assert "a\r\nb\r\n\f" in next((tmp_path / "out" / "doc_id=4" / "page=0").glob("*.txt")).read_bytes().decode()
 
 
 def test_stream_goes_on_without_counting_twice(spark, tmp_path):
@@ -139,3 +140,84 @@ def test_outline_edits(spark):
     assert sorted((r.title, r.pos) for r in put.where("doc_id = 1").collect()) == [("a", 0), ("b", 2), ("c", 0), ("dd", 0), ("new", 1)]
     assert sorted((r.doc_id, r.title, r.pos) for r in documents.outline_remove(tree, 1, 1).collect()) == [(1, "b", 0), (2, "z", 0)]
     assert {r.name for r in documents.qualified_names(tree).collect()} == {"a", "b", "a.c", "a.c.d", "z"}
+
+
+def test_places(spark):
+    page = spark.createDataFrame([("an Ant\nand bro-\nken an",)], "text string")
+    of = lambda *a, **b: [tuple(p) for p in page.select(search.places(F.col("text"), *a, **b)).first()[0]]
+    assert of("an") == [(0, 1, 0), (7, 8, 1), (20, 21, 2)] and of("an", backward=True, start=1) == [(20, 21, 2), (7, 8, 1)]
+    assert of("an", ignore_case=True, stop=7) == [(0, 1, 0), (3, 4, 0)] and of("broken") == [(11, 18, 1)] and of("Ant and") == [(3, 9, 0)] and of("zz") == []
+
+
+def test_tables_keep_their_columns(spark):
+    """Left edges meet, then right edges; the second line's gap is as wide as its characters tell."""
+    rows = [(0.0, 0.0, 4.0, "name"), (0.0, 10.0, 15.0, "price"), (1.0, 0.0, 2.0, "ab"), (1.0, 12.0, 15.0, "100"), (2.0, 0.0, 3.0, "c d"), (2.0, 10.0, 12.0, "no")]
+    df = spark.createDataFrame([(1, 0, 2, *r, 1.0) for r in rows], "doc_id int, page int, cluster_id int, baseline double, x1 double, x2 double, text string, font_size double")
+    assert rendering.rendered_tables(df).first().text.split("\n") == ["name      price", "ab          100", "c d       no"]
+
+
+def test_trees_of_any_depth(spark):
+    chain = [(1, i, i - 1 if i else None, f"n{i}") for i in range(201)]
+    odd = [(2, 1, 2, "a"), (2, 2, 1, "b"), (2, 3, 9, "c"), (2, 4, None, None), (2, 5, 4, "e / f")]
+    df = spark.createDataFrame(chain + odd, "doc_id int, node int, parent int, title string")
+    got = {(r.doc_id, r.node): (r.depth, r.path) for r in documents.walk_down(df, "node", "parent", "doc_id", "title").collect()}
+    assert got == {(1, i): (i, " / ".join(f"n{j}" for j in range(i + 1))) for i in range(201)} | {(2, 4): (0, ""), (2, 5): (1, " / e / f")}
+    assert {r.node: r.name for r in documents.qualified_names(df.where("doc_id = 2")).collect()} == {4: "", 5: "e / f"}
+
+
+def test_tiny_and_lost_characters(spark, monkeypatch):
+    monkeypatch.setattr(layout, "TINY_MOST", 3)
+    rows = [(1, 0, i, "a", float(i), i + 1.0, 5.0, 1.0) for i in range(6)] + [(1, 0, 9, "b", 9.0, 14.0, 5.0, 9.0), (1, 0, 10, "c", -9.0, -8.0, 5.0, 9.0), (1, 0, 11, "d", 1.0, 2.0, 999.0, 9.0), (2, 0, 1, "e", 0.0, 1.0, 5.0, 1.0)]
+    df = spark.createDataFrame(rows, "doc_id int, page int, char_pos int, text string, x1 double, x2 double, baseline double, font_size double")
+    assert sorted((r.doc_id, r.char_pos) for r in layout.on_page_chars(df, 100, 100).collect()) == [(1, 0), (1, 1), (1, 2), (1, 9), (2, 1)]
+
+
+def test_clusters_against_all_pairs(spark):
+    rng = np.random.default_rng(4)
+    rows = [(1, 0, int(i), float(x), float(x + w), float(y), float(s), int(t)) for i, (x, w, y, s, t) in enumerate(zip(rng.uniform(0, 60, 300), rng.uniform(1, 5, 300), rng.uniform(0, 60, 300), rng.uniform(0.5, 2, 300), rng.integers(0, 2, 300), strict=True))]
+    df = spark.createDataFrame(rows, "doc_id int, page int, word_id int, x1 double, x2 double, row double, font_size double, rotation int")
+    near = lambda a, b: a[7] == b[7] and abs(a[5] - b[5]) <= 1.4 * min(a[6], b[6]) and ((a[3] <= b[4] and b[3] <= a[4]) or min(abs(p - q) for p in a[3:5] for q in b[3:5]) <= min(a[6], b[6]))
+    root = list(range(300))
+    for _ in range(300):
+        old = list(root)
+        for i in range(300):
+            for j in range(300):
+                if near(rows[i], rows[j]):
+                    root[i] = root[j] = min(root[i], root[j])
+        if old == root:
+            break
+    assert {r.word_id: r.cluster_id for r in layout.cluster_words(df).collect()} == dict(enumerate(root))
+
+
+def test_dates_and_codes(spark):
+    df = spark.createDataFrame([("D:191040915140000",), ("D:20040915140000+01'30'",), ("1999",), ("D:20041315",), ("x",)], "d string")
+    assert [r[0] for r in df.select(F.date_format(numbering.parse_date(F.col("d")), "yyyy-MM-dd HH:mm")).collect()] == ["2004-09-15 14:00", "2004-09-15 12:30", "1999-01-01 00:00", None, None]
+    raw = spark.createDataFrame([(b"\x18\x92\xa0\xe9A",), (b"\xef\xbb\xbf\xc3\xa9",), (b"\xfe\xff\x00A",)], "b binary")
+    assert [r[0] for r in raw.select(text.decode_text(F.col("b"))).collect()] == ["\u02d8\u2122\u20ac\u00e9A", "é", "A"]
+    assert spark.createDataFrame([("ﬁx e\u0301",)], "t string").select(text.compatible_places(F.col("t"))).first()[0] == [0, 0, 1, 2, 3]
+    labels = spark.createDataFrame([("iv",), ("A-3",), ("A-9",), ("cover",)], "label string")
+    spans = spark.createDataFrame([(0, 1, None, "cover", 1), (1, 6, "r", "", 1), (7, 5, "D", "A-", 1)], "base int, length int, style string, prefix string, first int")
+    assert {r["label"]: r["index"] for r in ranges.label_index(labels, spans).collect()} == {"iv": 4, "A-3": 9, "A-9": None, "cover": 0}
+
+
+def test_predictors_and_networks(spark, tmp_path):
+    data = bytes([1, 1, 1, 1, 2, 1, 1, 1])
+    df = spark.createDataFrame([(zlib.compress(data),)], "b binary")
+    undone = [files.decoded(F.col("b"), [("FlateDecode", {"predictor": p, "columns": n})]).alias(f"p{p}") for p, n in ((15, 3), (2, 4))]
+    assert list(map(bytes, df.select(*undone).first())) == [bytes([1, 2, 3, 2, 3, 4]), bytes([1, 2, 3, 4, 2, 3, 4, 5])]
+    layers = [models.Layer([[1.0, 2.0]], [0.5], "relu"), models.Layer([[1.0], [2.0]], [0.0, 1.0], "softmax")]
+    models.save_network(spark, layers, str(tmp_path / "net"), 7)
+    assert models.load_network(spark, str(tmp_path / "net"), 7) == layers
+
+
+def test_batches_are_tried_again():
+    seen, skipped = [], []
+
+    def fail(df, i):
+        seen.append(i)
+        raise ValueError
+
+    streams.retried(fail, 3, 0, lambda df, i: skipped.append(i))(None, 5)
+    with pytest.raises(ValueError):
+        streams.retried(fail, 2, 0)(None, 6)
+    assert (seen, skipped) == ([5, 5, 5, 6, 6], [5])
