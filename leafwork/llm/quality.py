@@ -219,7 +219,7 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, text: str = "text", ke
     features = [c.values.to_numpy()[i:j] for c in rows["features"].chunks for i, j in zip(c.offsets.to_numpy()[:-1], c.offsets.to_numpy()[1:], strict=True)]
     target = np.array([[posterior[0][q], posterior[1][t]] for q, t in zip(rows["q"].to_pylist(), rows["t"].to_pylist(), strict=True)]).reshape(-1, 2)
     keys = list(map(str, rows["key"].to_pylist()))
-    order = sorted(range(len(features)), key=lambda i: (keys[i], features[i].tobytes()))  # that of tasks doesn't matter
+    order = sorted(range(len(features)), key=lambda i: (keys[i], zlib.crc32(features[i])))  # that of tasks doesn't matter
     weights, bias = train([features[i] for i in order], target[order])
     return Scorer(weights, bias, rates)
 

@@ -24,11 +24,10 @@ RADIUS = 3
 SHINGLE = 3
 #: Fingerprints of a table's bucket that one task compares with each other; larger buckets are cut into blocks.
 BLOCK = 2048
-#: For whole documents: five-word shingles of which near copies share this part of all that either has.
-WORDS, SIMILARITY = 5, 0.8
-#: Candidates for that. Such copies share all but 2.3 % of their words at most, so fingerprints of two-word shingles
-#: differ less than those of five words: by six bits on average at 0.8, by four at 0.9.
-WIDE_RADIUS, PAIRS = 6, 2
+#: For whole documents: shingles of five words, and the bits in which fingerprints of near copies may differ.
+WORDS, WIDE_RADIUS = 5, 6
+#: Rows of tables that a task makes, about.
+TABLE_ROWS = 500_000
 #: Fixed: words are runs of anything but ASCII white space.
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Shingle hashes that are counted at once.
@@ -163,7 +162,9 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) ->
     the number of blocks, and no task gets more than two blocks of a bucket.
     """
     tables = F.explode(F.array(*[F.struct(F.lit(v).alias("v"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("bits")) for v, m in enumerate(masks(radius))]))
-    rows = distinct.select("fp", tables.alias("t")).select("fp", F.xxhash64("t.v", "t.bits").alias("bucket"))
+    # each fingerprint makes a row for every table, so a few of them are enough for a task
+    spread = distinct.repartition(1 + distinct.count() * len(masks(radius)) // TABLE_ROWS)
+    rows = spread.select("fp", tables.alias("t")).select("fp", F.xxhash64("t.v", "t.bits").alias("bucket"))
     large = cut(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block))
     rows = rows.join(small(large), "bucket", "left")
     blocks = F.coalesce(F.ceil(F.col("n") / block), F.lit(1)).cast("int")
@@ -197,56 +198,25 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", ra
     return prints.join(of, "fp").select(key, hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def shingle_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """docs (with a column text, given up) with shingles: the distinct hashes of the text's runs of so many words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 64):
-                some = batch.slice(i, 64)
-                sets = [np.unique(np.array(hashes(t.as_py(), words), np.uint64)).view(np.int64) for t in some.column("text")]
-                rest = some.drop_columns(["text"])
-                yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(sets, pa.list_(pa.int64()))], names=[*rest.schema.names, "shingles"])
-
-    kept = [c for c in docs.columns if c != "text"]
-    return docs.mapInArrow(run, ", ".join([*[f"{c} {docs.schema[c].dataType.simpleString()}" for c in kept], "shingles array<bigint>"]))
-
-
-def distinct_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY, radius: int = WIDE_RADIUS) -> DataFrame:
-    """The rows of docs less exact and near copies.
+def distinct_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", radius: int = WIDE_RADIUS, shingle: int = WORDS) -> DataFrame:
+    """The rows of docs less exact and near copies: one row of each group stays.
 
     Of rows of equal text the one of the smallest key stays, null keys last; ties are alike but for other columns, and
-    one of them stays. Texts whose two-word fingerprints reach each other in steps of `radius` bits are candidates. Of
-    such a group the text of the smallest key stays, and those go of whose five-word shingles, together with its own,
-    both have `similarity` or more; the rest of the group is judged in the same way again, until none is left. So a
-    row goes only if one that is as similar stays. Texts without words are copies of each other. No text is compared
-    with more than the ones that stay of its group, one after the other, so no task sees a group.
+    one of them stays. Texts whose fingerprints reach each other in steps of `radius` bits at most are a group; that of
+    the smallest key stays, ties by the text's hash. Six bits of five-word shingles is what copies differ in that share
+    nine in ten of them; copies that share less are found more rarely the less they share. Null, empty and word-less
+    texts have fingerprint zero and are a group. No rows give no rows; columns may have any names.
     """
     scratch = Scratch()
     order = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"))
     rows = docs.select(*text_key(F.col(text)), order.alias("place"), F.struct(*docs.columns).alias("row"))
     once = scratch.cut(rows.groupBy("k1", "k2").agg(F.min("place").alias("place"), F.min_by("row", "place").alias("row")))
-    named = once.select(F.struct("k1", "k2").alias("id"), F.col("row")[text].alias("text"))
-    prints = scratch.cut(fingerprints(named, "text", "id", PAIRS))
+    named = once.select(F.struct("place", "k1", "k2").alias("id"), F.col("row")[text].alias("text"))
+    prints = scratch.cut(fingerprints(named, "text", "id", shingle))
     roots = scratch.cut(components(near_links(prints.select("fp").distinct(), radius)))
-    grouped = prints.join(small(roots), prints["fp"] == roots["node"], "left").select("id.k1", "id.k2", F.coalesce("root", "fp").alias("grp"))
-    grouped = scratch.cut(grouped)
-    shared = scratch.cut(grouped.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("grp"))
-    members = scratch.cut(grouped.join(small(shared), "grp"))
-    live = scratch.cut(shingle_sets(once.join(small(members), ["k1", "k2"]).select("grp", "k1", "k2", "place", F.col("row")[text].alias("text"))))
-    gone = None
-    while not live.isEmpty():
-        first = live.groupBy("grp").agg(F.min(F.struct("place", "k1", "k2")).alias("f")).select("grp", F.col("f.k1").alias("f1"), F.col("f.k2").alias("f2"))
-        first = scratch.cut(first)
-        lead = live.select("grp", F.col("k1").alias("f1"), F.col("k2").alias("f2"), F.col("shingles").alias("lead")).join(small(first), ["grp", "f1", "f2"])
-        met = live.join(scratch.cut(lead), "grp").where("k1 <> f1 or k2 <> f2")
-        shared_words = F.size(F.array_intersect("shingles", "lead"))
-        alike = shared_words >= similarity * (F.size("shingles") + F.size("lead") - shared_words)
-        met = scratch.cut(met.select("grp", "k1", "k2", "place", "shingles", alike.alias("alike")))
-        some = met.where("alike").select("k1", "k2")
-        gone = some if gone is None else gone.unionByName(some)
-        live = met.where("not alike").drop("alike")
-    kept = once if gone is None else once.join(small(scratch.cut(gone)), ["k1", "k2"], "left_anti")
-    out = cut(kept.select("row"))
+    grouped = scratch.cut(prints.join(small(roots), prints["fp"] == roots["node"], "left").select("id", F.coalesce("root", "fp").alias("grp")))
+    first = grouped.groupBy("grp").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    gone = grouped.join(small(scratch.cut(first)), "grp").where(F.col("id") != F.col("first")).select("id.k1", "id.k2")
+    out = cut(once.join(small(scratch.cut(gone)), ["k1", "k2"], "left_anti").select("row"))
     scratch.drop()
     return out.select("row.*")

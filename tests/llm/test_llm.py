@@ -310,15 +310,8 @@ def kept_of(texts: dict[int, str | None]) -> set[int]:
     for i in sorted(texts):
         first.setdefault(texts[i], i)
     ids = sorted(first.values())
-    prints, sets = {i: bits(hashed(texts[i], 2)) for i in ids}, {i: set(hashed(texts[i], 5)) for i in ids}
-    group = components_of(ids, lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 6)
-    kept = set()
-    for root in set(group.values()):
-        live = [i for i in ids if group[i] == root]
-        while live:
-            kept.add(live[0])
-            live = [i for i in live[1:] if len(sets[i] & sets[live[0]]) < 0.8 * len(sets[i] | sets[live[0]])]
-    return kept
+    prints = {i: bits(hashed(texts[i], 5)) for i in ids}
+    return set(components_of(ids, lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 6).values())
 
 
 def test_distinct_documents(spark, docs, odd, empty):
