@@ -1,6 +1,6 @@
 """A corpus pipeline of five of the operators, each stage written as Parquet and read again by the next.
 
-The quality classifier drops what it rejects; of each group of exact or near copies (0.8 of their five-word shingles)
+The quality classifier drops what it rejects; of each group of exact or near copies (by five-word shingles)
 the document of the smallest id stays; documents that hold benchmark passages go; the rest is put in the order of a mixture by target weights; and every
 document gets its shard, whose slots follow that order.
 """
@@ -24,7 +24,7 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each text, the one of the smallest id, and one text of each group of near copies."""
+    """One row of each text, the one of the smallest id, and one text of each group of near copies by five-word shingles."""
     return distinct_documents(docs)
 
 
