@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from leafwork.operators.documents import written
+from leafwork.operators.ranges import running
+
 
 @dataclass(frozen=True)
 class Layer:
@@ -85,19 +88,26 @@ def forest_votes(trees: list[Node], features: Column) -> Column:
 def split_entropy(rows: DataFrame, feature: str, label: str) -> DataFrame:
     """(threshold, entropy) of every split between adjacent values of a feature: the weighted entropy of both sides.
 
-    Counts by value and label are pre-aggregated; the running sums go over these distinct values alone.
+    Counts by value and label are pre-aggregated and dealt by ranges of the value. A class's part in the entropy changes
+    only at its own values, so running sums of these changes give that of each split. Rows without a value take no part;
+    null labels are a class.
     """
-    counts = rows.groupBy(F.col(feature).alias("v"), F.col(label).alias("l")).agg(F.count(F.lit(1)).alias("c"))
-    labels = counts.groupBy("l").agg(F.sum("c").alias("total"))
-    values = counts.select("v").distinct()
-    grid = values.crossJoin(F.broadcast(labels)).join(counts, ["v", "l"], "left")  # a row for each value and class
-    below = F.sum(F.coalesce("c", F.lit(0))).over(Window.partitionBy("l").orderBy("v"))
-    nexts = values.select("v", F.lead("v").over(Window.orderBy("v")).alias("w")).where("w is not null")
-    sides = grid.select("v", "l", below.alias("a"), (F.col("total") - below).alias("b"))
-    term = lambda c: F.when(F.col(c) > 0, F.col(c) * F.log2(F.col(c))).otherwise(0.0)
-    each = sides.groupBy("v").agg(F.sum("a").alias("na"), F.sum("b").alias("nb"), F.sum(term("a")).alias("ta"), F.sum(term("b")).alias("tb"))
-    bits = lambda n, t: F.when(F.col(n) > 0, F.col(n) * F.log2(F.col(n)) - F.col(t)).otherwise(0.0)
-    return each.join(nexts, "v").select(((F.col("v") + F.col("w")) / 2).alias("threshold"), F.round((bits("na", "ta") + bits("nb", "tb")) / (F.col("na") + F.col("nb")), 6).alias("entropy"))
+    counts = rows.where(F.col(feature).isNotNull()).groupBy(F.col(feature).alias("v"), F.col(label).alias("l")).agg(F.count(F.lit(1)).alias("c"))
+    dealt, _ = written(counts.repartitionByRange("v").withColumn("bucket", F.spark_partition_id()))
+    labels = dealt.groupBy("l").agg(F.sum("c").alias("total")).withColumnRenamed("l", "of")
+    term = lambda n: F.when(n > 0, n * F.log2(n)).otherwise(0.0)
+    below, total = F.col("c_upto"), F.col("total")
+    under, over = term(below) - term(below - F.col("c")), term(total - below) - term(total - below + F.col("c"))
+    each = running(dealt, ["l"], "v", "bucket", ["c"]).join(labels, F.col("l").eqNullSafe(F.col("of")))
+    changes, _ = written(each.groupBy("bucket", "v").agg(F.sum("c").alias("n"), F.sum(under).alias("a"), F.sum(over).alias("b")))
+    whole = labels.agg(F.sum("total").alias("n"), F.sum(term(total)).alias("t")).first()
+    n, na, nb = F.lit(whole["n"]), F.col("n_upto"), F.lit(whole["n"]) - F.col("n_upto")
+    # the least value of the next range follows the last one of a range; there are as many rows as ranges
+    starts = changes.groupBy("bucket").agg(F.min("v").alias("first")).select("bucket", F.lead("first").over(Window.orderBy("bucket")).alias("first"))
+    after = F.coalesce(F.lead("v").over(Window.partitionBy("bucket").orderBy("v")), F.col("first"))
+    sides = running(changes, [], "v", "bucket", ["n", "a", "b"]).join(starts, "bucket").withColumn("w", after).where("w is not null")
+    bits = (term(na) - F.col("a_upto") + term(nb) - F.lit(whole["t"]) - F.col("b_upto")) / n
+    return sides.select(((F.col("v") + F.col("w")) / 2).alias("threshold"), F.round(bits, 6).alias("entropy"))
 
 
 def metrics(scored: DataFrame, actual: str, predicted: str) -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from leafwork.functions.numbering import from_letters, from_roman
 
 
-
 def running_ranges(spans: DataFrame, order: str, length: str) -> DataFrame:
     """spans with base, the sum of the lengths before; spans are few, as there is one for each numbering style of a document."""
     return spans.withColumn("base", F.sum(length).over(Window.orderBy(order)) - F.col(length))
@@ -31,6 +30,22 @@ def ranked(rows: DataFrame, keys: list[str], order: list[str], bucket: Column) -
     return cut.withColumn("_place", place).join(before, [*keys, "_bucket"]).withColumn("rank", F.col("_before") + F.col("_place")).drop("_bucket", "_place", "_before")
 
 
+def running(rows: DataFrame, keys: list[str], order: str, bucket: str, sums: list[str]) -> DataFrame:
+    """rows with <name>_upto for each of the named columns: its total over the rows of the key up to this one by `order`.
+
+    bucket never falls as `order` rises: totals run bucket by bucket behind those before, so a key of many rows is split
+    over tasks. Null keys are a key; rows equal in key and order get the same totals.
+    """
+    totals = rows.groupBy(*keys, bucket).agg(*[F.sum(c).alias(f"_{c}") for c in sums])
+    earlier = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    of = [*keys, bucket]
+    before = totals.select(*[F.col(k).alias(f"_{k}_of") for k in of], *[F.coalesce(F.sum(f"_{c}").over(earlier), F.lit(0)).alias(f"_{c}") for c in sums])
+    here = Window.partitionBy(*of).orderBy(order)
+    placed = rows.withColumns({f"_{c}_here": F.sum(c).over(here) for c in sums})
+    met = placed.join(before, [F.col(k).eqNullSafe(F.col(f"_{k}_of")) for k in of])
+    return met.select(*rows.columns, *[(F.col(f"_{c}") + F.col(f"_{c}_here")).alias(f"{c}_upto") for c in sums])
+
+
 def label_index(labels: DataFrame, spans: DataFrame) -> DataFrame:
     """labels (label) with index: the page of a label, by ranges (base, length, style, prefix, first); null if no range has it, the first of several.
 

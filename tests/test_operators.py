@@ -221,3 +221,21 @@ def test_batches_are_tried_again():
     with pytest.raises(ValueError):
         streams.retried(fail, 2, 0)(None, 6)
     assert (seen, skipped) == ([5, 5, 5, 6, 6], [5])
+
+
+def test_split_entropy_over_many_ranges(spark):
+    """Against plain counting; values without order in the table, null values and null labels, a class of a third of the rows."""
+    rng = np.random.default_rng(3)
+    rows = [(float(v) / 4 if v % 50 else None, "often" if k < 3 else None if k == 3 else f"c{k}") for v, k in zip(rng.integers(0, 900, 4000), rng.integers(0, 9, 4000), strict=True)]
+    got = {r.threshold: r.entropy for r in models.split_entropy(spark.createDataFrame(rows, "v double, l string"), "v", "l").collect()}
+    known = [(v, k) for v, k in rows if v is not None]
+    values = sorted({v for v, _ in known})
+
+    def bits(side):
+        counts = np.array([side.count(k) for k in set(side)]) / max(len(side), 1)
+        return -len(side) * float((counts * np.log2(counts)).sum())
+
+    want = {(a + b) / 2: (bits([k for v, k in known if v <= a]) + bits([k for v, k in known if v > a])) / len(known) for a, b in zip(values, values[1:], strict=False)}
+    assert got.keys() == want.keys() and all(abs(got[t] - want[t]) < 1e-5 for t in want)
+    assert models.split_entropy(spark.createDataFrame([], "v double, l string"), "v", "l").count() == 0
+    assert models.split_entropy(spark.createDataFrame([(1.0, "a")], "v double, l string"), "v", "l").count() == 0
