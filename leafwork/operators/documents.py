@@ -128,6 +128,19 @@ def visible_by(expression: list | int, states: Column) -> Column:
     return out
 
 
+def page_range(pages: DataFrame, first: int = 1, last: int | None = None, parity: int | None = None, page: str = "page") -> DataFrame:
+    """The pages first to last, to the end if no last is given; only odd (1) or even (0) ones if parity says so.
+
+    A range that ends before it begins is refused.
+    """
+    if last is not None and last < first:
+        raise ValueError(f"wrong page range: {first} to {last}")
+    found = pages.where(F.col(page) >= first)
+    if last is not None:
+        found = found.where(F.col(page) <= last)
+    return found if parity is None else found.where(F.pmod(F.col(page), F.lit(2)) == parity)
+
+
 def pending(listed: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return listed.join(done.select(key), key, "left_anti")
 

@@ -140,6 +140,37 @@ def likeness(glyphs: DataFrame, chosen: int, key: str = "vec_id") -> DataFrame:
     return glyphs.join(one, F.lit(True)).withColumn("distance", F.sqrt(gap)).drop("_image")
 
 
+def resorted(ordered: DataFrame, by: str, current: int, key: str = "vec_id") -> DataFrame:
+    """ordered (unicode, rank) with ranks anew: glyphs up to the current rank stay, those behind it come by `by`, ties by key.
+
+    by holds whole numbers, such as a height; glyphs that share one are ranked in parts by their key.
+    """
+    part = F.struct(F.col(by), F.floor(F.col(key) / 65_536))
+    behind = ranked(ordered.where(F.col("rank") > current).drop("rank"), ["unicode"], [by, key], part)
+    return ordered.where(F.col("rank") <= current).unionByName(behind.withColumn("rank", F.col("rank") + current))
+
+
+def confident(merged: DataFrame, trials: int = 100, seed: int = 0) -> DataFrame:
+    """(bitmap, codes, confident): whether a bitmap's most frequent code point would also come out so by chance.
+
+    As many code points as counted are drawn by their shares, `trials` times; the most frequent must beat all others each
+    time. A single code point is sure. Draws depend on seed and bitmap alone, so a task that runs again draws the same. A
+    row holds the counts of one bitmap, of which there are as many as it has code points.
+    """
+
+    @F.pandas_udf("boolean")
+    def sure(counts: pd.Series, key: pd.Series) -> pd.Series:
+        def one(n: np.ndarray, k: int) -> bool:
+            n = np.sort(n)[::-1]
+            drawn = np.random.default_rng([seed, k & (1 << 63) - 1]).multinomial(n.sum(), n / n.sum(), trials)
+            return len(n) == 1 or bool((drawn[:, :1] > drawn[:, 1:]).all())
+
+        return pd.Series([one(np.asarray(n, np.int64), k) for n, k in zip(counts, key, strict=True)], dtype=bool)
+
+    rows = merged.where(F.col("n") > 0).groupBy("bitmap").agg(F.collect_list(F.col("n").cast("long")).alias("counts"))
+    return rows.select("bitmap", F.size("counts").alias("codes"), sure("counts", F.xxhash64("bitmap")).alias("confident"))
+
+
 def activated(glyphs: DataFrame, order: str, low: float | None = None, high: float | None = None, on: bool = True) -> DataFrame:
     """glyphs (valid) switched on or off where `order` lies between low and high; without bounds all of them."""
     inside = F.lit(True)

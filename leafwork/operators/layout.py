@@ -160,6 +160,12 @@ def cluster_words(words: DataFrame, near_x: float = NEAR_X, near_y: float = NEAR
     return narrow.groupBy("doc_id", "page").applyInPandas(lambda page: near_words(page, near_x, near_y), f"doc_id {kind}, page int, word_id long, cluster_id long")
 
 
+def clusters_by_size(clustered: DataFrame) -> DataFrame:
+    """(doc_id, page, cluster_id, n, size_rank): a page's clusters by their numbers of words, the largest first, ties by id."""
+    sizes = clustered.groupBy("doc_id", "page", "cluster_id").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.withColumn("size_rank", F.row_number().over(Window.partitionBy("doc_id", "page").orderBy(F.desc("n"), "cluster_id")))
+
+
 def near_pairs(left: DataFrame, right: DataFrame, by: list[str], dx: int, dy: int) -> DataFrame:
     """Pairs of points (by, id, x, y) within dx and dy: a proximity join on grid cells instead of all pairs.
 
@@ -174,7 +180,9 @@ def near_pairs(left: DataFrame, right: DataFrame, by: list[str], dx: int, dy: in
 
 
 def word_groups(words: DataFrame, *keys: str, gap: float = GROUP_SPACE, space: float = WORD_SPACE) -> DataFrame:
-    """(keys, baseline, grp, x1, x2, text): words of a line joined while gaps are at most `gap`, with a space above `space`."""
+    """(keys, baseline, grp, x1, x2, text): words of a line joined while gaps are at most `gap`, with a space above `space`. A gap must be over 0 and at most 10."""
+    if not 0 < gap <= 10:
+        raise ValueError(f"no such gap between columns: {gap}")
     order = Window.partitionBy(*keys, "baseline").orderBy("x1")
     step = F.col("x1") - F.lag("x2").over(order)
     marked = words.withColumn("gap", step).withColumn("grp", F.sum((F.coalesce(step, F.lit(1e9)) > gap).cast("int")).over(order) - 1)

@@ -13,11 +13,23 @@ def running_ranges(spans: DataFrame, order: str, length: str) -> DataFrame:
     return spans.withColumn("base", F.sum(length).over(Window.orderBy(order)) - F.col(length))
 
 
-def in_ranges(points: DataFrame, spans: DataFrame, point: str, base: str, length: str, bin_size: int = 1024) -> DataFrame:
-    """points joined with the interval [base, base + length) that holds them: both meet by bins, then by bounds."""
+def in_ranges(points: DataFrame, spans: DataFrame, point: str, base: str, length: str, bin_size: int = 1024, by: tuple[str, ...] = ()) -> DataFrame:
+    """points joined with the interval [base, base + length) of the same `by` that holds them: both meet by bins, then by bounds."""
     inside = (F.col(point) >= F.col(base)) & (F.col(point) < F.col(base) + F.col(length))
     bins = spans.where(F.col(length) > 0).withColumn("_bin", F.explode(F.sequence(F.floor(F.col(base) / bin_size), F.floor((F.col(base) + F.col(length) - 1) / bin_size))))
-    return points.withColumn("_bin", F.floor(F.col(point) / bin_size)).join(bins, "_bin").where(inside).drop("_bin")
+    return points.withColumn("_bin", F.floor(F.col(point) / bin_size)).join(bins, [*by, "_bin"]).where(inside).drop("_bin")
+
+
+def mapped_codes(chars: DataFrame, maps: DataFrame, bin_size: int = 256) -> DataFrame:
+    """chars (font, code) with unicode, by maps (font, base, length, target) of ranges of codes to code points from target on.
+
+    Null if the font has no range for the code; of several the one that begins last holds. Each code of a font is looked
+    up once, however often it occurs.
+    """
+    codes = chars.select("font", "code").where(F.col("font").isNotNull() & F.col("code").isNotNull()).distinct()
+    met = in_ranges(codes, maps, "code", "base", "length", bin_size, ("font",))
+    to = met.groupBy("font", "code").agg(F.max_by(F.col("target") + F.col("code") - F.col("base"), F.struct("base", "target")).alias("unicode"))
+    return chars.join(to, ["font", "code"], "left")
 
 
 def ranked(rows: DataFrame, keys: list[str], order: list[str], bucket: Column) -> DataFrame:

@@ -169,6 +169,25 @@ def padded_lines(words: DataFrame, *keys: str) -> DataFrame:
     return words.withColumn("piece", piece).groupBy(*keys, "baseline").agg(F.array_join(F.transform(F.array_sort(F.collect_list("piece")), lambda s: s["t"]), "").alias("text"))
 
 
+def text_by_mode(words: DataFrame, mode: str) -> DataFrame:
+    """(doc_id, page, text) of words (doc_id, page, content_pos, column_no, baseline, x1, text), one line of text for each line.
+
+    raw takes lines and words as the content has them, physical goes down the page across its columns, reading goes down
+    one column after the other. One shuffle, by page, serves both steps.
+    """
+    line, order = {
+        "raw": (["column_no", "baseline"], ["content_pos"]),
+        "physical": (["baseline"], ["column_no", "x1"]),
+        "reading": (["column_no", "baseline"], ["x1"]),
+    }[mode]
+    first = F.struct(F.min("content_pos") if mode == "raw" else F.struct(*line))
+    joined = lambda by, text, sep: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(by, text))), lambda s: s["t"]), sep)
+    by_page = words.repartition("doc_id", "page")
+    place = F.struct(*order, "content_pos").alias("o")
+    lines = by_page.groupBy("doc_id", "page", *line).agg(first.alias("o"), joined(place, F.col("text").alias("t"), " ").alias("t"))
+    return lines.groupBy("doc_id", "page").agg(joined(F.col("o"), F.col("t"), "\n").alias("text"))
+
+
 def rotated_order(rotation: Column, baseline: Column, x1: Column, x2: Column) -> list[Column]:
     """Sort keys of words: by lines, then along them, in the direction of their rotation."""
     turned = rotation.isin(1, 2)

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import random
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafwork.operators import glyphs, models
+from leafwork.operators.ranges import ranked
 from leafwork.sources.tables import GLYPHS_SQL, glyphs_of, table
 
 #: A small fixed network: 64 inputs, three hidden units, ten classes, weights in sixteenths.
@@ -178,7 +180,20 @@ def histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.histogram(table(spark, sf_dir, "part"), "p_type")
 
 
+def resorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Glyphs behind the third of each code point, by four measures of their ink in turn."""
+    first = ranked(ink(spark, sf_dir).join(source(spark, sf_dir).select("vec_id", "unicode"), "vec_id"), ["unicode"], ["vec_id"], F.floor(F.col("vec_id") / 65_536))
+    parts = [glyphs.resorted(first, by, 3).select("unicode", "vec_id", F.lit(by).alias("measure"), F.col("rank").cast("long").alias("rank")) for by in ("ink_height", "ink_width", "top", "bottom")]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Black-and-white bitmaps whose code point is sure; draws are no matter of SQL, a test stands for it."""
+    return glyphs.confident(merged(spark, sf_dir))
+
+
 QUERIES = {
+    "glyph_resorted": resorted, "glyph_confident": confidence,
     "glyph_merged": merged, "glyph_folded": folded, "glyph_statistics": statistics, "glyph_best_code_point": best, "glyph_variants": variants, "glyph_buckets": buckets,
     "glyph_averages": averages, "glyph_ranks": ranks, "glyph_downscaled": downscaled, "glyph_ink": ink, "glyph_quartiles": quartiles, "glyph_folds": folds,
     "glyph_mahalanobis": mahalanobis, "glyph_covariance": covariance, "model_network": network, "model_accuracy": accuracy, "model_confusion": confusion,
@@ -218,6 +233,12 @@ ORACLE_SQL = {
         d AS (SELECT vec_id, unicode, round(sqrt(sum((v - m) * (v - m))), 6) AS distance FROM px JOIN means USING (unicode, pos) GROUP BY vec_id, unicode)
         SELECT vec_id, unicode, distance, row_number() OVER (PARTITION BY unicode ORDER BY distance, vec_id) <= count(*) OVER (PARTITION BY unicode) - floor(count(*) OVER (PARTITION BY unicode) * 0.1) AS valid FROM d""",
     "glyph_downscaled": f"SELECT vec_id, (y * 4 + x)::int AS pos, (bitmap[y * 16 + x * 2 + 1] + bitmap[y * 16 + x * 2 + 2] + bitmap[y * 16 + x * 2 + 9] + bitmap[y * 16 + x * 2 + 10])::double / 4 AS v FROM {GLYPHS_SQL}, range(4) a(x), range(4) b(y)",
+    "glyph_resorted": f"""WITH px AS (SELECT vec_id, unicode, unnest(bitmap) AS v, unnest(range(64)) AS i FROM {GLYPHS_SQL}), inked AS (SELECT vec_id, unicode, i // 8 AS y, i % 8 AS x, v <= 10 AS black FROM px),
+        sized AS (SELECT vec_id, unicode, coalesce(min(y) FILTER (WHERE black), -1) AS top, coalesce(max(y) FILTER (WHERE black), -1) AS bottom,
+               coalesce(max(y) FILTER (WHERE black) - min(y) FILTER (WHERE black) + 1, 0) AS ink_height, coalesce(max(x) FILTER (WHERE black) - min(x) FILTER (WHERE black) + 1, 0) AS ink_width FROM inked GROUP BY vec_id, unicode),
+        ordered AS (SELECT *, row_number() OVER (PARTITION BY unicode ORDER BY vec_id) AS first FROM sized),
+        long AS (SELECT unicode, vec_id, first, unnest(['ink_height', 'ink_width', 'top', 'bottom']) AS measure, unnest([ink_height, ink_width, top, bottom]) AS size FROM ordered)
+        SELECT unicode, vec_id, measure, (row_number() OVER (PARTITION BY unicode, measure ORDER BY least(first, 4), CASE WHEN first > 3 THEN size ELSE 0 END, vec_id))::bigint AS rank FROM long""",
     "glyph_ink": f"""WITH px AS (SELECT vec_id, unnest(bitmap) AS v, unnest(range(64)) AS i FROM {GLYPHS_SQL}), inked AS (SELECT vec_id, i // 8 AS y, i % 8 AS x, v <= 10 AS black FROM px)
         SELECT vec_id, coalesce(min(y) FILTER (WHERE black), -1)::int AS top, coalesce(max(y) FILTER (WHERE black), -1)::int AS bottom,
                coalesce(max(y) FILTER (WHERE black) - min(y) FILTER (WHERE black) + 1, 0)::int AS ink_height, coalesce(max(x) FILTER (WHERE black) - min(x) FILTER (WHERE black) + 1, 0)::int AS ink_width,

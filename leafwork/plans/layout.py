@@ -74,8 +74,8 @@ def attached_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_in_box(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What stands on each first page in the columns 10 to 40 of the lines 5 to 15."""
-    inside = words(spark, sf_dir).where("page = 0 and x1 >= 10 and x2 <= 40 and baseline between 5 and 15")
+    """What stands on every page in the columns 10 to 40 of the lines 5 to 15."""
+    inside = words(spark, sf_dir).where("x1 >= 10 and x2 <= 40 and baseline % 50 between 5 and 15")
     return layout.page_text(inside)
 
 
@@ -135,7 +135,7 @@ ORACLE_SQL = {
     SELECT doc_id, page, para AS box_id, column_no, (row_number() OVER (PARTITION BY doc_id, page ORDER BY r, column_no, y1, x1, para) - 1)::int AS reading_pos FROM columned""",
     "layout_word_clusters": WORDS_SQL + "SELECT doc_id, page, (baseline * 100 + pos % 12)::bigint AS word_id, (min(baseline * 100 + pos % 12) OVER (PARTITION BY doc_id, page, para))::bigint AS cluster_id FROM words",
     "layout_rendered_pages": WORDS_SQL + TEXT_SQL.format(source="words"),
-    "layout_text_in_box": WORDS_SQL + TEXT_SQL.format(source="(SELECT * FROM words WHERE page = 0 AND x1 >= 10 AND x2 <= 40 AND baseline BETWEEN 5 AND 15)"),
+    "layout_text_in_box": WORDS_SQL + TEXT_SQL.format(source="(SELECT * FROM words WHERE x1 >= 10 AND x2 <= 40 AND baseline % 50 BETWEEN 5 AND 15)"),
     "layout_word_groups": WORDS_SQL + """, spread AS (
         SELECT doc_id, baseline, text, x1 + pos // 3 AS x1, x2 + pos // 3 AS x2 FROM words
     ), gaps AS (

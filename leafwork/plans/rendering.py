@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leafwork.operators import layout, rendering
 from leafwork.plans.layout import PAGES_SQL, page_sections
-from leafwork.sources.tables import TURN_WORDS_SQL, chars_of, table, turns_of, words_of
+from leafwork.sources.tables import TURN_WORDS_SQL, WORDS_SQL, chars_of, table, turns_of, words_of
 
 
 def turn_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,13 +110,53 @@ def turned_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ends.join(largest, ["doc_id", "page"])
 
 
+def line_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words clustered by distance, lines out of each other's reach, and the clusters of a page by size."""
+    shift = F.floor(F.col("pos") * F.col("pos") / 7)
+    placed = turn_words(spark, sf_dir).withColumns({"x1": F.col("x1") + shift, "x2": F.col("x2") + shift, "row": F.col("baseline") * 10, "word_id": F.col("baseline") * 100 + F.col("pos") % 12, "font_size": F.lit(1.0)})
+    return layout.clusters_by_size(layout.cluster_words(placed))
+
+
+def two_columns(words: DataFrame) -> DataFrame:
+    """Words with paragraphs two by two beside one another, and the columns found by where the paragraphs stand."""
+    words = words.withColumns({"x1": F.col("x1") + F.col("para") % 2 * 1_000_000, "x2": F.col("x2") + F.col("para") % 2 * 1_000_000, "baseline": F.col("line") + F.floor(F.col("para") / 2) * 100_000, "content_pos": F.col("para") * 10_000_000 + F.col("pos")})
+    boxes = layout.cluster_boxes(words.withColumn("font_size", F.lit(1.0)), "doc_id", "page", "para").select("doc_id", "page", F.col("para").alias("box_id"), "x1", "x2", F.col("para").alias("y1"), F.lit("TEXT").alias("category"))
+    columns = layout.reading_order(boxes).select("doc_id", "page", F.col("box_id").alias("para"), "column_no")
+    return words.join(columns, ["doc_id", "page", "para"])
+
+
+def text_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of two columns as raw, physical and reading text."""
+    words = two_columns(words_of(table(spark, sf_dir, "documents")))
+    modes = [rendering.text_by_mode(words, m).select("doc_id", "page", F.md5("text").alias(m)) for m in ("raw", "physical", "reading")]
+    return modes[0].join(modes[1], ["doc_id", "page"]).join(modes[2], ["doc_id", "page"])
+
+
 QUERIES = {
+    "layout_line_clusters": line_clusters, "layout_text_modes": text_modes,
     "layout_chars_to_words": chars_to_words, "layout_char_classes": char_classes, "layout_column_positions": column_groups, "layout_table_text": table_texts, "layout_tagged_pages": tagged_pages, "layout_padded_lines": padded,
     "layout_character_boxes": boxes_of_characters, "layout_selection": selection, "layout_marked_spans": marks, "layout_html_strings": html_strings, "layout_rotated_order": turned_order,
 }
 
 SPREAD_SQL = TURN_WORDS_SQL + ", spread AS (SELECT doc_id, baseline, text, x1 + pos // 3 AS x1, x2 + pos // 3 AS x2 FROM words)"
 ORACLE_SQL = {
+    "layout_line_clusters": TURN_WORDS_SQL + """, apart AS (
+            SELECT doc_id, page, baseline, baseline * 100 + pos % 12 AS word_id, x1 + pos * pos // 7 AS x1, x2 + pos * pos // 7 AS x2 FROM words
+        ), steps AS (
+            SELECT *, CASE WHEN x1 - lag(x2) OVER (PARTITION BY doc_id, page, baseline ORDER BY x1) <= 1 THEN 0 ELSE 1 END AS fresh FROM apart
+        ), runs AS (
+            SELECT *, sum(fresh) OVER (PARTITION BY doc_id, page, baseline ORDER BY x1) AS run FROM steps
+        ), sized AS (
+            SELECT doc_id, page, min(word_id)::bigint AS cluster_id, count(*)::bigint AS n FROM runs GROUP BY doc_id, page, baseline, run
+        ) SELECT *, (row_number() OVER (PARTITION BY doc_id, page ORDER BY n DESC, cluster_id))::int AS size_rank FROM sized""",
+    "layout_text_modes": WORDS_SQL + """, lines AS (
+            SELECT doc_id, page, para, line, string_agg(text, ' ' ORDER BY pos) AS t FROM words GROUP BY doc_id, page, para, line
+        ), beside AS (
+            SELECT doc_id, page, para // 2 AS band, line, string_agg(t, ' ' ORDER BY para) AS t FROM lines GROUP BY doc_id, page, para // 2, line
+        ), across AS (
+            SELECT doc_id, page, md5(string_agg(t, chr(10) ORDER BY band, line)) AS physical FROM beside GROUP BY doc_id, page
+        ) SELECT l.doc_id, l.page, md5(string_agg(t, chr(10) ORDER BY para, line)) AS raw, any_value(physical) AS physical, md5(string_agg(t, chr(10) ORDER BY para % 2, para, line)) AS reading
+          FROM lines l JOIN across a ON a.doc_id = l.doc_id AND a.page = l.page GROUP BY l.doc_id, l.page""",
     "layout_chars_to_words": TURN_WORDS_SQL + """SELECT doc_id, page, baseline, x1::int AS x1, text[:61 - x1] AS text FROM words WHERE x1 <= 60""",
     "layout_char_classes": """SELECT CASE WHEN abs(a * d) > abs(b * c) THEN CASE WHEN a > 0 OR d < 0 THEN 0 ELSE 2 END ELSE CASE WHEN c > 0 THEN 1 ELSE 3 END END AS rotation,
         count(*) FILTER (WHERE CASE WHEN abs(a) >= abs(b) THEN abs(b) > abs(a) * 0.1::double ELSE abs(a) > abs(b) * 0.1::double END)::bigint AS diagonal,

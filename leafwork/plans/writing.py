@@ -86,7 +86,16 @@ def search_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("conv_id", "turn", "search", F.size("at").alias("n"), F.col("at")[0]["first"].alias("first"), F.element_at("at", -1)["last"].alias("last"), F.col("at")[0]["line"].alias("line"))
 
 
+def code_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part numbers as codes of four fonts, each mapped by ranges of 60 in every 100 codes."""
+    font = lambda c: (F.col(c) % 4).cast("int").alias("font")
+    chars = table(spark, sf_dir, "lineitem").select(font("l_suppkey"), F.col("l_partkey").alias("code"))
+    maps = table(spark, sf_dir, "supplier").select(font("s_suppkey"), (F.floor(F.col("s_suppkey") / 4) * 100).alias("base"), F.lit(60).alias("length"), (F.col("s_suppkey") * 7 + 200).alias("target"))
+    return ranges.mapped_codes(chars, maps).groupBy("font", "unicode").agg(F.count(F.lit(1)).alias("n"))
+
+
 QUERIES = {
+    "text_code_map": code_map,
     "text_upper": upper, "text_base64": coded, "text_encodings": encodings, "text_composed": composed, "text_glyph_names": glyph_names, "text_conformance": conformance,
     "text_free_names": free_names, "text_formats": formats, "date_iso": iso_dates, "number_label_index": label_index, "search_places": search_places,
 }
@@ -111,6 +120,9 @@ def _places_sql() -> str:
 
 
 ORACLE_SQL = {
+    "text_code_map": """WITH maps AS (SELECT (s_suppkey % 4)::int AS font, s_suppkey // 4 * 100 AS base, s_suppkey * 7 + 200 AS target FROM supplier),
+        chars AS (SELECT (l_suppkey % 4)::int AS font, l_partkey AS code FROM lineitem)
+        SELECT c.font, target + code - base AS unicode, count(*)::bigint AS n FROM chars c LEFT JOIN maps m ON m.font = c.font AND code >= base AND code < base + 60 GROUP BY c.font, target + code - base""",
     "text_upper": "SELECT conv_id, turn, md5('ß' || replace(upper(replace(text, 'ß', chr(57344))), chr(57344), 'ß')) AS digest FROM conversations",
     "text_base64": "SELECT item_id, base64(encode(text)) AS coded, true AS same FROM benchmark",
     "text_encodings": "SELECT conv_id, turn, (strlen(text) + 4)::bigint AS utf8, ((length(text) + 2 + len(regexp_extract_all(text, '[\\x{10000}-\\x{10FFFF}]'))) * 2)::bigint AS utf16, (length(text) + 2)::bigint AS latin, md5(regexp_replace(text, '[^\\x{00}-\\x{FF}]', '?', 'g') || ' ?') AS digest FROM conversations",
