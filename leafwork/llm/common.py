@@ -51,6 +51,11 @@ class Scratch:
         self.held.append(cut(df))
         return self.held[-1]
 
+    def drop_one(self, df: DataFrame) -> None:
+        """Removes one of the tables now; others stay."""
+        self.held = [x for x in self.held if x is not df]
+        drop_cut(df)
+
     def drop(self) -> None:
         for df in self.held:
             drop_cut(df)
