@@ -6,7 +6,9 @@ their core, is equal wherever an equal window stands, so segments of one core me
 repeated as a whole; the distinct segments of one core meet in one task, which sorts their suffixes in two stages:
 those smaller than their successors directly, all others induced by scans of the first bytes' buckets. Neighbours in
 that order whose common prefix reaches LENGTH are repeated windows. Where too many segments share a core for one
-array, they are cut into parts with longer cores, again and again until a group fits.
+array, they are cut into parts with longer cores, again and again until a group fits. What never fits, such as runs
+of one period in many lengths, differs in a byte or two at the ends: there whole windows are counted by content, once for
+each that a segment has.
 """
 
 from __future__ import annotations
@@ -267,21 +269,26 @@ def sorted_groups(pieces_of: DataFrame, length: int) -> DataFrame:
     return dealt.mapInArrow(partial(by_suffix_array, length=length), RUNS)
 
 
+def listed(lows: np.ndarray, ns: np.ndarray) -> np.ndarray:
+    """All windows of runs of ns windows from lows on."""
+    return np.repeat(lows, ns) + np.arange(ns.sum()) - np.repeat(np.cumsum(ns) - ns, ns)
+
+
 def cores(batches: Iterator[pa.RecordBatch], length: int, width: int) -> Iterator[pa.RecordBatch]:
-    """(route, s1, s2, low, n, core, x1, x2) of the parts of pieces (route, s1, s2, bytes, lows, ns).
+    """(route, s1, s2, low, n, core, own, x1, x2) of the parts of pieces (route, s1, s2, bytes, lows, ns).
 
-    A part is a run of the given windows of one cell and core; x1, x2 digest the part itself.
+    A part is a run of the given windows of one cell and core; x1, x2 digest the part itself; own: see cells_of().
     """
     for batch in batches:
         for i in range(batch.num_rows):
             text = batch.column(3)[i].as_py()
             lows, ns = batch.column(4)[i].values.to_numpy(), batch.column(5)[i].values.to_numpy()
-            start = np.repeat(lows, ns) + np.arange(ns.sum()) - np.repeat(np.cumsum(ns) - ns, ns)
-            begin, n, core, _ = cells_of(text, start, spots_of(np.frombuffer(text, np.uint8), length)[start], width, length)
+            start = listed(lows, ns)
+            begin, n, core, own = cells_of(text, start, spots_of(np.frombuffer(text, np.uint8), length)[start], width, length)
             low = start[begin]
             digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(text[a : a + k - 1 + length]) for a, k in zip(low.tolist(), n.tolist(), strict=True)), np.int64).reshape(-1, 2)
             same = [pa.array([batch.column(j)[i].as_py()] * len(low), pa.int64()) for j in range(3)]
-            yield pa.RecordBatch.from_arrays([*same, pa.array(low.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(core), pa.array(digests[:, 0]), pa.array(digests[:, 1])], names=[*KEY, "low", "n", "core", "x1", "x2"])
+            yield pa.RecordBatch.from_arrays([*same, pa.array(low.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(core), pa.array(own), pa.array(digests[:, 0]), pa.array(digests[:, 1])], names=[*KEY, "low", "n", "core", "own", "x1", "x2"])
 
 
 def parts_out(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -295,37 +302,71 @@ def parts_out(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
             yield pa.RecordBatch.from_arrays([grps, *same, lows, pa.array(cuts, pa.binary())], names=["grp", *KEY, "low", "bytes"])
 
 
+def contents(text: bytes, lows: np.ndarray, ns: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, digests) of the given windows; digests: two 64-bit numbers each, in one field."""
+    start = listed(lows, ns)
+    found = b"".join(xxhash.xxh3_128_digest(text[a : a + length]) for a in start.tolist())
+    return start, np.frombuffer(found, [("x1", np.int64), ("x2", np.int64)])
+
+
+def counted(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """(route, s1, s2, x1, x2, n) of each distinct window of pieces (route, s1, s2, bytes, lows, ns)."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            _, found = contents(batch.column(3)[i].as_py(), *(batch.column(j)[i].values.to_numpy() for j in (4, 5)), length)
+            each, n = np.unique(found, return_counts=True)
+            same = [pa.array([batch.column(j)[i].as_py()] * len(each), pa.int64()) for j in range(3)]
+            yield pa.RecordBatch.from_arrays([*same, pa.array(each["x1"].copy()), pa.array(each["x2"].copy()), pa.array(n.astype(np.int64))], names=[*KEY, "x1", "x2", "n"])
+
+
+def found_again(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """RUNS of the windows of pieces (route, s1, s2, bytes, lows, ns, again: list of struct x1, x2) whose digests are in again."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            start, found = contents(batch.column(3)[i].as_py(), *(batch.column(j)[i].values.to_numpy() for j in (4, 5)), length)
+            x1, x2 = (x.to_numpy() for x in batch.column(6)[i].values.flatten())
+            again = np.empty(len(x1), found.dtype)
+            again["x1"], again["x2"] = x1, x2
+            each, place = np.unique(found, return_inverse=True)
+            key = tuple(batch.column(j)[i].as_py() for j in range(3))
+            yield runs([(*key, 0)], [start[np.isin(each, again)[place]]])
+
+
 def split_groups(cuts: DataFrame, length: int, scratch: Scratch) -> DataFrame:
     """Repeated windows (route, s1, s2, low, n) of the pieces of groups that are too large for one suffix array.
 
     Pieces are cut into parts of narrower cells, whose longer cores make the new groups. Parts that occur twice are
-    repeated as a whole; parts whose core no other content has hold nothing that is repeated elsewhere; one part of
-    each other content goes on, to a suffix array of its group where that fits, else to narrower cells, the last of
-    which are single windows. Counts are pre-aggregated and one part of each content goes on, so no task sees a group
-    beyond GROUP_BYTES.
+    repeated as a whole; parts of one gram whose core no other content has hold nothing that is repeated; one part of
+    each other content goes on, to a suffix array of its group where that fits, else to narrower cells. Windows of
+    groups that fit in no cells of two or more are counted by content. Counts are pre-aggregated and one part of each
+    content goes on, so no task sees a group beyond GROUP_BYTES.
     """
     group = ["route", "core"]
     first = cuts.select(*KEY, "bytes", F.array(F.lit(0)).alias("lows"), F.array(F.octet_length("bytes") - length + 1).alias("ns"))
     out = None
-    for width in widths(length)[1:]:
-        kind = RUNS + ", core bigint, x1 bigint, x2 bigint"
+    for width in widths(length)[1:-1]:
+        kind = RUNS + ", core bigint, own boolean, x1 bigint, x2 bigint"
         rows = scratch.cut(first.mapInArrow(partial(cores, length=length, width=width), kind))
         # one row for each distinct content of a core, with a part that has it; first() takes all columns from one row
-        each = scratch.cut(rows.groupBy(*group, "x1", "x2").agg(F.count(F.lit(1)).alias("c"), *[F.first(x).alias(x) for x in ("s1", "s2", "low", "n")]))
+        each = scratch.cut(rows.groupBy(*group, "x1", "x2").agg(F.count(F.lit(1)).alias("c"), F.bool_or("own").alias("own"), *[F.first(x).alias(x) for x in ("s1", "s2", "low", "n")]))
         twice = each.where("c > 1").select(*group, "x1", "x2")
         found = rows.join(small(scratch.cut(twice)), [*group, "x1", "x2"], "left_semi").select(*KEY, "low", "n")
-        met = each.groupBy(*group).agg(F.count(F.lit(1)).alias("d"), F.sum(F.col("n") - 1 + length).alias("size")).where("d > 1")
+        met = each.groupBy(*group).agg(F.count(F.lit(1)).alias("d"), F.bool_or("own").alias("own"), F.sum(F.col("n") - 1 + length).alias("size")).where("d > 1 or own")
         met = scratch.cut(met.select(*group, (F.col("size") <= GROUP_BYTES).alias("fits")))
-        parts = scratch.cut(each.join(small(met), group))
+        parts = scratch.cut(each.drop("own").join(small(met), group))
         fit = parts.where("fits").groupBy(*KEY).agg(F.collect_list(F.struct("low", "n", F.xxhash64(*group).alias("grp"))).alias("parts"))
         pieces_of = cuts.join(scratch.cut(fit), KEY).select(*KEY, "bytes", F.col("parts.low").alias("lows"), F.col("parts.n").alias("ns"), F.col("parts.grp").alias("grps"))
         found = found.unionByName(sorted_groups(pieces_of.mapInArrow(partial(parts_out, length=length), "grp bigint, route bigint, s1 bigint, s2 bigint, low int, bytes binary"), length))
         out = found if out is None else out.unionByName(found)
         wide = scratch.cut(parts.where("not fits").groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("low", "n"))).alias("parts")))
         if wide.isEmpty():
-            break
+            return out
         first = cuts.join(wide, KEY).select(*KEY, "bytes", F.col("parts.low").alias("lows"), F.col("parts.n").alias("ns"))
-    return out
+    each = scratch.cut(first.mapInArrow(partial(counted, length=length), "route bigint, s1 bigint, s2 bigint, x1 bigint, x2 bigint, n bigint"))
+    more = scratch.cut(each.groupBy("x1", "x2").agg(F.sum("n").alias("n")).where("n > 1").select("x1", "x2"))
+    again = scratch.cut(each.join(small(more), ["x1", "x2"], "left_semi").groupBy(*KEY).agg(F.collect_list(F.struct("x1", "x2")).alias("again")))
+    found = first.join(again, KEY).select(*KEY, "bytes", "lows", "ns", "again").mapInArrow(partial(found_again, length=length), RUNS)
+    return found if out is None else out.unionByName(found)
 
 
 def of_keys(rows: DataFrame, keys: DataFrame, scratch: Scratch) -> DataFrame:

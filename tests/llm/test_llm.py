@@ -530,6 +530,24 @@ def test_strings_of_many_near_copies(spark, monkeypatch):
     assert collections.Counter(map(tuple, suffix_dedup.dedup_strings(df, 64).collect())) == want
 
 
+def test_strings_of_one_period_in_many_lengths(spark, monkeypatch):
+    """Runs of periods 1, 2 and 7, alone and inside other text: groups of them fit no suffix array, whatever the core."""
+    monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", 6000)
+    rng = random.Random(10)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    texts = ["a" * (400 + i) for i in range(40)] + ["xy" * (150 + i) for i in range(40)] + [noise(rng.randrange(80)) + "-" * (70 + 3 * i) + noise(rng.randrange(80)) for i in range(60)]
+    texts += [noise(30) + ("=-=-+-~" * 90)[rng.randrange(7) :][: 100 + 5 * i] + noise(40) for i in range(60)] + ["xy" * 20, "z" * 64, noise(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = collections.Counter((i, *x) for i, x in enumerate(removed([t.encode() for t in texts], 64)))
+    assert collections.Counter(map(tuple, suffix_dedup.dedup_strings(df, 64).collect())) == want
+
+
+def test_long_runs_in_a_group_beyond_one_array(spark):
+    """60 runs of one letter, over 512 KB in all: each byte goes."""
+    df = spark.createDataFrame([(i, "a" * (10_000 + i)) for i in range(60)], "doc_id long, text string")
+    assert {(r.n_bytes - r.n_removed, r.n_spans) for r in suffix_dedup.dedup_strings(df).collect()} == {(0, 1)}
+
+
 # 10: secrets
 
 
