@@ -51,8 +51,17 @@ def parse_date(text: Column) -> Column:
 
     A year before 1930 in a longer string is one of a century and three digits since then, as some writers had it.
     """
-    body = F.regexp_replace(text, "^D:", "")
-    digits = F.regexp_extract(body, "^(\\d{4}(?:\\d{2}){0,5})", 1)
+    found = F.struct(F.regexp_replace(text, "^D:", "").alias("body"))
+    return once(found, lambda f: once(F.struct(f["body"].alias("body"), F.regexp_extract(f["body"], "^(\\d{4}(?:\\d{2}){0,5})", 1).alias("digits")), lambda g: date_of(g["body"], g["digits"])))
+
+
+def once(value: Column, then) -> Column:
+    """then(value), where value is evaluated once however often it is used: a variable of a one-element transform, which nothing inlines."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def date_of(body: Column, digits: Column) -> Column:
+    """The UTC time of a date without its D:, digits being those that it begins with."""
     late = (F.substring(digits, 1, 4).try_cast("int") < 1930) & (F.length(body) > 14)
 
     def part(at: int, least: int) -> Column:

@@ -179,13 +179,17 @@ def near_pairs(left: DataFrame, right: DataFrame, by: list[str], dx: int, dy: in
     return own.join(around, [*by, "cx", "cy"]).where((F.abs(F.col("lx") - F.col("rx")) <= dx) & (F.abs(F.col("ly") - F.col("ry")) <= dy)).drop("cx", "cy")
 
 
-def word_groups(words: DataFrame, *keys: str, gap: float = GROUP_SPACE, space: float = WORD_SPACE) -> DataFrame:
-    """(keys, baseline, grp, x1, x2, text): words of a line joined while gaps are at most `gap`, with a space above `space`. A gap must be over 0 and at most 10."""
-    if not 0 < gap <= 10:
+def word_groups(words: DataFrame, *keys: str, gap: float | None = GROUP_SPACE, space: float = WORD_SPACE) -> DataFrame:
+    """(keys, baseline, grp, x1, x2, text): words of a line joined while gaps are at most `gap`, with a space above `space`.
+
+    A given gap must be over 0 and at most 10; None joins all words of a line.
+    """
+    if gap is not None and not 0 < gap <= 10:
         raise ValueError(f"no such gap between columns: {gap}")
     order = Window.partitionBy(*keys, "baseline").orderBy("x1")
     step = F.col("x1") - F.lag("x2").over(order)
-    marked = words.withColumn("gap", step).withColumn("grp", F.sum((F.coalesce(step, F.lit(1e9)) > gap).cast("int")).over(order) - 1)
+    begins = step.isNull() if gap is None else F.coalesce(step > gap, F.lit(True))
+    marked = words.withColumn("gap", step).withColumn("grp", F.sum(begins.cast("int")).over(order) - 1)
     piece = F.struct("x1", F.concat(F.when(F.col("gap") > space, " ").otherwise(""), "text").alias("t"))
     text = F.ltrim(F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda s: s["t"]), ""))
     return marked.groupBy(*keys, "baseline", "grp").agg(F.min("x1").alias("x1"), F.max("x2").alias("x2"), text.alias("text"))

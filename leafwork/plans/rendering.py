@@ -77,7 +77,7 @@ def boxes_of_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a selection over the columns 10 to 40 of the even lines holds on every page, and the region of each line."""
     inside = turn_words(spark, sf_dir).where("x1 >= 10 and x2 <= 40 and baseline % 2 = 0")
-    return layout.word_groups(inside, "doc_id", "page", gap=1e9).select("doc_id", "page", "baseline", "x1", "x2", "text")
+    return layout.word_groups(inside, "doc_id", "page", gap=None).select("doc_id", "page", "baseline", "x1", "x2", "text")
 
 
 def marks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +90,7 @@ def marks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def html_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines as strings, every third doubled as a shadow, then merged to paragraphs."""
-    strings = layout.word_groups(turn_words(spark, sf_dir), "doc_id", "page", gap=1e9)
+    strings = layout.word_groups(turn_words(spark, sf_dir), "doc_id", "page", gap=None)
     strings = strings.join(turn_words(spark, sf_dir).select("doc_id", "baseline", "para").distinct(), ["doc_id", "baseline"])
     row = F.col("baseline") + 2 * F.col("para")
     rows = strings.select("doc_id", "page", (F.col("baseline") * 2).alias("id"), "text", F.col("x1").cast("double").alias("x1"), (row * 10.0).alias("y1"), (F.col("x2") * 5.0).alias("x2"), (row * 10.0 + 8).alias("y2"), "baseline")
@@ -119,7 +119,7 @@ def line_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def two_columns(words: DataFrame) -> DataFrame:
     """Words with paragraphs two by two beside one another, and the columns found by where the paragraphs stand."""
-    words = words.withColumns({"x1": F.col("x1") + F.col("para") % 2 * 1_000_000, "x2": F.col("x2") + F.col("para") % 2 * 1_000_000, "baseline": F.col("line") + F.floor(F.col("para") / 2) * 100_000, "content_pos": F.col("para") * 10_000_000 + F.col("pos")})
+    words = words.withColumns({"x1": F.col("x1") + F.col("para") % 2 * 1_000_000, "x2": F.col("x2") + F.col("para") % 2 * 1_000_000, "baseline": F.col("line").cast("long") + F.floor(F.col("para") / 2) * 100_000, "content_pos": F.col("para").cast("long") * 10_000_000 + F.col("pos")})
     boxes = layout.cluster_boxes(words.withColumn("font_size", F.lit(1.0)), "doc_id", "page", "para").select("doc_id", "page", F.col("para").alias("box_id"), "x1", "x2", F.col("para").alias("y1"), F.lit("TEXT").alias("category"))
     columns = layout.reading_order(boxes).select("doc_id", "page", F.col("box_id").alias("para"), "column_no")
     return words.join(columns, ["doc_id", "page", "para"])
