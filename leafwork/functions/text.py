@@ -200,19 +200,31 @@ def to_ascii(text: pd.Series) -> pd.Series:
     return text.map(fold, na_action="ignore")
 
 
-@F.pandas_udf(StringType())
-def visual_order(text: pd.Series) -> pd.Series:
-    """Runs of right-to-left characters reversed, marks after their bases."""
-
-    def turn(s: str) -> str:
-        out, run = [], []
-        for c in s:
-            if unicodedata.bidirectional(c) in ("R", "AL", "NSM") and (run or unicodedata.bidirectional(c) != "NSM"):
-                run.append(c)
-            else:
-                out += run[::-1]
-                run = []
-                out.append(c)
-        return "".join(out + run[::-1])
-
-    return text.map(turn, na_action="ignore")
+#: Fixed: right-to-left letters and marks; digits; what stands inside numbers; what stands at their ends.
+RTL = r"\x{0590}-\x{05FF}\x{0600}-\x{065F}\x{066A}-\x{06EF}\x{06FA}-\x{08FF}\x{FB1D}-\x{FDFF}\x{FE70}-\x{FEFC}"
+DIGITS = r"0-9\x{0660}-\x{0669}\x{06F0}-\x{06F9}"
+SEPARATORS, ENDS = r"\.,:/+\-", r"#$%°€£"
+NUMBER = rf"[{ENDS}]*[{DIGITS}](?:[{DIGITS}{SEPARATORS}{ENDS}]*[{DIGITS}])?[{ENDS}]*"
+#: A character with its marks; of left-to-right letters; whatever is not one of them; and the runs of both directions.
+CLUSTER = r"(?s:.)\p{M}*"
+LEFT, NOT_LEFT = rf"[^\P{{L}}{RTL}]", rf"[{RTL}\P{{L}}]"
+RIGHT_RUN = rf"[{RTL}]\p{{M}}*(?:{NOT_LEFT}*(?:[{RTL}]\p{{M}}*|[{DIGITS}][{ENDS}]*))?"
+LEFT_RUN = rf"{LEFT}\p{{M}}*(?:[^{RTL}]*(?:{LEFT}\p{{M}}*|[{DIGITS}][{ENDS}]*))?"
+
+#: What keeps its order in a line from right to left, a number right before a run of letters with it; and in a run of such a line.
+RIGHT_LINE, RIGHT_PARTS = rf"(?:{NUMBER})?{LEFT_RUN}|{NUMBER}|{CLUSTER}", rf"{NUMBER}|{CLUSTER}"
+
+
+def visual_order(text: Column, right: bool = False) -> Column:
+    """A line in the order in which it is seen, from the left: right-to-left runs reversed, numbers and marks as they are.
+
+    right: the line itself goes from right to left. Neutral characters go with the letters on both sides where these agree, else
+    with the line; a number behind a left-to-right letter goes with it, else with right-to-left text, inside which
+    its digits stay in order. A mark stays behind its letter. Digits of all scripts count alike; explicit marks of
+    direction have no effect. Null stays null.
+    """
+    turned = lambda run, kinds: F.array_join(F.reverse(F.regexp_extract_all(run, F.lit(kinds), F.lit(0))), "")
+    if right:
+        return turned(text, RIGHT_LINE)
+    runs = F.regexp_extract_all(text, F.lit(f"{RIGHT_RUN}|[^{RTL}]+"), F.lit(0))
+    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike(f"^[{RTL}]"), turned(r, RIGHT_PARTS)).otherwise(r)), "")

@@ -23,6 +23,12 @@ def written(df: DataFrame) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def dropped(df: DataFrame, path: str) -> None:
+    """Removes a table of written() that nothing reads any more; df: any frame of the session."""
+    at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def outline_tree(headings: DataFrame, doc: str = "page_id") -> DataFrame:
     """headings (doc, pos, level, title) with parent: the nearest heading before it of a lower level, null at the top.
 
