@@ -24,8 +24,12 @@ RADIUS = 3
 SHINGLE = 3
 #: Fingerprints of a table's bucket that one task compares with each other; larger buckets are cut into blocks.
 BLOCK = 2048
-#: For whole documents: shingles of five words, and the bits in which fingerprints of near copies may differ.
-WORDS, WIDE_RADIUS = 5, 6
+#: For whole documents: shingles of five words, of which near copies share so much of all that both have.
+WORDS, SIMILAR = 5, 0.8
+#: Fingerprints of each text, the bits of one, and the differing bits at which one of them covers a pair.
+PRINTS, PRINT_BITS, PRINT_RADIUS = 4, 40, 4
+#: Of all 192 bits those in which candidates may differ: texts of that similarity differ in 29, give or take 5, others in 96.
+SIEVE = 44
 #: Rows of tables that a task makes, about.
 TABLE_ROWS = 500_000
 #: Fixed: words are runs of anything but ASCII white space.
@@ -79,9 +83,9 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", shing
     return of.mapInArrow(run, f"key {docs.schema[key].dataType.simpleString()}, fp bigint").withColumnRenamed("key", key)
 
 
-def masks(radius: int) -> list[int]:
-    """The covering masks of 64 bits for a radius: 2^(radius+1) - 1 of them, each of about half of the bits."""
-    codes = [random.Random(64 * radius + i).randrange(1, 2 ** (radius + 1)) for i in range(64)]
+def masks(radius: int, bits: int = 64) -> list[int]:
+    """The covering masks of so many bits for a radius: 2^(radius+1) - 1 of them, each of about half of the bits."""
+    codes = [random.Random(64 * radius + i).randrange(1, 2 ** (radius + 1)) for i in range(bits)]
     return [sum(((code & v).bit_count() & 1) << i for i, code in enumerate(codes)) for v in range(1, 2 ** (radius + 1))]
 
 
@@ -198,23 +202,166 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", ra
     return prints.join(of, "fp").select(key, hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def distinct_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", radius: int = WIDE_RADIUS, shingle: int = WORDS) -> DataFrame:
+def mixed(h: np.ndarray, turn: int) -> np.ndarray:
+    """Other hashes of what h hashes, for each turn."""
+    x = h + np.uint64((turn + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+    for shift, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(times)
+    return x ^ (x >> np.uint64(31))
+
+
+NODE = ["w0", "w1", "w2"]
+
+
+def wide_prints(docs: DataFrame, text: str, key: str, shingle: int) -> DataFrame:
+    """(key, w0, w1, w2): 192 bits of each row of docs, three fingerprints by different hashes of its distinct shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for i in range(0, batch.num_rows, 64):
+                each = [np.unique(np.array(hashes(t.as_py(), shingle), np.uint64)) for t in batch.column(1).slice(i, 64)]
+                ends = np.cumsum([len(x) for x in each]).tolist()
+                whole = np.concatenate(each)
+                found.append([majority(mixed(whole, turn), ends) for turn in range(3)])
+            words = [pa.array(np.concatenate(x).view(np.int64)) for x in zip(*found, strict=True)] if found else [pa.array([], pa.int64())] * 3
+            yield pa.RecordBatch.from_arrays([batch.column(0), *words], names=["key", *NODE])
+
+    of = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    return of.mapInArrow(run, f"key {docs.schema[key].dataType.simpleString()}, w0 bigint, w1 bigint, w2 bigint").withColumnRenamed("key", key)
+
+
+def nearest_tree(words: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of rows of words (n, 3) at most `most` bits apart that make a spanning forest of least distances."""
+    n = len(words)
+    near, to = np.full(n, 1 << 30), np.zeros(n, np.int64)
+    out, now, left = [], 0, np.ones(n, bool)
+    for _ in range(n - 1):
+        left[now] = False
+        d = np.bitwise_count(words ^ words[now]).sum(axis=1, dtype=np.int64)
+        closer = d < near
+        near[closer], to[closer] = d[closer], now
+        now = int(np.where(left, near, 1 << 31).argmin())
+        if near[now] <= most:
+            out.append((now, to[now]))
+    a, b = np.array(out, np.int64).reshape(-1, 2).T
+    return a, b
+
+
+def candidates(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """(a0, a1, a2, b0, b1, b2) of candidates in the groups of rows (group, w0, w1, w2) that come sorted by group; groups may span batches."""
+    held: list[np.ndarray] = []
+
+    def out(rows: np.ndarray) -> pa.RecordBatch | None:
+        first = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]])
+        size = np.diff(np.r_[first, len(rows)])
+        words = rows[:, 1:].view(np.uint64)
+        two = first[size == 2]
+        two = two[np.bitwise_count(words[two] ^ words[two + 1]).sum(axis=1, dtype=np.int64) <= most]
+        pairs = [(two, two + 1)]
+        for i, n in zip(first[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+            a, b = nearest_tree(words[i : i + n], most)
+            pairs.append((i + a, i + b))
+        a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
+        if not len(a):
+            return None
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (*rows[a, 1:].T, *rows[b, 1:].T)], names=[*"a0 a1 a2 b0 b1 b2".split()])
+
+    for batch in batches:
+        rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)], axis=1)
+        if not len(rows):
+            continue
+        if held and rows[0, 0] != held[-1][-1, 0]:
+            if (found := out(np.concatenate(held))) is not None:
+                yield found
+            held = []
+        change = np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1
+        if len(change):
+            if (found := out(np.concatenate([*held, rows[: change[-1]]]))) is not None:
+                yield found
+            held = [rows[change[-1] :]]
+        else:
+            held.append(rows)
+    if held and (found := out(np.concatenate(held))) is not None:
+        yield found
+
+
+def in_blocks(rows: DataFrame, block: int, scratch: Scratch, *ids: str) -> DataFrame:
+    """(g, ids) from rows (bucket, ids): groups of at most two blocks, such that every two rows of a bucket meet in one."""
+    large = scratch.cut(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block))
+    rows = rows.join(small(large), "bucket", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("n") / block), F.lit(1)).cast("int"))
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64(*ids, F.lit("block")), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pair = F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other"))
+    return rows.select(F.when(F.col("blocks") == 1, F.col("bucket")).otherwise(pair).alias("g"), *ids)
+
+
+def wide_candidates(nodes: DataFrame, scratch: Scratch, block: int = BLOCK) -> DataFrame:
+    """(a, b), structs of NODE: pairs at most SIEVE of 192 bits apart, of each bucket a spanning forest of the closest.
+
+    160 of the bits are four fingerprints of 40, each with the covering tables of radius 4. A pair at most 19 of those
+    bits apart has a fingerprint within the radius, and so meets for certain; others meet as the tables happen to fall.
+    """
+    low = lambda c, n: F.col(c).bitwiseAND(F.lit((1 << n) - 1))
+    high = lambda c, n: F.shiftrightunsigned(c, n)
+    prints = [low("w0", 40), high("w0", 40).bitwiseOR(F.shiftleft(low("w1", 16), 24)), high("w1", 16).bitwiseAND(F.lit((1 << 40) - 1)), high("w1", 56).bitwiseOR(F.shiftleft(low("w2", 32), 8))]
+    each = enumerate(masks(PRINT_RADIUS, PRINT_BITS))
+    masked = [F.xxhash64(F.lit(p), F.lit(v), bits.bitwiseAND(F.lit(m))) for v, m in each for p, bits in enumerate(prints[:PRINTS])]
+    spread = nodes.repartition(1 + nodes.count() * len(masked) // TABLE_ROWS)
+    rows = spread.select(*NODE, F.explode(F.array(*masked)).alias("bucket"))
+    dealt = in_blocks(rows, block, scratch, *NODE).repartition("g").sortWithinPartitions("g")
+    names = "a0 a1 a2 b0 b1 b2".split()
+    found = dealt.mapInArrow(lambda batches: candidates(batches, SIEVE), ", ".join(f"{x} bigint" for x in names))
+    end = lambda x: F.struct(*[F.col(f"{x}{i}").alias(c) for i, c in enumerate(NODE)])
+    return found.select(F.least(end("a"), end("b")).alias("a"), F.greatest(end("a"), end("b")).alias("b")).distinct()
+
+
+def shingle_sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    """(node, shingles) of rows (node, text): the sorted distinct hashes of a text's shingles as bytes."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, 256):
+            some = batch.slice(i, 256)
+            sets = [np.unique(np.array(hashes(t.as_py(), shingle), np.uint64)).tobytes() for t in some.column(1)]
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
+
+
+def similar(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """The (a, b) of rows (a, b, x, y) whose sets x and y share at least so much of their union; two empty sets do."""
+    for batch in batches:
+        keep = []
+        for x, y in zip(batch.column(2), batch.column(3), strict=True):
+            x, y = (np.frombuffer(z.as_py(), np.uint64) for z in (x, y))
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(both >= least * (len(x) + len(y) - both))
+        yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in range(2)], names=["a", "b"])
+
+
+def distinct_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", least: float = SIMILAR, shingle: int = WORDS) -> DataFrame:
     """The rows of docs less exact and near copies: one row of each group stays.
 
     Of rows of equal text the one of the smallest key stays, null keys last; ties are alike but for other columns, and
-    one of them stays. Texts whose fingerprints reach each other in steps of `radius` bits at most are a group; that of
-    the smallest key stays, ties by the text's hash. Six bits of five-word shingles is what copies differ in that share
-    nine in ten of them; copies that share less are found more rarely the less they share. Null, empty and word-less
-    texts have fingerprint zero and are a group. No rows give no rows; columns may have any names.
+    one of them stays. Texts are linked if their sets of word shingles share `least` of their union. Candidates come from
+    the fingerprints: see wide_candidates(); of a bucket, only a forest of the closest pairs is compared, shingle by
+    shingle, and texts that are linked in steps are a group, of which that of the smallest key stays, ties by the
+    text's hash. Texts of equal fingerprints, 192 bits, are one node. Null, empty and word-less texts are a group. No rows
+    give no rows; columns may have any names.
     """
     scratch = Scratch()
     order = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"))
     rows = docs.select(*text_key(F.col(text)), order.alias("place"), F.struct(*docs.columns).alias("row"))
     once = scratch.cut(rows.groupBy("k1", "k2").agg(F.min("place").alias("place"), F.min_by("row", "place").alias("row")))
     named = once.select(F.struct("place", "k1", "k2").alias("id"), F.col("row")[text].alias("text"))
-    prints = scratch.cut(fingerprints(named, "text", "id", shingle))
-    roots = scratch.cut(components(near_links(prints.select("fp").distinct(), radius)))
-    grouped = scratch.cut(prints.join(small(roots), prints["fp"] == roots["node"], "left").select("id", F.coalesce("root", "fp").alias("grp")))
+    prints = scratch.cut(wide_prints(named, "text", "id", shingle).select("id", F.struct(*NODE).alias("node")))
+    pairs = scratch.cut(wide_candidates(prints.select("node.*").distinct(), scratch))
+    ends = scratch.cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    # one text speaks for each node
+    speaker = scratch.cut(prints.join(small(ends), "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")).select("node", "id.k1", "id.k2"))
+    said = once.select("k1", "k2", F.col("row")[text].alias("text")).join(small(speaker), ["k1", "k2"]).select("node", "text")
+    node = prints.schema["node"].dataType.simpleString()
+    sets = scratch.cut(said.mapInArrow(lambda batches: shingle_sets(batches, shingle), f"node {node}, shingles binary"))
+    met = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    links = scratch.cut(met.mapInArrow(lambda batches: similar(batches, least), f"a {node}, b {node}"))
+    roots = scratch.cut(components(links).withColumnRenamed("node", "at"))
+    grouped = scratch.cut(prints.join(small(roots), prints["node"] == roots["at"], "left").select("id", F.coalesce("root", "node").alias("grp")))
     first = grouped.groupBy("grp").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     gone = grouped.join(small(scratch.cut(first)), "grp").where(F.col("id") != F.col("first")).select("id.k1", "id.k2")
     out = cut(once.join(small(scratch.cut(gone)), ["k1", "k2"], "left_anti").select("row"))
