@@ -24,7 +24,7 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each text, the one of the smallest id, and one text of each group of near copies by five-word shingles."""
+    """One row of each text, the one of the smallest id, and one text of each group of those that share 0.8 of their five-word shingles."""
     return distinct_documents(docs)
 
 
