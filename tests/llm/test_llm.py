@@ -8,6 +8,7 @@ import random
 import re
 import string
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -423,23 +424,55 @@ def test_mixture(docs, odd, empty):
     for r in rows:
         by[r.slot].add(r.source)
     assert sorted(by) == list(range(len(by))) and all(len(s) == 1 for s in by.values()) and len({(r.slot, r.place) for r in rows}) == len(rows)
-    parts = mixing.parts_of({s: weights.get(s, 0.5) for s in {r.source for r in rows}}, mixing.PERIOD)
+    found = {r.source for r in rows}
+    other = collections.Counter(r.source for r in rows if r.source not in weights)
+    parts = {s: weights[s] if s in weights else weights["*"] * other[s] / other.total() for s in found}
     served, last = collections.Counter(), max(r.slot for r in rows if r.phase == 0)
     for t in range(last + 1):
         served[next(iter(by[t]))] += 1
-        assert all(abs(served[s] - (t + 1) * q / mixing.PERIOD) < 1 for s, q in parts.items())
+        assert all(abs(served[s] - (t + 1) * q / sum(parts.values())) < 1 for s, q in parts.items())
     assert mixing.mix(odd).count() == len(ODD) and mixing.mix(empty).count() == 0
 
 
 def test_weights_hold_after_a_tiny_source():
     """Of equally many blocks a is to have three in four until it runs dry; z is dry almost at once."""
-    rows = mixing.plan({"a": 3000, "b": 3000, "z": 1}, {"a": 3.0, "b": 1.0, "z": 0.5}, 1000)
+    rows, _ = mixing.plan({"a": 3000, "b": 3000, "z": 1}, {"a": Fraction(3), "b": Fraction(1), "z": Fraction(1, 2)})
     served = {(r["phase"], r["_source"]): r["_high"] - r["_low"] for r in rows}
     assert served[0, "z"] == 1 and sum(served[0, s] for s in "ab") < 20
     assert abs(served[1, "a"] / (served[1, "a"] + served[1, "b"]) - 0.75) < 0.005 and served[0, "a"] + served[1, "a"] == 3000
     assert sum(served.values()) == 6001
 
 
+@pytest.mark.parametrize("rows", [{"a": 100_000, "b": 250_000, "c": 777_000}, {"a": 1_600_000, "b": 300, "c": 40_000, "d": 1}])
+def test_unequal_sources_keep_their_weights_over_many_slots(rows):
+    """After each of up to 100,000 slots each source is less than a block from its weight, the root of its rows, or a given small one."""
+    blocks = {s: -(-n // 16) for s, n in rows.items()}
+    for weights in ({s: Fraction(max(1, int(n**0.5))) for s, n in rows.items()}, {s: mixing.exact(w) for s, w in zip(rows, (0.9123, 0.0002, 0.0873, 0.0002))}):
+        planned, orders = mixing.plan(blocks, weights)
+        assert all(sum(r["_high"] - r["_low"] for r in planned if r["_source"] == s) == n for s, n in blocks.items())
+        for phase, order in enumerate(orders):
+            here = [r for r in planned if r["phase"] == phase]
+            length = sum(r["_high"] - r["_low"] for r in here)
+            at = np.array([*mixing.turns([order]).to_pydict()["_at"]])
+            for r in here:
+                mine = np.flatnonzero(order == r["_k"])
+                i = np.arange(min(r["_high"] - r["_low"], 100_000))
+                slot = i // r["_parts"] * r["_around"] + mine[i % r["_parts"]]
+                share = weights[r["_source"]] / sum(weights[x["_source"]] for x in here)
+                # served before and after each of its slots, against what is due by then
+                assert (np.abs(i - slot * float(share)) < 1 + 1e-6).all() and (np.abs(i + 1 - (slot + 1) * float(share)) < 1 + 1e-6).all()
+                assert (slot < length).all()
+            assert sorted(at) == list(range(len(order)))
+
+
+def test_sources_of_weight_zero_come_last(spark):
+    df = spark.createDataFrame([(i, "abz"[i % 3]) for i in range(900)], "doc_id long, source string")
+    got = mixing.mix(df, {"a": 1.0, "b": 3.0}, block=4).collect()
+    assert len(got) == 900 and min(r.slot for r in got if r.source == "z") > max(r.slot for r in got if r.source != "z")
+    served = collections.Counter(r.source for r in got if r.phase == 0)
+    assert abs(served["b"] - 3 * served["a"]) <= 16
+
+
 def test_many_sources(spark):
     """Two large sources and 600 small ones, in blocks of two rows: all rows are scheduled, each source by its weight."""
     rows = [(i, f"big{i % 2}") for i in range(8000)] + [(8000 + i, f"small{i % 600}") for i in range(600 * 20)]
@@ -458,12 +491,11 @@ def test_many_sources(spark):
 def test_one_period_keeps_within_a_block():
     rng = random.Random(5)
     for _ in range(30):
-        parts = mixing.parts_of({str(i): rng.random() ** 3 + 1e-6 for i in range(rng.randrange(1, 12))}, 200)
-        slots = mixing.one_period(parts)
-        assert sorted(t for s in slots.values() for t in s) == list(range(200))
-        for s, q in parts.items():
-            for i, t in enumerate(slots[s]):
-                assert i * 200 // q <= t < -(-(i + 1) * 200 // q)
+        parts = [rng.randrange(1, 60) ** 2 for _ in range(rng.randrange(1, 12))]
+        order, around = mixing.schedule(parts, sum(parts)), sum(parts)
+        for k, q in enumerate(parts):
+            slots = np.flatnonzero(order == k).tolist()
+            assert len(slots) == q and all(i * around // q <= t < -(-(i + 1) * around // q) for i, t in enumerate(slots))
 
 
 # 8: embeddings
