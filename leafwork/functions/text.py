@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import string
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -132,11 +135,66 @@ def base64_of(raw: Column) -> Column:
     return F.replace(F.base64(raw), F.lit("\r\n"), F.lit(""))
 
 
+#: Fixed: glyph names of marks, signs and letters that no rule below gives, with their characters in the order of the names.
+SIGN_NAMES = """space exclam quotedbl numbersign dollar percent ampersand quotesingle parenleft parenright asterisk plus comma hyphen period slash
+    zero one two three four five six seven eight nine colon semicolon less equal greater question at bracketleft backslash bracketright asciicircum
+    underscore grave braceleft bar braceright asciitilde exclamdown cent sterling currency yen brokenbar section dieresis copyright ordfeminine
+    guillemotleft logicalnot registered macron degree plusminus acute mu paragraph periodcentered cedilla ordmasculine guillemotright onequarter
+    onehalf threequarters questiondown multiply divide AE ae OE oe Eth eth Thorn thorn germandbls Oslash oslash Lslash lslash Dcroat dcroat Hbar hbar
+    Tbar tbar dotlessi kgreenlandic Eng eng longs IJ ij florin circumflex caron breve dotaccent ring ogonek tilde hungarumlaut endash emdash quoteleft
+    quoteright quotesinglbase quotedblleft quotedblright quotedblbase dagger daggerdbl bullet ellipsis perthousand guilsinglleft guilsinglright
+    fraction Euro trademark partialdiff product summation minus radical infinity integral approxequal notequal lessequal greaterequal lozenge
+    ff fi fl ffi ffl""".split()
+SIGNS = " !\"#$%&'()*+,-./0123456789:;<=>?@[\\]^_`{|}~¡¢£¤¥¦§¨©ª«¬®¯°±´µ¶·¸º»¼½¾¿×÷ÆæŒœÐðÞþßØøŁłĐđĦħŦŧıĸŊŋſĲĳƒˆˇ˘˙˚˛˜˝–—‘’‚“”„†‡•…‰‹›⁄€™∂∏∑−√∞∫≈≠≤≥◊ﬀﬁﬂﬃﬄ"
+#: Fixed: how glyph names call accents.
+ACCENT_NAMES = {"ACUTE": "acute", "GRAVE": "grave", "CIRCUMFLEX": "circumflex", "DIAERESIS": "dieresis", "TILDE": "tilde", "RING ABOVE": "ring", "CEDILLA": "cedilla", "CARON": "caron", "MACRON": "macron", "BREVE": "breve", "OGONEK": "ogonek", "DOT ABOVE": "dotaccent", "DOUBLE ACUTE": "hungarumlaut", "TONOS": "tonos", "DIALYTIKA": "dieresis", "DIALYTIKA AND TONOS": "dieresistonos"}
+#: Fixed: letters whose cedilla stands apart, as a comma.
+COMMA_LETTERS = "GKLNRTgklnrt"
+
+
+@lru_cache(maxsize=1)
+def glyph_names() -> dict[str, str]:
+    """The characters of glyph names: signs, Latin letters with accents, and Greek letters, by the names that Unicode gives them."""
+    out = dict(zip(SIGN_NAMES, SIGNS, strict=True)) | {c: c for c in string.ascii_letters}
+    for code in [*range(0xC0, 0x180), *range(0x386, 0x3CF), *range(0x1E80, 0x1E86), 0x1EF2, 0x1EF3]:
+        parts = re.fullmatch(r"(LATIN|GREEK) (CAPITAL|SMALL) LETTER (\w+)(?: WITH (.+))?", unicodedata.name(chr(code), ""))
+        if not parts or parts[4] and parts[4] not in ACCENT_NAMES:
+            continue
+        script, case, letter, accent = parts.groups()
+        if script == "LATIN" and (len(letter) > 1 or not accent):
+            continue
+        letter = letter.replace("LAMDA", "LAMBDA")
+        base = (letter.capitalize() if case == "CAPITAL" else letter.lower()) if len(letter) > 1 else letter if case == "CAPITAL" else letter.lower()
+        ending = "commaaccent" if accent == "CEDILLA" and base in COMMA_LETTERS else ACCENT_NAMES.get(accent, "")
+        out.setdefault(base + ending, chr(code))
+    return out
+
+
 def glyph_code(name: Column) -> Column:
-    """The code point that a glyph's name tells: uniXXXX, uXXXX to uXXXXXX, or up to two letters and a decimal number; suffixes after a dot don't count."""
+    """The code point that a glyph's name tells: a name of the list, uniXXXX, uXXXX to uXXXXXX, or up to two letters and a decimal number; suffixes after a dot don't count."""
     bare = F.regexp_extract(name, "^([^.]*)", 1)
     from_hex = lambda c: F.conv(c, 16, 10).try_cast("int")
-    return F.when(bare.rlike("^uni[0-9A-F]{4,}$"), from_hex(F.substring(bare, 4, 4))).when(bare.rlike("^u[0-9A-F]{4,6}$"), from_hex(F.substring(bare, 2, 6))).when(bare.rlike("^[A-Za-z]{0,2}[0-9]+$"), F.regexp_extract(bare, "([0-9]+)$", 1).try_cast("int"))
+    known = F.element_at(name_map(), bare)
+    told = F.when(bare.rlike("^uni[0-9A-F]{4,}$"), from_hex(F.substring(bare, 4, 4))).when(bare.rlike("^u[0-9A-F]{4,6}$"), from_hex(F.substring(bare, 2, 6))).when(bare.rlike("^[A-Za-z]{0,2}[0-9]+$"), F.regexp_extract(bare, "([0-9]+)$", 1).try_cast("int"))
+    return F.coalesce(F.when(known.isNotNull(), F.ascii(known)), told)
+
+
+def name_map() -> Column:
+    return F.create_map(*[F.lit(x) for pair in glyph_names().items() for x in pair])
+
+
+def glyph_text(name: Column) -> Column:
+    """The text of a glyph whose name is composed: parts joined by underscores, each a name of the list, uni and groups of four digits, or u and four to six.
+
+    What follows a dot doesn't count. Null if any part has no character, is a surrogate, or lies beyond Unicode; an empty name as well.
+    """
+    bare = F.regexp_extract(name, "^([^.]*)", 1)
+    units = lambda p: F.regexp_extract_all(F.substring(p, F.lit(4), F.length(p)), F.lit("[0-9A-F]{4}"), F.lit(0))
+    number = lambda h: F.conv(h, 16, 10).cast("int")
+    char = lambda h: F.when(~number(h).between(0xD800, 0xDFFF) & (number(h) <= 0x10FFFF), from_code_point(number(h)))
+    many = lambda p: F.aggregate(units(p), F.lit(""), lambda a, h: F.concat(a, char(h)))
+    of = lambda p: F.coalesce(F.element_at(name_map(), p), F.when(p.rlike("^uni([0-9A-F]{4})+$"), many(p)).when(p.rlike("^u[0-9A-F]{4,6}$"), char(F.substring(p, F.lit(2), F.length(p)))))
+    return F.when(bare != "", F.aggregate(F.split(bare, "_"), F.lit(""), lambda a, p: F.concat(a, of(p))))
 
 
 def family_name(font: Column) -> Column:

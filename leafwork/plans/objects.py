@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafwork.functions import text
-from leafwork.operators import objects, trees
+from leafwork.operators import forest, objects, trees
 from leafwork.operators.documents import outline_tree
 from leafwork.plans.streams import scratch
 from leafwork.sources import registered
-from leafwork.sources.tables import glyphs_of, headings_of, links_of, table
+from leafwork.sources.tables import GLYPHS_SQL, glyphs_of, headings_of, links_of, table
 from leafwork.streaming import streams
 
 
@@ -156,6 +156,22 @@ def cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("doc long, font string, page long, cursor long").option("recursiveFileLookup", "true").parquet(f"{base}/out").select("doc", "font", "page")
 
 
+#: The least rows right of a split, and the levels, of the tree that is grown as a query.
+LEAF, LEVELS = 20, 2
+
+
+def grown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The splits of a tree of two levels over all glyphs, its nodes numbered from 1, and its leaves' classes."""
+    rows = glyphs_of(table(spark, sf_dir, "embeddings"))
+    tree = forest.grow_forest(rows, 1, leaf=LEAF, depth=LEVELS, key="vec_id", features="bitmap", label="unicode")[0]
+    out, waiting = [], [(1, tree)]
+    while waiting:
+        n, node = waiting.pop()
+        out.append((n, None, None) if node.label is not None else (n, node.feature, node.threshold))
+        waiting += [] if node.label is not None else [(2 * n, node.left), (2 * n + 1, node.right)]
+    return spark.createDataFrame(out, "node long, feature int, threshold double")
+
+
 #: Fixed: letters that stand for others where lines of two directions are made.
 LATIN, HEBREW = "abcdefghijklmnopqrstuv", "אבגדהוזחטיכלמנסעפצקרשת"
 
@@ -171,7 +187,7 @@ QUERIES = {
     "source_registered_glyphs": registered_glyphs, "source_registered_work_list": registered_work_list,
     "page_tree_order": page_order, "outline_tree_order": outline_order, "doc_tree_differences": differences, "doc_first_difference": first_differences,
     "doc_united_objects": united, "doc_united_names": united_names, "doc_state_at": state, "doc_compacted_state": compact_state,
-    "doc_visibility_program": programs, "stream_font_cursor": cursor, "text_two_ways": two_ways,
+    "doc_visibility_program": programs, "stream_font_cursor": cursor, "text_two_ways": two_ways, "model_forest_splits": grown,
 }
 
 HEADINGS_SQL = """
@@ -213,7 +229,30 @@ STATE_SQL = f"""
 # both write code points alike
 TURNED = "array_to_string(list_reverse(regexp_extract_all({x}, '{p}')), '')"
 
+
+
+def splits_sql() -> str:
+    """A level after the other: rows with their node, class weights on both sides of every value, and the best split of each node."""
+    out = [
+        f"at0 AS MATERIALIZED (SELECT vec_id, unicode AS y, bitmap AS x, 1 AS node FROM {GLYPHS_SQL})",
+        "w AS (SELECT y, 1 / sqrt(count(*)) AS w FROM at0 GROUP BY y)",
+    ]
+    for k in range(LEVELS):
+        out += [
+            f"cells{k} AS MATERIALIZED (SELECT node, f, v, y, count(*) AS n FROM (SELECT node, y, unnest(generate_series(0, len(x) - 1)) AS f, unnest(x) AS v FROM at{k}) GROUP BY ALL)",
+            f"grid{k} AS (SELECT node, f, v, y FROM (SELECT DISTINCT node, f, v FROM cells{k}) JOIN (SELECT DISTINCT node, y FROM cells{k}) USING (node))",
+            f"sides{k} AS (SELECT node, f, v, y, sum(coalesce(n, 0)) OVER (PARTITION BY node, f, y ORDER BY v) AS l, sum(coalesce(n, 0)) OVER (PARTITION BY node, f, y) AS t FROM grid{k} LEFT JOIN cells{k} USING (node, f, v, y))",
+            f"weighed{k} AS (SELECT node, f, v, l * w AS l, (t - l) * w AS r, t * w AS t, l AS nl, t - l AS nr FROM sides{k} JOIN w USING (y))",
+            f"scored{k} AS (SELECT node, f, v, sum(nl) AS nl, sum(nr) AS nr, " + ", ".join(f"sum({c}) * log2(greatest(sum({c}), 1e-300)) - sum(CASE WHEN {c} > 0 THEN {c} * log2({c}) ELSE 0 END) AS e{c}" for c in "lrt") + f", sum(t) AS all_w FROM weighed{k} GROUP BY node, f, v)",
+            f"best{k} AS MATERIALIZED (SELECT node, f, (v + nxt) / 2.0 AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY round((el + er) / all_w, 9), f, v) AS rn FROM (SELECT *, lead(v) OVER (PARTITION BY node, f ORDER BY v) AS nxt FROM scored{k}) WHERE nl > {LEAF} AND nr >= {LEAF} AND round((el + er) / all_w, 9) < round(et / all_w, 9)) WHERE rn = 1)",
+            f"at{k + 1} AS MATERIALIZED (SELECT vec_id, y, x, CASE WHEN b.node IS NULL THEN a.node ELSE 2 * a.node + (x[b.f + 1] > threshold)::int END AS node, b.node IS NULL AS done FROM at{k} a LEFT JOIN best{k} b ON b.node = a.node)",
+        ]
+    splits = " UNION ALL ".join(f"SELECT node, f, threshold FROM best{k}" for k in range(LEVELS))
+    return f"WITH {', '.join(out)}, s AS ({splits}) SELECT node::bigint AS node, f::int AS feature, threshold::double AS threshold FROM s UNION ALL SELECT DISTINCT node::bigint, NULL::int, NULL::double FROM at{LEVELS}"
+
+
 ORACLE_SQL = {
+    "model_forest_splits": splits_sql(),
     "source_registered_glyphs": """
         WITH g AS (SELECT label AS unicode, (vec_id % 5 + 1) AS n, array_to_string(list_transform(embedding, lambda v: printf('%02X', floor(v * 100::float)::int + 128)), '') AS hex FROM embeddings WHERE embedding IS NOT NULL)
         SELECT unicode, count(*)::bigint AS records, sum(n)::bigint AS n, min(md5(hex)) AS first, max(md5(hex)) AS last, (64 * count(*))::bigint AS pixels FROM g GROUP BY unicode

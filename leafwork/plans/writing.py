@@ -127,7 +127,7 @@ ORACLE_SQL = {
     "text_base64": "SELECT item_id, base64(encode(text)) AS coded, true AS same FROM benchmark",
     "text_encodings": "SELECT conv_id, turn, (strlen(text) + 4)::bigint AS utf8, ((length(text) + 2 + len(regexp_extract_all(text, '[\\x{10000}-\\x{10FFFF}]'))) * 2)::bigint AS utf16, (length(text) + 2)::bigint AS latin, md5(regexp_replace(text, '[^\\x{00}-\\x{FF}]', '?', 'g') || ' ?') AS digest FROM conversations",
     "text_composed": "SELECT conv_id, turn, md5(nfc_normalize(replace(text, 'e', 'e' || chr(769)))) AS digest FROM conversations",
-    "text_glyph_names": """SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN p_partkey % 60000 WHEN 1 THEN 65536 + p_partkey % 60000 WHEN 2 THEN p_partkey % 60000 END::int AS code, replace(p_name, ' ', '') AS family FROM part""",
+    "text_glyph_names": """SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN p_partkey % 60000 WHEN 1 THEN 65536 + p_partkey % 60000 WHEN 2 THEN p_partkey % 60000 ELSE 8212 END::int AS code, replace(p_name, ' ', '') AS family FROM part""",
     "text_conformance": "SELECT CASE WHEN p_size % 7 <> 0 THEN ['A', 'X', 'VT', 'UA', 'E'][p_size % 5 + 1] END AS subtype, CASE WHEN p_size % 7 <> 0 THEN (p_partkey % 9)::int END AS part, CASE WHEN p_size % 7 <> 0 THEN CASE WHEN p_partkey % 2 = 0 THEN 'b' ELSE '' END END AS level, count(*)::bigint AS n FROM part GROUP BY 1, 2, 3",
     "text_free_names": "SELECT p_partkey, CASE rn WHEN 1 THEN p_name ELSE p_name || (rn - 2) END AS name FROM (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS rn FROM part)",
     "text_formats": "SELECT p_partkey, printf('%+05d|%x|%-12s|%.3f|%s', p_size, p_partkey, p_name[:10], p_retailprice, chr((65 + p_size % 26)::int)) AS line FROM part",

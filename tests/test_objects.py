@@ -315,3 +315,16 @@ def test_lines_of_two_directions(spark):
         assert got.pop(-1) is None
         bad = [(s, got[i], seen_order(s, right)) for i, s in enumerate(lines[:-2]) if got[i] != seen_order(s, right)]
         assert not bad, bad[:3]
+
+
+# glyph names
+
+
+def test_glyph_names(spark):
+    names = ["Aacute", "emdash", "Alpha", "omegatonos", "Gcommaaccent", "Scedilla", "fi", "ohungarumlaut", "iotadieresistonos", "Lambda", "zdotaccent", "quotesingle", "Ydieresis", "one.oldstyle", "A", "uni0041", "u1F600", "g65", "nosuchname", "", ".notdef", "uni"]
+    want = "ÁÁ"[:1] + "—ΑώĢŞﬁőΐΛż'Ÿ1AA😀A"
+    df = spark.createDataFrame(list(enumerate(names)), "i int, name string")
+    assert [r.c for r in df.orderBy("i").select(text.glyph_code(F.col("name")).alias("c")).collect()] == [*map(ord, want), None, None, None, None]
+    composed = [("f_f_i.alt", "ffi"), ("uni00410042", "AB"), ("T_h_uni0065", "The"), ("u1F600_A", "😀A"), ("uniD800", None), ("A_nosuch", None), ("", None), ("u110000", None), ("Aacute_emdash", "Á—"), (None, None)]
+    df = spark.createDataFrame(composed, "name string, want string")
+    assert all(r.said == r.want for r in df.select("want", text.glyph_text(F.col("name")).alias("said")).collect())
