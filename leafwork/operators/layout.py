@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafwork.operators.documents import dropped, written
+
 #: Fixed: shares of the page's height and width that make a margin, and the limits of the text rule.
 HEADER, FOOTER, LEFT, RIGHT = 0.08, 0.90, 0.06, 0.95
 DENSITY, WORDS_PER_LINE = 0.7, 5
@@ -266,6 +268,57 @@ def attach_scripts(candidates: DataFrame, cap: int = 4) -> DataFrame:
     return candidates.groupBy("doc_id", "page").applyInPandas(accept, "doc_id long, page int, script_id long, target_id long")
 
 
+#: Of the target's font size: how large a script may be, how far from the tail it begins, and how far off the baseline it stands.
+SCRIPT_SIZE, SCRIPT_GAP, SCRIPT_OFF = 0.85, 0.6, 0.8
+
+
+def script_chains(words: DataFrame) -> DataFrame:
+    """(doc_id, page, word_id, head_id): each word with the word that it is attached to as a script, itself if to none.
+
+    words: (doc_id, page, word_id, x1, x2, baseline, font_size). A script is smaller than its target, begins near the
+    target's tail and stands off its baseline by less than its height. Each round pairs targets and scripts that are each
+    other's nearest, ties by ids; the script's own tail becomes the target's, so that chains grow and scripts may have
+    scripts. Rounds end when nothing is attached, after as many as the longest chain has words; each is a proximity join on
+    grid cells, written. Words with a null place or size are attached to none.
+    """
+    own = ["doc_id", "page"]
+    placed = words.where("x1 is not null and x2 is not null and baseline is not null and font_size > 0")
+    now, path = written(placed.select(*own, "word_id", F.col("x1").cast("double").alias("x1"), F.col("x2").cast("double").alias("tail"), F.col("baseline").cast("double").alias("base"), F.col("font_size").cast("double").alias("size")))
+    largest = now.agg(F.max("size")).first()[0]
+    attached, paths = [], []
+    while largest:
+        script = now.select(*own, F.col("word_id").alias("id"), F.col("x1").alias("x"), F.col("base").alias("y"))
+        target = now.select(*own, F.col("word_id").alias("id"), F.col("tail").alias("x"), F.col("base").alias("y"))
+        near = near_pairs(script, target, own, SCRIPT_GAP * largest, SCRIPT_OFF * largest).where("left_id <> right_id")
+        sizes = now.select(*own, F.col("word_id").alias("left_id"), F.col("size").alias("ls")), now.select(*own, F.col("word_id").alias("right_id"), F.col("size").alias("rs"))
+        near = near.join(sizes[0], [*own, "left_id"]).join(sizes[1], [*own, "right_id"])
+        fits = (F.col("ls") <= SCRIPT_SIZE * F.col("rs")) & (F.abs(F.col("lx") - F.col("rx")) <= SCRIPT_GAP * F.col("rs")) & (F.abs(F.col("ly") - F.col("ry")) <= SCRIPT_OFF * F.col("rs"))
+        away = F.pow(F.col("lx") - F.col("rx"), F.lit(2)) + F.pow(F.col("ly") - F.col("ry"), F.lit(2))
+        chosen = near.where(fits).groupBy(*own, "left_id").agg(F.min(F.struct(away.alias("d"), "right_id")).alias("t"))
+        pairs = chosen.groupBy(*own, F.col("t.right_id").alias("right_id")).agg(F.min(F.struct("t.d", "left_id")).alias("s"))
+        found, where = written(pairs.select(*own, F.col("s.left_id").alias("left_id"), "right_id"))
+        paths.append(where)
+        if found.isEmpty():
+            break
+        attached.append(found)
+        # a pair's target may itself be a script of this round; what it takes in follows it
+        tails = found.join(now.select(*own, F.col("word_id").alias("left_id"), F.col("tail").alias("more")), [*own, "left_id"]).select(*own, F.col("right_id").alias("word_id"), "more")
+        gone = found.select(*own, F.col("left_id").alias("word_id"))
+        before = path
+        now, path = written(now.join(gone, [*own, "word_id"], "left_anti").join(tails, [*own, "word_id"], "left").withColumn("tail", F.greatest("tail", F.coalesce("more", "tail"))).drop("more"))
+        dropped(now, before)
+    out = words.select(*own, "word_id")
+    if not attached:
+        return out.withColumn("head_id", F.col("word_id"))
+    links = attached[0]
+    for f in attached[1:]:
+        links = links.unionByName(f)
+    heads, _ = written(links.select(*own, F.col("left_id").alias("word_id"), F.col("right_id").alias("head_id")))
+    for p in paths:
+        dropped(heads, p)
+    return out.join(heads, [*own, "word_id"], "left").withColumn("head_id", F.coalesce("head_id", "word_id"))
+
+
 def reading_order(boxes: DataFrame) -> DataFrame:
     """boxes with (column_no, reading_pos): header first, margins, body, footer; the body by columns of overlapping x, then y."""
     rank = F.when(F.col("category") == "HEADER", 0).when(F.col("category") == "LEFT_MARGIN", 1).when(F.col("category") == "RIGHT_MARGIN", 2).when(F.col("category") == "FOOTER", 4).otherwise(3)

@@ -132,7 +132,37 @@ def text_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return modes[0].join(modes[1], ["doc_id", "page"]).join(modes[2], ["doc_id", "page"])
 
 
+def chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fourth word of a line is large, and the three after it are scripts, each behind the one before."""
+    words = turn_words(spark, sf_dir)
+    big = F.col("pos") % 4 == 0
+    placed = words.select("doc_id", "page", (F.col("baseline").cast("long") * 100 + F.col("pos") % 12).alias("word_id"), "x1", "x2", (F.col("baseline") * 10 + F.when(big, 0).otherwise(F.col("pos") % 2)).alias("baseline"), F.when(big, 2.0).otherwise(1.0).alias("font_size"))
+    return layout.script_chains(placed)
+
+
+def aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of a line up to 0.4 off its baseline, aligned in each paragraph, and then merged where they are cut in two."""
+    off = (F.col("pos") % 3) * 0.2
+    words = turn_words(spark, sf_dir).select("doc_id", "page", F.col("para").alias("cluster_id"), (F.col("baseline").cast("long") * 100 + F.col("pos") % 12).alias("word_id"), F.col("x1").cast("double").alias("x1"), F.col("x2").cast("double").alias("x2"), "text", (F.col("baseline") * 2 + off).alias("baseline"), F.lit(1.0).alias("font_size"))
+    words = words.withColumns({"y1": F.col("baseline") - 1.0, "y2": F.col("baseline") + 0.5})
+    half = F.floor(F.length("text") / 2).cast("int")
+    halves = F.array(F.struct(F.substring("text", F.lit(1), half).alias("t"), F.col("x1").alias("a"), (F.col("x1") + half).alias("b")), F.struct(F.substring("text", half + 1, F.length("text")).alias("t"), (F.col("x1") + half).alias("a"), F.col("x2").alias("b")))
+    moved = layout.align_baselines(words).withColumn("h", F.explode(F.when((F.length("text") > 3), halves).otherwise(F.array(F.struct(F.col("text").alias("t"), F.col("x1").alias("a"), F.col("x2").alias("b"))))))
+    cut = moved.select("doc_id", "page", "cluster_id", F.round("baseline", 6).alias("baseline"), F.col("h.a").alias("x1"), F.col("h.b").alias("x2"), F.col("h.t").alias("text"), "font_size")
+    return layout.merge_fragments(cut, "doc_id", "page", "cluster_id").select("doc_id", "page", "cluster_id", "baseline", "x1", "x2", F.col("text"))
+
+
+def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of pages as boxes of unknown content but for every third one, which is text that no region may cross."""
+    lines = turn_words(spark, sf_dir).groupBy("doc_id", "page", F.col("baseline").cast("long").alias("box_id")).agg(F.min("x1").cast("double").alias("x1"), F.max("x2").cast("double").alias("x2"))
+    boxes = lines.withColumns({"y1": F.col("box_id") * 10.0, "y2": F.col("box_id") * 10.0 + 5, "category": F.when(F.col("box_id") % 3 == 2, "TEXT").otherwise("UNKNOWN")})
+    # every box begins at the left edge, so what lies between two boxes of one region meets its union
+    found = layout.data_regions(boxes.withColumn("x1", F.lit(0.0)))
+    return found.select("doc_id", "page", "box_id", "x2", "y1", "y2")
+
+
 QUERIES = {
+    "layout_script_chains": chains, "layout_aligned_fragments": aligned, "layout_data_regions": regions,
     "layout_line_clusters": line_clusters, "layout_text_modes": text_modes,
     "layout_chars_to_words": chars_to_words, "layout_char_classes": char_classes, "layout_column_positions": column_groups, "layout_table_text": table_texts, "layout_tagged_pages": tagged_pages, "layout_padded_lines": padded,
     "layout_character_boxes": boxes_of_characters, "layout_selection": selection, "layout_marked_spans": marks, "layout_html_strings": html_strings, "layout_rotated_order": turned_order,
@@ -140,6 +170,12 @@ QUERIES = {
 
 SPREAD_SQL = TURN_WORDS_SQL + ", spread AS (SELECT doc_id, baseline, text, x1 + pos // 3 AS x1, x2 + pos // 3 AS x2 FROM words)"
 ORACLE_SQL = {
+    "layout_script_chains": TURN_WORDS_SQL + """SELECT doc_id, page, baseline * 100::bigint + pos % 12 AS word_id, baseline * 100::bigint + (pos - pos % 4) % 12 AS head_id FROM words""",
+    "layout_aligned_fragments": TURN_WORDS_SQL + """SELECT doc_id, page, para AS cluster_id, round((min(baseline * 2 + (pos % 3) * 0.2::double) OVER (PARTITION BY doc_id, page, para, baseline)), 6) AS baseline, x1::double AS x1, x2::double AS x2, text FROM words""",
+    "layout_data_regions": TURN_WORDS_SQL + """, boxes AS (
+            SELECT doc_id, page, baseline::bigint AS box_id, max(x2)::double AS x2 FROM words GROUP BY doc_id, page, baseline
+        ) SELECT doc_id, page, box_id, max(x2) OVER p AS x2, min(box_id * 10.0::double) OVER p AS y1, max(box_id * 10.0::double + 5) OVER p AS y2
+          FROM boxes WHERE box_id % 3 <> 2 WINDOW p AS (PARTITION BY doc_id, page, box_id // 3)""",
     "layout_line_clusters": TURN_WORDS_SQL + """, apart AS (
             SELECT doc_id, page, baseline, baseline * 100 + pos % 12 AS word_id, x1 + pos * pos // 7 AS x1, x2 + pos * pos // 7 AS x2 FROM words
         ), steps AS (
