@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafwork.llm.common import text_key
+from leafwork.llm.common import cut, drop_cut, small, text_key
 
 #: Texts that train the scorer, about: labelled ones, if any are, of the smallest key hashes. EM and scoring use all.
 SAMPLE = 20_000
@@ -210,12 +210,15 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, text: str = "text", ke
         posterior.append(dict(zip(patterns, post.tolist(), strict=True)))
         for j, name in enumerate([*names, f"labels_{question}"]):
             rates[name] = {side: dict(zip("+-0", rate[i, j, :3].round(4).tolist(), strict=True)) for i, side in enumerate(("positive", "negative"))}
-    # repeats of a labelled row count once, so about `sample` rows reach the driver however often a key or a text occurs
-    given = texts if told is None else texts.join(told.select("key"), "key", "left_semi")
-    marks = given.select("key", *text_key(F.col("text")))
-    share = min(1.0, sample / max(marks.distinct().count(), 1))
-    picked = given.where((F.xxhash64(F.lit("sample"), "key", "text") / 2.0**64 + 0.5) <= share)
+    # repeats of a labelled row count once, so about `sample` rows reach the driver however often a key or a text occurs;
+    # they are picked by hashes first, so that only their texts move
+    hashed = texts.withColumn("h", F.xxhash64(F.lit("sample"), "key", "text"))
+    marks = hashed.select("key", "h", *text_key(F.col("text")))
+    marks = cut((marks if told is None else marks.join(told.select("key"), "key", "left_semi")).distinct())
+    share = min(1.0, sample / max(marks.count(), 1))
+    picked = hashed.join(small(cut(marks.where((F.col("h") / 2.0**64 + 0.5) <= share).select("h").distinct())), "h", "left_semi").drop("h")
     rows = with_labels(picked.dropDuplicates(["key", "text"]).mapInArrow(seen, f"key {kind}, votes string, features array<int>")).select("key", "q", "t", "features").toArrow()
+    drop_cut(marks)
     features = [c.values.to_numpy()[i:j] for c in rows["features"].chunks for i, j in zip(c.offsets.to_numpy()[:-1], c.offsets.to_numpy()[1:], strict=True)]
     target = np.array([[posterior[0][q], posterior[1][t]] for q, t in zip(rows["q"].to_pylist(), rows["t"].to_pylist(), strict=True)]).reshape(-1, 2)
     keys = list(map(str, rows["key"].to_pylist()))
