@@ -213,6 +213,46 @@ def outline_remove(outline: DataFrame, doc: int, node: int) -> DataFrame:
     return rest.withColumn("pos", F.when(later, F.col("pos") - 1).otherwise(F.col("pos"))).select(*outline.columns)
 
 
+def outline_set(outline: DataFrame, docs: DataFrame, fresh: DataFrame) -> DataFrame:
+    """outline with the whole outlines of docs (doc_id) replaced by fresh (doc_id, node, parent, pos, title), which may have none for some of them.
+
+    Siblings of fresh are numbered anew from 0, in the order of their pos, ties by node; entries for documents that docs doesn't name are left out.
+    """
+    docs = docs.select("doc_id").distinct()
+    beside = Window.partitionBy("doc_id", "parent").orderBy("pos", "node")
+    put = fresh.join(docs, "doc_id", "left_semi").withColumn("pos", (F.row_number().over(beside) - 1).cast(outline.schema["pos"].dataType))
+    return outline.join(docs, "doc_id", "left_anti").unionByName(put.select(*outline.columns))
+
+
+def info_value(info: Column, key: str) -> Column:
+    """The value of a key of a document's information, a map; null where it has none."""
+    return F.try_element_at(info, F.lit(key))
+
+
+def info_set(info: Column, changes: dict[str, str | None]) -> Column:
+    """A document's information with some values set, and those of None removed; null counts as empty, and an empty map becomes null."""
+    given = F.coalesce(info, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
+    kept = F.map_filter(given, lambda k, _: ~k.isin(*changes))
+    new = {k: v for k, v in changes.items() if v is not None}
+    out = F.map_concat(kept, F.create_map(*[F.lit(x) for kv in new.items() for x in kv])) if new else kept
+    return F.when(F.size(out) > 0, out)
+
+
+def unique_names(files: DataFrame, taken: DataFrame, root: str, number: str, ending: str, unique: str = "unique_name") -> DataFrame:
+    """files with a name each that no other has: root-NNN.ending, numbered on past the names taken (name).
+
+    Files of a root and ending are numbered from one more than the greatest number that a taken name of theirs has, in the order of
+    `number`; a frequent root is ranked in one task.
+    """
+    parts = F.regexp_extract("name", r"^(.*)-([0-9]{1,9})\.([^.]*)$", 2)
+    used = taken.where(parts != "").select(F.regexp_extract("name", r"^(.*)-([0-9]{1,9})\.([^.]*)$", 1).alias("_r"), F.regexp_extract("name", r"^(.*)-([0-9]{1,9})\.([^.]*)$", 3).alias("_e"), parts.cast("int").alias("_n"))
+    last = used.groupBy("_r", "_e").agg(F.max("_n").alias("_last"))
+    rank = F.row_number().over(Window.partitionBy(root, ending).orderBy(number))
+    met = files.withColumn("_rank", rank).join(last, (F.col(root) == F.col("_r")) & (F.col(ending) == F.col("_e")), "left")
+    n = F.coalesce(F.col("_last") + 1, F.lit(0)) + F.col("_rank") - 1
+    return met.withColumn(unique, F.concat(F.col(root), F.lit("-"), F.lpad(n.cast("string"), F.greatest(F.lit(3), F.length(n.cast("string"))), F.lit("0")), F.lit("."), F.col(ending))).drop("_rank", "_r", "_e", "_last")
+
+
 def outline_retitle(outline: DataFrame, doc: int, node: int, title: str) -> DataFrame:
     return outline.withColumn("title", F.when((F.col("doc_id") == doc) & (F.col("node") == node), title).otherwise(F.col("title")))
 

@@ -207,6 +207,17 @@ def page_text(words: DataFrame, eol: str = "\n") -> DataFrame:
     return lines.groupBy("doc_id", "page").agg(F.array_join(joined(F.struct("baseline", "t")), eol).alias("text"))
 
 
+def merged_margins(boxes: DataFrame) -> DataFrame:
+    """boxes (doc_id, page, box_id, category, x1, y1, x2, y2) with those of one margin of a page put together: n of them, under the least id.
+
+    Headers, footers and side margins are margins; other boxes stay as they are, each with n = 1, and boxes without a category as well.
+    """
+    margin = F.coalesce(F.col("category").isin("HEADER", "FOOTER", "LEFT_MARGIN", "RIGHT_MARGIN"), F.lit(False))
+    least, most = ([f(c).alias(c) for c in cs] for f, cs in ((F.min, ("x1", "y1")), (F.max, ("x2", "y2"))))
+    whole = boxes.groupBy("doc_id", "page", "category", F.when(margin, None).otherwise(F.col("box_id")).alias("_own"))
+    return whole.agg(F.min("box_id").alias("box_id"), *least, *most, F.count(F.lit(1)).alias("n")).select("doc_id", "page", "box_id", "category", "x1", "y1", "x2", "y2", "n")
+
+
 def merge_boxes(page: pd.DataFrame) -> pd.DataFrame:
     """DATA boxes of one page merged nearest first, unless the union hits a labelled box; ties by id.
 

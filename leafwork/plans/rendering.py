@@ -161,7 +161,12 @@ def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "page", "box_id", "x2", "y1", "y2")
 
 
+def margins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.merged_margins(page_sections(spark, sf_dir).withColumnRenamed("para", "box_id"))
+
+
 QUERIES = {
+    "layout_merged_margins": margins,
     "layout_script_chains": chains, "layout_aligned_fragments": aligned, "layout_data_regions": regions,
     "layout_line_clusters": line_clusters, "layout_text_modes": text_modes,
     "layout_chars_to_words": chars_to_words, "layout_char_classes": char_classes, "layout_column_positions": column_groups, "layout_table_text": table_texts, "layout_tagged_pages": tagged_pages, "layout_padded_lines": padded,
@@ -170,6 +175,8 @@ QUERIES = {
 
 SPREAD_SQL = TURN_WORDS_SQL + ", spread AS (SELECT doc_id, baseline, text, x1 + pos // 3 AS x1, x2 + pos // 3 AS x2 FROM words)"
 ORACLE_SQL = {
+    "layout_merged_margins": PAGES_SQL + """SELECT doc_id, page, min(para) AS box_id, category, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, count(*)::bigint AS n
+        FROM sections GROUP BY doc_id, page, category, CASE WHEN category IN ('HEADER', 'FOOTER', 'LEFT_MARGIN', 'RIGHT_MARGIN') THEN -1 ELSE para END""",
     "layout_script_chains": TURN_WORDS_SQL + """SELECT doc_id, page, baseline * 100::bigint + pos % 12 AS word_id, baseline * 100::bigint + (pos - pos % 4) % 12 AS head_id FROM words""",
     "layout_aligned_fragments": TURN_WORDS_SQL + """SELECT doc_id, page, para AS cluster_id, round((min(baseline * 2 + (pos % 3) * 0.2::double) OVER (PARTITION BY doc_id, page, para, baseline)), 6) AS baseline, x1::double AS x1, x2::double AS x2, text FROM words""",
     "layout_data_regions": TURN_WORDS_SQL + """, boxes AS (

@@ -328,3 +328,29 @@ def test_glyph_names(spark):
     composed = [("f_f_i.alt", "ffi"), ("uni00410042", "AB"), ("T_h_uni0065", "The"), ("u1F600_A", "😀A"), ("uniD800", None), ("A_nosuch", None), ("", None), ("u110000", None), ("Aacute_emdash", "Á—"), (None, None)]
     df = spark.createDataFrame(composed, "name string, want string")
     assert all(r.said == r.want for r in df.select("want", text.glyph_text(F.col("name")).alias("said")).collect())
+
+
+# outlines, information, names of files
+
+
+def test_outline_set(spark):
+    from leafwork.operators import documents
+
+    kind = "doc_id long, node long, parent long, pos int, title string"
+    old = spark.createDataFrame([(1, 1, None, 0, "a"), (1, 2, 1, 0, "b"), (2, 1, None, 0, "keep"), (3, 1, None, 0, "gone")], kind)
+    new = spark.createDataFrame([(1, 9, None, 7, "y"), (1, 8, None, 3, "x"), (1, 5, 9, 3, "z"), (4, 1, None, 0, "nobody's")], kind)
+    docs = spark.createDataFrame([(1,), (3,), (1,)], "doc_id long")
+    assert sorted(map(tuple, documents.outline_set(old, docs, new).collect()), key=repr) == sorted([(2, 1, None, 0, "keep"), (1, 8, None, 0, "x"), (1, 9, None, 1, "y"), (1, 5, 9, 0, "z")], key=repr)
+
+
+def test_information_and_file_names(spark):
+    from leafwork.operators import documents
+
+    df = spark.createDataFrame([(1, {"Title": "t", "Author": "a"}), (2, None), (3, {"Author": "a"})], "i int, info map<string,string>").orderBy("i")
+    assert [r.v for r in df.select(documents.info_value(F.col("info"), "Title").alias("v")).collect()] == ["t", None, None]
+    assert [r.m for r in df.select(documents.info_set(F.col("info"), {"Author": None, "Title": "new"}).alias("m")).collect()] == [{"Title": "new"}] * 3
+    assert [r.m for r in df.select(documents.info_set(F.col("info"), {"Author": None}).alias("m")).collect()] == [{"Title": "t"}, None, None]
+    files = spark.createDataFrame([("img", 5, "png"), ("img", 2, "png"), ("img", 1, "ppm"), ("other", 0, "png")], "root string, n int, ending string")
+    taken = spark.createDataFrame([("img-000.png",), ("img-041.png",), ("img-x.png",), ("zzz",), (None,)], "name string")
+    got = documents.unique_names(files, taken, "root", "n", "ending")
+    assert sorted(r.unique_name for r in got.collect()) == ["img-000.ppm", "img-042.png", "img-043.png", "other-000.png"]
