@@ -217,14 +217,26 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, text: str = "text", ke
     marks = cut((marks if told is None else marks.join(told.select("key"), "key", "left_semi")).distinct())
     share = min(1.0, sample / max(marks.count(), 1))
     picked = hashed.join(small(cut(marks.where((F.col("h") / 2.0**64 + 0.5) <= share).select("h").distinct())), "h", "left_semi").drop("h")
-    rows = with_labels(picked.dropDuplicates(["key", "text"]).mapInArrow(seen, f"key {kind}, votes string, features array<int>")).select("key", "q", "t", "features").toArrow()
+    rows = with_labels(picked.dropDuplicates(["key", "text"]).mapInArrow(seen, f"key {kind}, votes string, features array<int>")).select(F.col("key").cast("string").alias("key"), "q", "t", "features")
+    # one task trains, with a sample that doesn't grow with the corpus; the driver gets the weights alone
+    found = rows.repartition(1).mapInArrow(partial(trained, posterior=posterior), "weights binary, bias binary").first()
     drop_cut(marks)
-    features = [c.values.to_numpy()[i:j] for c in rows["features"].chunks for i, j in zip(c.offsets.to_numpy()[:-1], c.offsets.to_numpy()[1:], strict=True)]
-    target = np.array([[posterior[0][q], posterior[1][t]] for q, t in zip(rows["q"].to_pylist(), rows["t"].to_pylist(), strict=True)]).reshape(-1, 2)
-    keys = list(map(str, rows["key"].to_pylist()))
-    order = sorted(range(len(features)), key=lambda i: (keys[i], zlib.crc32(features[i])))  # that of tasks doesn't matter
-    weights, bias = train([features[i] for i in order], target[order])
-    return Scorer(weights, bias, rates)
+    if found is None:
+        return Scorer(*train([], np.zeros((0, 2))), rates)
+    return Scorer(np.frombuffer(found["weights"]).reshape(-1, 2), np.frombuffer(found["bias"]), rates)
+
+
+def trained(batches: Iterator[pa.RecordBatch], posterior: list[dict[str, float]]) -> Iterator[pa.RecordBatch]:
+    """The weights and bias, as bytes, of a scorer trained on all rows (key, q, t, features); the order of rows doesn't matter."""
+    keys, features, target = [], [], []
+    for batch in batches:
+        keys += [str(k) for k in batch.column(0).to_pylist()]
+        features += [x.values.to_numpy().copy() for x in batch.column(3)]
+        target += [(posterior[0][q], posterior[1][t]) for q, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+    if keys:
+        order = sorted(range(len(features)), key=lambda i: (keys[i], zlib.crc32(features[i])))
+        weights, bias = train([features[i] for i in order], np.array(target).reshape(-1, 2)[order])
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (weights, bias)], names=["weights", "bias"])
 
 
 def judged(batches: Iterator[pa.RecordBatch], scorer: object) -> Iterator[pa.RecordBatch]:
