@@ -633,6 +633,22 @@ def test_secrets(spark, docs, odd, empty):
     assert secrets.secret_spans(odd).count() == len(ODD) and secrets.secret_spans(empty).count() == 0
 
 
+def test_links_equal_all_pairs(spark):
+    """The interval join against every pair of parts, some far longer than the scope and some in other texts."""
+    rng = random.Random(14)
+    kinds = [x[0] for x in secrets.STRONG + secrets.WEAK]
+    parts = []
+    for k in range(40):
+        for _ in range(rng.randrange(12)):
+            low = rng.randrange(3000)
+            parts.append((k % 7, k, rng.choice(kinds), low, low + rng.choice([1, 20, 60, 900])))
+    parts = sorted(set(parts))
+    for scope in (50, 200):
+        want = [p for p in parts if any(p[:2] == q[:2] and (p[2], q[2]) in secrets.COMPLEMENTS and p[3] <= q[4] + scope and q[3] <= p[4] + scope for q in parts)]
+        got = secrets.linked(spark.createDataFrame(parts, "k1 long, k2 long, kind string, start int, end int"), scope)
+        assert sorted(map(tuple, got.collect())) == want and 0 < len(want) < len(parts)
+
+
 def test_weak_parts_need_company(spark):
     blob = "aB3" * 14
     rows = [(1, f"AKIA{'A' * 12} {blob}"), (2, f"plain {blob}"), (3, f"AKIA{'A' * 12} {'. ' * 200}{blob}"), (4, f"user: bob7 https://x.example/y password: hunter22")]

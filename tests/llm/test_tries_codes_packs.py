@@ -207,3 +207,18 @@ def test_balance():
 
 def test_queries_name_their_columns(spark):
     assert queries.op13_packing(spark, DATA).columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+
+
+def test_pivots_are_judged_by_other_vectors():
+    """Even vectors in 64 dimensions get one pivot at any size, clustered ones many."""
+    from leafwork.llm import embedding_dedup
+
+    rng = np.random.default_rng(0)
+    near = math.sqrt(2 - 2 * 0.9)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    even = unit(rng.normal(size=(2048, 64)))
+    middle = rng.normal(size=(200, 64))
+    grouped = unit(middle[rng.integers(0, 200, 2048)] + 0.05 * rng.normal(size=(2048, 64)))
+    for n in (10**5, 10**6, 10**7):
+        assert len(embedding_dedup.chosen_pivots(even, n, near, 8192, 256)) == 1
+        assert len(embedding_dedup.chosen_pivots(grouped, n, near, 8192, 256)) == 256
