@@ -9,7 +9,7 @@ from leafwork.functions import text
 from leafwork.operators import forest, objects, trees
 from leafwork.operators.documents import outline_tree
 from leafwork.plans.streams import scratch
-from leafwork.sources import registered
+from leafwork.sources import registered, reports
 from leafwork.sources.tables import GLYPHS_SQL, glyphs_of, headings_of, links_of, table
 from leafwork.streaming import streams
 
@@ -183,7 +183,43 @@ def two_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.md5(text.visual_order(mixed)).alias("left"), F.md5(text.visual_order(mixed, right=True)).alias("right"))
 
 
+def font_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report of the fonts of every 20th page together, tags standing for fonts."""
+    fonts = fonts_of_pages(spark, sf_dir).groupBy(F.col("doc").alias("doc_id"), F.col("font").alias("name")).agg(F.min("page").alias("place"), F.count(F.lit(1)).alias("n"))
+    size = F.length("name")
+    rows = fonts.withColumns({"type": F.when(size % 2 == 0, "TrueType").otherwise("Type 1C"), "encoding": F.when(size < 3, "WinAnsi").otherwise("Custom"), "embedded": F.col("n") > 3, "subset": size > 2, "unicode": F.col("n") % 2 == 0, "num": F.when(F.col("n") % 5 > 0, F.col("place")), "gen": F.lit(0)})
+    return reports.font_report(rows)
+
+
+def url_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two of three links of every 20th page together."""
+    links = links_of(table(spark, sf_dir, "pages"))
+    return reports.url_report(links.select((F.col("page_id") % 20).alias("doc_id"), F.col("page_id").alias("page"), "pos", F.when(F.col("pos") % 3 > 0, F.col("target")).alias("uri")))
+
+
+def xml_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations as pages of one string each, with a font for each role, and an image on even turns."""
+    turns = table(spark, sf_dir, "conversations")
+    keys = ["conv_id", "turn"]
+    pages = turns.select(*keys, F.col("turn").alias("number"), F.lit(792.4).alias("height"), F.lit(612).alias("width"))
+    fonts = turns.select(*keys, F.lit(0).alias("id"), F.length("role").alias("size"), F.col("role").alias("family"), F.lit("#000000").alias("color"))
+    images = turns.where("turn % 2 = 0").select(*keys, F.lit(1).alias("id"), F.lit(10.4).alias("x"), F.lit(20.6).alias("y"), F.lit(5.0).alias("width"), F.lit(6.0).alias("height"), F.concat(F.lit("a&b-"), "turn", F.lit(".png")).alias("src"))
+    strings = turns.select(*keys, F.lit(0).alias("id"), F.lit(72.0).alias("x"), (F.col("turn") * 12.25).alias("y"), F.length("text").alias("width"), F.lit(12).alias("height"), F.lit(0).alias("font"), "text", (F.col("turn") % 3 == 0).alias("bold"), (F.col("turn") % 2 == 1).alias("italic"), F.when(F.col("turn") == 1, "x?a=1&b").alias("href"))
+    return reports.xml_pages(pages, fonts, images, strings, keys).select(*keys, F.md5("xml").alias("digest"))
+
+
+def xml_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outlines as XML; SQL counts what they must hold."""
+    entries = outline(spark, sf_dir)
+    order = trees.tree_order(entries, "pos", "parent", "pos", "page_id").join(entries.select("page_id", "pos", "title"), ["page_id", "pos"])
+    xml = reports.xml_outline(order.withColumn("page", F.col("pos")), "page_id")
+    count = lambda t: (F.size(F.split("xml", t)) - 1).alias(t.strip("</>"))
+    items = F.array_join(F.regexp_extract_all("xml", F.lit('<item page="([0-9]+)">'), F.lit(1)), ",")
+    return xml.select("page_id", count("<item"), count("<outline>"), (F.size(F.split("xml", "</outline>")) - 1).alias("closed"), items.alias("pages"))
+
+
 QUERIES = {
+    "sink_font_report": font_reports, "sink_url_report": url_reports, "sink_xml_pages": xml_reports, "sink_xml_outline": xml_outlines,
     "source_registered_glyphs": registered_glyphs, "source_registered_work_list": registered_work_list,
     "page_tree_order": page_order, "outline_tree_order": outline_order, "doc_tree_differences": differences, "doc_first_difference": first_differences,
     "doc_united_objects": united, "doc_united_names": united_names, "doc_state_at": state, "doc_compacted_state": compact_state,
@@ -251,7 +287,36 @@ def splits_sql() -> str:
     return f"WITH {', '.join(out)}, s AS ({splits}) SELECT node::bigint AS node, f::int AS feature, threshold::double AS threshold FROM s UNION ALL SELECT DISTINCT node::bigint, NULL::int, NULL::double FROM at{LEVELS}"
 
 
+def escaped(x: str) -> str:
+    """x with the entities that escape_html() writes."""
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        x = f"replace({x}, '{a}', '{b}')"
+    return f"replace({x}, chr(160), '&#160;')"
+
+
 ORACLE_SQL = {
+    "sink_font_report": f"""
+        WITH f AS (SELECT page_id % 20 AS doc_id, name, min(page_id) AS place, count(*) AS n FROM (SELECT page_id, unnest(list_distinct(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1))) AS name FROM pages) GROUP BY ALL),
+        l AS (SELECT doc_id, place, printf('%-36s %-17s %-16s %-3s %-3s %-3s', name, CASE WHEN length(name) % 2 = 0 THEN 'TrueType' ELSE 'Type 1C' END, CASE WHEN length(name) < 3 THEN 'WinAnsi' ELSE 'Custom' END,
+              CASE WHEN n > 3 THEN 'yes' ELSE 'no' END, CASE WHEN length(name) > 2 THEN 'yes' ELSE 'no' END, CASE WHEN n % 2 = 0 THEN 'yes' ELSE 'no' END) || CASE WHEN n % 5 > 0 THEN printf(' %6d %2d', place, 0) ELSE ' [none]' END AS line FROM f)
+        SELECT doc_id, '{reports.FONT_HEAD}' || chr(10) || string_agg(line, chr(10) ORDER BY place, line) || chr(10) AS report FROM l GROUP BY doc_id
+    """,
+    "sink_url_report": f"""
+        WITH l AS (SELECT page_id, unnest(t) AS target, unnest(range(1, len(t) + 1)) AS pos FROM (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS t FROM pages))
+        SELECT page_id % 20 AS doc_id, '{reports.URL_HEAD}' || chr(10) || string_agg(printf('%4d  Annotation    %s', page_id, target), chr(10) ORDER BY page_id, pos) || chr(10) AS report
+        FROM l WHERE (pos - 1) % 3 > 0 GROUP BY 1
+    """,
+    "sink_xml_pages": f"""
+        SELECT conv_id, turn, md5('<page number="' || turn || '" position="absolute" top="0" left="0" height="792" width="612">' || chr(10)
+            || chr(9) || '<fontspec id="0" size="' || length(role) || '" family="' || role || '" color="#000000"/>' || chr(10)
+            || CASE WHEN turn % 2 = 0 THEN '<image top="21" left="10" width="5" height="6" src="a&amp;b-' || turn || '.png"/>' || chr(10) ELSE '' END
+            || '<text top="' || round(turn * 12.25)::bigint || '" left="72" width="' || length(text) || '" height="12" font="0">' || CASE WHEN turn = 1 THEN '<a href="x?a=1&amp;b">' ELSE '' END
+            || CASE WHEN turn % 3 = 0 THEN '<b>' ELSE '' END || CASE WHEN turn % 2 = 1 THEN '<i>' ELSE '' END || {escaped("text")} || CASE WHEN turn % 2 = 1 THEN '</i>' ELSE '' END || CASE WHEN turn % 3 = 0 THEN '</b>' ELSE '' END
+            || CASE WHEN turn = 1 THEN '</a>' ELSE '' END || '</text>' || chr(10) || '</page>' || chr(10)) AS digest FROM conversations
+    """,
+    "sink_xml_outline": f"""
+        WITH {HEADINGS_SQL} SELECT page_id, count(*)::int AS item, count(DISTINCT coalesce(parent, -1))::int AS outline, count(DISTINCT coalesce(parent, -1))::int AS closed, string_agg(pos::varchar, ',' ORDER BY pos) AS pages FROM entries GROUP BY page_id
+    """,
     "model_forest_splits": splits_sql(),
     "source_registered_glyphs": """
         WITH g AS (SELECT label AS unicode, (vec_id % 5 + 1) AS n, array_to_string(list_transform(embedding, lambda v: printf('%02X', floor(v * 100::float)::int + 128)), '') AS hex FROM embeddings WHERE embedding IS NOT NULL)

@@ -62,10 +62,17 @@ def read_work_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, schema=", ".join(f"{c} string" for c in names), sep="\t", header=True, comment="#", mode="DROPMALFORMED", quote="", enforceSchema=True)
 
 
-def write_pages(pages: DataFrame, path: str, eol: str = "\n") -> None:
-    """Page texts (doc_id, page, text), a folder for each document and page, lines ended by eol and pages by a form feed."""
+def write_pages(pages: DataFrame, path: str, eol: str = "\n", apart: bool = True) -> None:
+    """Page texts (doc_id, page, text) as text files, lines ended by eol and pages by a form feed, in the order of documents and pages.
+
+    apart writes a folder for each document and page, which suits some thousands of them; otherwise files hold ranges of pages, as many as Spark finds fit.
+    """
     by = [c for c in ("doc_id", "page") if c in pages.columns]
-    pages.select(*by, F.concat(F.replace("text", F.lit("\n"), F.lit(eol)), F.lit(eol), F.lit("\f")).alias("value")).write.partitionBy(*by).mode("overwrite").text(path)
+    value = F.concat(F.replace("text", F.lit("\n"), F.lit(eol)), F.lit(eol), F.lit("\f")).alias("value")
+    if apart:
+        pages.select(*by, value).write.partitionBy(*by).mode("overwrite").text(path)
+    else:
+        pages.repartitionByRange(*by).sortWithinPartitions(*by).select(value).write.mode("overwrite").text(path)
 
 
 def ascii_hex(text: Column) -> Column:
