@@ -9,11 +9,12 @@ w - m + 2 anchors leave two that meet. Only there are the postings of all words
 from __future__ import annotations
 
 import string
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafwork.llm.common import cut, small, text_key
+from leafwork.llm.common import Scratch, cut, small, text_key
 
 #: Words of an exact window; shorter items are one window.
 WINDOW = 10
@@ -70,12 +71,12 @@ def anchors(items: DataFrame, frequency: DataFrame, window: int, near: int) -> D
     return ranked.where(F.col("rank") <= most).select("item", "n", "j", "term").distinct()
 
 
-def matches(index: DataFrame, items: DataFrame, window: int = WINDOW, near: int = NEAR) -> DataFrame:
+def matches(index: DataFrame, items: DataFrame, window: int = WINDOW, near: int = NEAR, cut: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
     """(k1, k2, item, delta, low, length, exact): where runs of item words stand in a text.
 
     exact rows are maximal runs of at least a window of consecutive item words, at text positions low to
     low + length - 1. The others, of length 0, tell that `near` of the words of some window are in place (in
-    proportion for shorter items), a proximity match.
+    proportion for shorter items), a proximity match. cut writes the tables on the way.
     """
     postings = index.where(F.col("pos") >= 0)
     frequency = cut(postings.groupBy("term").agg(F.count(F.lit(1)).alias("seen")))
@@ -95,6 +96,13 @@ def matches(index: DataFrame, items: DataFrame, window: int = WINDOW, near: int
     return runs.where(exact | F.col("close")).select("k1", "k2", "item", "delta", "low", F.when(exact, F.col("length")).otherwise(0).alias("length"), exact.alias("exact"))
 
 
+def indexed(docs: DataFrame, bench: DataFrame, text: str, key: str, item: str, cut: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """The words of the benchmark's items, and the index of docs for them."""
+    items = cut(item_words(bench, text, item))
+    vocabulary = items.select("word", "term").distinct().unionByName(docs.sparkSession.range(1).select(F.lit(DOCUMENT).alias("word"), F.xxhash64(F.lit(DOCUMENT)).alias("term")))
+    return items, cut(build_index(docs, vocabulary, text, key))
+
+
 def contamination(docs: DataFrame, bench: DataFrame, text: str = "text", key: str = "doc_id", item: str = "item_id", window: int = WINDOW) -> DataFrame:
     """One row for each row of docs: (key, n_words, n_hit, n_items, items, contaminated, n_near_items, k1, k2).
 
@@ -104,9 +112,7 @@ def contamination(docs: DataFrame, bench: DataFrame, text: str = "text", key: st
     no hot group. Benchmark items without words have no windows; repeated items count once; an empty benchmark
     leaves all documents clean. Other columns are ignored.
     """
-    items = cut(item_words(bench, text, item))
-    vocabulary = items.select("word", "term").distinct().unionByName(docs.sparkSession.range(1).select(F.lit(DOCUMENT).alias("word"), F.xxhash64(F.lit(DOCUMENT)).alias("term")))
-    index = cut(build_index(docs, vocabulary, text, key))
+    items, index = indexed(docs, bench, text, key, item, cut)
     found = cut(matches(index, items, window))
     exact = found.where("exact")
     covered = exact.select("k1", "k2", F.explode(F.sequence(F.col("low"), F.col("low") + F.col("length") - 1)).alias("pos")).distinct()
@@ -120,8 +126,11 @@ def contamination(docs: DataFrame, bench: DataFrame, text: str = "text", key: st
 
 
 def clean(docs: DataFrame, bench: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of docs whose text holds no benchmark window."""
-    dirty = contamination(docs, bench, text, key).where("contaminated").select("k1", "k2").distinct()
+    """The rows of docs whose text holds no benchmark window; the index goes once it has been searched."""
+    scratch = Scratch()
+    items, index = indexed(docs, bench, text, key, "item_id", scratch.cut)
+    dirty = cut(matches(index, items, cut=scratch.cut).where("exact").select("k1", "k2").distinct())
+    scratch.drop()
     k1, k2 = text_key(docs[text])
-    gone = small(cut(dirty))
+    gone = small(dirty)
     return docs.join(gone, (k1 == gone["k1"]) & (k2 == gone["k2"]), "left_anti")
