@@ -10,11 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafwork.llm.common import cut
+from leafwork.llm.common import TOLD, cut, told_apart
 from leafwork.llm.decontaminate import clean
 from leafwork.llm.mixing import BLOCK, in_order, mix
 from leafwork.llm.quality import classify
-from leafwork.llm.sharding import shard
+from leafwork.llm.sharding import ADDED, by_turn, dealt, measures
 from leafwork.llm.simhash import distinct_documents
 
 
@@ -35,16 +35,23 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in files and rows that follow the mixture's schedule."""
-    return in_order(mix(docs)).select(*docs.columns)
+    rows = told_apart(docs)
+    turns = cut(mix(rows.select("_row.doc_id", "_row.source", *TOLD)).select(*TOLD, "slot", "place"))
+    return in_order(rows.join(turns, TOLD)).select("_row.*")
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with their shard, and their slot in it; slots follow the mixture's schedule.
 
-    Tables keep no order of rows, so the schedule, which depends on the rows alone, is made again.
+    Tables keep no order of rows, so the schedule, which depends on the rows alone, is made again. Schedule, shards and slots are found on
+    narrow rows; whole ones are shuffled once, to meet theirs. Columns called like the added ones are replaced.
     """
+    rows = told_apart(docs)
+    narrow = cut(rows.select("_row.doc_id", "_row.source", *TOLD, *measures("_row.text", "_row.doc_id")))
     turn = (F.col("slot") * BLOCK + F.col("place")).alias("_turn")
-    return shard(mix(docs).select(*docs.columns, turn), turn="_turn")
+    placed = by_turn(dealt(cut(mix(narrow).select(*[c for c in narrow.columns if c not in ("doc_id", "source")], turn))))
+    kept = [F.col("_row")[c].alias(c) for c in docs.columns if c not in ADDED]
+    return rows.join(placed.select(*TOLD, *ADDED), TOLD).select(*kept, *ADDED)
 
 
 STAGES = [("quality classifier", good), ("simhash near-dedup", distinct), ("benchmark decontamination", decontaminated), ("mixing to target weights", mixed), ("sharding", sharded)]

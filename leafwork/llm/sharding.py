@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafwork.llm.common import cut, small
@@ -59,24 +59,34 @@ def literal(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, points: int = POINTS, text: str = "text", key: str = "doc_id", turn: str | None = None) -> DataFrame:
+def measures(text: str = "text", key: str = "doc_id") -> list[Column]:
+    """What a row's place depends on: (_key, size, text_crc32, _at)."""
+    full = F.coalesce(F.col(text), F.lit(""))
+    return [F.col(key).alias("_key"), (F.octet_length(full) + 1).cast("long").alias("size"), F.crc32(full).alias("text_crc32"), F.xxhash64(F.lit("key"), F.col(key), full).alias("_at")]
+
+
+def shard(docs: DataFrame, shards: int = SHARDS, points: int = POINTS, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs with (size, text_crc32, shard, slot, home): every row in one of `shards` shards.
 
     The shards' row counts are at most one apart: that is the bound of their loads. slot numbers the rows of a shard from 0
     without gaps; home is the shard whose arc the row falls in, where it is unless that was full. size is the
     UTF-8 length of the text plus 1, a null text counting as empty. A row's place on the ring comes from its key
     and text; rows equal in both are interchangeable. Null keys are keys like any other. Empty input gives no rows.
-    Columns of docs called like the added ones are replaced. turn names a column of numbers from 0, about one for each
-    row: it has no part in the choice of the shard, but each shard's slots then follow it, and it is left out.
+    Columns of docs called like the added ones are replaced.
     """
-    spark = docs.sparkSession
-    nodes = ring(spark, shards, points)
-    full = F.coalesce(F.col(text), F.lit(""))
     # the row travels as one column, so that its names meet none of those below
-    kept = [c for c in docs.columns if c not in ADDED and c != turn]
+    kept = [c for c in docs.columns if c not in ADDED]
     row = F.struct(*kept) if kept else F.struct(F.lit(0).alias("none"))
-    placed = docs.select(row.alias("_row"), (F.col(turn) if turn else F.lit(0)).cast("long").alias("_turn"), F.col(key).alias("_key"), (F.octet_length(full) + 1).cast("long").alias("size"), F.crc32(full).alias("text_crc32"), F.xxhash64(F.lit("key"), F.col(key), full).alias("_at"))
-    total = docs.count()
+    taken = dealt(docs.select(row.alias("_row"), *measures(text, key)), shards, points)
+    return taken.select(*[F.col("_row")[c].alias(c) for c in kept], *ADDED)
+
+
+def dealt(placed: DataFrame, shards: int = SHARDS, points: int = POINTS) -> DataFrame:
+    """placed (measures() and any columns else) with (shard, slot, home), without _key and _at; see shard()."""
+    spark = placed.sparkSession
+    carried = [c for c in placed.columns if c not in ("_key", "_at")]
+    nodes = ring(spark, shards, points)
+    total = placed.count()
     bits = max(PART_BITS, (total // PART_ROWS).bit_length())
     cell = F.shiftright("_at", 64 - CELL_BITS).cast("int")
     # the points inside each cell of the ring, and the arc that its end belongs to
@@ -103,17 +113,17 @@ def shard(docs: DataFrame, shards: int = SHARDS, points: int = POINTS, text: str
     ranked = placed.withColumn("_rank", rank).join(small(before), ["_arc", "_part"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
     homes = literal(spark, [{"_arc": a, "home": s} for a, (_, s) in enumerate(nodes)], "_arc:int,home:int")
     taken = ranked.join(F.broadcast(homes), "_arc").join(F.broadcast(plan_rows), "_arc").where("_rank >= _low and _rank < _high")
-    taken = taken.select("_row", "_turn", "size", "text_crc32", "shard", (F.col("_first") + F.col("_rank") - F.col("_low")).alias("slot"), "home")
-    if turn:
-        taken = by_turn(taken)
-    return taken.select(*[F.col("_row")[c].alias(c) for c in kept], *ADDED)
+    return taken.select(*carried, "shard", (F.col("_first") + F.col("_rank") - F.col("_low")).alias("slot"), "home")
 
 
 def by_turn(taken: DataFrame) -> DataFrame:
-    """taken with the slots of each shard dealt anew in the order of _turn, ranked part by part of the turns; ties by the old slot."""
+    """taken with the slots of each shard dealt anew in the order of _turn, ranked part by part of the turns; ties by the old slot.
+
+    _turn: numbers from 0, about one for each row. taken is written, so it should be narrow.
+    """
     taken = cut(taken.withColumn("_part", F.expr(f"_turn div {PART_ROWS}")))
     sizes = taken.groupBy("shard", "_part").agg(F.count(F.lit(1)).alias("n"))
     before = cut(sizes.withColumn("_before", F.sum("n").over(Window.partitionBy("shard").orderBy("_part")) - F.col("n")).drop("n"))
     rank = F.row_number().over(Window.partitionBy("shard", "_part").orderBy("_turn", "slot")) - 1
     ranked = taken.withColumn("_rank", rank).join(small(before), ["shard", "_part"])
-    return ranked.withColumn("slot", F.col("_before") + F.col("_rank"))
+    return ranked.withColumn("slot", F.col("_before") + F.col("_rank")).select(*[c for c in taken.columns if c != "_part"])

@@ -690,6 +690,24 @@ def test_slots_follow_the_mixture(spark, docs):
         assert [schedule[d] for _, d in mine] == sorted(schedule[d] for _, d in mine)
 
 
+def test_last_stages_on_repeated_and_null_keys(spark, odd, empty):
+    """No row is lost or doubled, equal rows among them, and each shard's slots follow the order of the mixing stage."""
+    for df in (odd, odd.union(odd).union(odd)):
+        told = lambda rows, names=tuple(c for c in df.columns if c not in sharding.ADDED): [tuple(str(r[c]) for c in names) for r in rows]
+        order = told(corpus_pipeline.mixed(spark, df, DATA).collect())
+        assert collections.Counter(order) == collections.Counter(told(df.collect()))
+        placed = corpus_pipeline.sharded(spark, df, DATA).collect()
+        assert collections.Counter(told(placed)) == collections.Counter(order)
+        sizes = collections.Counter(r.shard for r in placed)
+        assert {sizes[s] for s in range(16)} <= {len(order) // 16, len(order) // 16 + 1}
+        for s in sizes:
+            mine = sorted((r for r in placed if r.shard == s), key=lambda r: r.slot)
+            assert [r.slot for r in mine] == list(range(sizes[s]))
+            later = iter(order)
+            assert all(x in later for x in told(mine))
+    assert corpus_pipeline.mixed(spark, empty, DATA).columns == empty.columns and corpus_pipeline.sharded(spark, empty, DATA).count() == 0
+
+
 def test_pipeline_on_empty_documents(spark, docs, tmp_path):
     for t in ("labels", "benchmark"):
         spark.read.parquet(f"{DATA}/{t}.parquet").write.parquet(str(tmp_path / f"{t}.parquet"))
