@@ -22,6 +22,8 @@ DENSITY, WORDS_PER_LINE = 0.7, 5
 WORD_BREAK, OVERLAP_BREAK, WORD_SPACE, GROUP_SPACE = 0.1, 0.2, 0.1, 0.9
 #: Fixed: distances of words of one cluster, in font sizes, along and across the lines.
 NEAR_X, NEAR_Y = 1.0, 1.4
+#: Sides of the cells of a proximity join, in reaches: wider ones copy less and compare more.
+NEAR_CELLS = 8
 #: Fixed: characters under TINY in width and height, and how many of them a page may have.
 TINY, TINY_MOST = 3, 50_000
 #: Fixed: the share of slant that makes text diagonal, and the size from which a lone capital is a drop cap.
@@ -168,17 +170,26 @@ def clusters_by_size(clustered: DataFrame) -> DataFrame:
     return sizes.withColumn("size_rank", F.row_number().over(Window.partitionBy("doc_id", "page").orderBy(F.desc("n"), "cluster_id")))
 
 
-def near_pairs(left: DataFrame, right: DataFrame, by: list[str], dx: int, dy: int) -> DataFrame:
+def touched_cells(points: DataFrame, dx: float, dy: float) -> DataFrame:
+    """points (x, y) with (cx, cy), once for each cell of NEAR_CELLS reaches that lies within dx and dy of them."""
+    # a little more than the reach, so that no rounding loses a pair at its end
+    along = lambda c, reach: F.explode(F.sequence(F.floor((F.col(c) - 1.001 * reach) / (NEAR_CELLS * reach)), F.floor((F.col(c) + 1.001 * reach) / (NEAR_CELLS * reach))))
+    return points.withColumn("cx", along("x", dx)).withColumn("cy", along("y", dy))
+
+
+def near_pairs(left: DataFrame, right: DataFrame, by: list[str], dx: float, dy: float) -> DataFrame:
     """Pairs of points (by, id, x, y) within dx and dy: a proximity join on grid cells instead of all pairs.
 
-    The right side is copied to the nine cells around its own, so the equi-join on the cell finds each pair once.
+    Cells are NEAR_CELLS times as wide and high as the reach, and the right side is copied to those that its reach touches,
+    1.6 on average, so the equi-join on the cell finds each pair once. Other columns come along as left_<name> and right_<name>.
+    Sides are merged, never broadcast, so nothing of them passes the driver.
     """
-    cell = lambda c, d: F.floor(F.col(c) / d)
-    own = left.select(*by, F.col("id").alias("left_id"), F.col("x").alias("lx"), F.col("y").alias("ly"), cell("x", dx).alias("cx"), cell("y", dy).alias("cy"))
-    spread = lambda c, d: F.explode(F.transform(F.array(*[F.lit(i) for i in (-1, 0, 1)]), lambda s: s + cell(c, d)))
-    copies = right.withColumn("cx", spread("x", dx)).withColumn("cy", spread("y", dy))
-    around = copies.select(*by, F.col("id").alias("right_id"), F.col("x").alias("rx"), F.col("y").alias("ry"), "cx", "cy")
-    return own.join(around, [*by, "cx", "cy"]).where((F.abs(F.col("lx") - F.col("rx")) <= dx) & (F.abs(F.col("ly") - F.col("ry")) <= dy)).drop("cx", "cy")
+    wide, high = NEAR_CELLS * dx, NEAR_CELLS * dy
+    more = lambda side, name: [F.col(c).alias(f"{name}_{c}") for c in side.columns if c not in (*by, "id", "x", "y")]
+    own = left.select(*by, F.col("id").alias("left_id"), F.col("x").alias("lx"), F.col("y").alias("ly"), *more(left, "left"), F.floor(F.col("x") / wide).alias("cx"), F.floor(F.col("y") / high).alias("cy"))
+    copies = touched_cells(right, dx, dy)
+    around = copies.select(*by, F.col("id").alias("right_id"), F.col("x").alias("rx"), F.col("y").alias("ry"), *more(right, "right"), "cx", "cy")
+    return own.join(around.hint("merge"), [*by, "cx", "cy"]).where((F.abs(F.col("lx") - F.col("rx")) <= dx) & (F.abs(F.col("ly") - F.col("ry")) <= dy)).drop("cx", "cy")
 
 
 def word_groups(words: DataFrame, *keys: str, gap: float | None = GROUP_SPACE, space: float = WORD_SPACE) -> DataFrame:

@@ -62,9 +62,9 @@ def grouped_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nearest_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each word of one or two characters the nearest longer word within three cells on its line or the next."""
     placed = words(spark, sf_dir).select("doc_id", "page", (F.col("baseline") * 100 + F.col("pos") % 12).cast("long").alias("id"), F.col("x2").alias("x"), F.col("baseline").cast("long").alias("y"), F.length("text").alias("n"))
-    pairs = layout.near_pairs(placed.where("n <= 2"), placed.where("n > 2"), ["doc_id", "page"], 3, 1)
+    pairs = layout.near_pairs(placed.where("n <= 2").drop("n"), placed.where("n > 2").drop("n"), ["doc_id", "page"], 3, 1)
     away = (F.col("lx") - F.col("rx")) * (F.col("lx") - F.col("rx")) + (F.col("ly") - F.col("ry")) * (F.col("ly") - F.col("ry"))
-    best = pairs.groupBy("doc_id", "page", "left_id").agg(F.min(F.struct(away.alias("d"), "right_id")).alias("b"), F.count_distinct("right_id").alias("candidates"))
+    best = pairs.groupBy("doc_id", "page", "left_id").agg(F.min(F.struct(away.alias("d"), "right_id")).alias("b"), F.count(F.lit(1)).alias("candidates"))
     return best.select("doc_id", "page", F.col("left_id").alias("script_id"), F.col("b.right_id").alias("target_id"), F.col("b.d").alias("distance"), "candidates")
 
 

@@ -47,3 +47,12 @@ def test_script_chains(spark):
     df = spark.createDataFrame(rows, "doc_id long, page int, word_id long, x1 double, x2 double, baseline double, font_size double").withColumn("head", F.lit(1))
     assert sorted(map(tuple, layout.script_chains(df).collect())) == sorted(want)
     assert layout.script_chains(df.where("false")).collect() == []
+
+
+def test_near_pairs_copy_little(spark):
+    rng = random.Random(5)
+    points = [(i % 3, i, rng.randrange(-900, 900) / 10, rng.randrange(-300, 300) / 10) for i in range(400)]
+    df = spark.createDataFrame(points, "page long, id long, x double, y double")
+    got = [tuple(r) for r in layout.near_pairs(df, df, ["page"], 3, 1).select("left_id", "right_id").collect()]
+    assert sorted(got) == sorted((p[1], q[1]) for p in points for q in points if p[0] == q[0] and abs(p[2] - q[2]) <= 3 and abs(p[3] - q[3]) <= 1)
+    assert layout.touched_cells(df, 3, 1).count() < 2 * len(points)
