@@ -301,7 +301,7 @@ def script_chains(words: DataFrame) -> DataFrame:
     target's tail and stands off its baseline by less than its height. Each round pairs targets and scripts that are each
     other's nearest, ties by ids; the script's own tail becomes the target's, so that chains grow and scripts may have
     scripts. Rounds end when nothing is attached, after as many as the longest chain has words; each is a proximity join on
-    grid cells, written. Words with a null place or size are attached to none.
+    grid cells, written, and all joins are merges, so that nothing is collected for a broadcast. Words with a null place or size are attached to none.
     """
     own = ["doc_id", "page"]
     placed = words.where("x1 is not null and x2 is not null and baseline is not null and font_size > 0")
@@ -309,25 +309,24 @@ def script_chains(words: DataFrame) -> DataFrame:
     largest = now.agg(F.max("size")).first()[0]
     attached, paths = [], []
     while largest:
-        script = now.select(*own, F.col("word_id").alias("id"), F.col("x1").alias("x"), F.col("base").alias("y"))
-        target = now.select(*own, F.col("word_id").alias("id"), F.col("tail").alias("x"), F.col("base").alias("y"))
+        script = now.select(*own, F.col("word_id").alias("id"), F.col("x1").alias("x"), F.col("base").alias("y"), "size", "tail")
+        target = now.select(*own, F.col("word_id").alias("id"), F.col("tail").alias("x"), F.col("base").alias("y"), "size")
         near = near_pairs(script, target, own, SCRIPT_GAP * largest, SCRIPT_OFF * largest).where("left_id <> right_id")
-        sizes = now.select(*own, F.col("word_id").alias("left_id"), F.col("size").alias("ls")), now.select(*own, F.col("word_id").alias("right_id"), F.col("size").alias("rs"))
-        near = near.join(sizes[0], [*own, "left_id"]).join(sizes[1], [*own, "right_id"])
-        fits = (F.col("ls") <= SCRIPT_SIZE * F.col("rs")) & (F.abs(F.col("lx") - F.col("rx")) <= SCRIPT_GAP * F.col("rs")) & (F.abs(F.col("ly") - F.col("ry")) <= SCRIPT_OFF * F.col("rs"))
+        reach = F.col("right_size")
+        fits = (F.col("left_size") <= SCRIPT_SIZE * reach) & (F.abs(F.col("lx") - F.col("rx")) <= SCRIPT_GAP * reach) & (F.abs(F.col("ly") - F.col("ry")) <= SCRIPT_OFF * reach)
         away = F.pow(F.col("lx") - F.col("rx"), F.lit(2)) + F.pow(F.col("ly") - F.col("ry"), F.lit(2))
-        chosen = near.where(fits).groupBy(*own, "left_id").agg(F.min(F.struct(away.alias("d"), "right_id")).alias("t"))
-        pairs = chosen.groupBy(*own, F.col("t.right_id").alias("right_id")).agg(F.min(F.struct("t.d", "left_id")).alias("s"))
-        found, where = written(pairs.select(*own, F.col("s.left_id").alias("left_id"), "right_id"))
+        chosen = near.where(fits).groupBy(*own, "left_id").agg(F.min(F.struct(away.alias("d"), "right_id", "left_tail")).alias("t"))
+        pairs = chosen.groupBy(*own, F.col("t.right_id").alias("right_id")).agg(F.min(F.struct("t.d", "left_id", "t.left_tail")).alias("s"))
+        found, where = written(pairs.select(*own, F.col("s.left_id").alias("left_id"), "right_id", F.col("s.left_tail").alias("more")))
         paths.append(where)
         if found.isEmpty():
             break
         attached.append(found)
         # a pair's target may itself be a script of this round; what it takes in follows it
-        tails = found.join(now.select(*own, F.col("word_id").alias("left_id"), F.col("tail").alias("more")), [*own, "left_id"]).select(*own, F.col("right_id").alias("word_id"), "more")
-        gone = found.select(*own, F.col("left_id").alias("word_id"))
+        told = found.select(*own, F.col("left_id").alias("word_id"), F.lit(True).alias("gone"), F.lit(None).cast("double").alias("more")).unionByName(found.select(*own, F.col("right_id").alias("word_id"), F.lit(None).cast("boolean").alias("gone"), "more"))
+        told = told.groupBy(*own, "word_id").agg(F.max("gone").alias("gone"), F.max("more").alias("more"))
         before = path
-        now, path = written(now.join(gone, [*own, "word_id"], "left_anti").join(tails, [*own, "word_id"], "left").withColumn("tail", F.greatest("tail", F.coalesce("more", "tail"))).drop("more"))
+        now, path = written(now.join(told.hint("merge"), [*own, "word_id"], "left").where("gone is null").withColumn("tail", F.greatest("tail", F.coalesce("more", "tail"))).drop("gone", "more"))
         dropped(now, before)
     out = words.select(*own, "word_id")
     if not attached:
@@ -338,7 +337,7 @@ def script_chains(words: DataFrame) -> DataFrame:
     heads, _ = written(links.select(*own, F.col("left_id").alias("word_id"), F.col("right_id").alias("head_id")))
     for p in paths:
         dropped(heads, p)
-    return out.join(heads, [*own, "word_id"], "left").withColumn("head_id", F.coalesce("head_id", "word_id"))
+    return out.join(heads.hint("merge"), [*own, "word_id"], "left").withColumn("head_id", F.coalesce("head_id", "word_id"))
 
 
 def reading_order(boxes: DataFrame) -> DataFrame:

@@ -56,3 +56,17 @@ def test_near_pairs_copy_little(spark):
     got = [tuple(r) for r in layout.near_pairs(df, df, ["page"], 3, 1).select("left_id", "right_id").collect()]
     assert sorted(got) == sorted((p[1], q[1]) for p in points for q in points if p[0] == q[0] and abs(p[2] - q[2]) <= 3 and abs(p[3] - q[3]) <= 1)
     assert layout.touched_cells(df, 3, 1).count() < 2 * len(points)
+
+
+def test_script_chains_broadcast_nothing(spark):
+    seen = []
+    original = layout.written
+    layout.written = lambda df: (seen.append(df._jdf.queryExecution().executedPlan().toString()), original(df))[1]
+    try:
+        rows = [(1, 0, i, float(i), i + 1.0, 0.1 * i, 2.0 if i % 3 == 0 else 1.0) for i in range(9)]
+        out = layout.script_chains(spark.createDataFrame(rows, "doc_id long, page int, word_id long, x1 double, x2 double, baseline double, font_size double"))
+    finally:
+        layout.written = original
+    seen.append(out._jdf.queryExecution().executedPlan().toString())
+    assert sum("SortMergeJoin" in p for p in seen) > 3
+    assert not any("Broadcast" in p for p in seen)
