@@ -1,19 +1,22 @@
 """Page layout: lines, clusters of words, sections, reading order and rendering.
 
 Rules are per page or cluster, so every operator partitions by (doc_id, page) at the finest that its semantics allow.
-Order-dependent geometry runs per page in Arrow-backed pandas; all else is built-in expressions.
+Order-dependent geometry runs page by page in Arrow batches of many pages; all else is built-in expressions.
 """
 
 from __future__ import annotations
 
 import heapq
+from itertools import pairwise
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafwork.operators.documents import dropped, written
+from leafwork.operators.groups import by_groups
 
 #: Fixed: shares of the page's height and width that make a margin, and the limits of the text rule.
 HEADER, FOOTER, LEFT, RIGHT = 0.08, 0.90, 0.06, 0.95
@@ -119,30 +122,27 @@ def page_category(width: float, height: float) -> Column:
     return F.when(F.col("x1") >= RIGHT * width, "RIGHT_MARGIN").when(F.col("y1") >= FOOTER * height, "FOOTER").when(F.col("x2") <= LEFT * width, "LEFT_MARGIN").when(F.col("y2") <= HEADER * height, "HEADER").otherwise(body_category())
 
 
-def near_words(page: pd.DataFrame, near_x: float, near_y: float) -> pd.DataFrame:
+def near_words(x1: np.ndarray, x2: np.ndarray, y: np.ndarray, size: np.ndarray, turn: np.ndarray, ids: np.ndarray, near_x: float, near_y: float) -> np.ndarray:
     """The cluster of each word of one page: the least word of all it reaches by steps to near words of its rotation.
 
-    Words are taken by height, so that each meets only those within reach above and below.
+    Words come by rotation, then height, so that each meets only those within reach above and below.
     """
-    page = page.sort_values(["rotation", "row", "word_id"], kind="stable")
-    x1, x2, y, size, turn = (page[c].to_numpy(float) for c in ("x1", "x2", "row", "font_size", "rotation"))
-    ids = page["word_id"].to_numpy()
     root = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
     reach, place = near_y * size.max(), turn * (y.max() - y.min() + 2 * near_y * size.max() + 1) + y - y.min()
     a, b = [], []
-    for i in range(0, len(page), 256):
-        part = slice(i, i + 256)
-        low, high = np.searchsorted(place, [place[part][0] - reach, place[part][-1] + reach], side="left")
-        high = np.searchsorted(place, place[part][-1] + reach, side="right")
-        other = slice(low, high)
+    for i in range(0, len(ids), 64):
+        part = slice(i, i + 64)
+        low = np.searchsorted(place, place[part][0] - reach, side="left")
+        other = slice(low, np.searchsorted(place, place[part][-1] + reach, side="right"))
         least = np.minimum(size[part, None], size[None, other])
         dx = np.minimum.reduce([np.abs(p[part, None] - q[None, other]) for p in (x1, x2) for q in (x1, x2)])
-        dx = np.where((x1[part, None] <= x2[None, other]) & (x1[None, other] <= x2[part, None]), 0, dx)
+        dx[(x1[part, None] <= x2[None, other]) & (x1[None, other] <= x2[part, None])] = 0
         dy = np.abs(y[part, None] - y[None, other])
         p, q = np.nonzero((dx <= near_x * least) & (dy <= near_y * least) & (turn[part, None] == turn[None, other]))
         a.append(p + i)
         b.append(q + low)
     a, b = np.concatenate(a), np.concatenate(b)
+    a, b = a[a < b], b[a < b]
     at = np.empty(len(root), np.int64)
     at[root] = np.arange(len(root))
     while True:  # roots are ranks of ids; each round also looks up what the root itself has found
@@ -153,15 +153,22 @@ def near_words(page: pd.DataFrame, near_x: float, near_y: float) -> pd.DataFrame
         root = np.minimum(root, root[at[root]])
         if (old == root).all():
             break
-    return pd.DataFrame({"doc_id": page["doc_id"], "page": page["page"], "word_id": ids, "cluster_id": np.sort(ids)[root]})
+    return np.sort(ids)[root]
 
 
 def cluster_words(words: DataFrame, near_x: float = NEAR_X, near_y: float = NEAR_Y) -> DataFrame:
-    """(doc_id, page, word_id, cluster_id): single linkage with a cut-off, by page and rotation. A task holds one page at a time."""
+    """(doc_id, page, word_id, cluster_id): single linkage with a cut-off, by page and rotation. A task takes page by page."""
     turn = F.col("rotation") if "rotation" in words.columns else F.lit(0)
-    narrow = words.select("doc_id", "page", F.col("word_id").cast("long").alias("word_id"), "x1", "x2", "row", "font_size", turn.alias("rotation"))
+    places = {"x1": F.col("x1"), "x2": F.col("x2"), "row": F.col("row"), "font_size": F.col("font_size"), "rotation": turn}
+    narrow = words.select("doc_id", "page", F.col("word_id").cast("long").alias("word_id"), *[c.cast("double").alias(k) for k, c in places.items()])
     kind = narrow.schema["doc_id"].dataType.simpleString()
-    return narrow.groupBy("doc_id", "page").applyInPandas(lambda page: near_words(page, near_x, near_y), f"doc_id {kind}, page int, word_id long, cluster_id long")
+
+    def clusters(pages: pa.Table, starts: np.ndarray) -> pa.Table:
+        x1, x2, y, size, turns, ids = (pages[c].to_numpy() for c in ("x1", "x2", "row", "font_size", "rotation", "word_id"))
+        found = [near_words(x1[i:j], x2[i:j], y[i:j], size[i:j], turns[i:j], ids[i:j], near_x, near_y) for i, j in pairwise(starts)]
+        return pa.table({"doc_id": pages["doc_id"], "page": pages["page"].cast(pa.int32()), "word_id": pages["word_id"], "cluster_id": np.concatenate(found)})
+
+    return by_groups(narrow, ["doc_id", "page"], ["rotation", "row", "word_id"], clusters, f"doc_id {kind}, page int, word_id long, cluster_id long")
 
 
 def clusters_by_size(clustered: DataFrame) -> DataFrame:
@@ -229,13 +236,11 @@ def merged_margins(boxes: DataFrame) -> DataFrame:
     return whole.agg(F.min("box_id").alias("box_id"), *least, *most, F.count(F.lit(1)).alias("n")).select("doc_id", "page", "box_id", "category", "x1", "y1", "x2", "y2", "n")
 
 
-def merge_boxes(page: pd.DataFrame) -> pd.DataFrame:
-    """DATA boxes of one page merged nearest first, unless the union hits a labelled box; ties by id.
+def merge_boxes(boxes: dict[int, tuple], fixed: np.ndarray) -> list[tuple]:
+    """(box_id, merged_id, x1, y1, x2, y2): boxes of one page merged nearest first, unless the union hits a fixed one; ties by id.
 
     Distances wait in a heap; those of boxes that have since grown or gone are passed over.
     """
-    boxes = {r.box_id: (r.x1, r.y1, r.x2, r.y2) for r in page[page.category == "UNKNOWN"].itertuples()}
-    fixed = page.loc[page.category != "UNKNOWN", ["x1", "y1", "x2", "y2"]].to_numpy(float)
     owner, grown = {k: k for k in boxes}, dict.fromkeys(boxes, 0)
     away = lambda p, q: max(p[0] - q[2], q[0] - p[2], 0) ** 2 + max(p[1] - q[3], q[1] - p[3], 0) ** 2
     near = [(away(boxes[i], boxes[j]), i, j, 0, 0) for i in boxes for j in boxes if i < j]
@@ -261,33 +266,51 @@ def merge_boxes(page: pd.DataFrame) -> pd.DataFrame:
             k = owner[k]
         return k
 
-    rows = [(k, last(k), *boxes[last(k)]) for k in sorted(owner)]
-    out = pd.DataFrame(rows, columns=["box_id", "merged_id", "x1", "y1", "x2", "y2"])
-    return out.assign(doc_id=page.doc_id.iloc[0], page=page.page.iloc[0])[["doc_id", "page", "box_id", "merged_id", "x1", "y1", "x2", "y2"]]
+    return [(k, last(k), *boxes[last(k)]) for k in sorted(owner)]
 
 
 def data_regions(boxes: DataFrame) -> DataFrame:
     """(doc_id, page, box_id, merged_id, x1, y1, x2, y2) of the UNKNOWN boxes of (doc_id, page, box_id, category, x1, y1, x2, y2)."""
-    return boxes.groupBy("doc_id", "page").applyInPandas(merge_boxes, "doc_id long, page int, box_id long, merged_id long, x1 double, y1 double, x2 double, y2 double")
+    sides = ["x1", "y1", "x2", "y2"]
+    names = ["doc_id", "page", "box_id", "merged_id", *sides]
+
+    def regions(pages: pa.Table, starts: np.ndarray) -> pa.Table:
+        place = np.stack([pages[c].to_numpy() for c in sides], axis=1)
+        unknown = pc.fill_null(pc.equal(pages["category"], "UNKNOWN"), False).to_numpy()
+        docs, numbers, ids = (pages[c].to_pylist() for c in ("doc_id", "page", "box_id"))
+        rows = []
+        for i, j in pairwise(starts):
+            open_ = {ids[k]: tuple(place[k].tolist()) for k in range(i, j) if unknown[k]}
+            rows += [(docs[i], numbers[i], *r) for r in merge_boxes(open_, place[i:j][~unknown[i:j]])]
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), *[pa.float64()] * 4]
+        return pa.table([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
+
+    narrow = boxes.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("page").cast("int").alias("page"), F.col("box_id").cast("long").alias("box_id"), "category", *[F.col(c).cast("double").alias(c) for c in sides])
+    return by_groups(narrow, ["doc_id", "page"], ["box_id"], regions, "doc_id long, page int, box_id long, merged_id long, x1 double, y1 double, x2 double, y2 double")
 
 
 def attach_scripts(candidates: DataFrame, cap: int = 4) -> DataFrame:
     """(doc_id, page, script_id, target_id): scripts attached to targets, nearest pairs first.
 
     candidates: (doc_id, page, script_id, target_id, distance). A script goes to one target, a target takes up to
-    `cap`; ties by ids. Greedy acceptance depends on all earlier ones of the page, so it runs per page.
+    `cap`; ties by ids. Greedy acceptance depends on all earlier ones of the page, so it runs page by page.
     """
+    names = ["doc_id", "page", "script_id", "target_id"]
 
-    def accept(page: pd.DataFrame) -> pd.DataFrame:
-        taken, full, rows = set(), {}, []
-        for r in page.sort_values(["distance", "script_id", "target_id"]).itertuples():
-            if r.script_id not in taken and r.target_id not in taken and full.get(r.target_id, 0) < cap:
-                taken.add(r.script_id)
-                full[r.target_id] = full.get(r.target_id, 0) + 1
-                rows.append((r.doc_id, r.page, r.script_id, r.target_id))
-        return pd.DataFrame(rows, columns=["doc_id", "page", "script_id", "target_id"])
+    def accept(pages: pa.Table, starts: np.ndarray) -> pa.Table:
+        scripts, targets, kept = pages["script_id"].to_pylist(), pages["target_id"].to_pylist(), []
+        for i, j in pairwise(starts):
+            taken, full = set(), {}
+            for k in range(i, j):
+                s, t = scripts[k], targets[k]
+                if s not in taken and t not in taken and full.get(t, 0) < cap:
+                    taken.add(s)
+                    full[t] = full.get(t, 0) + 1
+                    kept.append(k)
+        return pages.select(names).take(pa.array(kept, pa.int64()))
 
-    return candidates.groupBy("doc_id", "page").applyInPandas(accept, "doc_id long, page int, script_id long, target_id long")
+    narrow = candidates.select(*[F.col(c).cast("int" if c == "page" else "long").alias(c) for c in names], "distance")
+    return by_groups(narrow, names[:2], [F.asc_nulls_last("distance"), "script_id", "target_id"], accept, "doc_id long, page int, script_id long, target_id long")
 
 
 #: Of the target's font size: how large a script may be, how far from the tail it begins, and how far off the baseline it stands.
@@ -358,19 +381,25 @@ def align_baselines(words: DataFrame) -> DataFrame:
     size moves there; a word below that box starts a new one. Each word depends on those before, so it runs by cluster.
     """
 
-    def align(cluster: pd.DataFrame) -> pd.DataFrame:
-        cluster = cluster.sort_values(["baseline", "x1", "word_id"])
-        bottom, line, shift = -np.inf, -np.inf, []
-        for y1, y2, baseline, size in zip(cluster.y1, cluster.y2, cluster.baseline, cluster.font_size, strict=True):
-            if bottom <= y1:
-                bottom, line = y2, baseline
-                shift.append(0.0)
-            else:
-                shift.append(line - baseline if abs(line - baseline) < 0.5 * size else 0.0)
-        moved = np.array(shift)
-        return cluster.assign(y1=cluster.y1 + moved, y2=cluster.y2 + moved, baseline=cluster.baseline + moved)
-
-    return words.groupBy("doc_id", "page", "cluster_id").applyInPandas(align, words.schema)
+    moved = ["y1", "y2", "baseline"]
+
+    def align(clusters: pa.Table, starts: np.ndarray) -> pa.Table:
+        y1, y2, baseline, size = (clusters[c].to_numpy().tolist() for c in (*moved, "font_size"))
+        shift = []
+        for i, j in pairwise(starts):
+            bottom, line = -np.inf, -np.inf
+            for k in range(i, j):
+                if bottom <= y1[k]:
+                    bottom, line = y2[k], baseline[k]
+                    shift.append(0.0)
+                else:
+                    shift.append(line - baseline[k] if abs(line - baseline[k]) < 0.5 * size[k] else 0.0)
+        for c in moved:
+            at = clusters.column_names.index(c)
+            clusters = clusters.set_column(at, c, pa.array(clusters[c].to_numpy() + np.array(shift), clusters.schema.field(c).type, from_pandas=True))
+        return clusters
+
+    return by_groups(words, ["doc_id", "page", "cluster_id"], [F.asc_nulls_last(c) for c in ("baseline", "x1", "word_id")], align, words.schema)
 
 
 def merge_fragments(words: DataFrame, *keys: str) -> DataFrame:

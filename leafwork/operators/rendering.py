@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from bisect import bisect_left, insort
+from itertools import groupby, pairwise
+from operator import itemgetter
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafwork.operators.groups import by_groups
 from leafwork.operators.layout import GROUP_SPACE, WORD_SPACE
 
 #: Fixed: how far, in heights of the string, duplicates may lie off each other: across, along, and at their ends.
@@ -14,37 +20,55 @@ SHIFT, TOP, END = 1.0, 0.2, 0.1
 LINE_GAP, LEFT_EDGE = 0.5, 0.4
 
 
-def nearest_column(known: list[tuple[float, int]], x: float, most: float) -> int | None:
-    """The column of the known position nearest to x, the first of equally near ones, if it is within `most`."""
-    if not known:
-        return None
-    at, column = min(known, key=lambda k: abs(k[0] - x))
-    return column if abs(at - x) <= most else None
-
-
-def between_columns(known: list[tuple[float, int]], x: float) -> int | None:
-    """The column of x by the line through the nearest known positions on both sides."""
-    low = max((k for k in known if k[0] <= x), key=lambda k: k[0], default=None)
-    high = min((k for k in known if k[0] >= x), key=lambda k: k[0], default=None)
-    if low is None or high is None:
-        return None
-    if low[0] == x or low[0] == high[0]:
-        return next(column for at, column in known if at == low[0])
-    return int(low[1] + (x - low[0]) * (high[1] - low[1]) / (high[0] - low[0]))
-
-
-def table_text(cluster: pd.DataFrame) -> str:
-    """The words of one cluster (baseline, x1, x2, text, font_size) as lines of text whose columns stand below each other.
+class Columns:
+    """Known positions of a table and the columns of text that they stand in; of equal positions the first one holds."""
+
+    def __init__(self) -> None:
+        self.column: dict[float, int] = {}
+        self.rank: dict[float, int] = {}
+        self.order: list[float] = []
+
+    def add(self, at: float, column: int) -> None:
+        if at == at and at not in self.column:
+            self.column[at] = column
+            self.rank[at] = len(self.order)
+            insort(self.order, at)
+
+    def nearest(self, x: float, most: float) -> int | None:
+        """The column of the known position nearest to x, the first known of equally near ones, if it is within `most`."""
+        i = bisect_left(self.order, x)
+        around = self.order[max(0, i - 1) : i + 1]
+        if not around:
+            return None
+        least = min(abs(at - x) for at in around)
+        if not least <= most:
+            return None
+        return self.column[min((at for at in around if abs(at - x) == least), key=self.rank.__getitem__)]
+
+    def between(self, x: float) -> int | None:
+        """The column of x by the line through the nearest known positions on both sides."""
+        if x in self.column:
+            return self.column[x]
+        i = bisect_left(self.order, x)
+        if not 0 < i < len(self.order):
+            return None
+        low, high = self.order[i - 1], self.order[i]
+        return int(self.column[low] + (x - low) * (self.column[high] - self.column[low]) / (high - low))
+
+
+def table_text(baselines: list, lefts: list, rights: list, texts: list, sizes: list) -> str:
+    """The words of one cluster, by baseline and left edge, as lines of text whose columns stand below each other.
 
     Words a space apart make a group. A group goes where an earlier one had its left edge, else its right edge, else its
     middle; else between known columns, by its left, then its right edge; else after as many spaces as fit the gap.
     """
     lines: list[str] = []
-    known: list[tuple[float, int]] = []
-    left = cluster.x1.min()
-    for _, words in cluster.sort_values(["baseline", "x1"]).groupby("baseline"):
+    known = Columns()
+    left = min((x for x in lefts if x == x), default=float("nan"))
+    rows = (r for r in zip(baselines, lefts, rights, texts, sizes, strict=True) if r[0] == r[0])
+    for _, words in groupby(rows, key=itemgetter(0)):
         groups: list[list] = []  # text, x1, x2, the last word's x1 and size, the first one's size
-        for x1, x2, text, size in zip(words.x1, words.x2, words.text, words.font_size, strict=True):
+        for _, x1, x2, text, size in words:
             least = min(groups[-1][4], size) if groups else size
             if groups and x1 - groups[-1][2] <= GROUP_SPACE * least:
                 g = groups[-1]
@@ -55,33 +79,41 @@ def table_text(cluster: pd.DataFrame) -> str:
         line, edge = "", left
         for k, (text, x1, x2, last_x1, last_size, first_size) in enumerate(groups):
             n, col = len(text), len(line)
-            choices = [
-                (nearest_column(known, x1, GROUP_SPACE * first_size), 0),
-                (nearest_column(known, x2, GROUP_SPACE * last_size), n),
-                (nearest_column(known, (x2 + last_x1) / 2, GROUP_SPACE * last_size), n // 2),
-                (between_columns(known, x1), 0),
-                (between_columns(known, x2), n),
-            ]
-            found = next(((column, back) for column, back in choices if column is not None), None)
-            spaces = max(0, found[0] - found[1] - col) if found else max(0, int((x1 - edge) / ((x2 - x1) / n) + 0.5)) if n and x2 > x1 else 0
+            back = 0
+            found = known.nearest(x1, GROUP_SPACE * first_size)
+            if found is None:
+                found, back = known.nearest(x2, GROUP_SPACE * last_size), n
+            if found is None:
+                found, back = known.nearest((x2 + last_x1) / 2, GROUP_SPACE * last_size), n // 2
+            if found is None:
+                found, back = known.between(x1), 0
+            if found is None:
+                found, back = known.between(x2), n
+            spaces = max(0, found - back - col) if found is not None else max(0, int((x1 - edge) / ((x2 - x1) / n) + 0.5)) if n and x2 > x1 else 0
             begin = col + (spaces if spaces or not k else 1)
             line = line.ljust(begin) + text
-            known.append((x1, begin))
+            known.add(x1, begin)
             if n > 2:
-                known += [((x1 + x2) / 2, (len(line) - 1 + begin) // 2), (x2, len(line) - 1)]
+                known.add((x1 + x2) / 2, (len(line) - 1 + begin) // 2)
+                known.add(x2, len(line) - 1)
             edge = x2
         lines.append(line)
     return "\n".join(lines)
 
 
 def rendered_tables(words: DataFrame) -> DataFrame:
-    """(doc_id, page, cluster_id, text) of words (doc_id, page, cluster_id, baseline, x1, x2, text, font_size); a task holds one cluster at a time."""
-
-    def render(cluster: pd.DataFrame) -> pd.DataFrame:
-        return cluster.iloc[:1][["doc_id", "page", "cluster_id"]].assign(text=table_text(cluster))
-
-    kinds = {c: words.schema[c].dataType.simpleString() for c in ("doc_id", "page", "cluster_id")}
-    return words.groupBy("doc_id", "page", "cluster_id").applyInPandas(render, ", ".join([*[f"{c} {k}" for c, k in kinds.items()], "text string"]))
+    """(doc_id, page, cluster_id, text) of words (doc_id, page, cluster_id, baseline, x1, x2, text, font_size); a task takes cluster by cluster."""
+    keys, sides = ["doc_id", "page", "cluster_id"], ["baseline", "x1", "x2", "font_size"]
+
+    def render(clusters: pa.Table, starts: np.ndarray) -> pa.Table:
+        baseline, x1, x2, size = (clusters[c].to_numpy().tolist() for c in sides)
+        text = clusters["text"].to_pylist()
+        found = [table_text(baseline[i:j], x1[i:j], x2[i:j], text[i:j], size[i:j]) for i, j in pairwise(starts)]
+        return clusters.select(keys).take(pa.array(starts[:-1])).append_column("text", pa.array(found, pa.string()))
+
+    narrow = words.select(*keys, *[F.col(c).cast("double").alias(c) for c in sides], "text")
+    kinds = {c: words.schema[c].dataType.simpleString() for c in keys}
+    return by_groups(narrow, keys, ["baseline", "x1", "x2", "text"], render, ", ".join([*[f"{c} {k}" for c, k in kinds.items()], "text string"]))
 
 
 def column_positions(groups: DataFrame, *keys: str) -> DataFrame:
