@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafwork.functions.numbering import from_letters, from_roman
+from leafwork.functions.numbering import from_letters, roman_numbers
 
 
 def running_ranges(spans: DataFrame, order: str, length: str) -> DataFrame:
@@ -59,16 +59,22 @@ def running(rows: DataFrame, keys: list[str], order: str, bucket: str, sums: lis
 
 
 def label_index(labels: DataFrame, spans: DataFrame) -> DataFrame:
-    """labels (label) with index: the page of a label, by ranges (base, length, style, prefix, first); null if no range has it, the first of several.
+    """labels (label) with index and pages: the page of a label, by ranges (base, length, style, prefix, first), and all of that range that bear it; null if no range has it.
 
-    Every beginning of a label is looked up among the prefixes by an equi-join.
+    Of several ranges the first holds. Labels are cut at the lengths that prefixes have, which are no more than the longest
+    prefix has characters, and looked up among the prefixes by an equi-join.
     """
-    parts = labels.select("label").distinct().select("label", F.explode(F.sequence(F.lit(0), F.length("label"))).alias("_k"))
+    lengths = spans.select(F.length("prefix").alias("_k")).where("_k is not null").distinct()
+    parts = labels.select("label").distinct().join(F.broadcast(lengths), F.col("_k") <= F.length("label"))
     parts = parts.select("label", F.substring("label", F.lit(1), F.col("_k")).alias("prefix"), F.expr("substring(label, _k + 1)").alias("_rest"))
-    number = F.when(F.col("style") == "D", F.when(F.col("_rest").rlike("^[0-9]+$"), F.col("_rest").try_cast("long"))).when(F.col("style").isin("R", "r"), from_roman(F.col("_rest"))).when(F.col("style").isin("A", "a"), from_letters(F.col("_rest")))
-    met = parts.join(spans, "prefix").withColumn("_number", number)
-    plain = F.col("style").isNull() & (F.col("length") == 1) & (F.col("_rest") == "")
-    known = (F.col("_number") >= 0) & (F.col("_number") - F.col("first") < F.col("length"))
-    index = F.when(plain, F.col("base")).when(known, F.col("base") + F.col("_number") - F.col("first"))
-    found = met.select("label", "base", index.cast("long").alias("_index")).where("_index is not null").groupBy("label").agg(F.min_by("_index", "base").alias("index"))
-    return labels.join(found, "label", "left")
+    rest, last = F.col("_rest"), F.col("first") + F.col("length") - 1
+    one = lambda n: F.when(n.isNotNull(), F.array(n.cast("long")))
+    numbers = F.when(F.col("style") == "D", one(F.when(rest.rlike("^[0-9]+$"), rest.try_cast("long")))).when(F.col("style").isin("R", "r"), roman_numbers(rest, last)).when(F.col("style").isin("A", "a"), one(from_letters(rest)))
+    met = parts.join(spans, "prefix")
+    plain = F.col("style").isNull() & (F.col("length") == 1) & (rest == "")
+    known = F.filter(numbers, lambda n: (n >= 0) & (n - F.col("first") < F.col("length")))
+    pages = F.when(plain, F.array(F.col("base").cast("long"))).otherwise(F.transform(known, lambda n: (F.col("base") + n - F.col("first")).cast("long")))
+    # what is left out is so by the aggregate: a filter would be pushed below and find the pages a second time
+    first = F.min(F.when(F.size("_pages") > 0, F.struct("base", "_pages")))
+    found = met.select("label", "base", pages.alias("_pages")).groupBy("label").agg(first.alias("_first")).select("label", F.col("_first._pages").alias("pages"))
+    return labels.join(found, "label", "left").select(*labels.columns, F.get("pages", F.lit(0)).alias("index"), "pages")

@@ -69,8 +69,9 @@ def iso_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def label_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The labels of number_page_labels back to pages; labels of another book have none."""
     spans = scalars.label_spans(spark, sf_dir)
-    labels = scalars.page_labels(spark, sf_dir).select("label")
-    return ranges.label_index(labels.unionByName(labels.select(F.concat(F.lit("x"), "label").alias("label"))), spans).where("index is not null")
+    labels = scalars.page_labels(spark, sf_dir).select("label").distinct()
+    found = ranges.label_index(labels.unionByName(labels.select(F.concat(F.lit("x"), "label").alias("label"))), spans)
+    return found.where("index is not null").select("label", F.explode("pages").alias("index"))
 
 
 def search_places(spark: SparkSession, sf_dir: str) -> DataFrame:
