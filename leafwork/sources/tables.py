@@ -104,7 +104,8 @@ def headings_of(pages: DataFrame) -> DataFrame:
 
 def glyphs_of(embeddings: DataFrame) -> DataFrame:
     """(source, unicode, n, bitmap) with bitmaps of 8 x 8 whole numbers: vectors read as glyph images."""
-    bitmap = F.transform("embedding", lambda v: F.floor(v * 100).cast("int"))
+    # in single precision, as the vectors are: a whole number is not missed by what a wider product shows behind it
+    bitmap = F.transform("embedding", lambda v: F.floor(v * F.lit(100).cast("float")).cast("int"))
     return embeddings.select((F.col("vec_id") % 7).alias("source"), F.col("label").alias("unicode"), (F.col("vec_id") % 5 + 1).alias("n"), bitmap.alias("bitmap"), "vec_id")
 
 

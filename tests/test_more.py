@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from leafwork.functions import numbering
 from leafwork.operators import documents, glyphs, layout, ranges, rendering
+from leafwork.sources.tables import glyphs_of
 
 
 def test_codes_are_mapped_by_ranges(spark):
@@ -59,3 +63,30 @@ def test_confident_code_points(spark):
     assert got == {"a": (1, True), "b": (2, True), "c": (2, False), "d": (2, False)}
     assert got == {r.bitmap: (r.codes, r.confident) for r in glyphs.confident(merged.repartition(5)).collect()}
     assert glyphs.confident(merged.where("false")).count() == 0
+
+
+def test_roman_labels_of_long_ranges(spark):
+    """From 4000 on the numerals had no value, and their labels none; a label is now found on all pages that bear it."""
+    pages = spark.range(1, 24_001).select(F.col("id").alias("n"), numbering.label(F.lit("R"), F.col("id"), F.lit("s-")).alias("label"))
+    at = {r.n: r.label for r in pages.collect()}
+    assert [at[n] for n in (3999, 4000, 4001, 5009, 8000, 10_000, 23_456)] == ["s-MMMCMXCIX", "s-MM", "s-MMI", "s-MIX", "s-MMMM", "s-", "s-MMMCDLVI"]
+    spans = spark.createDataFrame([(100, 24_000, "R", "s-", 1), (0, 9, "D", "t", 1)], "base long, length long, style string, prefix string, first int")
+    found = ranges.label_index(pages.select("label").where("label <> 's-'").distinct(), spans)
+    got = {(r.label, page) for r in found.collect() for page in r.pages}
+    assert got == {(label, n + 99) for n, label in at.items() if label != "s-"}
+    assert {(r["label"], r["index"]) for r in found.where("label in ('s-MM', 's-MMMM')").collect()} == {("s-MM", 2099), ("s-MMMM", 8099)}
+
+
+def test_labels_are_cut_only_where_prefixes_end(spark):
+    spans = spark.createDataFrame([(0, 9, "a", "s-", 1), (9, 9, "a", "abc-", 1)], "base long, length long, style string, prefix string, first int")
+    labels = spark.createDataFrame([("s-" + "b" * 900,), ("abc-d",)], "label string")
+    plan = ranges.label_index(labels, spans)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(0, length(label" not in plan
+    assert {(r["label"][:5], r["index"]) for r in ranges.label_index(labels, spans).collect()} == {("s-bbb", None), ("abc-d", 12)}
+
+
+def test_glyphs_scale_in_single_precision(spark):
+    """0.18 as a float is a little less than 0.18; its product with 100 is 18 in single precision and less in double."""
+    df = spark.createDataFrame([(1, [0.18, 0.57, -0.29], 3)], "vec_id long, embedding array<float>, label long")
+    assert [r.bitmap for r in glyphs_of(df).collect()] == [[int(np.floor(np.float32(x) * np.float32(100))) for x in (0.18, 0.57, -0.29)]]
+    assert glyphs_of(df).first().bitmap[0] == 18
