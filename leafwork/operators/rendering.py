@@ -156,13 +156,16 @@ def without_shadows(strings: DataFrame, *keys: str) -> DataFrame:
     height = F.col("y2") - F.col("y1")
     scale = F.ceil(F.log2(F.greatest(height, F.lit(1e-6)))).cast("int")
     cell = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("s")))
-    marked = strings.select(*keys, "id", "text", "x1", "y1", "x2", "y2", height.alias("h"), scale.alias("s"))
+    # texts meet by two hashes, so that copies are narrow
+    absent = F.col("text").isNull()
+    told = [F.xxhash64("text", absent).alias("t1"), F.xxhash64(F.lit(1), "text", absent).alias("t2")]
+    marked = strings.select(*keys, "id", *told, "x1", "y1", "x2", "y2", height.alias("h"), scale.alias("s"))
     left = marked.withColumn("cx", cell("x1")).withColumn("cy", cell("y1"))
     steps = F.array(F.lit(-1), F.lit(0), F.lit(1))
     right = marked.withColumn("s", F.explode(F.transform(steps, lambda d: F.col("s") + d)))
     right = right.withColumn("cx", F.explode(F.transform(steps, lambda d: cell("x1") + d))).withColumn("cy", F.explode(F.transform(steps, lambda d: cell("y1") + d)))
     a, b = left.alias("a"), right.alias("b")
-    on = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*keys, "text", "s", "cx", "cy")]
+    on = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*keys, "t1", "t2", "s", "cx", "cy")]
     later = F.struct("b.y1", "b.x1", "b.id") > F.struct("a.y1", "a.x1", "a.id")
     close = (F.col("b.x1") < F.col("a.x1") + SHIFT * F.col("a.h")) & (F.abs(F.col("b.y1") - F.col("a.y1")) < TOP * F.col("a.h")) & (F.abs(F.col("b.y2") - F.col("a.y2")) < TOP * F.col("a.h")) & (F.abs(F.col("b.x2") - F.col("a.x2")) < END * F.col("a.h"))
     gone = a.join(b, [*on, later & close]).select(*[F.col(f"b.{c}").alias(c) for c in (*keys, "id")]).distinct()

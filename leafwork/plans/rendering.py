@@ -90,8 +90,7 @@ def marks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def html_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines as strings, every third doubled as a shadow, then merged to paragraphs."""
-    strings = layout.word_groups(turn_words(spark, sf_dir), "doc_id", "page", gap=None)
-    strings = strings.join(turn_words(spark, sf_dir).select("doc_id", "baseline", "para").distinct(), ["doc_id", "baseline"])
+    strings = layout.word_groups(turn_words(spark, sf_dir), "doc_id", "page", "para", gap=None)
     row = F.col("baseline") + 2 * F.col("para")
     rows = strings.select("doc_id", "page", (F.col("baseline") * 2).alias("id"), "text", F.col("x1").cast("double").alias("x1"), (row * 10.0).alias("y1"), (F.col("x2") * 5.0).alias("x2"), (row * 10.0 + 8).alias("y2"), "baseline")
     shadow = rows.where("baseline % 3 = 0").withColumns({"id": F.col("id") + 1, "x1": F.col("x1") + 0.3, "x2": F.col("x2") + 0.3, "y1": F.col("y1") + 0.2, "y2": F.col("y2") + 0.2})

@@ -42,6 +42,16 @@ def test_no_pandas_frame_for_each_group(spark):
         assert df.count() == 1
 
 
+def test_shadows_travel_without_their_texts(spark):
+    rows = [(1, 1, "ab", 0.0, 0.0, 9.0, 8.0), (1, 2, "ab", 0.3, 0.2, 9.3, 8.2), (1, 3, "ac", 0.3, 0.2, 9.3, 8.2), (1, 4, None, 0.0, 0.0, 9.0, 8.0), (1, 5, None, 0.3, 0.2, 9.3, 8.2), (2, 6, "ab", 0.3, 0.2, 9.3, 8.2)]
+    df = spark.createDataFrame(rows, "page long, id long, text string, x1 double, y1 double, x2 double, y2 double")
+    kept = rendering.without_shadows(df, "page")
+    assert sorted(r.id for r in kept.collect()) == [1, 3, 4, 6]
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    copies = [line for line in plan.splitlines() if "Generate explode" in line]
+    assert copies and not any("text" in line for line in copies)
+
+
 def test_columns_against_all_known_positions():
     rng = random.Random(8)
     for _ in range(300):
