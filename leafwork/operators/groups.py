@@ -20,6 +20,49 @@ def begins(table: pa.Table, keys: list[str]) -> np.ndarray:
     return out
 
 
+def kinds(rows: DataFrame, *names: str) -> str:
+    """The columns and their types, as a schema says them."""
+    return ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names)
+
+
+def keyed(column: pa.ChunkedArray) -> np.ndarray:
+    """A column of numbers to sort by, nulls before all others."""
+    floating = pa.types.is_floating(column.type)
+    return pc.fill_null(column, -np.inf if floating else np.iinfo(column.type.to_pandas_dtype()).min).to_numpy()
+
+
+def lagged(column: pa.ChunkedArray, first: np.ndarray) -> pa.Array:
+    """The value of the row before, null in the rows that begin a group."""
+    c = column.combine_chunks()
+    return pc.if_else(pa.array(first), pa.scalar(None, c.type), pa.concat_arrays([pa.nulls(min(1, len(c)), c.type), c[:-1]]))
+
+
+def doubles(column: pa.ChunkedArray) -> pa.ChunkedArray:
+    return column.cast(pa.float64(), safe=False)
+
+
+def exceeds(a: pa.Array, b: pa.Array | float) -> pa.Array:
+    """Whether a > b, in double precision, with NaN over all other numbers, as Spark has it; null if one is."""
+    b = pa.scalar(b, pa.float64()) if isinstance(b, float) else b
+    return pc.or_kleene(pc.greater(a, b), pc.and_kleene(pc.is_nan(a), pc.invert(pc.is_nan(b))))
+
+
+def extreme(column: pa.ChunkedArray, starts: np.ndarray, least: bool) -> pa.Array:
+    """The least or the greatest value of each group, groups beginning at starts; nulls don't count, NaN is the greatest."""
+    kind = column.type.to_pandas_dtype()
+    low, high = (-np.inf, np.inf) if pa.types.is_floating(column.type) else (np.iinfo(kind).min, np.iinfo(kind).max)
+    values = pc.fill_null(column, high if least else low).to_numpy()
+    found = (np.fmin if least else np.maximum).reduceat(values, starts)
+    absent = np.logical_and.reduceat(pc.is_null(column).to_numpy(), starts)
+    return pa.array(found, column.type, mask=absent)
+
+
+def joined(pieces: pa.Array, starts: np.ndarray) -> pa.Array:
+    """The pieces of each group put together; starts: where each group begins and the last ends. Null pieces are left out."""
+    whole = pc.fill_null(pieces, "")
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(starts, pa.int32()), whole.combine_chunks() if isinstance(whole, pa.ChunkedArray) else whole), "")
+
+
 def by_groups(rows: DataFrame, keys: list[str], order: list[str], each: Callable[[pa.Table, np.ndarray], pa.Table], schema: str) -> DataFrame:
     """What `each` makes of whole groups (keys), sorted by `order` inside; it gets many of them in one table, and where each begins and the last ends.
 

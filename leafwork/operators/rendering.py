@@ -8,10 +8,11 @@ from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafwork.operators.groups import by_groups
+from leafwork.operators.groups import by_groups, joined, keyed, kinds
 from leafwork.operators.layout import GROUP_SPACE, WORD_SPACE
 
 #: Fixed: how far, in heights of the string, duplicates may lie off each other: across, along, and at their ends.
@@ -204,23 +205,75 @@ def padded_lines(words: DataFrame, *keys: str) -> DataFrame:
     return words.withColumn("piece", piece).groupBy(*keys, "baseline").agg(F.array_join(F.transform(F.array_sort(F.collect_list("piece")), lambda s: s["t"]), "").alias("text"))
 
 
-def text_by_mode(words: DataFrame, mode: str) -> DataFrame:
-    """(doc_id, page, text) of words (doc_id, page, content_pos, column_no, baseline, x1, text), one line of text for each line.
+def changes(*keys: np.ndarray) -> np.ndarray:
+    """Whether each row differs from the one before in a key; the first one does."""
+    return np.append(True, np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) if len(keys[0]) else np.zeros(0, bool)
+
+
+def column_numbers(page: np.ndarray, x1: np.ndarray, x2: np.ndarray, box: np.ndarray) -> np.ndarray:
+    """The column of each word on its page, by boxes as layout.reading_order() has them: a box opens a column where none before it, by left edge, reaches it."""
+    by_box = np.lexsort((box, page))
+    first = changes(page[by_box], box[by_box])
+    starts = np.flatnonzero(first)
+    left, right = np.minimum.reduceat(x1[by_box], starts), np.maximum.reduceat(x2[by_box], starts)
+    owner, number = page[by_box][starts], box[by_box][starts]
+    order = np.lexsort((number, left, owner))
+    opens = changes(owner[order])
+    # pages lie apart, so that the running maximum of one never reaches into the next
+    apart = owner[order] * (right.max() - min(left.min(), right.min()) + 1)
+    before = np.append(0, np.maximum.accumulate(right[order] + apart)[:-1])
+    fresh = opens | (before < left[order] + apart)
+    running = np.cumsum(fresh)
+    column = np.empty(len(order), np.int64)
+    column[order] = running - running[opens][np.cumsum(opens) - 1]
+    out = np.empty(len(page), np.int64)
+    out[by_box] = column[np.cumsum(first) - 1]
+    return out
+
+
+def text_by_modes(words: DataFrame, modes: tuple[str, ...], box: str | None = None) -> DataFrame:
+    """(doc_id, page, and the modes' texts) of words (doc_id, page, content_pos, column_no, baseline, x1, text), one line of text for each line.
 
     raw takes lines and words as the content has them, physical goes down the page across its columns, reading goes down
-    one column after the other. One shuffle, by page, serves both steps.
+    one column after the other. With `box`, a column of whole numbers, words have x2 instead of column_no, and columns are found by
+    the boxes of words of equal `box`. Words are shuffled once, by page, whatever the number of modes; pages go to Python in batches of many.
     """
-    line, order = {
-        "raw": (["column_no", "baseline"], ["content_pos"]),
-        "physical": (["baseline"], ["column_no", "x1"]),
-        "reading": (["column_no", "baseline"], ["x1"]),
-    }[mode]
-    first = F.struct(F.min("content_pos") if mode == "raw" else F.struct(*line))
-    joined = lambda by, text, sep: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(by, text))), lambda s: s["t"]), sep)
-    by_page = words.repartition("doc_id", "page")
-    place = F.struct(*order, "content_pos").alias("o")
-    lines = by_page.groupBy("doc_id", "page", *line).agg(first.alias("o"), joined(place, F.col("text").alias("t"), " ").alias("t"))
-    return lines.groupBy("doc_id", "page").agg(joined(F.col("o"), F.col("t"), "\n").alias("text"))
+    placed = ["x2", box] if box else ["column_no"]
+
+    def texts(pages: pa.Table, starts: np.ndarray) -> pa.Table:
+        page = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+        place, x1, baseline = (keyed(pages[c]) for c in ("content_pos", "x1", "baseline"))
+        column = column_numbers(page, x1, keyed(pages["x2"]), keyed(pages[box])) if box else keyed(pages["column_no"])
+        out = pages.select(["doc_id", "page"]).take(pa.array(starts[:-1]))
+        for mode in modes:
+            if mode == "raw":
+                order = np.lexsort((place, baseline, column, page))
+                line = changes(page[order], column[order], baseline[order])
+                number = np.cumsum(line) - 1
+                order = order[np.lexsort((place[order], number, place[order][line][number], page[order]))]
+            elif mode == "physical":
+                order = np.lexsort((place, x1, column, baseline, page))
+            elif mode == "reading":
+                order = np.lexsort((place, x1, baseline, column, page))
+            else:
+                raise ValueError(f"no such mode: {mode}")
+            line = changes(page[order], baseline[order], *([] if mode == "physical" else [column[order]]))
+            text = pages["text"].take(pa.array(order))
+            known = pc.is_valid(text).to_numpy()
+            before = np.cumsum(known) - known
+            spaced = known & (before > before[line][np.cumsum(line) - 1])
+            broken = line & ~changes(page[order])
+            pieces = pc.binary_join_element_wise(pc.if_else(pa.array(broken), "\n", ""), pc.if_else(pa.array(spaced), " ", ""), pc.fill_null(text, ""), "")
+            out = out.append_column(mode, joined(pieces, starts))
+        return out
+
+    narrow = words.select("doc_id", "page", "content_pos", *placed, "baseline", "x1", "text")
+    return by_groups(narrow, ["doc_id", "page"], ["content_pos", "text"], texts, ", ".join([kinds(narrow, "doc_id", "page"), *[f"{m} string" for m in modes]]))
+
+
+def text_by_mode(words: DataFrame, mode: str) -> DataFrame:
+    """(doc_id, page, text) of words in one of the modes of text_by_modes()."""
+    return text_by_modes(words, (mode,)).withColumnRenamed(mode, "text")
 
 
 def rotated_order(rotation: Column, baseline: Column, x1: Column, x2: Column) -> list[Column]:

@@ -117,18 +117,15 @@ def line_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def two_columns(words: DataFrame) -> DataFrame:
-    """Words with paragraphs two by two beside one another, and the columns found by where the paragraphs stand."""
-    words = words.withColumns({"x1": F.col("x1") + F.col("para") % 2 * 1_000_000, "x2": F.col("x2") + F.col("para") % 2 * 1_000_000, "baseline": F.col("line").cast("long") + F.floor(F.col("para") / 2) * 100_000, "content_pos": F.col("para").cast("long") * 10_000_000 + F.col("pos")})
-    boxes = layout.cluster_boxes(words.withColumn("font_size", F.lit(1.0)), "doc_id", "page", "para").select("doc_id", "page", F.col("para").alias("box_id"), "x1", "x2", F.col("para").alias("y1"), F.lit("TEXT").alias("category"))
-    columns = layout.reading_order(boxes).select("doc_id", "page", F.col("box_id").alias("para"), "column_no")
-    return words.join(columns, ["doc_id", "page", "para"])
+    """Words with paragraphs two by two beside one another."""
+    return words.withColumns({"x1": F.col("x1") + F.col("para") % 2 * 1_000_000, "x2": F.col("x2") + F.col("para") % 2 * 1_000_000, "baseline": F.col("line").cast("long") + F.floor(F.col("para") / 2) * 100_000, "content_pos": F.col("para").cast("long") * 10_000_000 + F.col("pos")})
 
 
 def text_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages of two columns as raw, physical and reading text."""
-    words = two_columns(words_of(table(spark, sf_dir, "documents")))
-    modes = [rendering.text_by_mode(words, m).select("doc_id", "page", F.md5("text").alias(m)) for m in ("raw", "physical", "reading")]
-    return modes[0].join(modes[1], ["doc_id", "page"]).join(modes[2], ["doc_id", "page"])
+    """Pages of two columns, found by where the paragraphs stand, as raw, physical and reading text."""
+    words = two_columns(words_of(table(spark, sf_dir, "documents").where("doc_id is not null")))
+    modes = ("raw", "physical", "reading")
+    return rendering.text_by_modes(words, modes, "para").select("doc_id", "page", *[F.md5(m).alias(m) for m in modes])
 
 
 def chains(spark: SparkSession, sf_dir: str) -> DataFrame:
