@@ -5,9 +5,13 @@ from __future__ import annotations
 import re
 import string
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
@@ -41,6 +45,23 @@ def code_points(text: Column) -> Column:
     return F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c))
 
 
+def counted_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, code, n): how often the texts of (lang, text) have each code point, in a few hundred texts at a time."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, 256):
+            some = batch.slice(i, 256)
+            key = pc.dictionary_encode(some.column(0), null_encoding="encode")
+            of, texts = key.indices.to_numpy(), some.column(1).cast(pa.binary()).to_pylist()
+            owners, codes, sizes = [], [], []
+            for k in range(len(key.dictionary)):
+                whole = b"".join(texts[j] for j in np.flatnonzero(of == k) if texts[j] is not None).decode("utf-8", "replace")
+                code, n = np.unique(np.frombuffer(whole.encode("utf-32-le"), np.uint32), return_counts=True)
+                owners.append(np.full(len(code), k))
+                codes.append(code)
+                sizes.append(n)
+            yield pa.RecordBatch.from_arrays([key.dictionary.take(pa.array(np.concatenate(owners))), pa.array(np.concatenate(codes).astype(np.int32)), pa.array(np.concatenate(sizes).astype(np.int64))], names=["lang", "code", "n"])
+
+
 def from_code_point(code: Column) -> Column:
     """The character of a code point; U+FFFD for surrogates and what is out of range."""
     sound = code.between(0, 0xD7FF) | code.between(0xE000, 0x10FFFF)
