@@ -89,7 +89,7 @@ def inherited(nodes: DataFrame, node: str, parent: str, value: str) -> DataFrame
     """nodes with effective: their own value, or else the nearest ancestor's, however far up.
 
     Every round doubles the ancestors that a node has asked, so chains of n nodes take about log2(n) of them; nodes of
-    a cycle without any value stay without.
+    a cycle without any value stay without. Joins are merges, so that no nodes are collected for a broadcast.
     """
     # a node asks on while it has no value; equal rows of one node are asked once
     open_up = F.when(F.col(value).isNull(), F.col(parent))
@@ -98,10 +98,10 @@ def inherited(nodes: DataFrame, node: str, parent: str, value: str) -> DataFrame
         if asked.where("_up is not null").isEmpty():
             break
         above = asked.select(F.col("_n").alias("_up"), F.col("_v").alias("_above"), F.col("_up").alias("_next"))
-        asked, _ = written(asked.join(above, "_up", "left").select("_n", F.coalesce("_v", "_above").alias("_v"), F.when(F.coalesce("_v", "_above").isNull(), F.col("_next")).alias("_up")))
+        asked, _ = written(asked.join(above.hint("merge"), "_up", "left").select("_n", F.coalesce("_v", "_above").alias("_v"), F.when(F.coalesce("_v", "_above").isNull(), F.col("_next")).alias("_up")))
     found = asked.select(F.col("_n").alias("_to"), F.col("_v").alias("_found")).dropDuplicates(["_to", "_found"])
     first = nodes.select("*", F.when(F.col(value).isNull(), F.col(node)).alias("_to"))
-    return first.join(found, "_to", "left").withColumn("effective", F.coalesce(value, "_found")).drop("_to", "_found")
+    return first.join(found.hint("merge"), "_to", "left").withColumn("effective", F.coalesce(value, "_found")).drop("_to", "_found")
 
 
 def first_wins(sources: list[DataFrame], key: str) -> DataFrame:
