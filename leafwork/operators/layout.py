@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafwork.operators.documents import dropped, written
-from leafwork.operators.groups import by_groups
+from leafwork.operators.groups import by_groups, doubles, exceeds, extreme, joined, kinds, lagged
 
 #: Fixed: shares of the page's height and width that make a margin, and the limits of the text rule.
 HEADER, FOOTER, LEFT, RIGHT = 0.08, 0.90, 0.06, 0.95
@@ -199,20 +199,43 @@ def near_pairs(left: DataFrame, right: DataFrame, by: list[str], dx: float, dy:
     return own.join(around.hint("merge"), [*by, "cx", "cy"]).where((F.abs(F.col("lx") - F.col("rx")) <= dx) & (F.abs(F.col("ly") - F.col("ry")) <= dy)).drop("cx", "cy")
 
 
+def marks(flags: np.ndarray) -> np.ndarray:
+    """Where flags are set, and the end."""
+    return np.append(np.flatnonzero(flags), len(flags))
+
+
+def spaced(words: pa.Table, first: np.ndarray, space: float) -> tuple[pa.Array, pa.Array]:
+    """(gaps to the word before, texts with a space before them where the gap is over `space`) of words in order; first: whether a word begins a line."""
+    gap = pc.subtract(doubles(words["x1"]), lagged(doubles(words["x2"]), first))
+    return gap, pc.binary_join_element_wise(pc.if_else(pc.fill_null(exceeds(gap, space), False), " ", ""), words["text"], "")
+
+
 def word_groups(words: DataFrame, *keys: str, gap: float | None = GROUP_SPACE, space: float = WORD_SPACE) -> DataFrame:
     """(keys, baseline, grp, x1, x2, text): words of a line joined while gaps are at most `gap`, with a space above `space`.
 
-    A given gap must be over 0 and at most 10; None joins all words of a line.
+    A given gap must be over 0 and at most 10; None joins all words of a line. Lines go to Python in batches of many.
     """
     if gap is not None and not 0 < gap <= 10:
         raise ValueError(f"no such gap between columns: {gap}")
-    order = Window.partitionBy(*keys, "baseline").orderBy("x1")
-    step = F.col("x1") - F.lag("x2").over(order)
-    begins = step.isNull() if gap is None else F.coalesce(step > gap, F.lit(True))
-    marked = words.withColumn("gap", step).withColumn("grp", F.sum(begins.cast("int")).over(order) - 1)
-    piece = F.struct("x1", F.concat(F.when(F.col("gap") > space, " ").otherwise(""), "text").alias("t"))
-    text = F.ltrim(F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda s: s["t"]), ""))
-    return marked.groupBy(*keys, "baseline", "grp").agg(F.min("x1").alias("x1"), F.max("x2").alias("x2"), text.alias("text"))
+    by = [*keys, "baseline"]
+
+    def grouped(lines: pa.Table, starts: np.ndarray) -> pa.Table:
+        first = np.zeros(len(lines), bool)
+        first[starts[:-1]] = True
+        step, pieces = spaced(lines, first, space)
+        fresh = pc.is_null(step) if gap is None else pc.fill_null(exceeds(step, float(gap)), True)
+        at = marks(fresh.to_numpy())
+        number = np.arange(len(at) - 1)
+        of_line = np.searchsorted(starts, at[:-1], side="right") - 1
+        grp = number - np.searchsorted(at, starts[:-1])[of_line]
+        found = {"grp": pa.array(grp, pa.int64()), "x1": extreme(lines["x1"], at[:-1], True), "x2": extreme(lines["x2"], at[:-1], False), "text": pc.utf8_ltrim(joined(pieces, at), characters=" ")}
+        out = lines.select(by).take(pa.array(at[:-1]))
+        for name, column in found.items():
+            out = out.append_column(name, column)
+        return out
+
+    narrow = words.select(*by, "x1", "x2", "text")
+    return by_groups(narrow, by, ["x1", "x2", "text"], grouped, f"{kinds(narrow, *by)}, grp long, {kinds(narrow, 'x1', 'x2', 'text')}")
 
 
 def page_text(words: DataFrame, eol: str = "\n") -> DataFrame:
