@@ -7,6 +7,7 @@ Order-dependent geometry runs page by page in Arrow batches of many pages; all e
 from __future__ import annotations
 
 import heapq
+from functools import reduce
 from itertools import pairwise
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafwork.operators.documents import dropped, written
-from leafwork.operators.groups import by_groups, doubles, exceeds, extreme, joined, kinds, lagged
+from leafwork.operators.groups import begins, by_groups, by_runs, doubles, exceeds, extreme, joined, kinds, lagged
 
 #: Fixed: shares of the page's height and width that make a margin, and the limits of the text rule.
 HEADER, FOOTER, LEFT, RIGHT = 0.08, 0.90, 0.06, 0.95
@@ -29,6 +30,8 @@ NEAR_X, NEAR_Y = 1.0, 1.4
 NEAR_CELLS = 8
 #: Fixed: characters under TINY in width and height, and how many of them a page may have.
 TINY, TINY_MOST = 3, 50_000
+#: Texts that the pattern ^\\s$ finds: white space, and a line's end after it.
+BLANKS = pa.array([s + e for s in " \t\n\v\f\r" for e in ("", "\n", "\r", "\r\n", "\x85", "\u2028", "\u2029") if s + e != "\r\n"])
 #: Fixed: the share of slant that makes text diagonal, and the size from which a lone capital is a drop cap.
 DIAGONAL, DROP_CAP = 0.1, 20
 
@@ -56,41 +59,81 @@ def shown(text: Column, blank: Column) -> Column:
     return F.when(blank & ~text.rlike("^\\s$"), F.lit(" ")).otherwise(text)
 
 
+def sound(chars: pa.Table, width: float | None, height: float | None) -> pa.Table:
+    """chars without NUL and NaN, and those inside the page if its width and height are given."""
+    x1, x2, base = (doubles(chars[c]) for c in ("x1", "x2", "baseline"))
+    rules = [pc.invert(pc.fill_null(pc.is_nan(c), False)) for c in (x1, x2, base)] + [pc.not_equal(chars["text"], "\0")]
+    if width is not None:
+        rules += [pc.greater_equal(x2, 0.0), pc.less_equal(x1, float(width)), pc.greater_equal(base, 0.0), pc.less_equal(base, float(height))]
+    return chars.filter(reduce(pc.and_, [pc.fill_null(r, False) for r in rules])).combine_chunks()
+
+
+def bounds(table: pa.Table, keys: list[str]) -> np.ndarray:
+    """Where the groups of a table begin, and the last ends."""
+    return marks(np.concatenate([[True], begins(table, keys)])[: len(table)])
+
+
+def uncrowded(chars: pa.Table, starts: np.ndarray, most: int) -> np.ndarray:
+    """Which characters stay if of those under TINY both ways each page keeps the first `most`; those of one char_pos share a number."""
+    tiny = pc.and_kleene(exceeds(float(TINY), pc.subtract(doubles(chars["x2"]), doubles(chars["x1"]))), exceeds(float(TINY), doubles(chars["font_size"])))
+    count = np.concatenate([[0], np.cumsum(pc.fill_null(tiny, False).to_numpy())])
+    begin = np.union1d(starts, np.flatnonzero(begins(chars, ["char_pos"])) + 1)
+    number = np.repeat(count[begin[1:]], np.diff(begin)) - np.repeat(count[starts[:-1]], np.diff(starts))
+    return pc.fill_null(pc.or_kleene(pc.invert(tiny), pa.array(number <= most)), False).to_numpy()
+
+
+def page_chars(chars: pa.Table, width: float | None, height: float | None, most: int) -> pa.Table:
+    """What on_page_chars() keeps of whole pages."""
+    inside = sound(chars, width, height)
+    return inside.filter(pa.array(uncrowded(inside, bounds(inside, ["doc_id", "page"]), most))).combine_chunks()
+
+
 def on_page_chars(chars: DataFrame, width: float, height: float) -> DataFrame:
     """chars inside the page, without NUL and NaN; of characters under TINY both ways the first TINY_MOST of each page.
 
-    Tiny characters are numbered only on pages that have more of them.
+    Characters may come as runs: rows whose char_pos, text, x1 and x2 are lists.
     """
-    sound = ~(F.isnan("x1") | F.isnan("x2") | F.isnan("baseline")) & (F.col("text") != "\0")
-    inside = (F.col("x2") >= 0) & (F.col("x1") <= width) & (F.col("baseline") >= 0) & (F.col("baseline") <= height)
-    kept = chars.where(sound & inside)
-    tiny = (F.col("x2") - F.col("x1") < TINY) & (F.col("font_size") < TINY)
-    crowded = kept.where(tiny).groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > TINY_MOST).select("doc_id", "page")
-    number = F.sum(tiny.cast("int")).over(Window.partitionBy("doc_id", "page").orderBy("char_pos"))
-    cut = kept.join(crowded, ["doc_id", "page"], "left_semi").withColumn("number", number).where(~tiny | (F.col("number") <= TINY_MOST)).drop("number")
-    return kept.join(crowded, ["doc_id", "page"], "left_anti").unionByName(cut)
+    most = TINY_MOST
+    return by_runs(chars, ["doc_id", "page"], ["char_pos"], lambda pages, starts: page_chars(pages, width, height, most), kinds(chars, *chars.columns))
 
 
-def chars_to_words(chars: DataFrame) -> DataFrame:
+def chars_to_words(chars: DataFrame, width: float | None = None, height: float | None = None) -> DataFrame:
     """(doc_id, page, word, text, x1, x2, baseline) from (doc_id, page, char_pos, text, x1, x2, baseline, font_size), and rotation, if it is there.
 
     A word ends at white space, a change of baseline, size or rotation, a gap of more than 0.1 or an overlap of more
     than 0.2 font sizes. A character within 0.1 font sizes of the one before, the same, on its baseline, is fake bold
-    and goes. NaN positions and NUL characters go.
+    and goes. NaN positions and NUL characters go. With width and height, only what on_page_chars() keeps is read.
+    Characters may come as runs, as there. Pages go to Python many at a time, sorted once.
     """
-    order = Window.partitionBy("doc_id", "page").orderBy("char_pos")
-    sound = chars.where(~F.isnan("x1") & ~F.isnan("x2") & ~F.isnan("baseline") & (F.col("text") != "\0"))
-    last = lambda c: F.lag(c).over(order)
-    twice = (F.abs(F.col("x1") - last("x1")) < 0.1 * F.col("font_size")) & (F.abs(F.col("baseline") - last("baseline")) < 0.2 * F.col("font_size")) & (F.col("text") == last("text"))
-    sound = sound.withColumn("twice", F.coalesce(twice, F.lit(False))).where("not twice")
-    gap = F.col("x1") - last("x2")
-    blank = F.col("text").rlike("^\\s$")
-    breaks = last("x2").isNull() | (gap > WORD_BREAK * F.col("font_size")) | (gap < -OVERLAP_BREAK * F.col("font_size")) | (F.col("baseline") != last("baseline")) | (F.col("font_size") != last("font_size")) | last("blank")
-    if "rotation" in chars.columns:
-        breaks = breaks | (F.col("rotation") != last("rotation"))
-    marked = sound.withColumn("blank", blank).withColumn("word", F.sum(F.coalesce(breaks, F.lit(True)).cast("int")).over(order) - 1)
-    words = marked.where("not blank").groupBy("doc_id", "page", "word")
-    return words.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("char_pos", "text"))), lambda s: s["text"]), "").alias("text"), F.min("x1").alias("x1"), F.max("x2").alias("x2"), F.min("baseline").alias("baseline"))
+    own, most = ["doc_id", "page"], TINY_MOST
+    turned = ["rotation"] if "rotation" in chars.columns else []
+    narrow = chars.select(*own, "char_pos", "text", "x1", "x2", "baseline", "font_size", *turned)
+
+    def found(pages: pa.Table, _: np.ndarray) -> pa.Table:
+        pages = sound(pages, None, None) if width is None else page_chars(pages, width, height, most)
+        before = lambda c: lagged(c, first)
+        moved = lambda c: pc.abs(pc.subtract(c, before(c)))
+        first = np.concatenate([[True], begins(pages, own)])[: len(pages)]
+        x1, size, base = (doubles(pages[c]) for c in ("x1", "font_size", "baseline"))
+        near = [exceeds(pc.multiply(size, 0.1), moved(x1)), exceeds(pc.multiply(size, 0.2), moved(base)), pc.equal(pages["text"], before(pages["text"]))]
+        pages = pages.filter(pc.invert(reduce(pc.and_, [pc.fill_null(c, False) for c in near]))).combine_chunks()
+        first = np.concatenate([[True], begins(pages, own)])[: len(pages)]
+        size, base, blank = doubles(pages["font_size"]), doubles(pages["baseline"]), pc.is_in(pages["text"], BLANKS)
+        gap = pc.subtract(doubles(pages["x1"]), before(doubles(pages["x2"])))
+        breaks = [exceeds(gap, pc.multiply(size, WORD_BREAK)), exceeds(pc.multiply(size, -OVERLAP_BREAK), gap), before(blank)]
+        breaks += [exceeds(*p) for c in (base, size) for p in ((c, before(c)), (before(c), c))]
+        breaks += [pc.not_equal(pages[c], before(pages[c])) for c in turned]
+        count = np.cumsum(pc.fill_null(reduce(pc.or_kleene, breaks), True).to_numpy())
+        word = count - np.repeat(count[first], np.diff(marks(first)))
+        shown = pages.append_column("word", pa.array(word, pa.int64())).filter(pc.invert(blank)).combine_chunks()
+        at = bounds(shown, [*own, "word"])
+        out = shown.select([*own, "word"]).take(pa.array(at[:-1]))
+        parts = {"text": joined(shown["text"], at), "x1": extreme(shown["x1"], at[:-1], True), "x2": extreme(shown["x2"], at[:-1], False), "baseline": extreme(shown["baseline"], at[:-1], True)}
+        for name, column in parts.items():
+            out = out.append_column(name, column)
+        return out
+
+    return by_runs(narrow, own, ["char_pos", "text"], found, f"{kinds(narrow, *own)}, word long, {kinds(narrow, 'text', 'x1', 'x2', 'baseline')}")
 
 
 def line_boxes(words: DataFrame, *keys: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leafwork.operators import layout, rendering
 from leafwork.plans.layout import PAGES_SQL, page_sections
-from leafwork.sources.tables import TURN_WORDS_SQL, WORDS_SQL, chars_of, table, turns_of, words_of
+from leafwork.sources.tables import TURN_WORDS_SQL, WORDS_SQL, char_runs, table, turns_of, words_of
 
 
 def turn_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,17 +21,20 @@ def spread(words: DataFrame) -> DataFrame:
 
 
 def chars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The characters of turns, some doubled as fake bold, some off the page; lines stand as columns 20 apart in turn."""
-    rows = chars_of(turn_words(spark, sf_dir))
+    """The characters of turns in runs, some doubled as fake bold; lines stand as columns 20 apart in turn."""
+    rows = char_runs(turns_of(table(spark, sf_dir, "conversations")))
     rows = rows.withColumn("m0", F.when(F.col("baseline") % 4 == 0, 1.0).when(F.col("baseline") % 4 == 2, -1.0).otherwise(0.05)).withColumn("m2", F.when(F.col("baseline") % 4 == 1, 1.0).when(F.col("baseline") % 4 == 3, -1.0).otherwise(0.0))
     rows = rows.withColumn("rotation", layout.rotation_class(F.col("m0"), -F.col("m2"), F.col("m2"), F.col("m0"))).drop("m0", "m2")
-    again = rows.where("char_pos % 7 = 0").withColumns({"x1": F.col("x1") + 0.05, "x2": F.col("x2") + 0.05})
-    rows = rows.withColumn("char_pos", F.col("char_pos") * 2).unionByName(again.withColumn("char_pos", F.col("char_pos") * 2 + 1))
-    return layout.on_page_chars(rows, 60.0, 1e9)
+    every = F.filter(F.sequence(F.lit(0), F.size("char_pos") - 1), lambda i: F.col("char_pos")[i] % 7 == 0)
+    again = rows.withColumn("copy", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("every", F.when(F.col("copy"), every))
+    doubled = lambda name, own, copied: F.when(F.col("copy"), F.transform("every", lambda i: copied(F.col(name)[i]))).otherwise(own).alias(name)
+    lists = [doubled("char_pos", F.transform("char_pos", lambda p: p * 2), lambda p: p * 2 + 1), doubled("text", F.col("text"), lambda t: t)]
+    lists += [doubled(c, F.col(c), lambda x: x + 0.05) for c in ("x1", "x2")]
+    return again.select("doc_id", "page", "baseline", "font_size", "rotation", *lists)
 
 
 def chars_to_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = layout.chars_to_words(chars(spark, sf_dir))
+    found = layout.chars_to_words(chars(spark, sf_dir), 60.0, 1e9)
     return found.select("doc_id", "page", F.col("baseline").cast("int").alias("baseline"), F.floor("x1").cast("int").alias("x1"), "text")
 
 

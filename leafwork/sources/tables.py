@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words of a line and lines of a page where plain text is laid out.
@@ -14,12 +14,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def words_of(docs: DataFrame) -> DataFrame:
-    """Plain text laid out on a grid of unit cells: one row for each word, with its box.
+def lines_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, baseline, para, line, words) of plain text: lines are runs of LINE_WORDS words of a paragraph, and baseline numbers a document's lines.
 
-    (doc_id, page, para, line, pos, text, x1, x2, baseline, row). Lines are runs of LINE_WORDS words of a paragraph;
-    baseline numbers a document's lines, and row leaves two lines between paragraphs. A document is laid out in
-    its own row, so nothing is shuffled. Null texts have no words.
+    A document is laid out in its own row, so nothing is shuffled. Null texts have no words.
     """
     body = F.transform(
         F.split("text", "\n"),
@@ -31,11 +29,23 @@ def words_of(docs: DataFrame) -> DataFrame:
     )
     lines = F.flatten(F.transform(F.filter(body, lambda p: F.size(p["words"]) > 0), cut))
     each = docs.where(F.col("text").isNotNull()).select("doc_id", F.posexplode(lines).alias("baseline", "l"))
-    words = each.select("doc_id", "baseline", "l.para", "l.line", "l.words", F.posexplode("l.words").alias("i", "text"))
+    return each.select("doc_id", "baseline", "l.para", "l.line", "l.words")
+
+
+def page_of(baseline: str) -> Column:
+    return F.floor(F.col(baseline) / PAGE_LINES).cast("int").alias("page")
+
+
+def words_of(docs: DataFrame) -> DataFrame:
+    """Plain text laid out on a grid of unit cells: one row for each word, with its box.
+
+    (doc_id, page, para, line, pos, text, x1, x2, baseline, row); row leaves two lines between paragraphs.
+    """
+    words = lines_of(docs).select("*", F.posexplode("words").alias("i", "text"))
     x1 = (F.length(F.array_join(F.slice("words", F.lit(1), F.col("i")), "")) + F.col("i")).cast("long")
     return words.select(
         "doc_id",
-        F.floor(F.col("baseline") / PAGE_LINES).cast("int").alias("page"),
+        page_of("baseline"),
         "para",
         "line",
         (F.col("line") * LINE_WORDS + F.col("i")).alias("pos"),
@@ -47,6 +57,17 @@ def words_of(docs: DataFrame) -> DataFrame:
     )
 
 
+def word_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, page, baseline, text, x1, x2): the words of words_of(), a row for each line with lists of texts and places."""
+    widths = F.transform("words", lambda w: F.length(w).cast("long"))
+    runs = lines_of(docs).select("doc_id", page_of("baseline"), "baseline", F.col("words").alias("text"), widths.alias("width"))
+    # a line has LINE_WORDS words at most, so the sums are written out, which is many times faster than a lambda over slices
+    steps = [F.when(F.size("width") > j, F.element_at("width", j + 1) + 1).otherwise(0) for j in range(LINE_WORDS - 1)]
+    starts = F.array(*[sum(steps[:k], F.lit(0).cast("long")) for k in range(LINE_WORDS)])
+    runs = runs.withColumn("x1", F.slice(starts, F.lit(1), F.size("width")))
+    return runs.select("doc_id", "page", "baseline", "text", "x1", F.zip_with("x1", "width", lambda a, b: a + b).alias("x2"))
+
+
 #: The same words for DuckDB, as the beginning of a WITH clause that ends in a table named words.
 WORDS_SQL = f"""
     WITH paras AS (
@@ -78,12 +99,14 @@ def turns_of(conversations: DataFrame) -> DataFrame:
 TURN_WORDS_SQL = WORDS_SQL.replace("FROM documents WHERE", "FROM (SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations) WHERE")
 
 
-def chars_of(words: DataFrame) -> DataFrame:
-    """(doc_id, page, char_pos, text, x1, x2, baseline, font_size, rotation) of words on the grid, and a space after each but the last of a line."""
-    chars = F.filter(F.split("text", ""), lambda c: c != "")
-    each = words.select("doc_id", "page", "baseline", "x1", F.posexplode(F.concat(chars, F.array(F.lit(" ")))).alias("i", "text"))
-    at = (F.col("x1") + F.col("i")).cast("double")
-    return each.select("doc_id", "page", (F.col("baseline") * 100_000 + at.cast("long")).alias("char_pos"), "text", at.alias("x1"), (at + 1).alias("x2"), F.col("baseline").cast("double").alias("baseline"), F.lit(1.0).alias("font_size"))
+def char_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, page, baseline, font_size, char_pos, text, x1, x2) of the characters of words on the grid, and a space after each word: a row for each line, the last four lists."""
+    lines = lines_of(docs).withColumn("joined", F.concat(F.array_join("words", " "), F.lit(" ")))
+    at = F.sequence(F.lit(0), F.length("joined") - 1)
+    start = F.col("baseline").cast("long") * 100_000
+    pos = F.sequence(start, start + F.length("joined") - 1)
+    x2 = F.sequence(F.lit(1), F.length("joined"))
+    return lines.select("doc_id", page_of("baseline"), F.col("baseline").cast("double").alias("baseline"), F.lit(1.0).alias("font_size"), pos.alias("char_pos"), F.split("joined", "").alias("text"), at.cast("array<double>").alias("x1"), x2.cast("array<double>").alias("x2"))
 
 
 def links_of(pages: DataFrame) -> DataFrame:
