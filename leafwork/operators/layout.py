@@ -282,13 +282,22 @@ def word_groups(words: DataFrame, *keys: str, gap: float | None = GROUP_SPACE, s
 
 
 def page_text(words: DataFrame, eol: str = "\n") -> DataFrame:
-    """(doc_id, page, text): the words of a page in reading order, spaces where words are apart, eol between lines."""
-    order = Window.partitionBy("doc_id", "page", "baseline").orderBy("x1")
-    gap = F.col("x1") - F.lag("x2").over(order)
-    piece = F.struct("x1", F.concat(F.when(gap > WORD_SPACE, " ").otherwise(""), "text").alias("t"))
-    joined = lambda c: F.transform(F.array_sort(F.collect_list(c)), lambda s: s["t"])
-    lines = words.withColumn("piece", piece).groupBy("doc_id", "page", "baseline").agg(F.array_join(joined("piece"), "").alias("t"))
-    return lines.groupBy("doc_id", "page").agg(F.array_join(joined(F.struct("baseline", "t")), eol).alias("text"))
+    """(doc_id, page, text): the words of a page in reading order, spaces where words are apart, eol between lines.
+
+    Words may come as runs: rows whose text, x1 and x2 are lists. Pages go to Python many at a time, sorted once.
+    """
+    own = ["doc_id", "page"]
+
+    def whole(pages: pa.Table, starts: np.ndarray) -> pa.Table:
+        line = np.concatenate([[True], begins(pages, [*own, "baseline"])])
+        pieces = spaced(pages, line, WORD_SPACE)[1]
+        line[starts[:-1]] = False
+        ends = pc.if_else(pa.array(line), eol, "")
+        text = joined(pc.binary_join_element_wise(ends, pc.fill_null(pieces, ""), ""), starts)
+        return pages.select(own).take(pa.array(starts[:-1])).append_column("text", text)
+
+    narrow = words.select(*own, "baseline", "x1", "x2", "text")
+    return by_runs(narrow, own, ["baseline", "x1", "x2", "text"], whole, kinds(narrow, *own, "text"))
 
 
 def merged_margins(boxes: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from leafwork.functions.text import base_name, escape_html
 from leafwork.operators import documents, layout, search
 from leafwork.plans.layout import TEXT_SQL
 from leafwork.plans.scalars import fold_sql
-from leafwork.sources.tables import WORDS_SQL, headings_of, links_of, table, words_of
+from leafwork.sources.tables import WORDS_SQL, headings_of, links_of, table, word_runs, words_of
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,7 +124,7 @@ def character_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def html_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = layout.page_text(words_of(table(spark, sf_dir, "documents")))
+    text = layout.page_text(word_runs(table(spark, sf_dir, "documents")))
     body = F.concat(F.lit('<div id="p'), F.col("page").cast("string"), F.lit('">'), F.replace(escape_html(F.col("text")), F.lit("\n"), F.lit("<br/>")), F.lit("</div>"))
     return text.select("doc_id", "page", F.md5(body).alias("digest"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafwork.operators import layout
-from leafwork.sources.tables import PAGE_LINES, WORDS_SQL, table, words_of
+from leafwork.sources.tables import PAGE_LINES, WORDS_SQL, table, word_runs, words_of
 
 #: Width of the grid page, in cells.
 PAGE_WIDTH = 100
@@ -50,7 +50,7 @@ def word_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rendered_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.page_text(words(spark, sf_dir))
+    return layout.page_text(word_runs(table(spark, sf_dir, "documents")))
 
 
 def grouped_words(spark: SparkSession, sf_dir: str) -> DataFrame:
